@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starloom.functions.tables import table
-from starloom.llm import tokens
+from starloom.llm import mixing, sharding, tokens, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -14,11 +14,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), exponent=0.5, epochs=1.0, seed=42).select("doc_id", "source", "lang", "n_chars", "text", "copy_no", "shuffle_key")
+
+
+def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(voronoi.quantised(table(spark, sf_dir, "embeddings")), k=20)
+
+
+def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_poisson_mixing": op1_poisson_mixing,
+    "op2_hilbert_sharding": op2_hilbert_sharding,
     "op6_token_output": op6_token_output,
+    "op9_voronoi_topk": op9_voronoi_topk,
+    "op10_warc_boundary_chain": op10_warc_boundary_chain,
+}
+ORACLES: dict[str, str] = {
+    "op1_poisson_mixing": mixing.ORACLE,
+    "op9_voronoi_topk": voronoi.ORACLE,
+    "op10_warc_boundary_chain": warc.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.llm import mixing, sharding, tokens, voronoi, warc
+from starloom.llm import licenses, mixing, sharding, tokens, toxicity, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -22,10 +23,20 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score").withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.top_k(voronoi.quantised(table(spark, sf_dir, "embeddings")), k=20)
 
@@ -37,7 +48,9 @@ def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op5_license_scan": op5_license_scan,
     "op6_token_output": op6_token_output,
+    "op8_toxicity": op8_toxicity,
     "op9_voronoi_topk": op9_voronoi_topk,
     "op10_warc_boundary_chain": op10_warc_boundary_chain,
 }

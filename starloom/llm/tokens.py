@@ -29,21 +29,24 @@ from starloom.plans.durable import new_path
 
 MAGIC = b"TOKSHRD1"
 HEAD = len(MAGIC) + 32 + 1
-#: Entries kept by a worker's piece table before it starts afresh.
-MEMO = 400_000
+#: Entries kept by a worker's piece table before the older half is let go.
+MEMO = 600_000
 #: White space other than lone blanks and line feeds: such texts are handed to the tokenizer as they are.
-_ODD = "[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_ODD = [*map(chr, (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), "  ", " \n", "\n "]
+#: How the vocabulary's own pre-tokenizer cuts a text (fixed by the vocabulary file).
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
     """Whole texts to id bytes, with the ids of blank-separated pieces remembered.
 
-    A byte-level BPE never merges across a lone blank, so ``a b`` has the ids of ``a`` and of `` b``.
+    A byte-level BPE never merges across a lone blank, so ``a b`` has the ids of ``a`` and of `` b``; nor
+    across the cuts of its pre-tokenizer, so a piece with punctuation is put together from its parts.
     Texts where blanks meet other white space skip this and go whole through the tokenizer.
     """
 
     def __init__(self, path: str, width: int):
-        import re
+        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,19 +58,17 @@ class Encoder:
         self.opens = np.zeros(size, bool)  # tokens that begin with a blank
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("Ġ")
-        self.specials = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(_ODD)
-        self.pieces: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.odd = [*_ODD, *(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.cut = regex.compile(_CUT).findall
+        self.pieces: dict[str, bytes] = {}  # after a blank
+        self.bare: dict[str, bytes] = {}  # not after a blank
+        self.old: dict[str, bytes] = {}  # of pieces
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _plain(self, text: str) -> bool:
-        return not ("  " in text or " \n" in text or "\n " in text or self.odd.search(text) or any(s in text for s in self.specials))
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of `` piece`` for each new piece: one text of them all, cut where a token begins with a blank."""
+    def _spaced(self, new: list[str]) -> None:
+        """Ids of `` piece`` for each: one text of them all, cut where a token begins with a blank."""
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
@@ -79,30 +80,59 @@ class Encoder:
             raw, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
             self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
+    def _learn(self, new: set[str]) -> None:
+        simple, joint, bare = set(), [], set()
+        for p in new:
+            if (known := self.old.get(p)) is not None:
+                self.pieces[p] = known
+            elif p.isalpha():
+                simple.add(p)
+            elif not p:
+                self.pieces[p] = self._whole(" ")
+            else:
+                first, *rest = self.cut(" " + p)
+                if first == " " or not rest:
+                    self.pieces[p] = self._whole(" " + p)
+                    continue
+                joint.append((p, first[1:], rest))
+                if first[1:] not in self.pieces:
+                    simple.add(first[1:])
+                bare.update(rest)
+        self._spaced(list(simple))
+        unknown = list(bare - self.bare.keys())
+        for b, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False) if unknown else [], strict=True):
+            self.bare[b] = np.asarray(e.ids, self.kind).tobytes()
+        for p, first, rest in joint:
+            self.pieces[p] = self.pieces[first] + b"".join([self.bare[r] for r in rest])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        if len(self.firsts) > MEMO:
-            self.firsts.clear()
+            self.old, self.pieces = self.pieces, {}
+        if len(self.bare) > MEMO:
+            self.bare = {}
         out: list[bytes] = []
         for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
-            cut = [t.split(" ") if t and self._plain(t) else None for t in part]
-            new = set().union(*(c[1:] for c in cut if c)) - self.pieces.keys()
-            if "" in new:
-                new.discard("")
-                self.pieces[""] = self._whole(" ")
-            self._learn(list(new))
-            get = self.pieces.__getitem__
-            for text, c in zip(part, cut, strict=True):
-                if not text:
-                    out.append(b"")
-                elif c is None:
-                    out.append(self._whole(text))
-                else:
-                    if (first := self.firsts.get(c[0])) is None:
-                        first = self.firsts[c[0]] = self._whole(c[0]) if c[0] else b""
-                    out.append(first + b"".join(map(get, c[1:])))
+            get, part, unknown = self.pieces.get, [], set()
+            for text in texts[lo : lo + 256]:
+                if not text or any(x in text for x in self.odd):
+                    part.append((text, None, None))
+                    continue
+                words = text.split(" ")
+                first = words[0]
+                del words[0]
+                got = list(map(get, words))
+                if None in got:
+                    unknown.update([w for w, g in zip(words, got, strict=True) if g is None])
+                    got = None
+                part.append((first, words, got))
+            self._learn(unknown)
+            for first, words, got in part:
+                if words is None:
+                    out.append(self._whole(first) if first else b"")
+                    continue
+                if (head := self.bare.get(first)) is None:
+                    head = self.bare[first] = self._whole(first) if first else b""
+                out.append(head + b"".join(got or map(get, words)))
         return out
 
 
@@ -124,11 +154,12 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     """A dictionary trained on serialised id arrays.
 
     Fitted on a bounded sample: the ``sample`` documents of 1 to ``sample_bytes`` UTF-8 bytes that come
-    first by the hash of doc_id and text. Dictionaries help short documents only; every document is
+    first by the hash of doc_id. Dictionaries help short documents only; every document is
     encoded with it. Too few samples to train on give an empty dictionary.
     """
-    n = F.octet_length("text")
-    rows = docs.where(n.between(1, sample_bytes)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample).collect()
+    fit = docs.where(F.octet_length("text").between(1, sample_bytes)).select("text", F.xxhash64("doc_id").alias("h"))
+    last = fit.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are sorted, not texts
+    rows = fit.where(F.col("h") <= last).orderBy("h", "text").limit(sample).collect() if last is not None else []
     end = np.asarray([end_id], _encoder(tokenizer_path, width).kind).tobytes()
     arrays = [ids + end for ids in _encoder(tokenizer_path, width).encode([r.text for r in rows])]
     if len(arrays) < 16 or sum(map(len, arrays)) < 4 * size:

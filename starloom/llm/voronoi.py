@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _dealt(batch: pa.RecordBatch):
     """The batch's rows by dimension: (dim, ids, matrix)."""
-    sizes = np.asarray(pa.compute.list_value_length(batch.column(1)))
+    sizes = np.asarray(pc.list_value_length(batch.column(1)))
     for dim in np.unique(sizes):
         part = batch.filter(pa.array(sizes == dim))
         yield int(dim), part.column(0).to_numpy(), _matrix(part.column(1), int(dim))

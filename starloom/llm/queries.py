@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.llm import licenses, mixing, sharding, tokens, toxicity, voronoi, warc
+from starloom.llm import licenses, mixing, neardup, sharding, tokens, toxicity, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -31,6 +31,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=75, width=5)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op5_license_scan": op5_license_scan,
     "op6_token_output": op6_token_output,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_toxicity": op8_toxicity,
     "op9_voronoi_topk": op9_voronoi_topk,
     "op10_warc_boundary_chain": op10_warc_boundary_chain,

@@ -30,7 +30,7 @@ from starloom.plans.durable import new_path
 MAGIC = b"TOKSHRD1"
 HEAD = len(MAGIC) + 32 + 1
 #: Entries kept by a worker's piece table before the older half is let go.
-MEMO = 600_000
+MEMO = 900_000
 #: White space other than lone blanks and line feeds: such texts are handed to the tokenizer as they are.
 _ODD = [*map(chr, (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), "  ", " \n", "\n "]
 #: How the vocabulary's own pre-tokenizer cuts a text (fixed by the vocabulary file).
@@ -121,18 +121,19 @@ class Encoder:
                 first = words[0]
                 del words[0]
                 got = list(map(get, words))
-                if None in got:
-                    unknown.update([w for w, g in zip(words, got, strict=True) if g is None])
-                    got = None
-                part.append((first, words, got))
+                gaps = [i for i, g in enumerate(got) if g is None] if None in got else ()
+                unknown.update([words[i] for i in gaps])
+                part.append((first, got, [(i, words[i]) for i in gaps]))
             self._learn(unknown)
-            for first, words, got in part:
-                if words is None:
+            for first, got, gaps in part:
+                if got is None:
                     out.append(self._whole(first) if first else b"")
                     continue
                 if (head := self.bare.get(first)) is None:
                     head = self.bare[first] = self._whole(first) if first else b""
-                out.append(head + b"".join(got or map(get, words)))
+                for i, w in gaps:
+                    got[i] = get(w)
+                out.append(head + b"".join(got))
         return out
 
 

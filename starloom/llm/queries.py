@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.llm import licenses, mixing, neardup, sharding, tokens, toxicity, voronoi, warc
+from starloom.llm import decontam, licenses, mixing, neardup, sharding, tokens, toxicity, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,10 @@ def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op3_decontamination": op3_decontamination,
     "op5_license_scan": op5_license_scan,
     "op6_token_output": op6_token_output,
     "op7_minhash_neardup": op7_minhash_neardup,

@@ -17,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Everything but ASCII letters and digits and the bytes of other characters.
+PUNCTUATION = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -35,12 +37,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word of texts that lie one after another in ``data`` (lower-cased A-Z; words are runs without blanks)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word of texts that lie one after another in ``data`` (lower-cased A-Z; words are runs without ``blank`` bytes)."""
     n = len(data)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = ~_BLANK[data]
+    word = ~blank[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a text's first byte follows nothing
     begins = word.copy()
@@ -54,22 +56,34 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return _mix(h + (e - s).astype(np.uint64) * _C1), np.searchsorted(offsets, s, "right") - 1
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column and where each text begins (and the last ends)."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and offsets[-1] else np.empty(0, np.uint8)
+    return data, offsets
+
+
+def slices(offsets: np.ndarray):
+    """(first, end) of runs of texts of about ``SLICE`` bytes, one text at least."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def shingle_sets(texts: pa.Array, width: int):
     """For each text its sorted distinct shingle hashes (unsigned order).
 
     A text of fewer than ``width`` words has its whole sequence as one shingle; one without words has none.
     """
-    texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     n = len(texts)
     if n == 0:
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and offsets[-1] else np.empty(0, np.uint8)
+    data, offsets = text_bytes(texts)
     multipliers = [_mix(np.array([k + 1], np.uint64))[0] | np.uint64(1) for k in range(width)]
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1)
-        hi = min(hi, n)
+    for lo, hi in slices(offsets):
         h, owner = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo])
         counts = np.bincount(owner, minlength=hi - lo)
         starts = np.cumsum(counts) - counts
@@ -84,7 +98,6 @@ def shingle_sets(texts: pa.Array, width: int):
                 yield _mix(np.array([sum((int(x) * int(m)) for x, m in zip(h[a : a + c], multipliers, strict=False)) + c & (1 << 64) - 1], np.uint64))
             else:
                 yield h[:0]
-        lo = hi
 
 
 def fingerprint(values: np.ndarray) -> bytes:

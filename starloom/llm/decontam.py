@@ -235,7 +235,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, most: float = 0.05, cosine: float = 0.5, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, most: float = 0.05, cosine: float = 0.35, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_words, lcs_share, answer_share): items found in documents.
 
     A passage at ``cosine`` or more of an item in latent space is held against it word by word: the item

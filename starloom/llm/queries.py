@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.llm import decontam, licenses, mixing, neardup, sharding, tokens, toxicity, voronoi, warc
+from starloom.llm import decontam, licenses, mixing, neardup, sharding, templates, tokens, toxicity, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_html_templates": op4_html_templates,
     "op5_license_scan": op5_license_scan,
     "op6_token_output": op6_token_output,
     "op7_minhash_neardup": op7_minhash_neardup,

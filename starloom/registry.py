@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "cone_search"
+from starloom.queries import sky
+
+QUERIES: dict = {**sky.QUERIES}
+ORACLES: dict = {**sky.ORACLES}
+FLAGSHIP = "discovery_ranking"

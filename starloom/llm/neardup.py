@@ -18,6 +18,8 @@ from starloom.plans.durable import durable
 SKETCH = 64
 #: Chance that a linked pair shares fewer retained values than its lists ask for.
 MISS = 1e-9
+#: Most ids (16 bytes each) that are broadcast to pick out documents; beyond it the documents are shuffled.
+BROADCAST_IDS = 500_000
 #: Longest list whose members are tried pair by pair; the members of longer ones go by lists over their full sets.
 SHORT = 16
 
@@ -95,7 +97,7 @@ def sketch_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
     """Inverted lists of retained values; they bring linked sets together but for a chance of ``MISS``."""
     whole = int(k * similarity)  # up to here any partner's set is retained whole, and the similarity decides
     least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * similarity)).otherwise(F.lit(least_overlap(k, similarity)))
-    return _prefixes(reps.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value")), least)
+    return _prefixes(reps.select("id", "n", F.least(F.col("n"), F.lit(k)).alias("kept"), F.explode("sketch").alias("value")), least)
 
 
 def full_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -118,13 +120,19 @@ def with_estimate(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", both / F.size(lowest)).drop("sa", "sb")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of some doc_ids (a written table); their texts are not shuffled while the ids are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) whose full sets have 100 * intersection >= percent * union.
 
     The pair's sets meet through two joins, so no group of pairs is gathered in a task.
     """
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = durable(full_sets(docs.join(needed, "doc_id", "left_semi"), width), "sets")
+    needed = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
+    sets = durable(full_sets(_only(docs, needed), width), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("values").alias(f"v{x}"))
     met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("va", "vb")).cast("long"))
     return met.where(100 * F.col("i") >= percent * (F.size("va") + F.size("vb") - F.col("i"))).select("a", "b").distinct()
@@ -203,8 +211,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     settle(star(lists))
     rest = open_lists(lists)
     settle(across(rest.where(F.col("length") <= SHORT), whole=False))
-    long = rest.where(F.col("length") > SHORT).select(F.col("id").alias("doc_id")).distinct()
-    fine = durable(full_lists(full_sets(docs.join(long, "doc_id", "left_semi"), width), percent), "full-lists")
+    long = durable(rest.where(F.col("length") > SHORT).select(F.col("id").alias("doc_id")).distinct(), "long")
+    fine = durable(full_lists(full_sets(_only(docs, long), width), percent), "full-lists")
     settle(star(open_lists(fine)))
     settle(across(open_lists(fine), whole=True))
     names = classes.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component"))

@@ -158,10 +158,16 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
     return length - row.bit_count()
 
 
-def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis: np.ndarray, cosine: float, sure: float, likely: float, answer: float) -> DataFrame:
+def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
+    # A passage's cosine with an item, both as long as they are outside the latent space, over the item's own.
     targets = items.matrix(weight) @ basis
-    targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-12)
+    targets /= np.maximum((targets * targets).sum(axis=1, keepdims=True), 1e-6)
+    squares = weight**2
+    terms = [np.unique(np.searchsorted(items.vocabulary, w)) for w in items.words]
+    pairs = np.concatenate([i * len(weight) + t for i, t in enumerate(terms)])  # ascending
+    # What a passage of two strides can hold of an item, in squared weights, and the share of it that is asked for.
+    asked = np.array([squares[t].sum() * min(1.0, 1.5 * STRIDE / len(w)) for t, w in zip(terms, items.words, strict=True)]) * overlap
     masks, answers = [], []
     for w, told in zip(items.words, items.told, strict=True):
         mask: dict[int, int] = {}
@@ -171,12 +177,13 @@ def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis
         rare = sorted(mask, key=lambda x: -weight[np.searchsorted(items.vocabulary, np.uint64(x))])
         answers.append(set(told.tolist()) or set(rare[:5]))
     lengths = [len(w) for w in items.words]
-    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids))
+    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids, pairs, asked))
     used = weight > 0
+    unknown = float(np.median(weight[used])) ** 2  # what a word that no item has adds to a passage's squared length
 
     def find(batches):
         v = vocabulary.value
-        project, wanted, masks, lengths, answers, names = shared.value
+        project, wanted, masks, lengths, answers, names, pairs, asked = shared.value
         step = max(1, 2_000_000 // max(1, wanted.shape[1]))
         for batch in batches:
             ids = batch.column(0)
@@ -189,16 +196,28 @@ def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis
                 if len(a):
                     starts = np.flatnonzero(np.diff(s, prepend=-1))
                     sums[s[starts]] = np.add.reduceat(project[a], starts, axis=0)
-                passage = sums.copy()
+                square = np.add.reduceat(np.where(at >= 0, squares[at], unknown), firsts)
+                passage, size = sums.copy(), square.copy()
                 together = owner[firsts][1:] == owner[firsts][:-1]
                 passage[:-1][together] += sums[1:][together]
-                size = np.linalg.norm(passage, axis=1)
-                rows = np.flatnonzero(size > 1e-6)
+                size[:-1][together] += square[1:][together]
+                size = np.sqrt(size)  # of the passage itself, not of what the latent space keeps of it
+                rows = np.flatnonzero(np.abs(passage).max(axis=1) > 1e-6)
                 for i in range(0, len(rows), step):
                     part = rows[i : i + step]
                     near = (passage[part] @ wanted) / size[part][:, None]
-                    for r, k in zip(*np.nonzero(near >= cosine), strict=True):
-                        p, k = int(part[r]), int(k)
+                    found, which = np.nonzero(near >= cosine)
+                    starts = firsts[part[found]]
+                    # The same in full: the weight of the item's words that the passage holds.
+                    spot = starts[:, None] + np.arange(2 * STRIDE)
+                    inside = spot < len(h)
+                    spot = np.minimum(spot, len(h) - 1)
+                    inside &= (owner[spot] == owner[starts][:, None]) & (at[spot] >= 0)
+                    key = which[:, None] * len(squares) + np.maximum(at[spot], 0)
+                    held = inside & (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key)
+                    enough = (held * squares[np.maximum(at[spot], 0)]).sum(axis=1) >= asked[which]
+                    for r, k in zip(found[enough].tolist(), which[enough].tolist(), strict=True):
+                        p = int(part[r])
                         doc, n = int(owner[firsts[p]]), lengths[k]
                         start = int(firsts[p])
                         begin = max(start - n, start - int(place[start]))
@@ -235,10 +254,11 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, most: float = 0.05, cosine: float = 0.35, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: float = 0.001, cosine: float = 0.4, overlap: float = 0.3, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_words, lcs_share, answer_share): items found in documents.
 
-    A passage at ``cosine`` or more of an item in latent space is held against it word by word: the item
+    A passage at ``cosine`` or more of an item in latent space is held against it in full: it must hold
+    ``overlap`` of the item's squared weight, or of the part that fits a passage; then word by word: the item
     is there if the longest common subsequence with the passage's surroundings has ``sure`` of its
     words, or ``likely`` of them and ``answer`` of its answer's words (the item's answer column if there is
     one, else its five rarest words). Words in more than ``most`` of all passages weigh nothing, but for the
@@ -259,9 +279,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 96, most: fl
         for w in items.words:
             at = np.unique(np.searchsorted(items.vocabulary, w))
             rare[at[np.argsort(df[at], kind="stable")[:8]]] = True
-        weight = np.where((df <= most * n) | rare, np.maximum(weight, 1e-3), 0.0)
+        weight = np.where((df <= max(most * n, 5)) | rare, np.maximum(weight, 1e-3), 0.0)
         basis = latent_basis(docs, vocabulary, weight, items.matrix(weight), rank)
-        hits = _search(docs, items, vocabulary, weight, basis, cosine, sure, likely, answer)
+        hits = _search(docs, items, vocabulary, weight, basis, cosine, overlap, sure, likely, answer)
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, answer_share double")

@@ -15,6 +15,11 @@ def separation_deg(ra1, dec1, ra2, dec2) -> Column:
     return F.degrees(2 * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h))))
 
 
+def _unit(x: Column) -> Column:
+    """Rounding errors beyond -1 and 1 cut off; null stays null, which least and greatest would skip."""
+    return F.when(x > 1, 1.0).when(x < -1, -1.0).otherwise(x)
+
+
 def in_cone(ra, dec, ra0, dec0, radius_deg) -> Column:
     """A declination band, which reaches the scan's filters, and the exact test; null positions are outside."""
     ra, dec, ra0, dec0, r = (col(c) for c in (ra, dec, ra0, dec0, radius_deg))
@@ -32,7 +37,7 @@ def galactic_to_icrs(lon, lat) -> tuple[Column, Column]:
     b, dl = F.radians(col(lat)), F.radians(F.lit(node) - col(lon))
     sin_d, cos_d = F.sin(F.radians(F.lit(pole_dec))), F.cos(F.radians(F.lit(pole_dec)))
     s = sin_d * F.sin(b) + cos_d * F.cos(b) * F.cos(dl)
-    dec = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))))
+    dec = F.degrees(F.asin(_unit(s)))
     ra = F.lit(pole_ra) + F.degrees(F.atan2(F.cos(b) * F.sin(dl), cos_d * F.sin(b) - sin_d * F.cos(b) * F.cos(dl)))
     return F.pmod(ra, F.lit(360.0)), dec
 
@@ -62,7 +67,7 @@ def from_cartesian(x, y, z) -> tuple[Column, Column, Column]:
     x, y, z = col(x), col(y), col(z)
     r = F.sqrt(x * x + y * y + z * z)
     r = F.when(r > 0, r)
-    return F.when(r > 0, F.pmod(F.degrees(F.atan2(z, x)) + 360.0, F.lit(360.0))), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / r)))) + 0 * r, r
+    return F.when(r > 0, F.pmod(F.degrees(F.atan2(z, x)) + 360.0, F.lit(360.0))), F.degrees(F.asin(_unit(y / r))), r
 
 
 def sexagesimal(ra, dec) -> tuple[Column, Column]:

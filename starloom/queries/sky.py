@@ -196,10 +196,11 @@ def cross_register(spark, sf_dir):
     return crossmatch.cross_register(gaia, authority, 100.0).select("source_id", "validated", "main_id")
 
 
-@query("dust_grid", f"{W}, g AS (SELECT floor(ra / 10) AS i, floor(dec / 10) AS j, avg(ruwe) / 10 AS ebv FROM stars WHERE ruwe > 2.5 GROUP BY 1, 2) SELECT source_id, round(coalesce(g.ebv, 0.05), 4) AS ebv, round(phot_g_mean_mag - 0.86 * 3.1 * coalesce(g.ebv, 0.05), 3) AS g_corrected FROM stars LEFT JOIN g ON floor(ra / 10) = i AND floor(dec / 10) = j")
+@query("dust_grid", f"{W}, g AS (SELECT floor(ra / 10) AS i, floor(dec / 10) AS j, max(ruwe) / 10 AS ebv FROM stars WHERE ruwe > 2.5 GROUP BY 1, 2) SELECT source_id, round(coalesce(g.ebv, 0.05), 4) AS ebv, round(phot_g_mean_mag - 0.86 * (3.1 * coalesce(g.ebv, 0.05)), 3) AS g_corrected FROM stars LEFT JOIN g ON floor(ra / 10) = i AND floor(dec / 10) = j")
 def dust_grid(spark, sf_dir):
     s = stars(spark, sf_dir)
-    grid = s.where("ruwe > 2.5").select("ra", "dec", (F.col("ruwe") / 10).alias("ebv"))
+    cell = [F.floor(F.col(c) / 10).alias(c) for c in ("ra", "dec")]
+    grid = s.where("ruwe > 2.5").groupBy(*cell).agg((F.max("ruwe") / 10).alias("ebv")).select(F.col("ra") * 10, F.col("dec") * 10, "ebv").toDF("ra", "dec", "ebv")
     return crossmatch.with_ebv(s, grid, 10.0).select("source_id", F.round("ebv", 4).alias("ebv"), stellar.deredden("ebv")["g_corrected"].alias("g_corrected"))
 
 

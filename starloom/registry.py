@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from starloom.queries import sky
+from starloom.queries import catalog, sky, streams
 
-QUERIES: dict = {**sky.QUERIES}
-ORACLES: dict = {**sky.ORACLES}
+QUERIES: dict = {**sky.QUERIES, **catalog.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**sky.ORACLES, **catalog.ORACLES, **streams.ORACLES}
 FLAGSHIP = "discovery_ranking"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm import shingles
+from starloom.llm import shingles, workers
 from starloom.plans.durable import durable
 
 #: Words of a passage are two strides; passages begin every stride.
@@ -51,6 +51,7 @@ class Items:
 
 def _passage_words(texts: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple]:
     """Per slice of texts: (first text, word hashes, owner, place in its text, vocabulary index or -1)."""
+    workers.enter("decontam")
     data, offsets = shingles.text_bytes(texts)
     for lo, hi in shingles.slices(offsets):
         h, owner = shingles.word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], shingles.PUNCTUATION)

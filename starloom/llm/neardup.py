@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm import shingles
+from starloom.llm import shingles, workers
 from starloom.llm.components import connected_components
 from starloom.plans.durable import durable
 
@@ -43,15 +43,10 @@ def sketches(docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
     """(doc_id, n, print, sketch): set size, a fingerprint of the whole set, and its k smallest hashes."""
 
     def make(batches):
-        for batch in batches:
-            n, prints, kept, lengths = [], [], [], [0]
-            for values in shingles.shingle_sets(batch.column(1), width):
-                n.append(len(values))
-                prints.append(shingles.fingerprint(values))
-                kept.append(values[:k].view(np.int64))
-                lengths.append(lengths[-1] + len(kept[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n", "print", "sketch"])
+        for ids, sets in _sets(batches, width):
+            n = pa.array(map(len, sets), pa.int64())
+            prints = pa.array(map(shingles.fingerprint, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, n, prints, _lists([v[:k] for v in sets])], ["doc_id", "n", "print", "sketch"])
 
     return _texts(docs).mapInArrow(make, "doc_id long, n long, print binary, sketch array<long>")
 
@@ -60,15 +55,26 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, values): every hash of each document's set."""
 
     def make(batches):
-        for batch in batches:
-            sets = [v.view(np.int64) for v in shingles.shingle_sets(batch.column(1), width)]
-            lengths = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "values"])
+        for ids, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["doc_id", "values"])
 
     return _texts(docs).mapInArrow(make, "doc_id long, values array<long>")
 
 
+def _sets(batches, width: int):
+    """(ids, shingle sets) of a few hundred documents at a time."""
+    workers.enter("neardup")
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            yield part.column(0), list(shingles.shingle_sets(part.column(1), width))
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 

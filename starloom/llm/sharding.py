@@ -55,10 +55,11 @@ def curve_order(docs: DataFrame, dimensions: list[str], bits: int = 6) -> DataFr
     keys = {f"_k{i}": sort_key(docs, d) for i, d in enumerate(dimensions)}
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = docs.select(*(k.alias(a) for a, k in keys.items())).agg(*(F.percentile_approx(a, shares, 10_000).alias(a) for a in keys)).first()
-    steps = []
-    for a, k in keys.items():
-        at = F.lit([float(c) for c in cuts[a]]) if cuts[a] else F.lit([float("inf")])
-        steps.append(F.size(F.filter(at, lambda c, k=k: c < k)))
+
+    def step(value, at: list[float] | None):
+        return F.size(F.filter(F.lit([float(c) for c in at or [float("inf")]]), lambda c: c < value))
+
+    steps = [step(k, cuts[a]) for a, k in keys.items()]
 
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:

@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,10 +175,10 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     and is combined before the shuffle: a host of any size is a few sums per token, never a list of pages.
     """
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found: dict[tuple, list] = {}
-            for host, page_id, page in zip(part["host"], part["page_id"], part["html"], strict=True):
+            for host, page_id, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 runs, seen = runs_of(page)
                 tokens: dict[str, list] = {}
                 for p, (opened, closed) in seen.items():
@@ -201,9 +200,11 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                     row[1] += n
                     row[2] ^= _hash(page_id, n)
                     row[3] += size
-            yield pd.DataFrame([(h, t, *row) for (h, t), row in found.items()], columns=["host", "token", "pages", "occurrences", "vector", "size"])
+            hosts, tokens = (pa.array([k[i] for k in found], pa.string()) for i in range(2))
+            numbers = [pa.array([row[i] for row in found.values()], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([hosts, tokens, *numbers], ["host", "token", "pages", "occurrences", "vector", "size"])
 
-    counts = pages.select("host", "page_id", "html").mapInPandas(count, "host string, token string, pages long, occurrences long, vector long, size long")
+    counts = pages.select("host", "page_id", "html").mapInArrow(count, "host string, token string, pages long, occurrences long, vector long, size long")
     return counts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"), F.sum("size").alias("size"))
 
 

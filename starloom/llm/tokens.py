@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm import files
+from starloom.llm import files, workers
 from starloom.plans.durable import new_path
 
 MAGIC = b"TOKSHRD1"
@@ -189,6 +189,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: i
     def write(batches):
         from pyspark import TaskContext
 
+        workers.enter("tokens")
+        workers.holds("tokens", _encoder.cache_clear)
         encoder = _encoder(tokenizer_path, width)
         end = np.asarray([end_id], encoder.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, digest), write_content_size=True)

@@ -8,14 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm import workers
 from starloom.plans.durable import durable
 
 _WORD = re.compile(r"\w+")
 #: Words remembered by a scoring worker before it starts afresh.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -52,17 +54,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int, unlabell
 def select_features(sample: DataFrame, size: int, least: int) -> list[str]:
     """The ``size`` features most over-represented in positives, of those in ``least`` positives or more."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             found = {True: Counter(), False: Counter()}
-            for text, positive in zip(part["text"], part["positive"], strict=True):
-                found[bool(positive)].update({f for w in distinct_words(text) for f in features(w)})
+            for text, positive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[positive].update({f for w in distinct_words(text) for f in features(w)})
             names = list(found[True] | found[False])
-            yield pd.DataFrame({"feature": names, "p": [found[True][f] for f in names], "u": [found[False][f] for f in names]})
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([found[x][f] for f in names], pa.int64()) for x in (True, False))], ["feature", "p", "u"])
 
     total = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = total.get(True, 0), total.get(False, 0)
-    counts = sample.mapInPandas(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = sample.select("text", "positive").mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     lift = F.log((F.col("p") + 0.5) / (n_p + 1.0)) - F.log((F.col("u") + 0.5) / (n_u + 1.0))
     best = counts.where((F.col("p") >= least) & (lift > 0.5)).withColumn("z", lift * F.sqrt("p")).orderBy(F.desc("z"), "feature").limit(size)
     return sorted(r.feature for r in best.collect())
@@ -107,11 +109,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     names = select_features(sample, size, least)
     at = {f: i for i, f in enumerate(names)}
 
-    def sparse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"positive": part["positive"], "x": [sorted(at[f] for w in distinct_words(t) for f in features(w) if f in at) for t in part["text"]]})
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [sorted(at[f] for w in distinct_words(t) for f in features(w) if f in at) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.int32()))], ["positive", "x"])
 
-    rows = sample.mapInPandas(sparse, "positive boolean, x array<int>").collect() if names else []  # of the bounded sample
+    rows = sample.select("text", "positive").mapInArrow(sparse, "positive boolean, x array<int>").collect() if names else []  # of the bounded sample
     if not rows:
         return {}, float(np.log(prior / (1 - prior)))
     w = fit_nnpu([np.asarray(r.x, np.int64) for r in rows], np.array([r.positive for r in rows]), len(names), prior)
@@ -123,6 +126,7 @@ def scorer(weights: dict[str, float], intercept: float):
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        workers.enter("toxicity")
         find, get, known = _WORD.findall, weights.get, {}
         for texts in parts:
             z = np.full(len(texts), intercept)

@@ -26,16 +26,18 @@ def test_names_and_entry():
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_pipeline_stages_take_effect(spark, sf_dir):
+def test_pipeline_stages_take_effect(spark):
     """Each stage against its rule, on what its predecessor kept."""
+    sf_dir = "/root/testdata/sf0.01"
     docs = table(spark, sf_dir, "documents")
     columns, toxic = docs.columns, {r.doc_id: r.toxic for r in table(spark, sf_dir, "labels").collect()}
     stages = dict(corpus_pipeline.STAGES)
     step = stages["toxicity"](spark, docs, sf_dir).cache()
     left = {r.doc_id for r in step.collect()}
     gone = {r.doc_id for r in docs.collect()} - left
-    # Seven toxic examples to learn from here: few are found, but no clean document may go.
-    assert step.columns == columns and sum(toxic.get(i, 0) for i in gone) >= 3 and not any(toxic.get(i) == 0 for i in gone)
+    # Some thirty toxic examples to learn from here.
+    assert step.columns == columns and sum(toxic.get(i, 0) for i in gone) >= 0.7 * sum(toxic.values())
+    assert sum(toxic.get(i) == 0 for i in gone) <= 0.03 * len(toxic)
     kept = stages["MinHash near-dedup"](spark, step, sf_dir).cache()
     from test_documents_ops import brute_components
 

@@ -56,6 +56,17 @@ def angular_size_pc(radius_deg, parallax="parallax") -> Column:
     return F.when(p > 0, F.radians(col(radius_deg)) * 1000.0 / p)
 
 
+def population5(colour: Column, m_g: Column) -> Column:
+    """Five coarse classes; the first that fits."""
+    return (
+        F.when((m_g < 3) & (colour < 0.8), "Main Sequence (O/B/A)")
+        .when((m_g < 1) & (colour > 1.2), "Giant Branch")
+        .when(m_g > 10, "White Dwarf Candidate")
+        .when(colour > 2.5, "M-Dwarf / Low Mass")
+        .when(m_g.isNotNull() & colour.isNotNull(), "Main Sequence")
+    )
+
+
 def population14(colour: Column, m_g: Column) -> Column:
     """Fourteen classes by colour band and absolute magnitude; Unknown where either is missing."""
     blue = bands(m_g, [(2, "Blue Supergiant"), (5, "Blue Straggler")], "Hot Subdwarf")

@@ -53,6 +53,34 @@ def validate_with_literature(stars: DataFrame, edges: DataFrame, papers: DataFra
     return ids.select("source_id").join(mean, "source_id", "left").withColumn("validated", F.col("papers").isNotNull())
 
 
+def discovery_audit(stars: DataFrame, authority: DataFrame, ra: float, dec: float, radius: float, threshold: float = 10.0, arcsec: float = 5.0) -> DataFrame:
+    """Cone candidates above a score, each Verified by an authority table (main_id, ra, dec, otype) or New."""
+    from starloom.functions.sky import in_cone
+    from starloom.operators.cone import score_cone
+    from starloom.operators.crossmatch import cross_register
+
+    high = score_cone(stars.where(in_cone("ra", "dec", ra, dec, radius))).where(F.col("discovery_score") > threshold)
+    return cross_register(high, authority, arcsec).withColumn("status", F.when(F.col("validated"), "Verified").otherwise("New"))
+
+
+def link_papers_clusters_semantic(vectors: DataFrame, region_vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(cluster, arxiv_id, score): the ``k`` papers nearest to each region's vector (name, query)."""
+    hits = vector_topk(vectors, region_vectors.select(F.col("name").alias("query_id"), "query"), k)
+    return hits.select(F.col("query_id").alias("cluster"), F.col("id").alias("arxiv_id"), "score")
+
+
+def resolve_entities(papers: DataFrame, stars: DataFrame, authority: DataFrame, arcsec: float = 5.0) -> DataFrame:
+    """(arxiv_id, source_id): Gaia ids as they are, other names by their position; clusters are no stars."""
+    from starloom.functions.text import CLUSTERS, catalog_ids, gaia_ids_near, star_names
+    from starloom.operators.crossmatch import resolve_names
+
+    ids = papers.select("arxiv_id", F.explode(gaia_ids_near("abstract")).alias("source_id"))
+    known = [r["name"] for r in authority.select("name").distinct().limit(1000).collect()]  # a name table, matched by pattern
+    named = papers.select("arxiv_id", F.explode(F.array_union(catalog_ids("abstract"), star_names("abstract", known))).alias("name")).withColumn("name", F.lower("name")).where(~F.col("name").isin(list(CLUSTERS)))
+    found = named.join(resolve_names(named, stars, authority, arcsec), "name").select("arxiv_id", "source_id")
+    return ids.union(found).distinct()
+
+
 def fuse_results(star_hits: DataFrame, paper_hits: DataFrame) -> DataFrame:
     """(query, rank, item): star ids, then paper:<id>, repeats left out, in order."""
     both = star_hits.select("query", F.lit(0).alias("part"), "rank", F.col("source_id").alias("item")).union(paper_hits.select("query", F.lit(1), "rank", F.concat(F.lit("paper:"), F.col("arxiv_id"))))

@@ -431,3 +431,61 @@ def volume_cone(spark, sf_dir):
     return aggregates.count_in_cone(stars(spark, sf_dir), 130.05, 19.52, 2.5)
 
 
+
+
+_POP5 = "CASE WHEN m < 3 AND c < 0.8 THEN 'Main Sequence (O/B/A)' WHEN m < 1 AND c > 1.2 THEN 'Giant Branch' WHEN m > 10 THEN 'White Dwarf Candidate' WHEN c > 2.5 THEN 'M-Dwarf / Low Mass' WHEN m IS NOT NULL AND c IS NOT NULL THEN 'Main Sequence' END"
+
+
+@query("stellar_analysis", f"{_CM} SELECT source_id, round(m, 2) + 0.0 AS abs_mag, CASE WHEN parallax > 0 THEN round(sqrt(pow(0.01, 2) + pow(5 / ln(10) * coalesce(parallax_error, 0.01) / parallax, 2)), 3) END AS abs_mag_error, round(c, 6) + 0.0 AS bp_rp, {_POP5} AS population FROM q")
+def stellar_analysis(spark, sf_dir):
+    colour, m_g = stellar.bp_rp(), stellar.absolute_mag()
+    return stars(spark, sf_dir).select("source_id", (F.round(m_g, 2) + 0.0).alias("abs_mag"), stellar.absolute_mag_error(0.01, "parallax", "parallax_error").alias("abs_mag_error"), (F.round(colour, 6) + 0.0).alias("bp_rp"), stellar.population5(colour, m_g).alias("population"))
+
+
+_DISTANCE_SQL = f"{W} SELECT source_id, round({sep('ra', 'dec', '83.82', '-5.39')}, 6) AS sep_deg, round({M_G}, 6) AS abs_mag FROM stars WHERE ra IS NOT NULL AND {sep('ra', 'dec', '83.82', '-5.39')} <= 12"
+
+
+@query("sql_functions", _DISTANCE_SQL)
+def sql_functions(spark, sf_dir):
+    from starloom.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    return spark.sql("SELECT source_id, round(sky_sep(ra, dec, 83.82D, -5.39D), 6) AS sep_deg, round(absolute_mag(phot_g_mean_mag, parallax), 6) AS abs_mag FROM {s} WHERE in_cone(ra, dec, 83.82D, -5.39D, 12D)", s=stars(spark, sf_dir))
+
+
+@query("out_of_coverage", "SELECT round(avg(CASE WHEN o_custkey % 360 < 100 - 2 OR o_custkey % 360 > 200 + 2 OR o_custkey % 90 < 10 - 2 OR o_custkey % 90 > 40 + 2 THEN 1.0 ELSE 0.0 END), 6) AS outside FROM orders")
+def out_of_coverage(spark, sf_dir):
+    from starloom.operators.cone import out_of_coverage as test
+
+    asked = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 360).cast("double").alias("ra"), (F.col("o_custkey") % 90).cast("double").alias("dec"))
+    box = spark.createDataFrame([(100.0, 200.0, 10.0, 40.0)], "min_ra double, max_ra double, min_dec double, max_dec double")
+    return test(asked, box).agg(F.round(F.avg(F.when(F.col("out"), 1.0).otherwise(0.0)), 6).alias("outside"))
+
+
+def _authority(spark, sf_dir):
+    return stars(spark, sf_dir).where("catalog_source IN ('WISE', '2MASS')").select(F.col("source_id").alias("main_id"), "ra", "dec", F.col("object_class").alias("otype"))
+
+
+@query("catalog_comparison")
+def catalog_comparison(spark, sf_dir):
+    return aggregates.catalog_comparison(crossmatch.cross_register(stars(spark, sf_dir), _authority(spark, sf_dir), 100.0))
+
+
+@query("discovery_audit")
+def discovery_audit(spark, sf_dir):
+    return hybrid.discovery_audit(stars(spark, sf_dir), _authority(spark, sf_dir), 66.75, 15.87, 10.0, arcsec=100.0).select("source_id", "discovery_score", "status")
+
+
+@query("semantic_cluster_links")
+def semantic_cluster_links(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    names = v.where("id < 5").select(F.concat(F.lit("region "), F.col("id").cast("string")).alias("name"), F.col("vector").alias("query"))
+    return hybrid.link_papers_clusters_semantic(v, names)
+
+
+@query("resolve_entities")
+def resolve_entities(spark, sf_dir):
+    s = stars(spark, sf_dir)
+    authority = s.where("source_id LIKE '%7'").orderBy("source_id").limit(3).select("ra", "dec", "source_id")
+    named = authority.withColumn("name", F.element_at(F.array(F.lit("sirius"), F.lit("hd 48915"), F.lit("hip 32349")), (F.col("source_id").substr(-2, 1).cast("int") % 3 + 1)))
+    return hybrid.resolve_entities(papers(spark, sf_dir), s, named.select("name", "ra", "dec"))

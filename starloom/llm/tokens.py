@@ -196,13 +196,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: i
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, digest), write_content_size=True)
         part, uri, out, at, entries = TaskContext.get().partitionId(), None, None, HEAD, []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            if out is None and ids:
+            if out is None and batch.num_rows:
                 uri, out = files.create(folder, f"shard-{part:06d}", ".tok")
                 out.write(MAGIC + bytes.fromhex(digest) + bytes([width]))
-            for lo in range(0, len(ids), 256):
+            for lo in range(0, batch.num_rows, 256):
+                ids, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
                 frames = []
-                for doc_id, raw in zip(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), strict=True):
+                for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
                     raw += end
                     frames.append(packer.compress(raw))
                     entries.append((doc_id is not None, doc_id or 0, at, len(frames[-1]), len(raw) // width))

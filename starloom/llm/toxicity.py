@@ -7,7 +7,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,23 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
 def scorer(weights: dict[str, float], intercept: float):
     """A Column function: the probability that a whole text is toxic."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         workers.enter("toxicity")
         find, get, known = _WORD.findall, weights.get, {}
         for texts in parts:
             z = np.full(len(texts), intercept)
             if len(known) > MEMO:
                 known.clear()
-            for i, text in enumerate(texts):
-                if text:
-                    total = 0.0
-                    for word in set(find(text.lower())):
-                        if (g := known.get(word)) is None:
-                            g = known[word] = sum(get(f, 0.0) for f in features(word))
-                        total += g
-                    z[i] += total
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            for lo in range(0, len(texts), 256):
+                for i, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
+                    if text:
+                        total = 0.0
+                        for word in set(find(text.lower())):
+                            if (g := known.get(word)) is None:
+                                g = known[word] = sum(get(f, 0.0) for f in features(word))
+                            total += g
+                        z[i] += total
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
 
     return score
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,9 +16,9 @@ def holds(name: str, release: Callable[[], None]) -> None:
 
 
 def enter(name: str) -> None:
-    """A task of an operator begins: what other operators have kept in this worker is let go."""
-    others = [k for k in _held if k != name]
-    for k in others:
+    """A task of an operator begins: what other operators have kept in this worker, and free memory, goes back to the system."""
+    for k in [k for k in _held if k != name]:
         _held.pop(k)()
-    if others:
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

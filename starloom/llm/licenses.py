@@ -94,13 +94,6 @@ def judge(block: str, templates: tuple, least_reduction: float, most_difference:
     return best
 
 
-def blocks_of(text: str, term) -> list[tuple[int, str]]:
-    """(line number, block): candidate lines, and runs of adjacent candidate lines that only together are a notice."""
-    lines = text.split("\n")
-    at = [i for i, line in enumerate(lines) if term(line)]
-    return [(i, lines[i]) for i in at]
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_reduction: float = 0.3, most_difference: float = 0.15, ranked: int = 4) -> DataFrame:
     """One row per confirmed license notice: doc_id, block_no, block, license, reduction, difference, missing, extra, wording.
 
@@ -111,16 +104,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     is compressed as it is; an empty table gives no row; other columns are ignored.
     """
     fixed = tuple((k, tuple(v)) for k, v in sorted(templates.items()))
-    pattern = TERMS
     schema = "doc_id long, block_no long, block string, license string, reduction double, difference double, missing array<string>, extra array<string>, wording string"
 
+    text = pa.string()
+    out = pa.schema([("doc_id", pa.int64()), ("block_no", pa.int64()), ("block", text), ("license", text), ("reduction", pa.float64()), ("difference", pa.float64()), ("missing", pa.list_(text)), ("extra", pa.list_(text)), ("wording", text)])
+
     def scan(batches):
-        term = re.compile(pattern).search
+        term = re.compile(TERMS).search
         for batch in batches:
             found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = text.split("\n")
-                taken = -1
+                lines, taken = text.split("\n"), -1
                 for i, line in enumerate(lines):
                     if i <= taken or not term(line):
                         continue
@@ -134,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                             taken = i + n - 1
                             break
             if found:
-                yield pa.RecordBatch.from_pylist(found)
+                yield pa.RecordBatch.from_pylist(found, schema=out)
 
     candidates = docs.where(F.col("text").rlike(TERMS)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return candidates.mapInArrow(scan, schema)

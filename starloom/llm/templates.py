@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm import workers
 from starloom.plans.durable import durable
 
 # Names from the HTML standard, and words that sites use for what surrounds an article.
@@ -97,7 +98,7 @@ def runs_of(page: str) -> tuple[list[tuple], dict[str, list[int]]]:
             seen[at][1] += 1
         path, outside = next(((p, o) for _, p, o in reversed(stack)), ("", False))
 
-    at, n, raw = 0, len(page), None
+    at, n = 0, len(page)
     for m in _TAG.finditer(page):
         start = m.start()
         if start < at:
@@ -176,6 +177,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("templates")
         for batch in batches:
             found: dict[tuple, list] = {}
             for host, page_id, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     are ignored.
     """
     similarity = percent / 100
-    made = durable(sketches(docs, width, k), "sketches")
+    with workers.small_batches(docs.sparkSession):
+        made = durable(sketches(docs, width, k), "sketches")
     classes = durable(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id")), "classes")
     member = made.select("doc_id", "n", "print")
     reps = durable(made.join(classes, (made["print"] == classes["print"]) & (made["doc_id"] == classes["id"])).select("id", "n", "sketch"), "representatives")

@@ -217,7 +217,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: i
 
     schema = "part long, path string, n_docs long, n_tokens long"
     # One row per shard reaches the driver, whatever the number of documents.
-    shards = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(write, schema).collect()
+    with workers.small_batches(spark):
+        shards = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(write, schema).collect()
     return sorted(tuple(r) for r in shards), (dictionary, digest)
 
 

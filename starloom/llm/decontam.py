@@ -2,8 +2,9 @@
 
 Passages of all documents and the benchmark items are TF-IDF vectors over the benchmark's words. A
 randomised SVD, whose products with the corpus are computed by tasks and summed in a tree, gives a
-latent space in which passages near an item are candidates; the longest common subsequence of
-words, and for paraphrases the item's answer, decide.
+latent space in which passages near an item are candidates. So is every stride with one of those words
+of an item of which no copy can lack all (``telling_words``), whatever else stands beside them. The longest
+common subsequence of words, and for paraphrases the item's answer, decide.
 """
 
 from __future__ import annotations
@@ -160,7 +161,40 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
     return length - row.bit_count()
 
 
-def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float) -> DataFrame:
+def _rarest(places: dict[int, int], df: np.ndarray, missing: float) -> list[int]:
+    """The rarest vocabulary words of ``places`` (times that each stands there), so many that more than a share ``missing`` of all places are theirs."""
+    need = math.floor(missing * sum(places.values()) + 1e-6) + 1
+    out, held = [], 0
+    for t in sorted(places, key=lambda t: (df[t], t)):
+        if held >= need:
+            break
+        out.append(t)
+        held += places[t]
+    return out
+
+
+def telling_words(items: Items, answers: list[set], df: np.ndarray, sure: float, likely: float, answer: float) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets by vocabulary word, items): the items of which a word tells.
+
+    What has ``sure`` of an item's words lacks 1 - ``sure`` of its places at most, so it has one of any words
+    with more places than that; the rarest are taken. Paraphrases have one of the answer's words by the
+    same count, or, where an answer of its own need not stand in the item, one of 1 - ``likely`` of the places.
+    """
+    told: list[list[int]] = [[] for _ in df]
+    for k, w in enumerate(items.words):
+        at, n = np.unique(np.searchsorted(items.vocabulary, w), return_counts=True)
+        places = dict(zip(at.tolist(), n.tolist(), strict=True))
+        if len(items.told[k]):
+            tells = set(_rarest(places, df, 1 - min(sure, likely)))
+        else:
+            key = np.searchsorted(items.vocabulary, np.array(sorted(answers[k]), np.uint64)).tolist()
+            tells = {*_rarest(places, df, 1 - sure), *_rarest(dict.fromkeys(key, 1), df, 1 - answer)}
+        for t in tells:
+            told[t].append(k)
+    return np.concatenate([[0], np.cumsum([len(x) for x in told])]), np.array([k for x in told for k in x], np.int64)
+
+
+def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
     # A passage's cosine with an item, both as long as they are outside the latent space, over the item's own.
     targets = items.matrix(weight) @ basis
@@ -179,18 +213,32 @@ def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis
         rare = sorted(mask, key=lambda x: -weight[np.searchsorted(items.vocabulary, np.uint64(x))])
         answers.append(set(told.tolist()) or set(rare[:5]))
     lengths = [len(w) for w in items.words]
-    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids, pairs, asked))
+    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids, pairs, asked, *telling_words(items, answers, df, sure, likely, answer)))
     used = weight > 0
     unknown = float(np.median(weight[used])) ** 2  # what a word that no item has adds to a passage's squared length
 
     def find(batches):
         workers.enter("decontam")
         v = vocabulary.value
-        project, wanted, masks, lengths, answers, names, pairs, asked = shared.value
+        project, wanted, masks, lengths, answers, names, pairs, asked, tells, told_of = shared.value
         step = max(1, 2_000_000 // max(1, wanted.shape[1]))
         for batch in batches:
             ids = batch.column(0)
             best: dict[tuple, tuple] = {}
+
+            def decide(lo: int, h: np.ndarray, owner: np.ndarray, start: int, back: int, k: int, near: float, best=best) -> None:
+                n, doc = lengths[k], int(owner[start])
+                begin, end = max(start - n, start - back), start + 2 * STRIDE + n
+                region = h[begin:end][owner[begin:end] == doc].tolist()
+                common = common_subsequence(masks[k], n, region)
+                if common < likely * n:
+                    return
+                seen = set(region)
+                told = sum(x in seen for x in answers[k]) / len(answers[k])
+                if common >= sure * n or told >= answer:
+                    key, value = (lo + doc, k), (common, told, near)
+                    best[key] = max(best.get(key, value), value)
+
             for lo, h, owner, place, at in _passage_words(batch.column(1), v):
                 stride, firsts = _strides(owner, place)
                 known = (at >= 0) & used[at]
@@ -220,20 +268,21 @@ def _search(docs: DataFrame, items: Items, vocabulary, weight: np.ndarray, basis
                     held = inside & (pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key)
                     enough = (held * squares[np.maximum(at[spot], 0)]).sum(axis=1) >= asked[which]
                     for r, k in zip(found[enough].tolist(), which[enough].tolist(), strict=True):
-                        p = int(part[r])
-                        doc, n = int(owner[firsts[p]]), lengths[k]
-                        start = int(firsts[p])
-                        begin = max(start - n, start - int(place[start]))
-                        region = h[begin : start + 2 * STRIDE + n]
-                        region = region[owner[begin : start + 2 * STRIDE + n] == doc].tolist()
-                        common = common_subsequence(masks[k], n, region)
-                        if common < likely * n:
-                            continue
-                        seen = set(region)
-                        told = sum(x in seen for x in answers[k]) / len(answers[k])
-                        if common >= sure * n or told >= answer:
-                            key, value = (lo + doc, k), (common, told, float(near[r, k]))
-                            best[key] = max(best.get(key, value), value)
+                        start = int(firsts[part[r]])
+                        decide(lo, h, owner, start, int(place[start]), k, float(near[r, k]))
+                # Strides with a telling word, near or not; a copy that is found whole is not looked at again.
+                spot = np.flatnonzero(at >= 0)
+                many = tells[at[spot] + 1] - tells[at[spot]]
+                spot, many = spot[many > 0], many[many > 0]
+                if not len(spot):
+                    continue
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                which = told_of[np.repeat(tells[at[spot]], many) + within]
+                for x in np.unique(np.repeat(stride[spot], many) * len(lengths) + which).tolist():
+                    p, k = divmod(x, len(lengths))
+                    start = int(firsts[p])
+                    if best.get((lo + int(owner[start]), k), (0, 0.0))[:2] != (lengths[k], 1.0):
+                        decide(lo, h, owner, start, int(place[start]), k, float(passage[p] @ wanted[:, k] / max(size[p], 1e-12)))
             if best:
                 yield pa.RecordBatch.from_pylist(
                     [{"doc_id": ids[d].as_py(), "item_id": names[k], "cosine": min(1.0, c), "lcs_words": n, "lcs_share": n / lengths[k], "answer_share": t} for (d, k), (n, t, c) in best.items()], schema=out
@@ -261,7 +310,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
     """(doc_id, item_id, cosine, lcs_words, lcs_share, answer_share): items found in documents.
 
     A passage at ``cosine`` or more of an item in latent space is held against it in full: it must hold
-    ``overlap`` of the item's squared weight, or of the part that fits a passage; then word by word: the item
+    ``overlap`` of the item's squared weight, or of the part that fits a passage. A passage whose first stride
+    holds one of an item's telling words needs neither, so copies of any length, in any surroundings and any number,
+    are looked at. Then word by word: the item
     is there if the longest common subsequence with the passage's surroundings has ``sure`` of its
     words, or ``likely`` of them and ``answer`` of its answer's words (the item's answer column if there is
     one, else its five rarest words). Words in more than ``most`` of all passages weigh nothing, but for the
@@ -284,7 +335,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
             rare[at[np.argsort(df[at], kind="stable")[:8]]] = True
         weight = np.where((df <= max(most * n, 5)) | rare, np.maximum(weight, 1e-3), 0.0)
         basis = latent_basis(docs, vocabulary, weight, items.matrix(weight), rank)
-        hits = _search(docs, items, vocabulary, weight, basis, cosine, overlap, sure, likely, answer)
+        hits = _search(docs, items, vocabulary, df, weight, basis, cosine, overlap, sure, likely, answer)
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, answer_share double")

@@ -124,6 +124,26 @@ def test_paraphrases_need_their_answer(spark, documents):
     assert {x.doc_id for x in decontam.contaminated(documents(rows), other).collect()} == {102}
 
 
+def test_items_of_any_length_and_number_of_copies_are_found(spark, documents):
+    r = random.Random(11)
+    foreign = ["".join(r.choice("nopqrstuvw") for _ in range(r.randint(3, 7))) for _ in range(3000)]
+    pool = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 7))) for _ in range(3000)]
+    shared = pool[:40]  # words of many items, and of the documents
+    hot, long, short = prose(r, 18, pool[100:400]), prose(r, 300, pool[400:900]), prose(r, 5, pool[900:])
+    others = [(10 + i, prose(r, 30, shared)) for i in range(20)]
+    rows, want = [], set()
+    for i in range(300):
+        text = [prose(r, r.randint(20, 90), foreign), prose(r, 10, shared), prose(r, r.randint(20, 90), foreign)]
+        for item, one, here in ((1, hot, i % 3 == 0), (2, long, i % 50 == 7), (3, short, i % 5 == 1)):
+            if here:
+                text.insert(r.randrange(len(text) + 1), one)
+                want.add((i, item))
+        rows.append((i, " ".join(text)))
+    bench = spark.createDataFrame([(1, hot), (2, long), (3, short), *others], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(documents(rows), bench).collect()}
+    assert want <= got and {x for x in got if x[1] <= 3} == want
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(200):

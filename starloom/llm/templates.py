@@ -39,6 +39,8 @@ LEAST_TOKENS = 3
 SUPPORT = 0.6
 #: Share of the varying text outside surroundings that the article's slot holds.
 BULK = 0.7
+#: Most contents with copies that are broadcast to leave the copies out; beyond it a shuffle.
+BROADCAST_COPIES = 100_000
 #: Most hosts whose templates (a few hundred bytes each) are broadcast; beyond it a shuffled join.
 BROADCAST_HOSTS = 20_000
 
@@ -172,7 +174,7 @@ def _hash(*parts) -> int:
 def token_vectors(pages: DataFrame) -> DataFrame:
     """One row per (host, token): pages it is on, occurrences, fingerprint of its occurrence vector, text inside.
 
-    The fingerprint is the exclusive or of a hash of (page, count) over pages, so it needs no order
+    The fingerprint is the exclusive or of a hash of (content, count) over pages, so it needs no order
     and is combined before the shuffle: a host of any size is a few sums per token, never a list of pages.
     """
 
@@ -180,8 +182,9 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         workers.enter("templates")
         for batch in batches:
             found: dict[tuple, list] = {}
-            for host, page_id, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for host, page in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 runs, seen = runs_of(page)
+                key = _hash(page)
                 tokens: dict[str, list] = {}
                 for p, (opened, closed) in seen.items():
                     tokens[f"<{p}"] = [opened, 0, 0]
@@ -200,24 +203,40 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                     row = found.setdefault((host, token), [0, 0, 0, 0])
                     row[0] += 1
                     row[1] += n
-                    row[2] ^= _hash(page_id, n)
+                    row[2] ^= _hash(key, n)
                     row[3] += size
             hosts, tokens = (pa.array([k[i] for k in found], pa.string()) for i in range(2))
             numbers = [pa.array([row[i] for row in found.values()], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([hosts, tokens, *numbers], ["host", "token", "pages", "occurrences", "vector", "size"])
 
-    counts = pages.select("host", "page_id", "html").mapInArrow(count, "host string, token string, pages long, occurrences long, vector long, size long")
+    counts = pages.select("host", "html").mapInArrow(count, "host string, token string, pages long, occurrences long, vector long, size long")
     return counts.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"), F.sum("size").alias("size"))
 
 
+def distinct_contents(pages: DataFrame) -> DataFrame:
+    """(host, html) of a host's pages, each content once: copies of a page say nothing about what its host's pages share."""
+    keyed = pages.select("host", "html", F.md5("html").alias("digest"))
+    copies = durable(keyed.groupBy("host", "digest").agg(F.count("*").alias("n")).where("n > 1").select("host", "digest"), "copies")
+    n = copies.count()
+    if n > BROADCAST_COPIES:
+        return keyed.dropDuplicates(["host", "digest"]).select("host", "html")
+    if n == 0:
+        return keyed.select("host", "html")
+    side = F.broadcast(copies)
+    single, repeated = keyed.join(side, ["host", "digest"], "left_anti"), keyed.join(side, ["host", "digest"], "left_semi")
+    return single.union(repeated.dropDuplicates(["host", "digest"]).select(single.columns)).select("host", "html")
+
+
 def host_templates(pages: DataFrame) -> DataFrame:
     """(host, article, fixed): the path of the article's slot, and the text runs that belong to the template.
 
     Classes are groups of a host's tokens with one vector. A class is valid if it has at least
     ``LEAST_TOKENS`` tokens on a share ``SUPPORT`` of the pages, once a page: then every one of its elements
     holds the same others on all pages, as paths name the elements around them. The innermost element of a
-    valid class with ``BULK`` of the text outside surroundings is the article's slot.
+    valid class with ``BULK`` of the text outside surroundings is the article's slot. Pages of equal html have
+    one vote.
     """
+    pages = distinct_contents(pages)
     vectors = durable(token_vectors(pages).where("pages >= 2"), "vectors")
     n_pages = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     frequent = vectors.join(n_pages, "host").where(F.col("pages") >= F.col("n") * SUPPORT)
@@ -235,14 +254,21 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, article: str | None, fixed: frozenset) -> str:
-    """The slot's text, block by block; pages without the slot give their article or main element, else all that is not outside."""
+    """The slot's text, block by block; pages without the slot give their article or main element, else all that is not outside.
+
+    Where the template's runs would be most of the slot, or all that a page has, they are its article and stay.
+    """
     runs, seen = runs_of(page)
     kept = [(p, t) for p, t, outside, _ in runs if not outside]
     where = article if article and article in seen else next((p for p in seen if re.search(r">(article|main)(\.[^>]*)?$", p)), None)
+    slot = []
     if where:
         slot = [(p, t) for p, t in kept if p == where or p.startswith(where + ">")]
         kept = slot or kept
-    return "\n".join(t for p, t in kept if not fixed or f"{p}\x1f{zlib.crc32(t.encode())}" not in fixed)
+    left = [t for p, t in kept if not fixed or f"{p}\x1f{zlib.crc32(t.encode())}" not in fixed]
+    if not left or (slot and 2 * sum(map(len, left)) < sum(len(t) for _, t in kept)):
+        left = [t for _, t in kept]
+    return "\n".join(left)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

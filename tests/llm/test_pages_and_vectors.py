@@ -46,6 +46,19 @@ def test_other_sites_and_their_fixed_words(spark):
     assert got == {i: t for i, (_, t) in enumerate(made)}
 
 
+def test_copies_of_one_article_keep_it(spark):
+    r = random.Random(5)
+    closing = "\nRead our fixed closing words every time."
+    one, text = site(0, r)
+    lone = [site(i, r) for i in range(1, 9)]
+    rows = [(i, "http://equal.example/", one) for i in range(8)]  # equal pages only
+    rows += [(100 + i, "http://copies.example/", one) for i in range(90)] + [(200 + i, "http://copies.example/", p) for i, (p, _) in enumerate(lone)]
+    rows += [(300 + i, "http://crawls.example/", one.replace("<footer>", f"<footer>seen {i} ")) for i in range(9)]  # all but a counter outside
+    got = {x.page_id: x.text for x in templates.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {got[i] for i in range(8)} == {got[300 + i] for i in range(9)} == {text + closing}
+    assert {got[100 + i] for i in range(90)} == {text} and [got[200 + i] for i in range(8)] == [t for _, t in lone]
+
+
 def test_equal_vectors_form_one_class(spark):
     r = random.Random(2)
     pages = spark.createDataFrame([(i, "http://a.example/", site(i, r)[0]) for i in range(12)], PAGES).withColumn("host", templates.host_of("url"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -72,11 +74,10 @@ def wording_difference(block: list[str], wording: list[str]) -> tuple[list[str],
     return missing, extra
 
 
-def judge(block: str, templates: tuple, least_reduction: float, most_difference: float, ranked: int, level: int = 19) -> dict | None:
+def judge(block: str, templates: tuple, least_reduction: float, most_difference: float, level: int = 19) -> dict | None:
     """The license of one block, or None.
 
-    Every wording is tried as raw dictionary; the ``ranked`` largest reductions are compared word by word,
-    in order, and the one with the least difference wins if that is small enough and touches no number.
+    Every wording is tried as raw dictionary; all with enough reduction are compared word by word, in order, and the one with the least difference wins if that is small enough and touches no number.
     """
     models, plain = _models(templates, level)
     raw = block.encode()
@@ -84,7 +85,7 @@ def judge(block: str, templates: tuple, least_reduction: float, most_difference:
     gains = sorted(((1 - len(c.compress(raw)) / alone, name, wording, w) for name, wording, w, c in models), key=lambda g: (-g[0], g[1], g[2]))
     best = None
     own = words(block)
-    for gain, name, wording, w in gains[:ranked]:
+    for gain, name, wording, w in gains:
         if gain < least_reduction:
             break
         missing, extra = wording_difference(own, w)
@@ -94,14 +95,68 @@ def judge(block: str, templates: tuple, least_reduction: float, most_difference:
     return best
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_reduction: float = 0.3, most_difference: float = 0.15, ranked: int = 4) -> DataFrame:
+@lru_cache(maxsize=4)
+def _anchors(templates: tuple, level: int = 19) -> list[tuple]:
+    """(name, wording, its words, their set, at which of them its terms begin, compressor) of every wording."""
+    out = []
+    for name, wording, w, compressor in _models(templates, level)[0]:
+        starts = [m.start() for m in _WORD.finditer(wording)]
+        at = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(TERMS, wording)})
+        out.append((name, wording, w, set(w), at, compressor))
+    return out
+
+
+def notices_within(text: str, templates: tuple, least_reduction: float, most_difference: float, level: int = 19) -> list[tuple[int, int, dict]]:
+    """(start, end, notice) wherever in a text, in order: inside a long line, or wrapped over any number of lines.
+
+    A term of the text stands for each equal place of each wording; the words around it, as many as a wording
+    with the difference allowed can have, are aligned with it, and the reduction is that of what the wording covers.
+    """
+    spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+    starts = [s[0] for s in spans]
+    plain, found, after = _models(templates, level)[1], [], 0
+    for hit in re.finditer(TERMS, text):
+        if hit.start() < after or not spans:
+            continue
+        j, best = max(0, bisect_right(starts, hit.start()) - 1), None
+        for name, wording, w, _, offsets, compressor in _anchors(templates, level):
+            slack = math.floor(most_difference * len(w)) + 1
+            for o in offsets:
+                lo = max(bisect_right(starts, after - 1), j - o - slack)
+                block = [s[2] for s in spans[lo : j - o + len(w) + slack]]
+                have = set(block)
+                if sum(x in have for x in w) < (1 - most_difference) * len(w) - 1e-9:
+                    continue
+                missing, extra = wording_difference(block, w)
+                share = (len(missing) + len(extra)) / len(w)
+                if share > most_difference or any(c.isdigit() for x in missing for c in x):
+                    continue
+                same = [s for s in difflib.SequenceMatcher(None, block, w, autojunk=False).get_matching_blocks() if s.size]
+                start, last = spans[lo + same[0].a][0], lo + same[-1].a + same[-1].size - 1
+                end = spans[last][1]
+                if not start <= hit.start() < end:
+                    continue
+                if text[end : end + 1] and text[end] == wording[-1]:
+                    end += 1  # its full stop
+                raw = " ".join(text[start:end].split("\n"))
+                gain = 1 - len(compressor.compress(raw.encode())) / len(plain.compress(raw.encode()))
+                key = (share, -len(w), name, wording)
+                if gain >= least_reduction and (best is None or key < best[0]):
+                    best = (key, start, end, {"block": raw, "license": name, "reduction": round(gain, 6), "difference": round(share, 6), "missing": missing, "extra": extra, "wording": wording})
+        if best:
+            found.append(best[1:])
+            after = best[2]
+    return found
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_reduction: float = 0.3, most_difference: float = 0.15) -> DataFrame:
     """One row per confirmed license notice: doc_id, block_no, block, license, reduction, difference, missing, extra, wording.
 
     A block is a line with a license term, or the run of up to eight lines that begins with it where the
-    notice is wrapped. Texts without any term never leave the JVM; of the others the whole text is read.
+    notice is wrapped. Notices elsewhere - inside a longer line, several in a line, or wrapped over more or earlier
+    lines - are found by the words around each term; their block is what the wording covers. Texts without any term never leave the JVM; of the others the whole text is read.
 
-    Edge cases: null and empty texts have no block; repeated rows each give their rows; a very long line
-    is compressed as it is; an empty table gives no row; other columns are ignored.
+    Edge cases: null and empty texts have no block; repeated rows each give their rows; an empty table gives no row; other columns are ignored.
     """
     fixed = tuple((k, tuple(v)) for k, v in sorted(templates.items()))
     schema = "doc_id long, block_no long, block string, license string, reduction double, difference double, missing array<string>, extra array<string>, wording string"
@@ -114,7 +169,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
         for batch in batches:
             found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines, taken = text.split("\n"), -1
+                lines, taken, blocks = text.split("\n"), -1, []
                 for i, line in enumerate(lines):
                     if i <= taken or not term(line):
                         continue
@@ -122,11 +177,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                         if i + n > len(lines):
                             break
                         block = " ".join(lines[i : i + n]) if n > 1 else line
-                        hit = judge(block, fixed, least_reduction, most_difference, ranked)
+                        hit = judge(block, fixed, least_reduction, most_difference)
                         if hit:
                             found.append({"doc_id": doc_id, "block_no": i, "block": block, **hit})
                             taken = i + n - 1
+                            blocks.append((i, taken, hit["license"]))
                             break
+                breaks = [m.start() for m in re.finditer("\n", text)]
+                for start, end, hit in notices_within(text, fixed, least_reduction, most_difference):
+                    i, last = bisect_right(breaks, start), bisect_right(breaks, end - 1)
+                    known = next((b for b in blocks if b[0] <= last and i <= b[1] and b[2] == hit["license"]), None)
+                    if known:
+                        blocks.remove(known)  # one notice a block; a second one in it is another
+                    else:
+                        found.append({"doc_id": doc_id, "block_no": i, **hit})
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=out)
 

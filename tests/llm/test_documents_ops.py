@@ -178,6 +178,23 @@ def test_license_scan(spark, documents):
     assert licenses.license_summary(licenses.scan_licenses(documents(rows))).count() == len({v.license for v in got.values()})
 
 
+def test_licenses_inside_long_lines_and_wrapped_notices(spark, documents):
+    r = random.Random(12)
+    mit = licenses.TEMPLATES["MIT"][1].split()
+    rows = [
+        (1, prose(r, 400) + ". Licensed under CC BY 4.0. " + prose(r, 400)),
+        (2, prose(r, 30) + "\n" + "\n".join(" ".join(mit[i : i + 4]) for i in range(0, len(mit), 4)) + "\n" + prose(r, 30)),
+        (3, "Text: Licensed under CC BY-SA 4.0. " + prose(r, 60) + " Code: Released under the MIT License. " + prose(r, 60)),
+        (4, prose(r, 300) + ". Licensed under the Apache License, Version 1.1. " + prose(r, 300)),
+        (5, prose(r, 300) + " a license to drive, and copyright is a word " + prose(r, 300)),
+    ]
+    got = Counter((x.doc_id, x.license) for x in licenses.scan_licenses(documents(rows)).collect())
+    assert got == Counter([(1, "CC-BY-4.0"), (2, "MIT"), (3, "CC-BY-SA-4.0"), (3, "MIT")])
+    near = {f"L{i}": [f"You may use this work freely under license terms of the {x} foundation as published there in full."] for i, x in enumerate("amber birch cedar delta ebony fjord grove".split())}
+    line = near["L6"][0]
+    assert [(x.license, x.difference) for x in licenses.scan_licenses(documents([(1, line)]), near).collect()] == [("L6", 0.0)]
+
+
 def test_every_notice_line_is_found(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = {line for wordings in licenses.TEMPLATES.values() for line in wordings}

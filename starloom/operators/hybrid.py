@@ -69,14 +69,39 @@ def link_papers_clusters_semantic(vectors: DataFrame, region_vectors: DataFrame,
     return hits.select(F.col("query_id").alias("cluster"), F.col("id").alias("arxiv_id"), "score")
 
 
+#: Most names that are broadcast to the texts; beyond it a shuffled join.
+BROADCAST_NAMES = 100_000
+
+
+def named_in_text(papers: DataFrame, names: DataFrame) -> DataFrame:
+    """(arxiv_id, name): names that occur in papers as whole words. Runs of words of the text join names as equals, so any number of names will do."""
+    words = lambda c: F.transform(F.filter(F.split(c, r"[^A-Za-z0-9_]+"), lambda w: w != ""), lambda w: F.lower(w))
+    table = names.select("name").distinct().withColumn("_words", words(F.col("name"))).where(F.size("_words") > 0)
+    sizes = [r[0] for r in table.select(F.size("_words")).distinct().collect()]  # a handful of lengths
+    if not sizes:
+        return papers.select("arxiv_id", F.lit("").alias("name")).limit(0)
+    texts = papers.select("arxiv_id", words(F.col("abstract")).alias("_text"))
+    size = F.size("_text")
+
+    def runs(n: int):
+        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_text", i, F.lit(n)), " "))
+
+    said = texts.select("arxiv_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("_run"))
+    table = table.select("name", F.array_join("_words", " ").alias("_run"))
+    few = table.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    found = said.join(F.broadcast(table) if few else table, "_run").select("arxiv_id", "name").distinct().join(papers.select("arxiv_id", "abstract"), "arxiv_id")
+    return found.where(F.rlike("abstract", F.concat(F.lit(r"(?i)\b\Q"), "name", F.lit(r"\E\b")))).select("arxiv_id", "name").distinct()
+
+
 def resolve_entities(papers: DataFrame, stars: DataFrame, authority: DataFrame, arcsec: float = 5.0) -> DataFrame:
     """(arxiv_id, source_id): Gaia ids as they are, other names by their position; clusters are no stars."""
-    from starloom.functions.text import CLUSTERS, catalog_ids, gaia_ids_near, star_names
+    from starloom.functions.text import CLUSTERS, LOOSE, catalog_ids, gaia_ids_near
     from starloom.operators.crossmatch import resolve_names
 
     ids = papers.select("arxiv_id", F.explode(gaia_ids_near("abstract")).alias("source_id"))
-    known = [r["name"] for r in authority.select("name").distinct().limit(1000).collect()]  # a name table, matched by pattern
-    named = papers.select("arxiv_id", F.explode(F.array_union(catalog_ids("abstract"), star_names("abstract", known))).alias("name")).withColumn("name", F.lower("name")).where(~F.col("name").isin(list(CLUSTERS)))
+    catalog = papers.select("arxiv_id", F.explode(F.array_union(catalog_ids("abstract"), catalog_ids("abstract", LOOSE))).alias("name"))
+    named = catalog.union(named_in_text(papers, authority)).withColumn("name", F.lower("name")).where(~F.col("name").isin(list(CLUSTERS)))
     found = named.join(resolve_names(named, stars, authority, arcsec), "name").select("arxiv_id", "source_id")
     return ids.union(found).distinct()
 

@@ -486,6 +486,7 @@ def semantic_cluster_links(spark, sf_dir):
 @query("resolve_entities")
 def resolve_entities(spark, sf_dir):
     s = stars(spark, sf_dir)
-    authority = s.where("source_id LIKE '%7'").orderBy("source_id").limit(3).select("ra", "dec", "source_id")
-    named = authority.withColumn("name", F.element_at(F.array(F.lit("sirius"), F.lit("hd 48915"), F.lit("hip 32349")), (F.col("source_id").substr(-2, 1).cast("int") % 3 + 1)))
+    authority = s.where("source_id LIKE '%7'").select("ra", "dec", "source_id")
+    common = F.element_at(F.array(F.lit("sirius"), F.lit("hd 48915"), F.lit("hip 32349")), (F.col("source_id").substr(-2, 1).cast("int") % 3 + 1))
+    named = authority.withColumn("name", F.when(F.col("source_id") <= "100000000000000027", common).otherwise(F.concat(F.lit("gaia dr3 "), "source_id")))
     return hybrid.resolve_entities(papers(spark, sf_dir), s, named.select("name", "ra", "dec"))

@@ -9,6 +9,16 @@ def test_query_equals_its_oracle(spark, sf_dir, name):
     assert_same(registry.QUERIES[name](spark, sf_dir), registry.ORACLES[name], sf_dir)
 
 
+def test_every_name_of_a_large_table_is_looked_for(spark):
+    from starloom.operators import hybrid
+
+    n = 1500
+    stars = spark.range(n).selectExpr("CAST(id AS STRING) AS source_id", "id * 0.2D AS ra", "CAST(10.0 AS DOUBLE) AS dec")
+    authority = spark.range(n).selectExpr("concat('Old Star ', id) AS name", "id * 0.2D AS ra", "CAST(10.0 AS DOUBLE) AS dec")
+    papers = spark.range(n).selectExpr("CAST(id AS STRING) AS arxiv_id", "concat('We saw the old star ', id, ', and others.') AS abstract")
+    assert {tuple(r) for r in hybrid.resolve_entities(papers, stars, authority).collect()} == {(str(i), str(i)) for i in range(n)}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)

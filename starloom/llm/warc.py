@@ -26,8 +26,10 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LEAST_REVISIT = 100
 #: Most groups of equal payloads whose first page is broadcast (about 100 bytes each); beyond it a shuffled join.
 BROADCAST_GROUPS = 100_000
-#: No header of ours is longer.
+#: Bytes read at a time to get at a header; longer headers are read on.
 HEADER = 1 << 16
+#: Chunks that one task reads.
+CHUNKS_A_TASK = 8
 
 
 def mark_revisits(pages: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def record(page_id, url, payload: bytes, digest: str, n_bytes: int, kind: str, r
     name = lambda i, d: uuid.uuid5(uuid.NAMESPACE_URL, f"{i}/{d}").urn
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name(page_id, digest)}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)[:8192])
+        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {n_bytes}"]
@@ -64,7 +66,7 @@ def record(page_id, url, payload: bytes, digest: str, n_bytes: int, kind: str, r
 
 def parse_header(raw, at: int):
     """(headers, where the block begins, where the successor begins) of the record at ``at``; None if there is none."""
-    end = raw.find(b"\r\n\r\n", at, at + HEADER)
+    end = raw.find(b"\r\n\r\n", at)
     if raw[at : at + len(MAGIC)] != MAGIC or end < 0:
         return None
     fields = {}
@@ -79,6 +81,21 @@ def parse_header(raw, at: int):
     return fields, end + 4, end + 4 + int(length) + 4
 
 
+def _unfinished(raw: bytes, at: int) -> bool:
+    """Whether a header may begin at ``at`` that the bytes at hand do not end: the magic and nothing but ``key: value`` lines."""
+    if raw.find(b"\r\n\r\n", at) >= 0:
+        return False
+    head, *lines = raw[at:].split(b"\r\n")
+    return MAGIC.startswith(head + b"\r\n"[: len(MAGIC) - len(head)]) and all(b":" in line for line in lines[:-1])
+
+
+def _read_on(f, raw: bytes, lo: int, at: int, size: int) -> bytes:
+    """The bytes from ``lo``, read on until the header at ``at`` is whole; a longer piece each time."""
+    while _unfinished(raw, at) and lo + len(raw) < size:
+        raw += f.read_at(min(max(HEADER, len(raw) - at), size - lo - len(raw)), lo + len(raw))
+    return raw
+
+
 def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write marked pages as WARC files, one per task that has rows: (path, n_bytes, n_records)."""
     folder = folder or new_path(pages.sparkSession, "warc")
@@ -103,55 +120,77 @@ def write_warc(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def _candidates(batches):
-    """Every place of a chunk where a record could begin: its successor, and where its chain leaves the chunk."""
+    """Every place of a chunk where a record could begin: its successor, and where and after how many records its chain leaves the chunk."""
     for batch in batches:
         for path, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             with files.open_random(path) as f:
-                raw = f.read_at(min(hi + HEADER, f.size()) - lo, lo)
-            found, at = {}, raw.find(MAGIC)
-            while 0 <= at < hi - lo:
-                if parsed := parse_header(raw, at):
-                    found[lo + at] = lo + parsed[2]
-                at = raw.find(MAGIC, at + 1)
-            leaves: dict[int, int] = {}
+                size = f.size()
+                raw = f.read_at(max(0, min(hi + HEADER, size) - lo), lo)
+                found, at = {}, raw.find(MAGIC)
+                while 0 <= at < hi - lo:
+                    raw = _read_on(f, raw, lo, at, size)
+                    if parsed := parse_header(raw, at):
+                        found[lo + at] = lo + parsed[2]
+                    at = raw.find(MAGIC, at + 1)
+            leaves: dict[int, tuple[int, int]] = {}
             for offset in sorted(found, reverse=True):
-                leaves[offset] = leaves.get(found[offset], found[offset])
-            rows = [{"path": path, "offset": o, "successor": s, "leaves": leaves[o]} for o, s in found.items()]
+                target, n = leaves.get(found[offset], (found[offset], 0))
+                leaves[offset] = target, n + 1
+            rows = [{"path": path, "offset": o, "leaves": leaves[o][0], "records": leaves[o][1]} for o in found]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
 
-def chunks(warcs: DataFrame, chunk_bytes: int) -> DataFrame:
+def _tasks(spark, warcs: DataFrame, chunk_bytes: int) -> int:
+    """Tasks to read the archives with: by their bytes, not by the size of the pointers to them, which adaptive execution would go by."""
+    chunks = warcs.agg(F.sum(F.ceil(F.col("n_bytes") / chunk_bytes))).first()[0] or 1
+    return max(math.ceil(chunks / CHUNKS_A_TASK), min(chunks, spark.sparkContext.defaultParallelism))
+
+
+def chunks(warcs: DataFrame, chunk_bytes: int, tasks: int) -> DataFrame:
     """(path, lo, hi) of every chunk, one small row each, dealt evenly."""
     lo = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(chunk_bytes).cast("long")))
-    return warcs.where("n_bytes > 0").select("path", "n_bytes", lo.alias("lo")).select("path", "lo", F.least(F.col("lo") + chunk_bytes, F.col("n_bytes")).alias("hi")).repartition("path", "lo")
+    return warcs.where("n_bytes > 0").select("path", "n_bytes", lo.alias("lo")).select("path", "lo", F.least(F.col("lo") + chunk_bytes, F.col("n_bytes")).alias("hi")).repartition(tasks, "path", "lo")
 
 
-def verified_entries(warcs: DataFrame, chunk_bytes: int) -> DataFrame:
+def verified_entries(warcs: DataFrame, chunk_bytes: int, tasks: int) -> DataFrame:
     """(path, offset): the first true record of each chunk that has one, by pointer jumping from each file's start.
 
     Chains inside a chunk are followed by the task that scanned it, so the pointers to jump over are one
-    or a few per chunk, and the rounds are the logarithm of the chunks of the longest file.
+    or a few per chunk, and the rounds are the logarithm of the chunks of the longest file. A chain that comes to
+    a place where no record begins and that is not its file's end, or that holds another number of records
+    than the file was written with, is an error.
     """
-    scanned = durable(chunks(warcs, chunk_bytes).mapInArrow(_candidates, "path string, offset long, successor long, leaves long"), "candidates")
+    scanned = durable(chunks(warcs, chunk_bytes, tasks).mapInArrow(_candidates, "path string, offset long, leaves long, records long"), "candidates")
     entries = scanned.select("path", F.col("leaves").alias("offset")).union(warcs.where("n_bytes > 0").select("path", F.lit(0).cast("long"))).distinct()
     jumps = durable(entries.join(scanned, ["path", "offset"]).select("path", "offset", F.col("leaves").alias("target")).distinct(), "jumps")
-    reached = jumps.where("offset = 0").select("path", "offset")
+    reached = warcs.where("n_bytes > 0").select("path", F.lit(0).cast("long").alias("offset"))
     longest = warcs.agg(F.max(F.ceil(F.col("n_bytes") / chunk_bytes))).first()[0] or 1
-    for _ in range(max(1, math.ceil(math.log2(longest)))):
+    for _ in range(max(1, math.ceil(math.log2(longest)) + 1)):
         hop = reached.join(jumps, ["path", "offset"]).select("path", F.col("target").alias("offset"))
         reached = durable(reached.union(hop).distinct(), "reached")
         further = jumps.select("path", F.col("offset").alias("target"), F.col("target").alias("next"))
         jumps = durable(jumps.join(further, ["path", "target"]).select("path", "offset", F.col("next").alias("target")), "jumps")
-    return reached.join(scanned, ["path", "offset"], "left_semi")
+    lost = reached.join(scanned, ["path", "offset"], "left_anti").join(warcs.select("path", "n_bytes"), "path").where("offset <> n_bytes").first()
+    if lost:
+        raise ValueError(f"{lost.path}: the chain of records breaks at {lost.offset} of {lost.n_bytes}")
+    true = durable(reached.join(scanned, ["path", "offset"]), "entries")
+    if "n_records" in warcs.columns:
+        n = true.groupBy("path").agg(F.sum("records").alias("read"))
+        wrong = warcs.join(n, "path", "left").where(F.col("n_records") != F.coalesce("read", F.lit(0))).first()
+        if wrong:
+            raise ValueError(f"{wrong.path}: {wrong.read} records were reached, {wrong.n_records} were written")
+    return true.select("path", "offset")
 
 
 def read_warc(warcs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Read every verified record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A response's length and digest are taken from its payload and held against its headers; a chain that
-    ends anywhere but at the file's end is an error.
+    ``warcs`` is (path, n_bytes) and, where it is known, n_records. A response's length and digest are taken from
+    its payload and held against its headers; a chain that ends anywhere but at the file's end is an error,
+    so damaged or cut archives give no rows instead of fewer.
     """
+    tasks = _tasks(warcs.sparkSession, warcs, chunk_bytes)
 
     def walk(batches):
         for batch in batches:
@@ -159,7 +198,7 @@ def read_warc(warcs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
                 rows = []
                 with files.open_random(path) as f:
                     while at < hi:
-                        raw = f.read_at(min(HEADER, size - at), at)
+                        raw = _read_on(f, f.read_at(min(HEADER, size - at), at), at, 0, size)
                         parsed = parse_header(raw, 0)
                         if parsed is None:
                             raise ValueError(f"{path}: no record at {at}")
@@ -179,15 +218,15 @@ def read_warc(warcs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    entries = verified_entries(warcs, chunk_bytes).join(warcs, "path")
+    entries = verified_entries(warcs, chunk_bytes, tasks).join(warcs, "path")
     hi = F.least((F.floor(F.col("offset") / chunk_bytes) + 1) * chunk_bytes, F.col("n_bytes"))
-    return entries.select("path", "offset", hi.alias("hi"), "n_bytes").repartition("path", "offset").mapInArrow(walk, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return entries.select("path", "offset", hi.alias("hi"), "n_bytes").repartition(tasks, "path", "offset").mapInArrow(walk, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def warc_round_trip(pages: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Write a record per page and read the archives back.
 
-    Edge cases: null html is an empty payload; a null url has no target header; pages repeated under one
+    Edge cases: null html is an empty payload; a null url has no target header, a very long one is whole; pages repeated under one
     page_id each have a record, all responses if their payload is the group's first; an empty table gives no
     file and no row; other columns are ignored.
     """

@@ -93,8 +93,8 @@ def passage_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
     """In how many passages each vocabulary word occurs; the last entry is the number of passages."""
     size = len(vocabulary.value)
 
+    @workers.released
     def count(batches):
-        workers.enter("decontam")
         v, total = vocabulary.value, np.zeros(size + 1)
         for batch in batches:
             for _, _, owner, place, at in _passage_words(batch.column(1), v):
@@ -121,8 +121,8 @@ def latent_basis(docs: DataFrame, vocabulary, weight: np.ndarray, items: np.ndar
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((test * weight[:, None].astype(np.float32), weight > 0))
 
+    @workers.released
     def multiply(batches):
-        workers.enter("decontam")
         v, (ot, used) = vocabulary.value, shared.value
         z = np.zeros((size, width))
         for batch in batches:
@@ -217,8 +217,8 @@ def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: n
     used = weight > 0
     unknown = float(np.median(weight[used])) ** 2  # what a word that no item has adds to a passage's squared length
 
+    @workers.released
     def find(batches):
-        workers.enter("decontam")
         v = vocabulary.value
         project, wanted, masks, lengths, answers, names, pairs, asked, tells, told_of = shared.value
         step = max(1, 2_000_000 // max(1, wanted.shape[1]))

@@ -42,6 +42,7 @@ def least_overlap(k: int, similarity: float) -> int:
 def sketches(docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
     """(doc_id, n, print, sketch): set size, a fingerprint of the whole set, and its k smallest hashes."""
 
+    @workers.released
     def make(batches):
         for ids, sets in _sets(batches, width):
             n = pa.array(map(len, sets), pa.int64())
@@ -54,6 +55,7 @@ def sketches(docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, values): every hash of each document's set."""
 
+    @workers.released
     def make(batches):
         for ids, sets in _sets(batches, width):
             yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["doc_id", "values"])
@@ -63,7 +65,6 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 
 def _sets(batches, width: int):
     """(ids, shingle sets) of a few hundred documents at a time."""
-    workers.enter("neardup")
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)

@@ -15,131 +15,134 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import files, workers
+from starloom.llm.sampling import first_by_hash
 from starloom.plans.durable import new_path
 
 MAGIC = b"TOKSHRD1"
 HEAD = len(MAGIC) + 32 + 1
-#: Entries kept by a worker's piece table before the older half is let go.
-MEMO = 900_000
+#: Bytes of pieces and their ids that a task remembers before it starts afresh.
+MEMO_BYTES = 24 << 20
+#: Bytes of text encoded at a time; a longer text is one slice.
+SLICE = 4 << 20
 #: White space other than lone blanks and line feeds: such texts are handed to the tokenizer as they are.
-_ODD = [*map(chr, (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)), "  ", " \n", "\n "]
-#: How the vocabulary's own pre-tokenizer cuts a text (fixed by the vocabulary file).
-_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
 class Encoder:
-    """Whole texts to id bytes, with the ids of blank-separated pieces remembered.
+    """Whole texts to id arrays, with the ids of blank-separated pieces remembered.
 
-    A byte-level BPE never merges across a lone blank, so ``a b`` has the ids of ``a`` and of `` b``; nor
-    across the cuts of its pre-tokenizer, so a piece with punctuation is put together from its parts.
-    Texts where blanks meet other white space skip this and go whole through the tokenizer.
+    A byte-level BPE never merges across a lone blank, so ``a b`` has the ids of ``a`` and of `` b``. Texts are
+    cut at blanks, each distinct piece is encoded once, and a text's ids are gathered from those of its
+    pieces. New pieces are encoded as one text; every piece of it begins with a token that begins with a
+    blank, and no other token does. Texts where blanks meet other white space, and vocabularies that are no
+    plain byte-level BPE, go whole through the tokenizer.
     """
 
-    def __init__(self, path: str, width: int):
-        import regex
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if width == 2 else "<u4"
-        self.width = width
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.zeros(size, bool)  # tokens that begin with a blank
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.opens[i] = token.startswith("Ġ")
-        self.odd = [*_ODD, *(str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())]
-        self.cut = regex.compile(_CUT).findall
-        self.pieces: dict[str, bytes] = {}  # after a blank
-        self.bare: dict[str, bytes] = {}  # not after a blank
-        self.old: dict[str, bytes] = {}  # of pieces
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _spaced(self, new: list[str]) -> None:
-        """Ids of `` piece`` for each: one text of them all, cut where a token begins with a blank."""
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            starts = np.flatnonzero(self.opens[ids])
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join(["[" + "".join(f"\\x{{{c:X}}}" for c in _BLANKS) + "]", "  ", " \n", "\n ", *special])
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        self.piecewise = (
+            self.tokenizer.normalizer is None
+            and type(cut).__name__ == "ByteLevel"
+            and cut.use_regex
+            and not cut.add_prefix_space
+            and type(model).__name__ == "BPE"
+            and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix)
+        )
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.lengths = np.empty(0, self.kind), np.empty(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _learn(self, new: pa.Array) -> None:
+        """Remember the ids of pieces that stand after a blank."""
+        pieces = new.to_pylist()
+        lone = {i for i, p in enumerate(pieces) if not p or p[-1] == "\n"}  # these end their text
+        found = dict(zip(sorted(lone), self._whole([" " + pieces[i] for i in sorted(lone)]), strict=True))
+        rest = [p for i, p in enumerate(pieces) if i not in lone]
+        ids, lengths = [], []
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            got = self._whole([" " + " ".join(part)])[0]
+            starts = np.flatnonzero(self.opens[got])
             if len(starts) != len(part):
-                for p in part:
-                    self.pieces[p] = self._whole(" " + p)
-                continue
-            raw, cuts = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
-            self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-
-    def _learn(self, new: set[str]) -> None:
-        simple, joint, bare = set(), [], set()
-        for p in new:
-            if (known := self.old.get(p)) is not None:
-                self.pieces[p] = known
-            elif p.isalpha():
-                simple.add(p)
-            elif not p:
-                self.pieces[p] = self._whole(" ")
-            else:
-                first, *rest = self.cut(" " + p)
-                if first == " " or not rest:
-                    self.pieces[p] = self._whole(" " + p)
-                    continue
-                joint.append((p, first[1:], rest))
-                if first[1:] not in self.pieces:
-                    simple.add(first[1:])
-                bare.update(rest)
-        self._spaced(list(simple))
-        unknown = list(bare - self.bare.keys())
-        for b, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False) if unknown else [], strict=True):
-            self.bare[b] = np.asarray(e.ids, self.kind).tobytes()
-        for p, first, rest in joint:
-            self.pieces[p] = self.pieces[first] + b"".join([self.bare[r] for r in rest])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > MEMO:
-            self.old, self.pieces = self.pieces, {}
-        if len(self.bare) > MEMO:
-            self.bare = {}
-        out: list[bytes] = []
-        for lo in range(0, len(texts), 256):
-            get, part, unknown = self.pieces.get, [], set()
-            for text in texts[lo : lo + 256]:
-                if not text or any(x in text for x in self.odd):
-                    part.append((text, None, None))
-                    continue
-                words = text.split(" ")
-                first = words[0]
-                del words[0]
-                got = list(map(get, words))
-                gaps = [i for i, g in enumerate(got) if g is None] if None in got else ()
-                unknown.update([words[i] for i in gaps])
-                part.append((first, got, [(i, words[i]) for i in gaps]))
-            self._learn(unknown)
-            for first, got, gaps in part:
-                if got is None:
-                    out.append(self._whole(first) if first else b"")
-                    continue
-                if (head := self.bare.get(first)) is None:
-                    head = self.bare[first] = self._whole(first) if first else b""
-                for i, w in gaps:
-                    got[i] = get(w)
-                out.append(head + b"".join(got))
-        return out
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str, width: int) -> Encoder:
-    return Encoder(path, width)
+                one = self._whole([" " + p for p in part])
+                got, starts = np.concatenate(one), np.cumsum([0, *map(len, one[:-1])])
+            ids.append(got)
+            lengths.append(np.diff(np.append(starts, len(got))))
+        order = [i for i in range(len(pieces)) if i not in lone] + sorted(lone)
+        ids += [found[i] for i in sorted(lone)]
+        lengths.append(np.array([len(found[i]) for i in sorted(lone)], np.int64))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order, pa.int64()))])
+        self.ids, self.lengths = np.concatenate([self.ids, *ids]), np.concatenate([self.lengths, *lengths])
+
+    def _gathered(self, texts: pa.Array) -> list[np.ndarray]:
+        if self.known.nbytes + self.ids.nbytes + self.lengths.nbytes > MEMO_BYTES:
+            self.forget()
+        lists = pc.split_pattern(texts, " ")
+        begins = np.asarray(lists.offsets).astype(np.int64)
+        words = lists.values
+        first = np.zeros(len(words), bool)
+        first[begins[:-1]] = True
+        rest = words.filter(pa.array(~first)).dictionary_encode()
+        missing = pc.index_in(rest.dictionary, value_set=self.known).is_null()
+        if pc.any(missing).as_py():
+            self._learn(rest.dictionary.filter(missing))
+        at = pc.index_in(rest.dictionary, value_set=self.known).to_numpy()[rest.indices.to_numpy()]
+        heads = self._whole(words.filter(pa.array(first)).to_pylist())
+        pool, sizes = np.concatenate([self.ids, *heads]), np.array([len(h) for h in heads], np.int64)
+        length, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        length[first], start[first] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
+        length[~first], start[~first] = self.lengths[at], (np.cumsum(self.lengths) - self.lengths)[at]
+        ends = np.cumsum(length)
+        place = np.repeat(start - ends + length, length)
+        place += np.arange(len(place))
+        cuts = np.append(0, ends)[begins].tolist()
+        ids = pool[place]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column, slice by slice."""
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        lo = 0
+        while lo < len(texts):
+            hi = min(len(texts), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE, "right")) - 1))
+            part = texts.slice(lo, hi - lo)
+            whole = pc.match_substring_regex(part, self.odd) if self.piecewise else pa.array([True] * len(part))
+            odd = iter(self._whole(part.filter(whole).to_pylist()))
+            plain = part.filter(pc.invert(whole))
+            even = iter(self._gathered(plain) if len(plain) else ())
+            for w in whole.to_pylist():
+                yield next(odd) if w else next(even)
+            lo = hi
 
 
 @lru_cache(maxsize=2)
@@ -151,18 +154,18 @@ def _dictionary(uri: str, digest: str) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample: int = 2000, sample_bytes: int = 8192, size: int = 65536) -> bytes:
+def train_dictionary(docs: DataFrame, encoder: Encoder, end_id: int, sample: int = 2000, sample_bytes: int = 8192, size: int = 65536) -> bytes:
     """A dictionary trained on serialised id arrays.
 
-    Fitted on a bounded sample: the ``sample`` documents of 1 to ``sample_bytes`` UTF-8 bytes that come
-    first by the hash of doc_id. Dictionaries help short documents only; every document is
+    Fitted on a bounded sample: documents of 1 to ``sample_bytes`` UTF-8 bytes with the ``sample`` doc_ids that come
+    first by hash. Dictionaries help short documents only; every document is
     encoded with it. Too few samples to train on give an empty dictionary.
     """
-    fit = docs.where(F.octet_length("text").between(1, sample_bytes)).select("text", F.xxhash64("doc_id").alias("h"))
-    last = fit.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are sorted, not texts
-    rows = fit.where(F.col("h") <= last).orderBy("h", "text").limit(sample).collect() if last is not None else []
-    end = np.asarray([end_id], _encoder(tokenizer_path, width).kind).tobytes()
-    arrays = [ids + end for ids in _encoder(tokenizer_path, width).encode([r.text for r in rows])]
+    fit = docs.where(F.octet_length("text").between(1, sample_bytes))
+    chosen = F.broadcast(first_by_hash(fit, "doc_id", sample))  # ids alone are sorted, not texts
+    rows = fit.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    end = np.asarray([end_id], encoder.kind).tobytes()
+    arrays = [ids.tobytes() + end for ids in encoder.encode(pa.array([r.text for r in rows], pa.large_string()))]
     if len(arrays) < 16 or sum(map(len, arrays)) < 4 * size:
         size = max(256, min(size, sum(map(len, arrays)) // 8))
     try:
@@ -171,27 +174,28 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
         return b""
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: int = 2, level: int = 3, partitions: int | None = None) -> tuple[list, tuple[str, str]]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: int = 3, partitions: int | None = None) -> tuple[list, tuple[str, str]]:
     """Encode every whole text, append ``end_id``, and write shards in ascending doc_id order.
 
-    Null texts count as empty. Documents with the same doc_id are ordered by text; a null doc_id comes
+    Ids take two bytes where the vocabulary allows it, else four. Null texts count as empty. Documents with the same
+    doc_id, however many, are ordered by a hash of their texts, then the texts; a null doc_id comes
     first and is kept as null. Returns the manifest, one row per shard in order
     ``(part, path, n_docs, n_tokens)``, and (URI, sha256) of the dictionary.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     folder = new_path(spark, "tokens")
-    data = train_dictionary(docs, tokenizer_path, end_id, width)
+    data = train_dictionary(docs, Encoder(tokenizer_path), end_id)
     digest = hashlib.sha256(data).hexdigest()
     dictionary = files.write_bytes(folder, "dictionary", ".zdict", data)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @workers.released
     def write(batches):
         from pyspark import TaskContext
 
-        workers.enter("tokens")
-        workers.holds("tokens", _encoder.cache_clear)
-        encoder = _encoder(tokenizer_path, width)
+        encoder = Encoder(tokenizer_path)
+        width = encoder.kind.itemsize
         end = np.asarray([end_id], encoder.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, digest), write_content_size=True)
         part, uri, out, at, entries = TaskContext.get().partitionId(), None, None, HEAD, []
@@ -199,15 +203,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: i
             if out is None and batch.num_rows:
                 uri, out = files.create(folder, f"shard-{part:06d}", ".tok")
                 out.write(MAGIC + bytes.fromhex(digest) + bytes([width]))
-            for lo in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
-                frames = []
-                for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
-                    raw += end
-                    frames.append(packer.compress(raw))
-                    entries.append((doc_id is not None, doc_id or 0, at, len(frames[-1]), len(raw) // width))
-                    at += len(frames[-1])
-                out.write(b"".join(frames))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                frame = packer.compress(ids.tobytes() + end)
+                entries.append((doc_id is not None, doc_id or 0, at, len(frame), len(ids) + 1))
+                at += len(frame)
+                out.write(frame)
         if out is not None:
             valid, *columns = (np.asarray(c) for c in zip(*entries, strict=True))
             out.write(valid.astype("u1").tobytes() + b"".join(c.astype("<i8").tobytes() for c in columns))
@@ -216,9 +216,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: i
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(entries), "n_tokens": int(columns[3].sum())}])
 
     schema = "part long, path string, n_docs long, n_tokens long"
+    order = ["doc_id", F.xxhash64("text")]  # what range sampling takes to the driver: 16 bytes a row of it, never a text
     # One row per shard reaches the driver, whatever the number of documents.
     with workers.small_batches(spark):
-        shards = docs.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(write, schema).collect()
+        shards = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").mapInArrow(write, schema).collect()
     return sorted(tuple(r) for r in shards), (dictionary, digest)
 
 
@@ -272,11 +273,11 @@ def read_tokens(spark, manifest: list, dictionary: tuple[str, str]) -> DataFrame
     return files.one_row_a_task(spark, rows, "part long, path string, base long").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width: int = 2) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Write all ``docs`` as token shards and return what the shards hold, one row per document.
 
-    Edge cases: a null or empty text has the end id alone; repeated rows are kept, in order of text; an
+    Edge cases: a null or empty text has the end id alone; a very long text is one document like any other; repeated rows are kept; an
     empty table gives no shard and no row; columns other than doc_id and text are ignored.
     """
-    manifest, dictionary = write_tokens(docs, tokenizer_path, end_id, width)
+    manifest, dictionary = write_tokens(docs, tokenizer_path, end_id)
     return read_tokens(docs.sparkSession, manifest, dictionary)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import workers
+from starloom.llm.sampling import first_by_hash
 from starloom.plans.durable import durable
 
 _WORD = re.compile(r"\w+")
@@ -37,22 +38,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int, unlabell
     """(text, positive): the bounded fitting sample, never from held-out rows.
 
     Confirmed toxic documents, at most ``positives`` of them, and at most ``unlabelled`` documents drawn
-    without a look at their labels; both are the first by hash of doc_id.
+    without a look at their labels; both are the first by hash of doc_id, one text for each doc_id.
     """
-    seen = docs.where(~held_out()).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    toxic = labels.where((F.col("toxic") == 1) & ~held_out()).select("doc_id").distinct()
+    seen = docs.where(~held_out()).select("doc_id", "text")
+    toxic = labels.where((F.col("toxic") == 1) & ~held_out())
 
     def first(keys: DataFrame, n: int) -> DataFrame:
-        # Ids alone are sorted; the texts of the chosen follow by a join.
-        chosen = keys.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n).select("doc_id")
-        return seen.join(F.broadcast(chosen), "doc_id").select("text")  # at most n ids
+        chosen = F.broadcast(first_by_hash(keys, "doc_id", n))  # at most n ids
+        return seen.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
 
-    return durable(first(toxic, positives).withColumn("positive", F.lit(True)).union(first(seen.select("doc_id").distinct(), unlabelled).withColumn("positive", F.lit(False))), "toxicity-sample")
+    return durable(first(toxic, positives).withColumn("positive", F.lit(True)).union(first(seen, unlabelled).withColumn("positive", F.lit(False))), "toxicity-sample")
 
 
 def select_features(sample: DataFrame, size: int, least: int) -> list[str]:
     """The ``size`` features most over-represented in positives, of those in ``least`` positives or more."""
 
+    @workers.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = {True: Counter(), False: Counter()}
@@ -98,7 +99,8 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: flo
 def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000, size: int = 8192, least: int = 4) -> tuple[dict[str, float], float]:
     """Weights by feature, and the intercept.
 
-    Fitted on a bounded sample of labelled rows (``positives``, ``unlabelled``); the class prior is the
+    Fitted on a bounded sample: ``positives`` labelled toxic, and ``unlabelled`` of the corpus, which a positive-unlabelled
+    risk needs as the mixture that it corrects; the class prior is the
     share of toxic labels among all labels outside the held-out third. Without any toxic label the
     weights are empty and every score is the prior.
     """
@@ -108,6 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     names = select_features(sample, size, least)
     at = {f: i for i, f in enumerate(names)}
 
+    @workers.released
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [sorted(at[f] for w in distinct_words(t) for f in features(w) if f in at) for t in batch.column(0).to_pylist()]
@@ -123,9 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
 def scorer(weights: dict[str, float], intercept: float):
     """A Column function: the probability that a whole text is toxic."""
 
-    @F.arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        workers.enter("toxicity")
+    @workers.released
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         find, get, known = _WORD.findall, weights.get, {}
         for texts in parts:
             z = np.full(len(texts), intercept)
@@ -142,6 +144,10 @@ def scorer(weights: dict[str, float], intercept: float):
                         z[i] += total
             yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())
 
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return scored(parts)
+
     return score
 
 

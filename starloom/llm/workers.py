@@ -1,38 +1,43 @@
-"""Memory of Python workers, which Spark reuses from one operator to the next."""
+"""Memory of Python workers, which Spark keeps for later tasks."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-_held: dict[str, Callable[[], None]] = {}
+#: Rows and bytes of texts that are handed to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
-def holds(name: str, release: Callable[[], None]) -> None:
-    """An operator keeps something between tasks; ``release`` lets go of it."""
-    _held[name] = release
+def released(task: Callable) -> Callable:
+    """A task's generator whose memory goes back to the system when the task ends, not when the worker does."""
 
+    @wraps(task)
+    def run(batches) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
 
-def enter(name: str) -> None:
-    """A task of an operator begins: what other operators have kept in this worker, and free memory, goes back to the system."""
-    for k in [k for k in _held if k != name]:
-        _held.pop(k)()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    return run
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
-    """Actions inside hand texts to Python in batches of at most ``rows``; the session's own setting comes back afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside hand texts to Python in small batches; the session's own settings come back afterwards."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
 from starloom.llm import templates, voronoi, warc
@@ -147,3 +148,108 @@ def test_archives_round_trip_and_magic_inside_payloads_is_rejected(spark, chunk)
 
 def test_no_pages_no_records(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+# --- op4: layouts and names ------------------------------------------------------------------------
+
+
+def extracted(spark, rows):
+    return {x.page_id: x.text for x in templates.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+
+
+def test_wrappers_named_like_surroundings_keep_the_article(spark):
+    r = random.Random(7)
+    say = lambda k: " ".join("".join(r.choice("hijklmn") for _ in range(5)) for _ in range(k))
+    rows, want = [], {}
+    for name in ("layout no-sidebar", "has-sidebar", "ad-free", "menu-open", "comment-enabled", "widget-area", "[&>p]:mt-2", "50%>x"):
+        for n in (1, 2, 3, 6):
+            for i in range(n):
+                blocks = [f"Heading {say(2)}", *(say(25) for _ in range(1 + i % 3))]
+                body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+                want[len(rows)] = "\n".join(blocks)
+                rows.append((len(rows), f"http://w{len(want) - i}.example/", f'<html><body><nav><a href="/">Home</a></nav><div class="{name}"><div class="post">{body}</div></div><footer>{say(3)}</footer></body></html>'))
+    assert extracted(spark, rows) == want
+
+
+LAYOUTS = {
+    "table": "<html><body><table><tr><td class='left'><a href=/a>One</a><a href=/b>Two</a></td><td class='text'>{}</td></tr></table></body></html>",
+    "form": "<html><body><form id='aspnetForm'><div class='menu'><a href=/>Start</a></div><div class='content'>{}</div><div class='comments'><p>A reader says {}.</p></div></form></body></html>",
+    "article": "<html><body><header><h2>Site</h2></header><main><article>{}<aside>An aside {}</aside></article><section class='related'><p>More to read {}</p></section></main></body></html>",
+}
+
+
+def test_more_layouts(spark):
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choice("opqrstu") for _ in range(5)) for _ in range(k))
+    rows, want = [], {}
+    for layout, page in LAYOUTS.items():
+        for i in range(9):
+            blocks = [say(3), *(say(30) for _ in range(1 if layout == "table" else 1 + i % 3))]
+            want[len(rows)] = "\n".join(blocks)
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+            rows.append((len(rows), f"http://{layout}.example/", page.format(body, say(2), say(2))))
+    assert extracted(spark, rows) == want
+
+
+def test_deep_pages_and_a_paragraph_that_most_articles_share(spark):
+    deep = "<html><body>" + "<div>" * 5000 + "<p>at the bottom</p>" + "</div>" * 5000 + "</body></html>"
+    assert extracted(spark, [(i, "http://deep.example/", deep.replace("bottom", f"bottom {i}")) for i in range(3)]) == {i: f"at the bottom {i}" for i in range(3)}
+    r = random.Random(9)
+    made = [site(i, r) for i in range(10)]
+    rows = [(i, "http://most.example/", p if i else p.replace("<p>Read our fixed closing words every time.</p>", "")) for i, (p, _) in enumerate(made)]
+    got = extracted(spark, rows)
+    assert got == {i: t + ("\nRead our fixed closing words every time." if i else "") for i, (_, t) in enumerate(made)}
+
+
+def test_pages_of_menus_alone_are_empty_and_doubts_never_empty_a_page(spark):
+    assert extracted(spark, [(1, "http://m.example/", "<nav>Home</nav><footer>x</footer>"), (2, "http://n.example/", "<div class='sidebar'><p>all there is</p></div>")]) == {1: "", 2: "all there is"}
+
+
+# --- op10: damage ----------------------------------------------------------------------------------
+
+
+def archives(spark, n=60, url="http://h.example/"):
+    pages = spark.createDataFrame([(i, f"{url}{i}", f"<p>page {i}</p>" * 40) for i in range(n)], PAGES).coalesce(1)
+    return warc.write_warc(warc.mark_revisits(pages).coalesce(1))
+
+
+def damaged(spark, files, change):
+    """The manifest of a changed copy of its one archive."""
+    row = files.collect()[0]
+    path = row.path.removeprefix("file://")
+    with open(path, "rb") as f:
+        data = bytearray(f.read())
+    data = change(data)
+    with open(path + ".bad", "wb") as f:
+        f.write(data)
+    return spark.createDataFrame([(row.path + ".bad", len(data), row.n_records)], files.schema)
+
+
+@pytest.mark.parametrize("chunk", [1000, 1 << 20])
+def test_damaged_archives_are_errors(spark, chunk):
+    files = archives(spark)
+    assert warc.read_warc(files, chunk).count() == 60
+
+    def lose_magic(data, at):
+        data[at : at + 4] = b"XXXX"
+        return data
+
+    magic = lambda data, k: [m.start() for m in re.finditer(rb"WARC/1\.1\r\n", data)][k]
+    for change in (lambda d: lose_magic(d, magic(d, 0)), lambda d: lose_magic(d, magic(d, 20)), lambda d: lose_magic(d, magic(d, 59)), lambda d: d[:-100], lambda d: d[: magic(d, 40)]):
+        with pytest.raises(ValueError):
+            warc.read_warc(damaged(spark, files, change), chunk).count()
+
+
+def test_long_addresses_are_whole_and_many_tasks_read(spark):
+    files = archives(spark, 30, "http://h.example/" + "a" * 100_000)
+    with open(files.first().path.removeprefix("file://"), "rb") as f:
+        assert f.read().count(b"a" * 100_000) == 30
+    read = warc.read_warc(files, 50_000)
+    assert read.count() == 30 and read.rdd.getNumPartitions() > 4
+    assert read.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_the_repository_pages_at_the_next_size(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    got = {x.page_id: x.text for x in templates.extract_main_text(pages).collect()}
+    assert got == {p.page_id: article(p.html) for p in pages.collect()}

@@ -7,56 +7,49 @@ import math
 import re
 from bisect import bisect_right
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The usual notice lines and opening paragraphs of common licenses.
-TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Released under CC0 1.0 Universal."],
-}
-#: A block is a candidate if it holds one of these (fixed values).
-TERMS = r"(?i)licen[sc]|copyright|creative commons|public domain|permission is hereby|redistribution and use|free software|\bcc[ -]?(?:by|0)\b|spdx"
+from starloom.llm.license_texts import TEMPLATES
+
+#: Between the words of a term: white space and what comments put at line ends and beginnings.
+_GAP = r"[\s*#/;>-]+"
+# A text without any of these holds no notice.
+TERMS = r"(?i)licen[sc]|copyright|creative_commons|creativecommons|public_domain|permission_(?:is_hereby|to_use)|redistribution_and_use|free_software|free_to_copy|permitted_to_copy|without_any_express|all_copies|as_is\b|\bcc[ -]?(?:by|0)\b|spdx".replace("_", _GAP)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_SPDX = re.compile(r"(?i:spdx-license-identifier):[ \t]*([A-Za-z0-9.+() \t-]+)")
+_SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class Wording(NamedTuple):
+    """A license's wording, its words, at which of them its terms begin, and a compressor that has it as raw dictionary."""
+
+    license: str
+    text: str
+    words: list[str]
+    distinct: frozenset
+    anchors: list[int]
+    compressor: zstandard.ZstdCompressor
+
+
 @lru_cache(maxsize=4)
-def _models(templates: tuple, level: int):
-    """(license, wording, its words, a compressor that has the wording as raw dictionary), and a plain compressor."""
+def _wordings(templates: tuple, level: int = 19) -> tuple[list[Wording], zstandard.ZstdCompressor]:
+    """All wordings, and a plain compressor."""
     out = []
-    for name, wordings in templates:
-        for wording in wordings:
-            raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, wording, words(wording), zstandard.ZstdCompressor(level=level, dict_data=raw, write_checksum=False, write_content_size=False)))
+    for name, texts in templates:
+        for text in texts:
+            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            starts = [m.start() for m in _WORD.finditer(text)]
+            at = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(TERMS, text)}) or [0]
+            out.append(Wording(name, text, words(text), frozenset(words(text)), at, zstandard.ZstdCompressor(level=level, dict_data=raw, write_checksum=False, write_content_size=False)))
     return out, zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
 
 
@@ -74,89 +67,90 @@ def wording_difference(block: list[str], wording: list[str]) -> tuple[list[str],
     return missing, extra
 
 
-def judge(block: str, templates: tuple, least_reduction: float, most_difference: float, level: int = 19) -> dict | None:
-    """The license of one block, or None.
-
-    Every wording is tried as raw dictionary; all with enough reduction are compared word by word, in order, and the one with the least difference wins if that is small enough and touches no number.
-    """
-    models, plain = _models(templates, level)
-    raw = block.encode()
-    alone = len(plain.compress(raw))
-    gains = sorted(((1 - len(c.compress(raw)) / alone, name, wording, w) for name, wording, w, c in models), key=lambda g: (-g[0], g[1], g[2]))
-    best = None
-    own = words(block)
-    for gain, name, wording, w in gains:
-        if gain < least_reduction:
-            break
-        missing, extra = wording_difference(own, w)
-        share = (len(missing) + len(extra)) / len(w)
-        if share <= most_difference and not any(c.isdigit() for x in missing for c in x) and (best is None or share < best["difference"]):
-            best = {"license": name, "reduction": round(gain, 6), "difference": round(share, 6), "missing": missing, "extra": extra, "wording": wording}
-    return best
-
-
-@lru_cache(maxsize=4)
-def _anchors(templates: tuple, level: int = 19) -> list[tuple]:
-    """(name, wording, its words, their set, at which of them its terms begin, compressor) of every wording."""
-    out = []
-    for name, wording, w, compressor in _models(templates, level)[0]:
-        starts = [m.start() for m in _WORD.finditer(wording)]
-        at = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(TERMS, wording)})
-        out.append((name, wording, w, set(w), at, compressor))
-    return out
+def _spdx(text: str, templates: tuple) -> list[tuple[int, int, dict]]:
+    """(start, end, notice) of every identifier of every SPDX line; an explicit tag needs no wording."""
+    _, plain = _wordings(templates)
+    found = []
+    for line in _SPDX.finditer(text):
+        for m in _SPDX_ID.finditer(text, line.start(1), line.end(1)):
+            if m[0] in ("AND", "OR", "WITH"):
+                continue
+            wording = f"SPDX-License-Identifier: {m[0]}"
+            raw = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            small = zstandard.ZstdCompressor(level=19, dict_data=raw, write_checksum=False, write_content_size=False).compress(wording.encode())
+            hit = {"block": line[0], "license": m[0], "reduction": round(1 - len(small) / len(plain.compress(wording.encode())), 6), "difference": 0.0, "missing": [], "extra": [], "wording": wording}
+            found.append((line.start(), line.end(), hit))
+    return found
 
 
-def notices_within(text: str, templates: tuple, least_reduction: float, most_difference: float, level: int = 19) -> list[tuple[int, int, dict]]:
-    """(start, end, notice) wherever in a text, in order: inside a long line, or wrapped over any number of lines.
+def notices_within(text: str, templates: tuple, least_reduction: float, most_difference: float) -> list[tuple[int, int, dict]]:
+    """(start, end, notice) wherever in a text, in order: lines, inside longer ones, or wrapped over any number of them.
 
-    A term of the text stands for each equal place of each wording; the words around it, as many as a wording
-    with the difference allowed can have, are aligned with it, and the reduction is that of what the wording covers.
+    A term of the text stands for each equal place of each wording; the candidate block is the words around it, as
+    many as the wording with the difference allowed can have. Blocks are compressed with each wording whose words they hold; those
+    that shrink enough, largest reduction first, are aligned with it word by word. Of those with a small enough difference that touches
+    no number, the wording that accounts for most words wins. The reduction returned is that of what the wording covers.
     """
+    found = _spdx(text, templates)
+    tagged = [(start, end) for start, end, _ in found]
     spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
     starts = [s[0] for s in spans]
-    plain, found, after = _models(templates, level)[1], [], 0
+    wordings, plain = _wordings(templates)
+    reach = max((len(w.words) for w in wordings), default=0)
+    reach += math.floor(most_difference * reach) + 1
+    after = 0
     for hit in re.finditer(TERMS, text):
-        if hit.start() < after or not spans:
+        if hit.start() < after or not spans or any(a <= hit.start() < b for a, b in tagged):
             continue
-        j, best = max(0, bisect_right(starts, hit.start()) - 1), None
-        for name, wording, w, _, offsets, compressor in _anchors(templates, level):
-            slack = math.floor(most_difference * len(w)) + 1
-            for o in offsets:
-                lo = max(bisect_right(starts, after - 1), j - o - slack)
-                block = [s[2] for s in spans[lo : j - o + len(w) + slack]]
+        j = max(0, bisect_right(starts, hit.start()) - 1)
+        around = {s[2] for s in spans[max(0, j - reach) : j + reach]}
+        free = bisect_right(starts, after - 1)
+        ranked = []
+        for w in wordings:
+            if len(w.distinct - around) > most_difference * len(w.words):
+                continue
+            slack = math.floor(most_difference * len(w.words)) + 1
+            for o in w.anchors:
+                lo, hi = max(free, j - o - slack), j - o + len(w.words) + slack
+                block = [s[2] for s in spans[lo : max(lo, hi)]]
                 have = set(block)
-                if sum(x in have for x in w) < (1 - most_difference) * len(w) - 1e-9:
-                    continue
-                missing, extra = wording_difference(block, w)
-                share = (len(missing) + len(extra)) / len(w)
-                if share > most_difference or any(c.isdigit() for x in missing for c in x):
+                if sum(x in have for x in w.words) < (1 - most_difference) * len(w.words) - 1e-9:
                     continue
-                same = [s for s in difflib.SequenceMatcher(None, block, w, autojunk=False).get_matching_blocks() if s.size]
-                start, last = spans[lo + same[0].a][0], lo + same[-1].a + same[-1].size - 1
-                end = spans[last][1]
-                if not start <= hit.start() < end:
-                    continue
-                if text[end : end + 1] and text[end] == wording[-1]:
-                    end += 1  # its full stop
-                raw = " ".join(text[start:end].split("\n"))
-                gain = 1 - len(compressor.compress(raw.encode())) / len(plain.compress(raw.encode()))
-                key = (share, -len(w), name, wording)
-                if gain >= least_reduction and (best is None or key < best[0]):
-                    best = (key, start, end, {"block": raw, "license": name, "reduction": round(gain, 6), "difference": round(share, 6), "missing": missing, "extra": extra, "wording": wording})
+                raw = text[spans[lo][0] : spans[lo + len(block) - 1][1]].encode()
+                gain = 1 - len(w.compressor.compress(raw)) / len(plain.compress(raw))
+                if gain >= least_reduction / 2:  # it holds words around the notice too
+                    ranked.append((gain, w, lo, block))
+        best = None
+        for _, w, lo, block in sorted(ranked, key=lambda r: (-r[0], r[1].license, r[1].text)):
+            missing, extra = wording_difference(block, w.words)
+            share = (len(missing) + len(extra)) / len(w.words)
+            if share > most_difference or any(c.isdigit() for x in missing for c in x):
+                continue
+            same = [s for s in difflib.SequenceMatcher(None, block, w.words, autojunk=False).get_matching_blocks() if s.size]
+            start, end = spans[lo + same[0].a][0], spans[lo + same[-1].a + same[-1].size - 1][1]
+            if not start <= hit.start() < end:
+                continue
+            if text[end : end + 1] == w.text[-1]:
+                end += 1  # its full stop
+            raw = " ".join(text[start:end].split("\n"))
+            gain = 1 - len(w.compressor.compress(raw.encode())) / len(plain.compress(raw.encode()))
+            key = (-len(w.words) * (1 - share), share, w.license, w.text)
+            if gain >= least_reduction and (best is None or key < best[0]):
+                best = (key, start, end, {"block": raw, "license": w.license, "reduction": round(gain, 6), "difference": round(share, 6), "missing": missing, "extra": extra, "wording": w.text})
         if best:
             found.append(best[1:])
             after = best[2]
-    return found
+    return sorted(found, key=lambda f: f[:2])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least_reduction: float = 0.3, most_difference: float = 0.15) -> DataFrame:
     """One row per confirmed license notice: doc_id, block_no, block, license, reduction, difference, missing, extra, wording.
 
-    A block is a line with a license term, or the run of up to eight lines that begins with it where the
-    notice is wrapped. Notices elsewhere - inside a longer line, several in a line, or wrapped over more or earlier
-    lines - are found by the words around each term; their block is what the wording covers. Texts without any term never leave the JVM; of the others the whole text is read.
+    ``block`` is what the wording covers, with line feeds as blanks; ``block_no`` is the number of the line in which it
+    begins, from 0. Texts without any term never leave the JVM; of the others the whole text is read.
 
-    Edge cases: null and empty texts have no block; repeated rows each give their rows; an empty table gives no row; other columns are ignored.
+    Edge cases: null and empty texts have no notice; a very long text is gone through term by term, each with a window of the
+    longest wording's size; repeated rows each give their rows; an empty table gives no row; other columns are ignored.
     """
     fixed = tuple((k, tuple(v)) for k, v in sorted(templates.items()))
     schema = "doc_id long, block_no long, block string, license string, reduction double, difference double, missing array<string>, extra array<string>, wording string"
@@ -165,32 +159,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     out = pa.schema([("doc_id", pa.int64()), ("block_no", pa.int64()), ("block", text), ("license", text), ("reduction", pa.float64()), ("difference", pa.float64()), ("missing", pa.list_(text)), ("extra", pa.list_(text)), ("wording", text)])
 
     def scan(batches):
-        term = re.compile(TERMS).search
         for batch in batches:
             found = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines, taken, blocks = text.split("\n"), -1, []
-                for i, line in enumerate(lines):
-                    if i <= taken or not term(line):
-                        continue
-                    for n in (1, 2, 3, 4, 6, 8):  # a wrapped notice goes on in the next lines
-                        if i + n > len(lines):
-                            break
-                        block = " ".join(lines[i : i + n]) if n > 1 else line
-                        hit = judge(block, fixed, least_reduction, most_difference)
-                        if hit:
-                            found.append({"doc_id": doc_id, "block_no": i, "block": block, **hit})
-                            taken = i + n - 1
-                            blocks.append((i, taken, hit["license"]))
-                            break
                 breaks = [m.start() for m in re.finditer("\n", text)]
-                for start, end, hit in notices_within(text, fixed, least_reduction, most_difference):
-                    i, last = bisect_right(breaks, start), bisect_right(breaks, end - 1)
-                    known = next((b for b in blocks if b[0] <= last and i <= b[1] and b[2] == hit["license"]), None)
-                    if known:
-                        blocks.remove(known)  # one notice a block; a second one in it is another
-                    else:
-                        found.append({"doc_id": doc_id, "block_no": i, **hit})
+                found += [{"doc_id": doc_id, "block_no": bisect_right(breaks, start), **hit} for start, _, hit in notices_within(text, fixed, least_reduction, most_difference)]
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=out)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.llm.names import unused
 from starloom.plans.durable import durable
 
 #: Most quantile entries (8 bytes each, all sources together) that are broadcast; beyond it the join is salted.
@@ -62,22 +63,23 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, exponent: float = 0.5
     shuffle_key, a hash of (seed, doc_id, copy_no), which is a uniform global order.
 
     Edge cases: a null source is a source of its own; a null text has size 0 plus 1; rows with equal
-    doc_id share a draw; an empty table gives no row; input columns named rate, copy_no or shuffle_key
+    doc_id share a draw; a very long text counts by its bytes like any other; an empty table gives no row; input columns named rate, copy_no or shuffle_key
     are replaced.
     """
     docs = docs.drop("rate", "copy_no", "shuffle_key")
-    tables = durable(poisson_tables(source_rates(docs, targets, exponent, epochs)), "mixing").select(F.col("source").alias("_source"), "rate", F.col("cdf").alias("_cdf"))
-    entries = tables.agg(F.sum(F.size("_cdf"))).first()[0] or 0
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    source, cdf, salt, salt2, n = unused([*docs.columns, "rate", "copy_no", "shuffle_key"], "_source", "_cdf", "_salt", "_salt2", "_n")
+    tables = durable(poisson_tables(source_rates(docs, targets, exponent, epochs)), "mixing").select(F.col("source").alias(source), "rate", F.col("cdf").alias(cdf))
+    entries = tables.agg(F.sum(F.size(cdf))).first()[0] or 0
+    same = F.col("source").eqNullSafe(F.col(source))
     if entries <= BROADCAST_ENTRIES:
         joined = docs.join(F.broadcast(tables), same)
     else:  # salted: no task gets all rows of a source
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        copies = tables.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, same & (F.col("_salt") == F.col("_salt2"))).drop("_salt", "_salt2")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        copies = tables.withColumn(salt2, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, same & (F.col(salt) == F.col(salt2))).drop(salt, salt2)
     u = unit_hash(F.lit(seed), F.col("doc_id"))
-    counted = joined.withColumn("_u", u).withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).drop("_cdf", "_source", "_u")
-    copies = counted.where(F.col("_n") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    counted = joined.withColumn(n, F.size(F.filter(cdf, lambda c: c < u))).drop(cdf, source)
+    copies = counted.where(F.col(n) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
     key = F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no"))
     return copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
 

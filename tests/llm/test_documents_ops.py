@@ -1,5 +1,6 @@
 """Operators over documents against brute force, and on edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -93,6 +94,29 @@ def test_written_shards_prune(spark, documents):
     assert bounds.count() == 8 and bounds.where("max_source < 's4'").count() >= 1
 
 
+def test_values_with_a_common_beginning_prune_too(spark, documents):
+    docs = documents([(i, "y") for i in range(900)], source=lambda i: f"https://common-crawl.example/segment-{i % 3}/" + "x" * 50 + str(i % 3), extra=False)
+    _, bounds = sharding.write_shards(docs, shards=9, dimensions=["source", "lang"])
+    assert bounds.where("min_source = max_source").count() >= 7
+    assert len(set(sharding.text_cuts(docs, "source", 64))) == 3 and sharding.text_cuts(docs.where("doc_id < 0"), "source", 64) == []
+
+
+def test_cuts_of_text_are_its_quantiles(spark, documents):
+    r = random.Random(21)
+    values = [f"v{min(int(r.expovariate(0.02)), 300):04d}" for _ in range(3000)]
+    docs = documents([(i, "y") for i in range(3000)] + [(3000, None)], source=lambda i: values[i] if i < 3000 else None)
+    order = sorted(values)
+    assert sharding.text_cuts(docs, "source", 16) == [order[math.ceil(3000 * k / 16) - 1] for k in range(1, 16)]
+
+
+def test_names_of_working_columns_may_be_taken(spark, documents):
+    docs = documents([(i, "text " * (i % 5)) for i in range(200)], source=lambda i: f"s{i % 3}")
+    odd = docs.selectExpr("*", "1 AS _source", "2 AS _n", "3 AS _u", "4 AS _cdf", "5 AS _salt", "6 AS _part", "7 AS _place", "8 AS _start", "9 AS _SALT2")
+    for made in (mixing.mix(odd), sharding.hilbert_shards(odd, 7)):
+        assert set(odd.columns) - {"shard", "rank"} <= set(made.columns) and made.selectExpr("sum(_source)", "max(_start)").first()[1] == 8
+    assert mixing.mix(odd).count() == mixing.mix(docs).count()
+
+
 # --- op3 -------------------------------------------------------------------------------------------
 
 
@@ -203,6 +227,32 @@ def test_every_notice_line_is_found(spark, sf_dir):
     assert got == want and want
 
 
+def test_licenses_wrapped_commented_changed_and_tagged(spark, documents):
+    mit, bsd, isc = (licenses.TEMPLATES[k][-1] for k in ("MIT", "BSD-2-Clause", "ISC"))
+    wrap = lambda t, n, prefix: "\n".join(prefix + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        (1, "/*\n" + wrap(mit, 6, " * ") + "\n */\nint main;"),
+        (2, "# Copyright (c) 2020 Someone\n" + wrap(bsd, 2, "# ") + "\nimport os"),
+        (3, wrap(isc, 9, "// ")),
+        (4, "// SPDX-License-Identifier: MIT OR Apache-2.0\ncode"),
+        (5, wrap(mit.replace("Software", "Program"), 8, "")),  # other words in many places: over the difference allowed
+        (6, wrap(bsd.replace("COPYRIGHT HOLDERS", "REGENTS"), 8, "")),
+        (7, "All rights reserved. Copyright by the authors, no copies without permission."),
+        (8, "See https://creativecommons.org/licenses/by-nc-sa/4.0/ for terms."),
+        (9, "Licensed under the European Union Public Licence, version 1.1."),
+    ]
+    got = sorted((x.doc_id, x.license, x.block_no) for x in licenses.scan_licenses(documents(rows)).collect())
+    assert got == [(1, "MIT", 1), (2, "BSD-2-Clause", 1), (3, "ISC", 0), (4, "Apache-2.0", 0), (4, "MIT", 0), (5, "MIT", 0), (6, "BSD-2-Clause", 0), (8, "CC-BY-NC-SA-4.0", 0)]
+
+
+def test_every_wording_is_its_own_license(spark, documents):
+    """Wordings that several licenses open with go to the one that is listed for them."""
+    every = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    rows = [(i, f"Some words before.\n{text}\nSome words after.") for i, (_, text) in enumerate(every)]
+    got = {x.doc_id: x.license for x in licenses.scan_licenses(documents(rows)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(every)}
+
+
 # --- op6 -------------------------------------------------------------------------------------------
 
 

@@ -120,6 +120,19 @@ def test_bounds_prune_separate_clusters(spark):
     assert {tuple(x) for x in voronoi.top_k(vectors(spark, rows), pivots=8, sample=400).collect()} == brute(rows)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    r = np.random.default_rng(6)
+    rows = [(i // 2, [float(x) for x in r.normal(size=6)]) for i in range(240)] + [(40, [3.0] * 6), (40, [3.0] * 6)]
+    want = []
+    q = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    for n, (i, a) in enumerate(q):
+        if i % 20 == 0:
+            s = sorted((-int(a @ b), j) for m, (j, b) in enumerate(q) if m != n)[:20]
+            want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(s)]
+    got = [tuple(x) for x in voronoi.top_k(vectors(spark, rows).repartition(3), pivots=4, sample=60, block=50).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- op10 ------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         after = durable(small, "edges")
-        same = lambda d: d.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        same = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         done = same(after) == same(now)
         now = after
         if done:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from math import comb
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm import shingles, workers
 from starloom.llm.components import connected_components
+from starloom.llm.skew import LEAST, parts_of, spread_join, with_parts
 from starloom.plans.durable import durable
 
 #: Values kept of each set.
@@ -22,6 +24,8 @@ MISS = 1e-9
 BROADCAST_IDS = 500_000
 #: Longest list whose members are tried pair by pair; the members of longer ones go by lists over their full sets.
 SHORT = 16
+#: Members of a list that one task pairs with its others.
+PART = 2_000
 
 
 @lru_cache
@@ -81,22 +85,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(kept: DataFrame, least) -> DataFrame:
-    """(value, id, n, weight, place): each set under the rarest of its values that a linked set must share.
+    """(value, id, n, weight, place, parts): each set under the rarest of its values that a linked set must share.
 
     Two sets that share c of their values share one of the first (kept - c + 1) of either in any common
     order; ``least`` is c. In the order of rarity those are seldom values of passages that many documents
     share, whose lists would be long. Values of one set alone have no list. ``weight`` is the length of
-    all the set's lists together, which is large for the middle of a group of copies.
+    all the set's lists together, which is large for the middle of a group of copies; ``parts`` is the number of tasks
+    that a list is dealt to.
     """
-    frequency = kept.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    frequency = durable(kept.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
+    parts = parts_of(frequency, "value", "df", frequency.agg(F.sum("df")).first()[0] or 0)
     own = Window.partitionBy("id")  # at most the values of one set
     return (
-        kept.join(frequency, "value")
+        spread_join(with_parts(kept, "value", parts), with_parts(frequency, "value", parts), "value", by="id")
         .withColumn("alone", F.col("kept") - F.count("*").over(own))
         .withColumn("weight", F.sum("df").over(own))
         .withColumn("place", F.row_number().over(own.orderBy("df", "value")) + F.col("alone"))
         .where(F.col("place") <= F.col("kept") - least + 1)
-        .select("value", "id", "n", "weight", "place")
+        .select("value", "id", "n", "weight", "place", "parts")
     )
 
 
@@ -117,14 +123,32 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def with_estimate(pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> dict[str, DataFrame | None]:
+    """For both ends of pairs (a written table) the ids in very many of them, with the tasks that these are dealt to."""
+    total = pairs.count()
+    counts = {x: pairs.groupBy(x).agg(F.count("*").alias("n_pairs")) for x in "ab"}
+    return {x: parts_of(counts[x], x, "n_pairs", total) if total > LEAST else None for x in "ab"}
+
+
+def _with_sides(pairs: DataFrame, ends: dict, sides: DataFrame, name: str) -> DataFrame:
+    """(a, b) with the ``name`` of both ids (sides: id, ``name``) as ``{name}a`` and ``{name}b``.
+
+    The centre of a group of copies is in as many pairs as the group has members: its side is copied to several
+    tasks, and its pairs are dealt to them.
+    """
+    for end, other in ("ab", "ba"):
+        side = sides.select(F.col("id").alias(end), F.col(name).alias(f"{name}{end}"))
+        pairs = spread_join(with_parts(pairs, end, ends[end]), with_parts(side, end, ends[end]), end, by=other).drop("parts")
+    return pairs
+
+
+def with_estimate(pairs: DataFrame, ends: dict, reps: DataFrame, k: int) -> DataFrame:
     """Add ``estimate`` to (a, b): the share of the union's k smallest hashes that both sets hold."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     # Hashes are stored signed; flipping the top bit puts them back in unsigned order.
     order = lambda s: F.transform(s, lambda v: v.bitwiseXOR(F.lit(-(1 << 63))))
-    lowest = F.slice(F.array_sort(order(F.array_union("sa", "sb"))), 1, k)
-    both = F.size(F.array_intersect(lowest, order(F.array_intersect("sa", "sb"))))
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("estimate", both / F.size(lowest)).drop("sa", "sb")
+    lowest = F.slice(F.array_sort(order(F.array_union("sketcha", "sketchb"))), 1, k)
+    both = F.size(F.array_intersect(lowest, order(F.array_intersect("sketcha", "sketchb"))))
+    return _with_sides(pairs, ends, reps.select("id", "sketch"), "sketch").withColumn("estimate", both / F.size(lowest)).drop("sketcha", "sketchb")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,21 +157,24 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, ends: dict, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    The pair's sets meet through two joins, so no group of pairs is gathered in a task.
+    The pair's sets meet through two joins, so no group of pairs is gathered in a task. Rows that repeat a doc_id
+    have one of their sets.
     """
     needed = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = durable(full_sets(_only(docs, needed), width), "sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("values").alias(f"v{x}"))
-    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("i", F.size(F.array_intersect("va", "vb")).cast("long"))
-    return met.where(100 * F.col("i") >= percent * (F.size("va") + F.size("vb") - F.col("i"))).select("a", "b").distinct()
+    sets = full_sets(_only(docs, needed), width).select(F.col("doc_id").alias("id"), "values").dropDuplicates(["id"])
+    met = _with_sides(pairs.select("a", "b"), ends, durable(sets, "sets"), "values").withColumn("i", F.size(F.array_intersect("valuesa", "valuesb")).cast("long"))
+    return met.where(100 * F.col("i") >= percent * (F.size("valuesa") + F.size("valuesb") - F.col("i"))).select("a", "b").distinct()
 
 
-def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label): the component of each id under ``links``, itself if it has none."""
-    return ids.join(connected_components(links), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after more links: only the labels that these join are gone through again."""
+    end = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+    between = links.join(end("a"), "a").join(end("b"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    moved = connected_components(between).select(F.col("id").alias("label"), "component")
+    return labels.join(moved, "label", "left").select("id", F.coalesce("component", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = SKETCH) -> DataFrame:
@@ -166,6 +193,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     4. Pairs first pass set sizes and the union-sketch estimate (with a slack that makes the loss of a
        true link below ``MISS``), then the exact similarity of their full sets.
 
+    Every join that a common value, a large group of equal sets or the centre of a large group takes part in is dealt over
+    as many tasks as its rows ask for (``skew.spread_join``).
+
     Edge cases: null and empty texts, and texts without words, have an empty set and no link; a document
     of fewer than ``width`` words has its whole sequence as one shingle; rows that repeat a doc_id share
     their links; a null doc_id has no links and is kept; an empty table gives no row; other columns
@@ -174,57 +204,74 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     similarity = percent / 100
     with workers.small_batches(docs.sparkSession):
         made = durable(sketches(docs, width, k), "sketches")
-    classes = durable(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id")), "classes")
+    classes = durable(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_print")), "classes")
     member = made.select("doc_id", "n", "print")
     reps = durable(made.join(classes, (made["print"] == classes["print"]) & (made["doc_id"] == classes["id"])).select("id", "n", "sketch"), "representatives")
     lists = durable(sketch_lists(reps, similarity, k), "lists")
     least = least_overlap(k, similarity) / k
-    links = tried = labels = None
+    tried = None
+    labels = durable(lists.select("id").distinct().withColumn("label", F.col("id")), "labels")
 
     def settle(pairs: DataFrame) -> None:
-        """Verify pairs of representatives and bring links and labels up to date."""
-        nonlocal links, tried, labels
-        new = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        fit = durable(with_estimate(new, reps, k).where(F.col("estimate") >= least).select("a", "b").distinct(), "pairs")
-        found = durable(confirm(fit, docs, width, percent), "links")
-        links = found if links is None else links.union(found)
+        """Verify pairs of representatives and bring the labels up to date."""
+        nonlocal tried, labels
+        new = durable(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "met")
+        if not new.head(1):
+            return
+        ends = _ends(new)
+        fit = durable(with_estimate(new, ends, reps, k).where(F.col("estimate") >= least).select("a", "b").distinct(), "pairs")
         tried = fit if tried is None else tried.union(fit)
-        labels = durable(_labelled(lists.select("id").distinct(), links), "labels")
+        if not fit.head(1):
+            return
+        labels = durable(_joined(labels, durable(confirm(fit, ends, docs, width, percent), "links")), "labels")
 
     def open_lists(all_lists: DataFrame) -> DataFrame:
         """Lists that still hold more than one component, with their lengths."""
         now = all_lists.join(labels, "id")
-        several = now.groupBy("value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("length")).where("l1 < l2").select("value", "length")
-        return durable(now.join(several, "value"), "open")
+        several = now.groupBy("value").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("length"), F.max("parts").alias("parts")).where("l1 < l2").select("value", "length", "parts")
+        return durable(spread_join(now, several, "value", by="id"), "open")
 
     def star(all_lists: DataFrame) -> DataFrame:
         """Each list's most central member with each other member."""
-        centre = all_lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("top")).select("value", (-F.col("top.minus")).alias("centre"), F.col("top.n").alias("n_centre"))
-        met = all_lists.join(centre, "value").where((F.col("id") != F.col("centre")) & _sizes_fit("n", "n_centre", percent))
+        top = all_lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("top"), F.max("parts").alias("parts"))
+        centre = top.select("value", (-F.col("top.minus")).alias("centre"), F.col("top.n").alias("n_centre"), "parts")
+        met = spread_join(all_lists, centre, "value", by="id").where((F.col("id") != F.col("centre")) & _sizes_fit("n", "n_centre", percent))
         return met.select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b"))
 
     def across(rest: DataFrame, whole: bool) -> DataFrame:
         """Pairs of a list's members in different components.
 
-        In lists over whole sets, a pair for which this is the first common value has at most what follows
-        the value in either set in common, and is left out where that is too little for a link.
+        Members meet by classes of size, as linked sets are of one class or of two next to each other, and the members of a
+        long list are dealt over several tasks, to each of which the others are copied. In lists over whole sets, a pair for
+        which this is the first common value has at most what follows the value in either set in common, and is left out
+        where that is too little for a link.
         """
-        one, two = (rest.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label", "place"))) for x in "ab")
+        size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / similarity) + 1e-9)).cast("long")
+        tasks = F.ceil(F.col("length") / PART)
+        one = rest.withColumn("size", size).withColumn("part", F.pmod(F.xxhash64("id"), tasks))
+        two = rest.withColumn("size", F.explode(F.array(size - 1, size, size + 1))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)))
+        one, two = (side.select("value", "size", "part", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label", "place"))) for side, x in ((one, "a"), (two, "b")))
         fit = (F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit("n_a", "n_b", percent)
         if whole:
             most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
             fit &= (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-        return one.join(two, "value").where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        return one.join(two, ["value", "size", "part"]).where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
     settle(star(lists))
     rest = open_lists(lists)
     settle(across(rest.where(F.col("length") <= SHORT), whole=False))
     long = durable(rest.where(F.col("length") > SHORT).select(F.col("id").alias("doc_id")).distinct(), "long")
-    fine = durable(full_lists(full_sets(_only(docs, long), width), percent), "full-lists")
-    settle(star(open_lists(fine)))
-    settle(across(open_lists(fine), whole=True))
-    names = classes.join(labels, "id", "left").select("print", F.coalesce("label", "id").alias("component"))
-    out = member.join(names, "print", "left")
+    if long.head(1):
+        fine = durable(full_lists(full_sets(_only(docs, long), width), percent), "full-lists")
+        settle(star(open_lists(fine)))
+        settle(across(open_lists(fine), whole=True))
+    n_equal = parts_of(classes, "id", "n_print", made.count())
+    names = with_parts(classes.join(labels, "id", "left").select("print", "id", F.coalesce("label", "id").alias("component")), "id", n_equal).drop("id")
+    if n_equal is None:
+        out = member.join(names.drop("parts"), "print", "left")
+    else:  # the rows of a large class are dealt over several tasks
+        hot = F.broadcast(classes.join(F.broadcast(n_equal), "id").select("print", "parts"))
+        out = spread_join(member.join(hot, "print", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))), names, "print", by="doc_id", how="left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

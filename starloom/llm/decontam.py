@@ -24,6 +24,8 @@ from starloom.plans.durable import durable
 STRIDE = 16
 #: Most words of benchmark text that one pass over the corpus looks for; larger benchmarks take several.
 BLOCK_WORDS = 100_000
+#: Partial sums over the corpus, at most, where there are fewer than half as many cores.
+SUM_TASKS = 512
 
 
 class Items:
@@ -32,7 +34,8 @@ class Items:
     def __init__(self, ids: list, texts: list[str], answers: list[str | None]):
         def hashed(values: list[str]) -> list[np.ndarray]:
             data, offsets = shingles.text_bytes(pa.array(values, pa.large_string()))
-            h, owner = shingles.word_hashes(data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], shingles.PUNCTUATION)
+            data = shingles.folded(data[offsets[0] : offsets[-1]])
+            h, owner = shingles.word_hashes(data, offsets[:-1] - offsets[0], shingles.letters(data))
             return [h[owner == i] for i in range(len(values))]
 
         words = hashed(texts)
@@ -41,20 +44,38 @@ class Items:
         self.ids, self.words, self.told = [ids[i] for i in keep], [words[i] for i in keep], [told[i] for i in keep]
         self.vocabulary = np.unique(np.concatenate(self.words)) if keep else np.empty(0, np.uint64)
 
-    def matrix(self, weight: np.ndarray) -> np.ndarray:
-        """A unit TF-IDF row for each item."""
-        rows = np.zeros((len(self.words), len(self.vocabulary)))
-        for i, w in enumerate(self.words):
-            np.add.at(rows[i], np.searchsorted(self.vocabulary, w), 1)
-        rows *= weight
-        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    def rows(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit TF-IDF rows, sparse: where each item's entries begin, their words, their values."""
+        terms, values = [], []
+        for w in self.words:
+            at, n = np.unique(np.searchsorted(self.vocabulary, w), return_counts=True)
+            value = n * weight[at]
+            terms.append(at)
+            values.append(value / max(np.linalg.norm(value), 1e-12))
+        return np.cumsum([0, *map(len, terms[:-1])]), np.concatenate(terms), np.concatenate(values)
+
+
+def _times(rows: tuple, dense: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix."""
+    starts, terms, values = rows
+    return np.add.reduceat(dense[terms] * values[:, None], starts, axis=0)
+
+
+def _add_transposed(rows: tuple, y: np.ndarray, total: np.ndarray) -> None:
+    """Add the transpose of sparse rows times ``y`` to ``total``."""
+    starts, terms, values = rows
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+    order = np.argsort(terms, kind="stable")
+    ends = np.flatnonzero(np.diff(terms[order], prepend=-1))
+    total[terms[order][ends]] += np.add.reduceat(y[owner[order]] * values[order][:, None], ends, axis=0)
 
 
 def _passage_words(texts: pa.Array, vocabulary: np.ndarray) -> Iterator[tuple]:
     """Per slice of texts: (first text, word hashes, owner, place in its text, vocabulary index or -1)."""
     data, offsets = shingles.text_bytes(texts)
     for lo, hi in shingles.slices(offsets):
-        h, owner = shingles.word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], shingles.PUNCTUATION)
+        part = shingles.folded(data[offsets[lo] : offsets[hi]])
+        h, owner = shingles.word_hashes(part, offsets[lo:hi] - offsets[lo], shingles.letters(part))
         if not len(h):
             continue
         counts = np.bincount(owner, minlength=hi - lo)
@@ -89,6 +110,11 @@ def tree_sum(parts: DataFrame, length: int) -> np.ndarray:
     return sum((np.frombuffer(r.blob, np.float64) for r in rows), np.zeros(length))
 
 
+def _few_tasks(docs: DataFrame) -> DataFrame:
+    """The same rows in tasks that are long where there are many: each task leaves one partial sum, however many splits the files have."""
+    return docs.coalesce(max(SUM_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def passage_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
     """In how many passages each vocabulary word occurs; the last entry is the number of passages."""
     size = len(vocabulary.value)
@@ -105,10 +131,10 @@ def passage_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
                 total[size] += len(firsts)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.large_binary())], ["blob"])
 
-    return tree_sum(docs.mapInArrow(count, "blob binary"), size + 1)
+    return tree_sum(_few_tasks(docs).mapInArrow(count, "blob binary"), size + 1)
 
 
-def latent_basis(docs: DataFrame, vocabulary, weight: np.ndarray, items: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
+def latent_basis(docs: DataFrame, vocabulary, weight: np.ndarray, items: tuple, rank: int, seed: int = 7) -> np.ndarray:
     """(vocabulary, rank) basis of the corpus by a randomised SVD with one pass over all passages.
 
     With A the TF-IDF matrix of all passages and test vectors O, tasks add up A'(A O); the Nystrom form
@@ -140,8 +166,8 @@ def latent_basis(docs: DataFrame, vocabulary, weight: np.ndarray, items: np.ndar
                 z[at[order][ends]] += np.add.reduceat(y[row[order]], ends, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.large_binary())], ["blob"])
 
-    z = tree_sum(docs.mapInArrow(multiply, "blob binary"), size * width).reshape(size, width) * weight[:, None]
-    z += items.T @ (items @ test)
+    z = tree_sum(_few_tasks(docs).mapInArrow(multiply, "blob binary"), size * width).reshape(size, width) * weight[:, None]
+    _add_transposed(items, _times(items, test), z)
     q, _ = np.linalg.qr(z)  # O'Z is the quadratic form of A'A on the test vectors
     core = test.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -197,7 +223,7 @@ def telling_words(items: Items, answers: list[set], df: np.ndarray, sure: float,
 def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float) -> DataFrame:
     spark = docs.sparkSession
     # A passage's cosine with an item, both as long as they are outside the latent space, over the item's own.
-    targets = items.matrix(weight) @ basis
+    targets = _times(items.rows(weight), basis)
     targets /= np.maximum((targets * targets).sum(axis=1, keepdims=True), 1e-6)
     squares = weight**2
     terms = [np.unique(np.searchsorted(items.vocabulary, w)) for w in items.words]
@@ -318,7 +344,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
     one, else its five rarest words). Words in more than ``most`` of all passages weigh nothing, but for the
     eight rarest of each item. Every document is read whole, and all passages count.
 
-    Edge cases: null and empty texts have no passage; an empty benchmark, or one without words, finds
+    Words are runs of letters and digits, case aside (Latin, Greek, Cyrillic); typographic marks are no letters.
+
+    Edge cases: null and empty texts have no passage; very long texts are gone through in slices that end with a text; a null
+    doc_id is kept as null; an empty benchmark, or one without words, finds
     nothing; repeated documents each have their rows; equal items are each found; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -334,7 +363,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
             at = np.unique(np.searchsorted(items.vocabulary, w))
             rare[at[np.argsort(df[at], kind="stable")[:8]]] = True
         weight = np.where((df <= max(most * n, 5)) | rare, np.maximum(weight, 1e-3), 0.0)
-        basis = latent_basis(docs, vocabulary, weight, items.matrix(weight), rank)
+        basis = latent_basis(docs, vocabulary, weight, items.rows(weight), rank)
         hits = _search(docs, items, vocabulary, df, weight, basis, cosine, overlap, sure, likely, answer)
         found = hits if found is None else found.union(hits)
     if found is None:

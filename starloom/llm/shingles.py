@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
+#: Bytes from which on a word is hashed on its own.
+LONG = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -17,8 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-#: Everything but ASCII letters and digits and the bytes of other characters.
-PUNCTUATION = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
+_ASCII_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -37,12 +38,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word of texts that lie one after another in ``data`` (lower-cased A-Z; words are runs without ``blank`` bytes)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word of texts that lie one after another in ``data`` (lower-cased A-Z).
+
+    Words are runs of bytes for which ``word`` is true; without it, runs without white space. Polynomials modulo 2**64 are told
+    apart safely while short; words over ``LONG`` bytes have a cryptographic hash.
+    """
     n = len(data)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = ~blank[data]
+    if word is None:
+        word = ~_BLANK[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a text's first byte follows nothing
     begins = word.copy()
@@ -53,7 +59,40 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLAN
     terms = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n)
     total = np.cumsum(terms, dtype=np.uint64)
     h = (total[e] - total[s] + terms[s]) * _power("down", _INVERSE, n)[s]
-    return _mix(h + (e - s).astype(np.uint64) * _C1), np.searchsorted(offsets, s, "right") - 1
+    h = _mix(h + (e - s).astype(np.uint64) * _C1)
+    for i in np.flatnonzero(e - s >= LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[s[i] : e[i] + 1]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(offsets, s, "right") - 1
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to words: ASCII letters and digits, and other characters but typographic punctuation."""
+    word = _ASCII_WORD[data]
+    n = len(data)
+    for lead, length, first, last in ((0xC2, 2, 0xA0, 0xBF), (0xE2, 3, 0x80, 0x81), (0xE3, 3, 0x80, 0x80)):  # U+00A0-00BF, U+2000-207F, U+3000-303F
+        at = np.flatnonzero(data == lead)
+        at = at[at + length <= n]
+        at = at[(data[at + 1] >= first) & (data[at + 1] <= last)]
+        if lead == 0xC2:
+            at = at[~np.isin(data[at + 1], (0xAA, 0xB5, 0xBA))]  # letters among them
+        for k in range(length):
+            word[at + k] = False
+    return word
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 text with the capitals of Latin-1, Greek and Cyrillic in lower case (A-Z are folded by ``word_hashes``)."""
+    data = data.copy()
+    end = len(data) - 1
+    # lead byte, first and last second byte of the capitals, steps of both bytes to the small letters
+    for lead, first, last, up, step in ((0xC3, 0x80, 0x9E, 0, 32), (0xCE, 0x91, 0x9F, 0, 32), (0xCE, 0xA0, 0xAB, 1, -32), (0xD0, 0x90, 0x9F, 0, 32), (0xD0, 0xA0, 0xAF, 1, -32), (0xD0, 0x80, 0x8F, 1, 16)):
+        at = np.flatnonzero(data == lead)
+        at = at[at < end]
+        second = data[at + 1]
+        at = at[(second >= first) & (second <= last) & ~((lead == 0xC3) & (second == 0x97))]  # a multiplication sign is no letter
+        data[at] += np.uint8(up)
+        data[at + 1] = (data[at + 1].astype(np.int64) + step).astype(np.uint8)
+    return data
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

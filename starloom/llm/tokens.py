@@ -145,6 +145,12 @@ class Encoder:
             lo = hi
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for a worker: the vocabulary takes as long to load as megabytes of text to encode. What it remembers goes with each task."""
+    return Encoder(path)
+
+
 @lru_cache(maxsize=2)
 def _dictionary(uri: str, digest: str) -> zstandard.ZstdCompressionDict:
     with files.open_random(uri) as f:
@@ -194,7 +200,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: i
     def write(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         width = encoder.kind.itemsize
         end = np.asarray([end_id], encoder.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, digest), write_content_size=True)
@@ -213,6 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: i
             out.write(valid.astype("u1").tobytes() + b"".join(c.astype("<i8").tobytes() for c in columns))
             out.write(np.asarray([at, len(entries)], "<u8").tobytes() + MAGIC)
             out.close()
+            encoder.forget()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(entries), "n_tokens": int(columns[3].sum())}])
 
     schema = "part long, path string, n_docs long, n_tokens long"

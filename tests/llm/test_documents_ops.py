@@ -13,7 +13,7 @@ from conftest import EDGE
 from tokenizers import Tokenizer
 
 from starloom.functions.tables import table
-from starloom.llm import decontam, licenses, mixing, neardup, sharding, shingles, tokens, toxicity
+from starloom.llm import decontam, licenses, mixing, neardup, sharding, shingles, skew, tokens, toxicity
 from starloom.llm.components import connected_components
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -168,6 +168,39 @@ def test_items_of_any_length_and_number_of_copies_are_found(spark, documents):
     assert want <= got and {x for x in got if x[1] <= 3} == want
 
 
+def test_case_and_typographic_marks_hide_no_copy(spark, documents):
+    item = "Élan vital über große Straßen und Ωμέγα Ёлка seven eight nine ten"
+    rows = [(1, "before “" + item.upper().replace("SS", "ß") + "” after"), (2, "x «" + item.lower() + "» y"), (3, item.replace(" ", "\u2009")), (4, "other words stand here and there")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {x.doc_id for x in decontam.contaminated(documents(rows), bench).collect()} == {1, 2, 3}
+
+
+def test_recall_of_paraphrases_against_all_pairs(spark, documents):
+    """Items with three of ten words replaced, held against the rule tried on every pair."""
+    r = random.Random(15)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(4000)]
+    items = [prose(r, r.randint(12, 90), pool).split() for _ in range(80)]
+    rows = []
+    for i in range(240):
+        w = [x if r.random() > 0.3 else r.choice(pool) for x in items[i % 80]] if i % 3 else []
+        rows.append((i, " ".join([prose(r, r.randint(5, 80), pool), *w, prose(r, r.randint(5, 80), pool)])))
+    bench = spark.createDataFrame([(k, " ".join(w), " ".join(w[:2])) for k, w in enumerate(items)], "item_id long, text string, answer string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(documents(rows), bench).collect()}
+    want = set()
+    for i, t in rows:
+        text = t.split()
+        for k, w in enumerate(items):
+            masks = {}
+            for at, x in enumerate(w):
+                masks[x] = masks.get(x, 0) | 1 << at
+            for lo in range(0, len(text), 16):
+                region = text[max(0, lo - len(w)) : lo + 32 + len(w)]
+                n = decontam.common_subsequence(masks, len(w), region)
+                if n >= 0.8 * len(w) or (n >= 0.6 * len(w) and {*w[:2]} <= set(region)):
+                    want.add((i, k))
+    assert want and len(got & want) >= 0.9 * len(want) and got <= want
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(200):
@@ -284,6 +317,28 @@ def test_one_document_by_the_index(spark, documents):
         tokens.read_document(manifest[0][1], (dictionary[0], "0" * 64), 5)
 
 
+def test_other_vocabularies_go_whole_through_the_tokenizer(spark, documents):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(i, f"Document {i}, with  some words.") for i in range(40)]
+    t, want, start = Tokenizer.from_file(path), [], 0
+    for i, text in rows:
+        ids = t.encode(text, add_special_tokens=False).ids + [7]
+        want.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokens.token_output(documents(rows), path, end_id=7).collect())) == want
+
+
+def test_pieces_that_end_texts_and_a_small_memory(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(tokens, "SLICE", 3000)
+    r = random.Random(14)
+    texts = [" ".join(r.choice(["one", "two,", "three.\nFour", "é", "12", "x-y", "'s", "end\n", ""]) for _ in range(r.randint(0, 40))) for _ in range(400)] + ["a\n", "a ", "\n", " ", "a b\n", "a \n"]
+    encoder, t = tokens.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # --- op7 -------------------------------------------------------------------------------------------
 
 
@@ -332,6 +387,14 @@ def test_near_duplicates_equal_brute_force(spark, documents, monkeypatch, short)
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_with_every_large_key_split(spark, documents, monkeypatch):
+    for module in (neardup, skew):
+        monkeypatch.setattr(module, "LEAST", 3)
+    monkeypatch.setattr(neardup, "PART", 3)
+    rows = near_copies(6, n=15, group=25)
+    assert {tuple(x) for x in neardup.near_duplicates(documents(rows)).collect()} == brute_components(rows)
+
+
 def test_near_duplicates_of_the_small_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = {tuple(x) for x in neardup.near_duplicates(docs).collect()}

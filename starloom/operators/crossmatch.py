@@ -76,19 +76,24 @@ def neighbour_context(candidates: DataFrame, pool: DataFrame, radius_deg: float
 
 
 def catalog_overlap(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
-    """(c1, c2, matches, fraction): rows of c1 with a match in c2, over the smaller catalog; c1 < c2."""
+    """(c1, c2, matches, fraction) of every two catalogs, c1 < c2: rows of c1 with a match in c2, over the smaller catalog; 0 where none has."""
     named = stars.select("source_id", "ra", "dec", normalize_catalog("catalog_source", "UNKNOWN").alias("catalog"))
     size = named.groupBy("catalog").agg(F.count("*").alias("n"))
-    pairs = sky_join(named, named, match_arcsec / 3600).where("catalog < catalog_b").groupBy(F.col("catalog").alias("c1"), F.col("catalog_b").alias("c2")).agg(F.countDistinct("source_id").alias("matches"))
+    met = sky_join(named, named, match_arcsec / 3600).where("catalog < catalog_b").groupBy(F.col("catalog").alias("c1"), F.col("catalog_b").alias("c2")).agg(F.countDistinct("source_id").alias("matches"))
+    names = size.agg(F.collect_list("catalog").alias("names"))  # one row, a few names
+    every = names.select(F.explode("names").alias("c1"), "names").select("c1", F.explode("names").alias("c2")).where("c1 < c2")
     n1, n2 = size.select(F.col("catalog").alias("c1"), F.col("n").alias("n1")), size.select(F.col("catalog").alias("c2"), F.col("n").alias("n2"))
+    pairs = every.join(met, ["c1", "c2"], "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
     return pairs.join(n1, "c1").join(n2, "c2").select("c1", "c2", "matches", (F.col("matches") / F.least("n1", "n2")).alias("fraction"))
 
 
 def catalog_unique(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
-    """(catalog, unique_count): rows without a match in any other catalog."""
-    named = stars.select("source_id", "ra", "dec", normalize_catalog("catalog_source", "UNKNOWN").alias("catalog")).where("ra IS NOT NULL AND dec IS NOT NULL")
-    matched = sky_join(named, named, match_arcsec / 3600).where("catalog <> catalog_b").select("source_id").distinct()
-    return named.join(matched, "source_id", "left_anti").groupBy("catalog").agg(F.count("*").alias("unique_count"))
+    """(catalog, unique_count) of every catalog: rows without a match in any other; 0 where all have one."""
+    named = stars.select("source_id", "ra", "dec", normalize_catalog("catalog_source", "UNKNOWN").alias("catalog"))
+    placed = named.where("ra IS NOT NULL AND dec IS NOT NULL")
+    matched = sky_join(placed, placed, match_arcsec / 3600).where("catalog <> catalog_b").select("source_id").distinct()
+    alone = placed.join(matched, "source_id", "left_anti").groupBy("catalog").agg(F.count("*").alias("unique_count"))
+    return named.select("catalog").distinct().join(alone, "catalog", "left").select("catalog", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))
 
 
 def multi_catalog(stars: DataFrame, n: int = 2, radius_deg: float = 0.08) -> DataFrame:

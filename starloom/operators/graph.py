@@ -70,7 +70,7 @@ def related_stars(edges: DataFrame, stars: DataFrame, ids: DataFrame, max_hops:
     found = None
     for hops in range(1, max_hops + 1):
         paths = paths.join(both, paths["at"] == both["u"]).where(~F.array_contains("used", F.col("e"))).select("source_id", F.col("v").alias("at"), F.array_append("used", F.col("e")).alias("used")).distinct()
-        ends = paths.where("at LIKE 'Star:%'").select("source_id", F.substring("at", 6, 100).alias("related_id"), F.lit(hops).alias("hops")).where("related_id <> source_id").distinct()
+        ends = paths.where("at LIKE 'Star:%'").select("source_id", F.expr("substring(at, 6)").alias("related_id"), F.lit(hops).alias("hops")).where("related_id <> source_id").distinct()
         found = ends if found is None else found.union(ends)
     out = found.join(stars.select(F.col("source_id").alias("related_id"), "phot_g_mean_mag"), "related_id")
     if limit is None:

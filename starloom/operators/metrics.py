@@ -48,7 +48,8 @@ def min_count_score(found, expected) -> Column:
 
 def discovery_score(found, expected) -> Column:
     """PASS, PARTIAL or FAIL: 1, 0.5 or 0."""
-    return F.when(F.col(found) >= F.col(expected), F.struct(F.lit(1.0).alias("score"), F.lit("PASS").alias("status"))).when(F.col(found) > 0, F.struct(F.lit(0.5), F.lit("PARTIAL"))).otherwise(F.struct(F.lit(0.0), F.lit("FAIL")))
+    done, some = F.col(found) >= F.col(expected), F.col(found) > 0
+    return F.struct(F.when(done, 1.0).when(some, 0.5).otherwise(0.0).alias("score"), F.when(done, "PASS").when(some, "PARTIAL").otherwise("FAIL").alias("status"))
 
 
 def hybrid_score(stars, papers, expected) -> Column:

@@ -30,9 +30,9 @@ FROM {orders}
 """
 
 PAPERS = """
-SELECT CAST(2301 + doc_id % 12 AS STRING) || '.' || lpad(CAST(doc_id AS STRING), 5, '0') AS arxiv_id,
+SELECT CAST(2301 + doc_id % 12 AS STRING) || '.' || lpad(CAST(doc_id AS STRING), CAST(greatest(5, length(CAST(doc_id AS STRING))) AS INT), '0') AS arxiv_id,
  substring(text, 1, 60) AS title,
- substring(text, 1, 1500) || CASE doc_id % 5
+ text || CASE doc_id % 5
    WHEN 0 THEN ' Gaia DR3 ' || CAST(100000000000000000 + (doc_id * 7) % 1500 AS STRING) || ' is a binary.'
    WHEN 1 THEN ' Targets in the Pleiades (M45) and Hyades were analysed.'
    WHEN 2 THEN ' We compare Sirius, HD 48915 and HIP 32349.'

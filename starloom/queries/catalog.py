@@ -265,23 +265,23 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS vector", "label")
 
 
-@query("vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+@query("vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(query AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings WHERE label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    q = v.where("id % 50 = 0").selectExpr("id AS query_id", "vector AS query")
+    q = v.where("id % 20 = 0").selectExpr("id AS query_id", "vector AS query")
     return rounded(vectors.vector_topk(v, q, 10, filters={"label": 3}).select("query_id", "id", "score", "rank"))
 
 
 @query("vector_topk_lsh")
 def vector_topk_lsh(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return vectors.vector_topk_lsh(v, v.where("id % 50 = 0").selectExpr("id AS query_id", "vector AS query"), 10)
+    return vectors.vector_topk_lsh(v, v.where("id % 20 = 0").selectExpr("id AS query_id", "vector AS query"), 10)
 
 
 @query("topic_search")
 def topic_search(spark, sf_dir):
     p = vectors.embed_text(papers(spark, sf_dir), "abstract", 128).selectExpr("arxiv_id AS id", "vector", "title", "categories")
-    q = p.orderBy("id").limit(5).selectExpr("id AS query_id", "vector AS query")
+    q = p.where("CAST(substring_index(id, '.', -1) AS BIGINT) % 20 = 0").selectExpr("id AS query_id", "vector AS query")
     return vectors.vector_topk(p, q, 10).select("query_id", "id", "title", "categories", "score", "rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starloom.functions import sky, stellar
 from starloom.functions.columns import normalize_object_class
 from starloom.operators import cone, crossmatch, discovery
-from starloom.operators.profiles import profile
+from starloom.operators.profiles import perturbed, profile
 from starloom.plans.fixtures import alerts, regions, stars, with_views
 
 QUERIES: dict = {}
@@ -133,12 +133,12 @@ _NAMED = "upper(coalesce(nullif(trim({0}), ''), 'UNKNOWN'))"
 
 @query("catalog_overlap", f"""{W}, {near(0.02)}, k AS (SELECT {_NAMED.format('catalog_source')} AS c, count(*) AS n FROM stars GROUP BY 1),
 m AS (SELECT {_NAMED.format('a_cat')} AS c1, {_NAMED.format('b_cat')} AS c2, count(DISTINCT a_id) AS matches FROM pairs GROUP BY 1, 2)
-SELECT c1, c2, matches, round(matches / least(k1.n, k2.n), 6) AS fraction FROM m JOIN k k1 ON k1.c = c1 JOIN k k2 ON k2.c = c2 WHERE c1 < c2""")
+SELECT k1.c AS c1, k2.c AS c2, coalesce(matches, 0) AS matches, round(coalesce(matches, 0) / least(k1.n, k2.n), 6) AS fraction FROM k k1 JOIN k k2 ON k1.c < k2.c LEFT JOIN m ON k1.c = c1 AND k2.c = c2""")
 def catalog_overlap(spark, sf_dir):
     return crossmatch.catalog_overlap(stars(spark, sf_dir), 72.0).withColumn("fraction", F.round("fraction", 6))
 
 
-@query("catalog_unique", f"""{W}, {near(0.02)} SELECT {_NAMED.format('catalog_source')} AS catalog, count(*) AS unique_count FROM stars WHERE ra IS NOT NULL AND source_id NOT IN (SELECT a_id FROM pairs WHERE {_NAMED.format('a_cat')} <> {_NAMED.format('b_cat')}) GROUP BY 1""")
+@query("catalog_unique", f"""{W}, {near(0.02)} SELECT {_NAMED.format('catalog_source')} AS catalog, count(*) FILTER (ra IS NOT NULL AND source_id NOT IN (SELECT a_id FROM pairs WHERE {_NAMED.format('a_cat')} <> {_NAMED.format('b_cat')})) AS unique_count FROM stars GROUP BY 1""")
 def catalog_unique(spark, sf_dir):
     return crossmatch.catalog_unique(stars(spark, sf_dir), 72.0)
 
@@ -273,7 +273,17 @@ def feature_importance(spark, sf_dir):
     return discovery.feature_importance(stars(spark, sf_dir))
 
 
-@query("robust_sweep")
+def _robust(seeds) -> str:
+    context = "CASE WHEN k > 1 THEN least((k - 1) * {density_scale}, {density_cap}) ELSE 0.0 END + CASE WHEN m > 0 THEN least({cross_match_base} + m * {cross_match_per_catalog}, {cross_match_cap}) ELSE 0.0 END + CASE WHEN catalog <> 'GAIA' THEN least(m * {catalog_overlap_bonus}, {catalog_overlap_cap}) ELSE 0.0 END"
+    weights = [perturbed(_P, seed) for seed in seeds]
+    scores = ", ".join(f"round(least({_points(p)} + {context.format(**p)}, 100.0), 1)" for p in weights)
+    return f"""{W}, {_FEATURES}, {near(0.08)}, n AS (SELECT a_id, count(*) AS k, count(DISTINCT CASE WHEN {_NAMED.format('b_cat')} <> {CATALOG.replace('catalog_source', 'a_cat')} THEN {_NAMED.format('b_cat')} END) AS m FROM pairs WHERE a_id <> b_id GROUP BY a_id),
+c AS (SELECT f.*, coalesce(k, 0) AS k, coalesce(m, 0) AS m FROM f LEFT JOIN n ON a_id = source_id), s AS (SELECT source_id, CAST([{scores}] AS DOUBLE[]) AS x FROM c), t AS (SELECT *, list_sum(x) / {len(weights)} AS mean FROM s),
+u AS (SELECT *, sqrt(list_sum(list_transform(x, lambda v: pow(v - mean, 2))) / {len(weights)}) AS std FROM t)
+SELECT source_id, round(mean, 2) AS mean_score, round(std, 3) AS std_dev, CASE WHEN std < 1 THEN 'High' WHEN std < 3 THEN 'Medium' ELSE 'Low' END AS confidence FROM u"""
+
+
+@query("robust_sweep", _robust((42, 43, 44, 45, 46)))
 def robust_sweep(spark, sf_dir):
     return discovery.robust_sweep(stars(spark, sf_dir))
 

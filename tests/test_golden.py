@@ -176,3 +176,25 @@ def test_sed_and_bands(spark):
     df = spark.createDataFrame([star(1, phot_g_mean_mag=10.0, phot_bp_mean_mag=10.5, phot_rp_mean_mag=9.5), star(2)], SCHEMA)
     s = df.withColumn("sed", stellar.sed(["phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag"])).orderBy("source_id").select("sed", stellar.wien_teff("sed").alias("t")).collect()
     assert [p.wavelength_um for p in s[0].sed] == [0.532, 0.673, 0.797] and s[0].t == round(2898 / 0.797) and s[1].t is None
+
+
+def test_catalogs_without_a_match_are_listed(spark):
+    from starloom.operators import crossmatch
+
+    rows = [star(1, 10.0, 20.0, catalog_source="GAIA"), star(2, 10.0, 20.0, catalog_source="WISE"), star(3, 200.0, -5.0, catalog_source="2MASS")]
+    s = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r.c1, r.c2, r.matches) for r in crossmatch.catalog_overlap(s).collect()) == [("2MASS", "GAIA", 0), ("2MASS", "WISE", 0), ("GAIA", "WISE", 1)]
+    assert sorted(tuple(r) for r in crossmatch.catalog_unique(s).collect()) == [("2MASS", 1), ("GAIA", 0), ("WISE", 0)]
+
+
+def test_work_folder_of_a_cluster_must_be_shared(spark, monkeypatch):
+    from starloom.plans import durable
+
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "app"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    with pytest.raises(ValueError):
+        durable.work_dir(Session())

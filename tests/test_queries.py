@@ -23,3 +23,23 @@ def test_every_name_of_a_large_table_is_looked_for(spark):
 def test_query_without_oracle_runs(spark, sf_dir, name):
     df = registry.QUERIES[name](spark, sf_dir)
     assert df.columns and df.count() >= 0
+
+
+def test_recall_of_the_approximate_search(spark):
+    """At least 0.9 of the exact search's neighbours, over the whole query set of the next size."""
+    from starloom.functions.tables import table
+    from starloom.operators import vectors
+
+    v = table(spark, "/root/testdata/sf0.01", "embeddings").selectExpr("vec_id AS id", "embedding AS vector")
+    q = v.where("id % 20 = 0").selectExpr("id AS query_id", "vector AS query")
+    near = lambda found: {(r.query_id, r.id) for r in found.select("query_id", "id").collect()}
+    exact, approximate = near(vectors.vector_topk(v, q, 10)), near(vectors.vector_topk_lsh(v, q, 10))
+    assert len(exact & approximate) >= 0.9 * len(exact)
+
+
+def test_papers_are_whole_and_their_ids_unique(spark):
+    from starloom.plans import fixtures
+
+    docs = spark.createDataFrame([(10000, "a" * 5000), (100000, "b" * 2000 + " Gaia DR3 100000000000000007 "), (7, None)], "doc_id long, text string").selectExpr("*", "'s' AS source")
+    p = {r.arxiv_id: r.abstract for r in spark.sql(fixtures.PAPERS, documents=docs).collect()}
+    assert len(p) == 3 and len(p["2305.10000"]) > 5000 and "100000000000000007" in p["2305.100000"]

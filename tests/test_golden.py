@@ -187,14 +187,17 @@ def test_catalogs_without_a_match_are_listed(spark):
     assert sorted(tuple(r) for r in crossmatch.catalog_unique(s).collect()) == [("2MASS", 1), ("GAIA", 0), ("WISE", 0)]
 
 
-def test_work_folder_of_a_cluster_must_be_shared(spark, monkeypatch):
+def test_work_folder_of_a_cluster_must_be_shared():
     from starloom.plans import durable
 
     class Context:
         master, applicationId = "spark://somewhere:7077", "app"
 
+    class Unset:
+        get = staticmethod(lambda key, default=None: default)
+
     class Session:
-        conf, sparkContext = spark.conf, Context()
+        conf, sparkContext = Unset(), Context()
 
     with pytest.raises(ValueError):
         durable.work_dir(Session())

@@ -69,9 +69,9 @@ def neighbour_context(candidates: DataFrame, pool: DataFrame, radius_deg: float
     A null catalog is GAIA for the candidate and UNKNOWN for its neighbour.
     """
     own = normalize_catalog("catalog_source")
-    other = normalize_catalog("catalog_b", "UNKNOWN")
-    near = sky_join(candidates.select("source_id", "ra", "dec", own.alias("own")), pool.select("source_id", "ra", "dec", F.col("catalog_source").alias("catalog")), radius_deg).where("source_id <> source_id_b")
-    context = near.groupBy("source_id").agg(F.count("*").alias("local_density"), F.array_sort(F.collect_set(F.when(other != F.col("own"), other))).alias("matched_catalogs"))
+    other = normalize_catalog("catalog_source", "UNKNOWN")  # once a row, not once a pair
+    near = sky_join(candidates.select("source_id", "ra", "dec", own.alias("own")), pool.select("source_id", "ra", "dec", other.alias("catalog")), radius_deg).where("source_id <> source_id_b")
+    context = near.groupBy("source_id").agg(F.count("*").alias("local_density"), F.array_sort(F.collect_set(F.when(F.col("catalog_b") != F.col("own"), F.col("catalog_b")))).alias("matched_catalogs"))
     return candidates.join(context, "source_id", "left").withColumn("local_density", F.coalesce("local_density", F.lit(0).cast("long"))).withColumn("matched_catalogs", F.coalesce("matched_catalogs", F.array().cast("array<string>")))
 
 
@@ -101,19 +101,34 @@ def multi_catalog(stars: DataFrame, n: int = 2, radius_deg: float = 0.08) -> Dat
     return neighbour_context(stars, stars, radius_deg).where(F.size("matched_catalogs") + 1 >= n)
 
 
+def _inside(points: DataFrame, areas: DataFrame, reach: str) -> DataFrame:
+    """Pairs of points and areas (region, region_ra, region_dec, ...) with the point within the area's ``reach``.
+
+    A small area table is broadcast. A larger one is parted by the power of two above the reach, a handful of
+    parts, and each part is an equi-join on zones and cells of that size.
+    """
+    if areas.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return points.join(F.broadcast(areas), in_cone("ra", "dec", "region_ra", "region_dec", reach))
+    size = F.ceil(F.log2(F.greatest(F.col(reach), F.lit(LEAST_ZONE))))
+    parts = [points.join(F.broadcast(areas.limit(0)), in_cone("ra", "dec", "region_ra", "region_dec", reach))]
+    for k in (r[0] for r in areas.where(F.col(reach) >= 0).select(size).distinct().collect()):
+        own = areas.where(size == k).withColumn("ra", F.col("region_ra")).withColumn("dec", F.col("region_dec"))
+        near = sky_join(own, points, 2.0**k, sep="_sep").where(F.col("_sep") <= F.col(reach))
+        parts.append(near.select(*(F.col(f"{c}_b").alias(c) for c in points.columns), *areas.columns))
+    return reduce(DataFrame.union, parts)
+
+
 def region_members(stars: DataFrame, regions: DataFrame) -> DataFrame:
     """Every (star, region) with the star inside the region; a star may be in several."""
     r = regions.select(F.col("name").alias("region"), F.col("ra").alias("region_ra"), F.col("dec").alias("region_dec"), "radius_deg")
-    if regions.count() <= BROADCAST_ROWS:
-        r = F.broadcast(r)
-    return stars.join(r, in_cone(F.col("ra"), F.col("dec"), F.col("region_ra"), F.col("region_dec"), F.col("radius_deg")))
+    return _inside(stars, r, "radius_deg")
 
 
 def nearest_region(points: DataFrame, regions: DataFrame, key: str = "source_id") -> DataFrame:
     """Add label: the nearest region within the larger of 1.9 radii and 4 degrees, else ML Cluster."""
-    r = regions.select(F.col("name").alias("region"), F.col("ra").alias("r_ra"), F.col("dec").alias("r_dec"), F.greatest(1.9 * F.col("radius_deg"), F.lit(4.0)).alias("reach"))
-    near = points.join(F.broadcast(r) if regions.count() <= BROADCAST_ROWS else r, in_cone(F.col("ra"), F.col("dec"), F.col("r_ra"), F.col("r_dec"), F.col("reach")))
-    sep = separation_deg("ra", "dec", "r_ra", "r_dec")
+    r = regions.select(F.col("name").alias("region"), F.col("ra").alias("region_ra"), F.col("dec").alias("region_dec"), F.greatest(1.9 * F.col("radius_deg"), F.lit(4.0)).alias("reach"))
+    near = _inside(points, r, "reach")
+    sep = separation_deg("ra", "dec", "region_ra", "region_dec")
     label = near.groupBy(key).agg(F.min(F.struct(sep.alias("sep"), F.col("region"))).alias("best")).select(key, F.col("best.region").alias("label"))
     return points.join(label, key, "left").withColumn("label_source", F.when(F.col("label").isNotNull(), "region").otherwise("data")).withColumn("label", F.coalesce("label", F.lit("ML Cluster")))
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.functions.stellar import bp_rp, total_motion
-from starloom.operators.crossmatch import BROADCAST_ROWS
+
+#: Most cluster terms that every text is searched for one by one; more are joined.
+FEW_TERMS = 200
 
 
 def chunk_text(df: DataFrame, key: str = "arxiv_id", column: str = "abstract", size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -58,22 +60,42 @@ def link_stars_papers(papers: DataFrame, stars: DataFrame, names: DataFrame | No
     return links.distinct()
 
 
+#: Characters of a term that texts and terms are joined by.
+TERM_KEY = 8
+
+
+def texts_with_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of texts (body, ...) and terms (term, ...) with the term inside the body; an empty term is in none.
+
+    The first characters of the terms, eight at most, are equals of runs of as many characters of the texts, so
+    any number of terms is an equi-join; the whole term decides.
+    """
+    key = F.left("term", F.lit(TERM_KEY))
+    terms = terms.where("term <> ''").withColumn("_key", key)
+    lengths = [r[0] for r in terms.select(F.length("_key")).distinct().collect()]  # eight at most
+    runs = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
+    said = texts.withColumn("_key", F.explode(F.array_distinct(F.concat(*runs))))
+    return said.join(terms, "_key").where(F.expr("contains(body, term)")).drop("_key")
+
+
 def link_papers_clusters(papers: DataFrame, regions: DataFrame, aliases: dict = tx.CLUSTERS) -> DataFrame:
     """(arxiv_id, cluster, term): a region's first alias that any paper holds finds all its papers."""
     rows = [(name, i, term) for name, terms in aliases.items() for i, term in enumerate(terms)]
     table = regions.sparkSession.createDataFrame(rows, "key string, term_no int, term string")
     terms = regions.select(F.col("name").alias("cluster"), F.lower("name").alias("key")).join(table, "key", "left").select("cluster", F.coalesce("term_no", F.lit(0)).alias("term_no"), F.coalesce("term", "key").alias("term"))
     body = F.lower(F.concat_ws(" ", "title", "categories", "abstract"))
-    small = regions.count() <= BROADCAST_ROWS
-    hits = papers.select("arxiv_id", body.alias("body")).join(F.broadcast(terms) if small else terms, F.expr("contains(body, term)")).select("arxiv_id", "cluster", "term_no", "term")
+    texts = papers.select("arxiv_id", body.alias("body"))
+    small = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    found = texts.join(F.broadcast(terms.where("term <> ''")), F.expr("contains(body, term)")) if small else texts_with_terms(texts, terms)
+    hits = found.select("arxiv_id", "cluster", "term_no", "term")
     first = hits.groupBy("cluster").agg(F.min("term_no").alias("term_no"))
     return hits.join(first, ["cluster", "term_no"]).select("arxiv_id", "cluster", "term").distinct()
 
 
 def link_alerts_papers(alerts: DataFrame, papers: DataFrame) -> DataFrame:
-    """(name, arxiv_id): alert names that occur in papers. Words of the text join names as equals, so any number of names will do."""
-    words = papers.select("arxiv_id", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), r"[^\w+-]+"))).alias("word"))
-    return words.join(alerts.select("name", F.lower("name").alias("word")).distinct(), "word").select("name", "arxiv_id")
+    """(name, arxiv_id): alert names, blanks and all, that titles or abstracts hold in any case of letters."""
+    texts = papers.select("arxiv_id", F.explode(F.array_compact(F.array(F.lower("title"), F.lower("abstract")))).alias("body"))
+    return texts_with_terms(texts, alerts.select("name", F.lower("name").alias("term")).distinct()).select("name", "arxiv_id").distinct()
 
 
 def consistency(pairs: DataFrame) -> DataFrame:

@@ -62,20 +62,30 @@ def papers_of_star(edges: DataFrame, papers: DataFrame, ids: DataFrame, cluster_
 def related_stars(edges: DataFrame, stars: DataFrame, ids: DataFrame, max_hops: int = 2, limit: int | None = 50) -> DataFrame:
     """(source_id, related_id, hops): stars on paths of up to ``max_hops`` edges, in any direction, no edge used twice.
 
-    A star may appear at several distances. Paths are kept as one row per end and edges used.
+    A star may appear at several distances. Paths are kept as one row per end and edges used. With a ``limit`` the
+    last step takes from a node only so many of its brightest stars as can reach the result, so two members of a
+    large cluster are never paired off against all others.
     """
+    bright = ["phot_g_mean_mag", "related_id"]
+    known = stars.select(F.col("source_id").alias("related_id"), "phot_g_mean_mag")
     numbered = edges.select("src_type", "src", "dst_type", "dst", F.xxhash64(*edges.columns).alias("e"))
     both = numbered.select(F.concat_ws(":", "src_type", "src").alias("u"), F.concat_ws(":", "dst_type", "dst").alias("v"), "e").union(numbered.select(F.concat_ws(":", "dst_type", "dst"), F.concat_ws(":", "src_type", "src"), "e"))
     paths = ids.select("source_id", F.concat(F.lit("Star:"), F.col("source_id")).alias("at"), F.array().cast("array<bigint>").alias("used"))
     found = None
     for hops in range(1, max_hops + 1):
+        if limit is not None and hops == max_hops:
+            # A path can miss the star that it began at, and one end for each edge that it has used.
+            ends = both.where("v LIKE 'Star:%'").select("u", "v", F.expr("substring(v, 6)").alias("related_id")).distinct().join(known, "related_id")
+            first = Window.partitionBy("u").orderBy(*(F.asc_nulls_last(c) for c in bright))
+            best = ends.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + max_hops).select("u", "v")
+            both = both.join(best, ["u", "v"], "left_semi")
         paths = paths.join(both, paths["at"] == both["u"]).where(~F.array_contains("used", F.col("e"))).select("source_id", F.col("v").alias("at"), F.array_append("used", F.col("e")).alias("used")).distinct()
         ends = paths.where("at LIKE 'Star:%'").select("source_id", F.expr("substring(at, 6)").alias("related_id"), F.lit(hops).alias("hops")).where("related_id <> source_id").distinct()
         found = ends if found is None else found.union(ends)
-    out = found.join(stars.select(F.col("source_id").alias("related_id"), "phot_g_mean_mag"), "related_id")
+    out = found.join(known, "related_id")
     if limit is None:
         return out
-    order = Window.partitionBy("source_id").orderBy("hops", F.asc_nulls_last("phot_g_mean_mag"), "related_id")
+    order = Window.partitionBy("source_id").orderBy("hops", *(F.asc_nulls_last(c) for c in bright))
     return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 

@@ -12,7 +12,7 @@ from starloom.functions.tables import table
 from starloom.operators import aggregates, crossmatch, discovery, documents, graph, hybrid, metrics, sessions, upserts, vectors, volume
 from starloom.operators.profiles import profile
 from starloom.plans.fixtures import alerts, messages, papers, regions, stars, with_views
-from starloom.queries.sky import _BASE, _CM, _IN, _POP, CATALOG, COLOUR, M_G, MOTION, W, WR, near, sep
+from starloom.queries.sky import _BASE, _CM, _CONE, _IN, _POP, CATALOG, COLOUR, M_G, MOTION, W, WR, near, sep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -184,7 +184,17 @@ def star_names(spark, sf_dir):
     return papers(spark, sf_dir).select("arxiv_id", F.explode(tx.star_names("abstract", ["Sirius", "Vega", "Spica"])).alias("star"))
 
 
-@query("paper_chunks")
+def _piece(text: str, start: str) -> str:
+    raw = f"substring({text}, {start} + 1, 1000)"
+    dot = f"length({raw}) - strpos(reverse({raw}), '.')"
+    return f"CASE WHEN {start} + 1000 < length({text}) AND contains({raw}, '.') AND {dot} > 800 THEN left({raw}, {dot} + 1) ELSE {raw} END"
+
+
+_NEXT = "start + greatest(1, length(chunk) - 200)"
+
+
+@query("paper_chunks", f"""{WP.replace('WITH', 'WITH RECURSIVE')}, c AS (SELECT arxiv_id, abstract AS t, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS chunk_no, {_piece('abstract', '0')} AS chunk FROM papers WHERE length(abstract) > 0
+UNION ALL SELECT arxiv_id, t, {_NEXT}, chunk_no + 1, {_piece('t', f'({_NEXT})')} FROM c WHERE start + length(chunk) < length(t)) SELECT arxiv_id, chunk_no, chunk FROM c""")
 def paper_chunks(spark, sf_dir):
     return documents.chunk_text(papers(spark, sf_dir))
 
@@ -293,13 +303,24 @@ def cone_with_context(spark, sf_dir):
     return hybrid.cone_with_context(stars(spark, sf_dir), _edges(spark, sf_dir), papers(spark, sf_dir), 66.75, 15.87, 10.0)
 
 
-@query("multi_search")
+_NEAREST = "(SELECT {0} AS query_id, vec_id AS id, score, row_number() OVER (PARTITION BY {0} ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id {1}) WHERE score IS NOT NULL)"
+_RELATED = "(SELECT b.source_id AS related_id FROM member a JOIN member b USING (cluster) WHERE a.source_id = '{0}' UNION SELECT b.sid FROM e a JOIN e b USING (arxiv_id) WHERE a.sid = '{0}')"
+
+
+@query("multi_search", f"""{_EDGES}, near AS ({_CONE.replace('d <= 10', 'd <= 5')} SELECT source_id, d FROM f WHERE n = 1 ORDER BY d, source_id LIMIT 20),
+like_it AS {_NEAREST.format('q', '= 7')}, one AS (SELECT source_id, phot_g_mean_mag FROM stars WHERE source_id = '100000000000000049'),
+around AS (SELECT related_id FROM {_RELATED.format('100000000000000049')} JOIN stars ON source_id = related_id WHERE related_id <> '100000000000000049' ORDER BY phot_g_mean_mag NULLS LAST, related_id LIMIT 10)
+SELECT 'spatial' AS section, source_id AS id, round(d, 6) AS value FROM near UNION ALL SELECT 'semantic', CAST(id AS VARCHAR), round(score, 6) FROM like_it WHERE rank <= 20
+UNION ALL SELECT 'star', source_id, round(phot_g_mean_mag, 6) FROM one UNION ALL SELECT 'related', related_id, CAST(2 AS DOUBLE) FROM around""")
 def multi_search(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return hybrid.multi_search(stars(spark, sf_dir), _edges(spark, sf_dir), v, v.where("id = 7").selectExpr("id AS query_id", "vector AS query"), 66.75, 15.87, 5.0, "100000000000000049")
+    found = hybrid.multi_search(stars(spark, sf_dir), _edges(spark, sf_dir), v, v.where("id = 7").selectExpr("id AS query_id", "vector AS query"), 66.75, 15.87, 5.0, "100000000000000049")
+    return rounded(found)
 
 
-@query("validate_with_literature")
+@query("validate_with_literature", f"""{WPS}, c AS ({ORACLES['consistency']}), t AS (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY published_date DESC, arxiv_id DESC) AS n FROM c JOIN papers USING (arxiv_id)),
+m AS (SELECT source_id, round(avg(consistency_score), 2) AS consistency, count(*) AS n FROM t WHERE n <= 5 GROUP BY 1)
+SELECT source_id, consistency, m.n AS papers, m.n IS NOT NULL AS validated FROM stars LEFT JOIN m USING (source_id)""")
 def validate_with_literature(spark, sf_dir):
     s = stars(spark, sf_dir)
     return hybrid.validate_with_literature(s, _edges(spark, sf_dir), papers(spark, sf_dir), s)
@@ -356,9 +377,16 @@ def kmeans_clusters(spark, sf_dir):
     return aggregates.cluster_summary(p).join(volume.label_clusters(p, regions(spark)).select("cluster", "label"), "cluster", "left")
 
 
-@query("nearest_track")
+_TRACKS = ", ".join(f"('{t}', {c}, {m})" for t, points in volume.TRACKS.items() for c, m in points)
+
+
+@query("nearest_track", f"""{W}, t AS (SELECT track, CAST(c AS DOUBLE) AS tc, CAST(m AS DOUBLE) AS tm FROM (VALUES {_TRACKS}) AS v(track, c, m)), p AS (SELECT source_id, {COLOUR} AS c, {M_G} AS m FROM stars),
+k AS (SELECT source_id, track, c - tc AS residual, row_number() OVER (PARTITION BY source_id ORDER BY pow(m - tm, 2) + pow(c - tc, 2), track, c - tc) AS n FROM p, t WHERE c IS NOT NULL AND m IS NOT NULL)
+SELECT source_id, track, CASE WHEN round(residual, 6) = 0 THEN 0 ELSE round(residual, 6) END AS color_residual FROM k WHERE n = 1""")
 def nearest_track(spark, sf_dir):
-    return volume.nearest_track(aggregates.hr_points(stars(spark, sf_dir)), volume.fiducial_tracks(spark)).select("source_id", "track", F.round("color_residual", 6).alias("color_residual"))
+    residual = F.round("color_residual", 6)
+    nearest = volume.nearest_track(aggregates.hr_points(stars(spark, sf_dir)), volume.fiducial_tracks(spark))
+    return nearest.select("source_id", "track", F.when(residual == 0, 0.0).otherwise(residual).alias("color_residual"))  # no minus zero
 
 
 # --- sessions and upserts --------------------------------------------------------------------------
@@ -471,16 +499,18 @@ def catalog_comparison(spark, sf_dir):
     return aggregates.catalog_comparison(crossmatch.cross_register(stars(spark, sf_dir), _authority(spark, sf_dir), 100.0))
 
 
-@query("discovery_audit")
+@query("discovery_audit", f"""{W}, h AS (SELECT source_id, ra, dec, CAST(CASE WHEN is_transient = 1 THEN 15.0 ELSE 0.0 END + CASE WHEN ruwe >= 1.4 THEN 9.0 ELSE 0.0 END + CASE WHEN {COLOUR} <= -0.1 OR {COLOUR} >= 2.8 THEN 10.5 ELSE 0.0 END AS DOUBLE) AS discovery_score FROM stars WHERE ra IS NOT NULL AND {sep('ra', 'dec', '66.75', '15.87')} <= 10),
+o AS (SELECT ra, dec FROM stars WHERE ra IS NOT NULL AND catalog_source IN ('WISE', '2MASS')), v AS (SELECT DISTINCT source_id FROM h JOIN o ON abs(h.dec - o.dec) < 0.03 AND {sep('h.ra', 'h.dec', 'o.ra', 'o.dec')} <= 100.0 / 3600)
+SELECT source_id, discovery_score, CASE WHEN v.source_id IS NULL THEN 'New' ELSE 'Verified' END AS status FROM h LEFT JOIN v USING (source_id) WHERE discovery_score > 10""")
 def discovery_audit(spark, sf_dir):
     return hybrid.discovery_audit(stars(spark, sf_dir), _authority(spark, sf_dir), 66.75, 15.87, 10.0, arcsec=100.0).select("source_id", "discovery_score", "status")
 
 
-@query("semantic_cluster_links")
+@query("semantic_cluster_links", f"SELECT 'region ' || query_id AS cluster, id AS arxiv_id, round(score, 6) AS score FROM {_NEAREST.format('q', '< 5')} WHERE rank <= 10")
 def semantic_cluster_links(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     names = v.where("id < 5").select(F.concat(F.lit("region "), F.col("id").cast("string")).alias("name"), F.col("vector").alias("query"))
-    return hybrid.link_papers_clusters_semantic(v, names)
+    return rounded(hybrid.link_papers_clusters_semantic(v, names))
 
 
 @query("resolve_entities")

@@ -231,3 +231,14 @@ def sessions_left(spark, sf_dir):
 @query("region_file_lines", f"""{W} SELECT printf('circle(%.6f,%.6f,10") # color=', ra, dec) || CASE WHEN ruwe * 10 >= 15 THEN 'red' WHEN ruwe * 10 >= 10 THEN 'yellow' ELSE 'green' END || ' text={{' || source_id || '}}' AS value FROM stars WHERE ra IS NOT NULL AND dec IS NOT NULL""")
 def region_file_lines(spark, sf_dir):
     return exports.ds9_region_lines(stars(spark, sf_dir).withColumn("discovery_score", F.col("ruwe") * 10))
+
+
+# --- alerts in papers ------------------------------------------------------------------------------
+
+
+_NAMES = "SELECT DISTINCT 'Gaia DR3 ' || CAST(100000000000000000 + (event_id * 3) % 1500 AS STRING) AS name FROM {events}"
+
+
+@query("link_alerts_papers", f"{with_views('papers')}, a AS ({_NAMES.replace('{events}', 'events')}) SELECT name, arxiv_id FROM a JOIN papers ON contains(lower(title), lower(name)) OR contains(lower(abstract), lower(name))")
+def link_alerts_papers(spark, sf_dir):
+    return documents.link_alerts_papers(spark.sql(_NAMES, events=table(spark, sf_dir, "events")), papers(spark, sf_dir))

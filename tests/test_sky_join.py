@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from starloom.operators import crossmatch
 from starloom.operators.crossmatch import sky_join
 from starloom.plans.fixtures import stars
 
@@ -47,3 +48,24 @@ def test_plan_is_an_equi_join(spark, sf_dir):
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "source_id string, ra double, dec double")
     assert sky_join(e, e, 1.0).count() == 0
+
+
+def test_many_regions_go_by_cells_and_find_the_same(spark, monkeypatch):
+    rows = sky(120, 3)
+    points = spark.createDataFrame(rows, "source_id string, ra double, dec double")
+    r = random.Random(5)
+    areas = [(f"r{i}", r.uniform(0, 360), r.uniform(-90, 90), r.choice([0.0, 0.3, 2.0, 5.5, 40.0, 100.0, -1.0])) for i in range(60)] + [("none", 1.0, 1.0, None), ("nowhere", None, 1.0, 9.0)]
+    regions = spark.createDataFrame(areas, "name string, ra double, dec double, radius_deg double")
+    known = [p for p in rows if None not in p]
+    want = {(p[0], a[0]) for p in known for a in areas if None not in a and apart(p, a) <= a[3]}
+    few = crossmatch.region_members(points, regions)
+    labels = {tuple(x) for x in crossmatch.nearest_region(points, regions).select("source_id", "label").collect()}
+    monkeypatch.setattr(crossmatch, "BROADCAST_ROWS", 3)
+    many = crossmatch.region_members(points, regions)
+    assert many.columns == few.columns
+    for found in (few, many):
+        pairs = [(x.source_id, x.region) for x in found.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert {tuple(x) for x in crossmatch.nearest_region(points, regions).select("source_id", "label").collect()} == labels
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan

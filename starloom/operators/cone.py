@@ -12,9 +12,9 @@ from starloom.functions.stellar import bp_rp, strict_motion
 from starloom.operators.crossmatch import sky_join
 from starloom.operators.profiles import profile
 
-def dedupe_measurements(df: DataFrame, *order_by) -> DataFrame:
-    """One row per measurement (position to 8 places, parallax and magnitudes to 6, catalog), the first in order."""
-    key = [F.round(F.coalesce(c, F.lit(0.0)), 8) for c in ("ra", "dec")] + [F.round(c, 6) for c in ("parallax", "phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag")] + ["catalog_source"]
+def dedupe_measurements(df: DataFrame, *order_by, within=()) -> DataFrame:
+    """One row per measurement (position to 8 places, parallax and magnitudes to 6, catalog), the first in order; ``within`` are further key columns."""
+    key = [*within] + [F.round(F.coalesce(c, F.lit(0.0)), 8) for c in ("ra", "dec")] + [F.round(c, 6) for c in ("parallax", "phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag")] + ["catalog_source"]
     first = Window.partitionBy(*key).orderBy(*order_by)
     return df.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 

@@ -106,26 +106,51 @@ def resolve_entities(papers: DataFrame, stars: DataFrame, authority: DataFrame,
     return ids.union(found).distinct()
 
 
-def fuse_results(star_hits: DataFrame, paper_hits: DataFrame) -> DataFrame:
-    """(query, rank, item): star ids, then paper:<id>, repeats left out, in order."""
-    both = star_hits.select("query", F.lit(0).alias("part"), "rank", F.col("source_id").alias("item")).union(paper_hits.select("query", F.lit(1), "rank", F.concat(F.lit("paper:"), F.col("arxiv_id"))))
-    first = both.groupBy("query", "item").agg(F.min(F.struct("part", "rank")).alias("at"))
+def fuse_results(star_hits: DataFrame, paper_hits: DataFrame, graph_hits: DataFrame | None = None) -> DataFrame:
+    """(query, rank, item): star ids, then paper:<id> of the search and of the graph, repeats left out, in order."""
+    lists = [star_hits.select("query", F.lit(0).alias("part"), "rank", F.col("source_id").alias("item"))]
+    for part, hits in enumerate((paper_hits, graph_hits), 1):
+        if hits is not None:
+            lists.append(hits.select("query", F.lit(part), "rank", F.concat(F.lit("paper:"), F.col("arxiv_id"))))
+    first = reduce(DataFrame.union, lists).groupBy("query", "item").agg(F.min(F.struct("part", "rank")).alias("at"))
     order = Window.partitionBy("query").orderBy("at", "item")
     return first.withColumn("rank", F.row_number().over(order)).select("query", "rank", "item")
 
 
-def ablation(stars: DataFrame, regions: DataFrame, relevant: DataFrame, edges: DataFrame, papers: DataFrame, ks=(5, 10, 20), limit: int = 20) -> DataFrame:
-    """Mean metrics of three configurations over all regions: stars by distance, stars and papers, papers of clusters alone."""
+def region_hits(stars: DataFrame, regions: DataFrame, limit: int = 200) -> DataFrame:
+    """The nearest stars of each region, a measurement counting once, with discovery_score and their places by_distance and by_score."""
     from starloom.functions.sky import separation_deg
+    from starloom.operators.cone import dedupe_measurements, score_cone
     from starloom.operators.crossmatch import region_members
-    from starloom.operators.metrics import mean_metrics
 
     members = region_members(stars, regions).withColumn("d", separation_deg("ra", "dec", "region_ra", "region_dec"))
     near = Window.partitionBy("region").orderBy("d", "source_id")
-    star_hits = members.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= limit).select(F.col("region").alias("query"), "rank", "source_id")
-    newest = Window.partitionBy("query").orderBy(F.desc("published_date"), "arxiv_id")
-    about = edges.where("rel = 'COVERS'").select(F.col("dst").alias("query"), F.col("src").alias("arxiv_id")).join(papers, "arxiv_id")
-    paper_hits = about.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit).select("query", "rank", "arxiv_id")
-    none_s, none_p = star_hits.limit(0), paper_hits.limit(0)
-    runs = {"spatial": fuse_results(star_hits, none_p), "graph": fuse_results(none_s, paper_hits), "hybrid": fuse_results(star_hits, paper_hits)}
+    nearest = dedupe_measurements(members, "d", "source_id", within=["region"]).withColumn("by_distance", F.row_number().over(near)).where(F.col("by_distance") <= limit)
+    best = Window.partitionBy("region").orderBy(F.desc("discovery_score"), "by_distance")
+    return score_cone(nearest).withColumn("by_score", F.row_number().over(best))
+
+
+def graph_hits(hits: DataFrame, edges: DataFrame, papers: DataFrame, first: int = 10, each: int = 3) -> DataFrame:
+    """(query, rank, arxiv_id): the newest papers of each region's ``first`` stars, those of their clusters too."""
+    top = hits.where(F.col("by_score") <= first).select(F.col("region").alias("query"), "source_id", "by_score")
+    found = papers_of_star(edges, papers, top.select("source_id").distinct(), cluster_context=True, limit=each).select("source_id", "arxiv_id", "published_date")
+    newest = Window.partitionBy("query", "source_id").orderBy(F.desc("published_date"), F.desc("arxiv_id"))
+    return top.join(found, "source_id").withColumn("rank", F.col("by_score") * (each + 1) + F.row_number().over(newest)).select("query", "rank", "arxiv_id")
+
+
+def ablation(hits: DataFrame, paper_hits: DataFrame, relevant: DataFrame, edges: DataFrame, papers: DataFrame, ks=(5, 10, 20)) -> DataFrame:
+    """Mean metrics over the regions of four configurations: stars by distance, papers by topic, both with stars by score, and these with the graph's papers.
+
+    ``hits`` are ``region_hits``, ``paper_hits`` (query, rank, arxiv_id) a search by each region's topic.
+    """
+    from starloom.operators.metrics import mean_metrics
+
+    ranked = lambda by: hits.select(F.col("region").alias("query"), F.col(by).alias("rank"), "source_id")
+    near, best = ranked("by_distance"), ranked("by_score")
+    runs = {
+        "spatial": fuse_results(near, paper_hits.limit(0)),
+        "semantic": fuse_results(near.limit(0), paper_hits),
+        "hybrid": fuse_results(best, paper_hits),
+        "full": fuse_results(best, paper_hits, graph_hits(hits, edges, papers)),
+    }
     return reduce(DataFrame.union, (mean_metrics(ir_metrics(r, relevant, ks)).withColumn("configuration", F.lit(c)) for c, r in runs.items()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from starloom.functions import stellar
@@ -352,12 +353,32 @@ def min_count_score(spark, sf_dir):
     return n.select("conv_id", metrics.min_count_score("found", "expected").alias("s")).select("conv_id", "s.score", "s.status")
 
 
-@query("ablation")
+_MEANS = ", ".join(f"round(avg({m}), 4) AS {m}" for m in ["mrr"] + [f"{m}_{k}" for k in (5, 10, 20) for m in ("precision", "recall", "f1", "ndcg")])
+
+
+@query("ablation", f"""{_EDGES}, rm AS (SELECT r.name AS region, s.*, {_IN} AS d FROM stars s JOIN regions r ON s.ra IS NOT NULL AND {_IN} <= r.radius_deg),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY region, round(coalesce(ra, 0), 8), round(coalesce(dec, 0), 8), round(parallax, 6), round(phot_g_mean_mag, 6), round(phot_bp_mean_mag, 6), round(phot_rp_mean_mag, 6), catalog_source ORDER BY d, source_id) AS n1 FROM rm),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY d, source_id) AS near, CASE WHEN is_transient = 1 THEN 15.0 ELSE 0.0 END + CASE WHEN ruwe >= 1.4 THEN 9.0 ELSE 0.0 END + CASE WHEN {COLOUR} <= -0.1 OR {COLOUR} >= 2.8 THEN 10.5 ELSE 0.0 END AS score FROM r1 WHERE n1 = 1 QUALIFY near <= 200),
+st AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY score DESC, near) AS best FROM r2),
+rel AS (SELECT region AS query, source_id AS item FROM st WHERE score >= 10 OR {MOTION} >= 150 OR ruwe >= 2 OR {COLOUR} >= 3 OR {COLOUR} <= -0.2),
+rv AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS q FROM regions),
+ph AS (SELECT name AS region, arxiv_id, rank FROM {_NEAREST.format('q', '< 5')} JOIN rv ON q = query_id JOIN papers ON CAST(split_part(arxiv_id, '.', 2) AS BIGINT) = id WHERE rank <= 20),
+ps AS (SELECT sid AS source_id, arxiv_id FROM e UNION SELECT source_id, arxiv_id FROM member JOIN covers USING (cluster)),
+gr AS (SELECT region, arxiv_id, row_number() OVER (PARTITION BY region, source_id ORDER BY published_date DESC, arxiv_id DESC) AS n, best * 4 + n AS rank FROM st JOIN ps USING (source_id) JOIN papers USING (arxiv_id) WHERE best <= 10 QUALIFY n <= 3),
+every AS (SELECT 'spatial' AS configuration, region AS query, near AS place, source_id AS item FROM st UNION ALL SELECT unnest(['hybrid', 'full']), region, best, source_id FROM st
+ UNION ALL SELECT unnest(['semantic', 'hybrid', 'full']), region, 1000 + rank, 'paper:' || arxiv_id FROM ph UNION ALL SELECT 'full', region, 2000 + rank, 'paper:' || arxiv_id FROM gr),
+fu AS (SELECT configuration, query, item, min(place) AS place FROM every GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY configuration, query ORDER BY place, item) AS rank FROM fu),
+jn AS (SELECT rk.*, rel.item IS NOT NULL AS hit FROM rk LEFT JOIN rel USING (query, item)), gg AS (SELECT configuration, query, min(rank) FILTER (hit) AS first{_SUMS} FROM jn GROUP BY ALL), nr AS (SELECT query, count(*) AS nr FROM rel GROUP BY query),
+pq AS (SELECT configuration, query, round(coalesce(1 / first, 0), 4) AS mrr{_AT} FROM gg LEFT JOIN nr USING (query)) SELECT configuration, {_MEANS} FROM pq GROUP BY configuration""")
 def ablation(spark, sf_dir):
-    s, r = stars(spark, sf_dir), regions(spark)
-    members = crossmatch.region_members(s, r)
-    relevant = members.where(stellar.physical_anomaly()).select(F.col("region").alias("query"), F.col("source_id").alias("item"))
-    return hybrid.ablation(s, r, relevant, _edges(spark, sf_dir), papers(spark, sf_dir))
+    s, r, p, v = stars(spark, sf_dir), regions(spark), papers(spark, sf_dir), _vectors(spark, sf_dir)
+    hits = hybrid.region_hits(s, r)
+    relevant = hits.where(stellar.physical_anomaly() | (F.col("discovery_score") >= 10)).select(F.col("region").alias("query"), F.col("source_id").alias("item"))
+    place = F.row_number().over(Window.orderBy("name")) - 1  # five regions
+    topics = r.select(F.col("name").alias("query_id"), place.alias("id")).join(v, "id").select("query_id", F.col("vector").alias("query"))
+    near = vectors.vector_topk(v, topics, 20).select(F.col("query_id").alias("query"), "rank", "id")
+    by_number = p.select("arxiv_id", F.expr("CAST(split_part(arxiv_id, '.', 2) AS BIGINT)").alias("id"))
+    return hybrid.ablation(hits, near.join(by_number, "id").select("query", "rank", "arxiv_id"), relevant, _edges(spark, sf_dir), p)
 
 
 # --- volume ----------------------------------------------------------------------------------------

@@ -154,3 +154,26 @@ def ablation(hits: DataFrame, paper_hits: DataFrame, relevant: DataFrame, edges:
         "full": fuse_results(best, paper_hits, graph_hits(hits, edges, papers)),
     }
     return reduce(DataFrame.union, (mean_metrics(ir_metrics(r, relevant, ks)).withColumn("configuration", F.lit(c)) for c, r in runs.items()))
+
+
+def stellar_analysis(stars: DataFrame) -> DataFrame:
+    """Add abs_mag, abs_mag_error, bp_rp and population."""
+    from starloom.functions import stellar
+
+    colour, m_g = stellar.bp_rp(), stellar.absolute_mag()
+    return stars.withColumns({"abs_mag": m_g, "abs_mag_error": stellar.absolute_mag_error(0.01, "parallax", "parallax_error"), "bp_rp": colour, "population": stellar.population5(colour, m_g)})
+
+
+def research_profile(stars: DataFrame, field: DataFrame, catalogs: dict[str, DataFrame] | None = None, ebv: float = 0.05, arcsec: float = 2.0) -> DataFrame:
+    """The stellar analysis with binary_limit, dereddened values, the SED and its teff_k, the density ratio of the star's
+    surroundings in ``field``, and its matches in external ``catalogs``: a map from catalog to the nearest five rows."""
+    from starloom.functions import stellar
+    from starloom.operators.aggregates import density_anomaly
+    from starloom.operators.crossmatch import xmatch_catalogs
+
+    out = stellar_analysis(stars).withColumns({"binary_limit": stellar.binary_separation(), "dereddened": stellar.deredden(ebv), "sed": stellar.sed(list(stellar.FILTERS)[:3])}).withColumn("teff_k", stellar.wien_teff("sed"))
+    out = out.join(density_anomaly(field).select("source_id", "ratio", "is_peak"), "source_id", "left")
+    if catalogs:
+        pairs = F.collect_list(F.struct("catalog", "matches"))  # one for each catalog
+        out = out.join(xmatch_catalogs(stars, catalogs, arcsec).groupBy("source_id").agg(F.map_from_entries(pairs).alias("external")), "source_id", "left")
+    return out

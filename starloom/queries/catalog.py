@@ -467,14 +467,6 @@ def alert_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(mjd(F.col("ts").cast("timestamp")), 6).alias("mjd"))
 
 
-@query("research_profile")
-def research_profile(spark, sf_dir):
-    s = stars(spark, sf_dir)
-    ratio = aggregates.density_anomaly(s).select("source_id", "ratio", "is_peak")
-    points = stellar.sed(["phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag"])
-    return s.join(ratio, "source_id", "left").withColumn("sed", points).select("source_id", F.round(stellar.absolute_mag(), 6).alias("abs_mag"), stellar.absolute_mag_error(0.01, "parallax", "parallax_error").alias("abs_mag_error"), F.round(stellar.binary_separation(), 6).alias("binary_limit"), "ratio", "is_peak", stellar.deredden(0.05).alias("dereddened"), stellar.wien_teff("sed").alias("teff_k"))
-
-
 @query("volume_cone", f"{W} SELECT count(*) AS n FROM stars WHERE ra IS NOT NULL AND {sep('ra', 'dec', '130.05', '19.52')} <= 2.5")
 def volume_cone(spark, sf_dir):
     return aggregates.count_in_cone(stars(spark, sf_dir), 130.05, 19.52, 2.5)
@@ -487,8 +479,8 @@ _POP5 = "CASE WHEN m < 3 AND c < 0.8 THEN 'Main Sequence (O/B/A)' WHEN m < 1 AND
 
 @query("stellar_analysis", f"{_CM} SELECT source_id, round(m, 2) + 0.0 AS abs_mag, CASE WHEN parallax > 0 THEN round(sqrt(pow(0.01, 2) + pow(5 / ln(10) * coalesce(parallax_error, 0.01) / parallax, 2)), 3) END AS abs_mag_error, round(c, 6) + 0.0 AS bp_rp, {_POP5} AS population FROM q")
 def stellar_analysis(spark, sf_dir):
-    colour, m_g = stellar.bp_rp(), stellar.absolute_mag()
-    return stars(spark, sf_dir).select("source_id", (F.round(m_g, 2) + 0.0).alias("abs_mag"), stellar.absolute_mag_error(0.01, "parallax", "parallax_error").alias("abs_mag_error"), (F.round(colour, 6) + 0.0).alias("bp_rp"), stellar.population5(colour, m_g).alias("population"))
+    found = hybrid.stellar_analysis(stars(spark, sf_dir))
+    return found.select("source_id", (F.round("abs_mag", 2) + 0.0).alias("abs_mag"), "abs_mag_error", (F.round("bp_rp", 6) + 0.0).alias("bp_rp"), "population")
 
 
 _DISTANCE_SQL = f"{W} SELECT source_id, round({sep('ra', 'dec', '83.82', '-5.39')}, 6) AS sep_deg, round({M_G}, 6) AS abs_mag FROM stars WHERE ra IS NOT NULL AND {sep('ra', 'dec', '83.82', '-5.39')} <= 12"

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from starloom.functions import sky, stellar
 from starloom.functions import text as tx
 from starloom.functions.tables import table
-from starloom.operators import aggregates, cone, crossmatch, documents, metrics, upserts, vectors
+from starloom.operators import aggregates, cone, crossmatch, documents, hybrid, metrics, upserts, vectors
 from starloom.plans.fixtures import alerts, papers, regions, stars, with_views
+from starloom.queries import catalog
 from starloom.queries.catalog import _EDGES, _SCORED, _TRUTH, _edges, _scored, rounded
-from starloom.queries.sky import _IN, _XMATCH, CATALOG, COLOUR, M_G, MOTION, W, WR, sep
+from starloom.queries.sky import _IN, _XMATCH, CATALOG, COLOUR, M_G, MOTION, ORACLES as SKY_ORACLES, W, WR, near, sep
 from starloom.sources import exports, feeds
 
 QUERIES: dict = {}
@@ -242,3 +243,21 @@ _NAMES = "SELECT DISTINCT 'Gaia DR3 ' || CAST(100000000000000000 + (event_id * 3
 @query("link_alerts_papers", f"{with_views('papers')}, a AS ({_NAMES.replace('{events}', 'events')}) SELECT name, arxiv_id FROM a JOIN papers ON contains(lower(title), lower(name)) OR contains(lower(abstract), lower(name))")
 def link_alerts_papers(spark, sf_dir):
     return documents.link_alerts_papers(spark.sql(_NAMES, events=table(spark, sf_dir, "events")), papers(spark, sf_dir))
+
+
+# --- profiles --------------------------------------------------------------------------------------
+
+_KNOWN = SKY_ORACLES | catalog.ORACLES
+
+
+@query("research_profile", f"""{W}, {near(1.0)}, sa AS ({_KNOWN['stellar_analysis']}), da AS (SELECT a_id, count(*) FILTER (sep <= 0.1) AS n_small, count(*) AS n_large FROM pairs GROUP BY 1),
+x AS (SELECT a_id, least(count(*) FILTER (b_cat = 'WISE'), 5) + least(count(*) FILTER (b_cat = '2MASS'), 5) AS n FROM pairs WHERE sep <= 100.0 / 3600 GROUP BY 1), se AS ({_KNOWN['sed_temperature']})
+SELECT source_id, sa.abs_mag, sa.abs_mag_error, sa.population, CASE WHEN ruwe > 1 AND parallax > 0 THEN round((ruwe - 1) * (1000 / parallax) * 0.5, 6) ELSE 0.0 END AS binary_limit, round((n_small / 0.01) / n_large, 6) AS ratio, (n_small / 0.01) / n_large > 3 AS is_peak,
+ round(phot_g_mean_mag - 0.86 * 3.1 * 0.05, 3) AS g_corrected, round({COLOUR} - 0.41 * 3.1 * 0.05, 3) AS bp_rp_corrected, se.teff_k, coalesce(x.n, 0) AS n_external
+FROM stars JOIN sa USING (source_id) JOIN se USING (source_id) LEFT JOIN da ON da.a_id = source_id LEFT JOIN x ON x.a_id = source_id""")
+def research_profile(spark, sf_dir):
+    s = stars(spark, sf_dir)
+    external = {c: s.where(F.col("catalog_source") == c).select("source_id", "ra", "dec") for c in ("WISE", "2MASS")}
+    found = hybrid.research_profile(s, s, external, arcsec=100.0)
+    n = F.coalesce(F.aggregate(F.map_values("external"), F.lit(0).cast("long"), lambda a, m: a + F.size(m)), F.lit(0).cast("long"))
+    return found.select("source_id", (F.round("abs_mag", 2) + 0.0).alias("abs_mag"), "abs_mag_error", "population", F.round("binary_limit", 6).alias("binary_limit"), F.round("ratio", 6).alias("ratio"), "is_peak", "dereddened.g_corrected", "dereddened.bp_rp_corrected", "teff_k", n.alias("n_external"))

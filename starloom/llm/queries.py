@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.llm import decontam, licenses, mixing, neardup, sharding, templates, tokens, toxicity, voronoi, warc
+from starloom.llm import bpe, decontam, gnat, licenses, mixing, neardup, periods, sharding, templates, tokens, toxicity, voronoi, warc
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), exponent=0.5, epochs=1.0, seed=42).select("doc_id", "source", "lang", "n_chars", "text", "copy_no", "shuffle_key")
 
@@ -57,6 +63,18 @@ def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode_and_decode(table(spark, sf_dir, "documents"), word_tokenizer_path()))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest(periods.find_runs(table(spark, sf_dir, "documents"), altered=periods.repeated))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.hard_negatives(gnat.prepared(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_poisson_mixing": op1_poisson_mixing,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -68,9 +86,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_voronoi_topk": op9_voronoi_topk,
     "op10_warc_boundary_chain": op10_warc_boundary_chain,
+    "op11_streaming_bpe": op11_streaming_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_poisson_mixing": mixing.ORACLE,
     "op9_voronoi_topk": voronoi.ORACLE,
     "op10_warc_boundary_chain": warc.ORACLE,
+    "op13_hard_negatives": gnat.ORACLE,
 }

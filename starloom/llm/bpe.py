@@ -288,7 +288,7 @@ class Encoder(dict):
                     yield from out.feed(piece)
                 # A run of letters, or of other signs, may go on; a digit or a contraction is whole.
                 last = pieces[-1].decode(errors="replace") if pieces else ""
-                white = bool(text) and text[-1].isspace()
+                white = bool(text) and not self._words(text[-1], False)
                 run = next((s for s in "a!" if last and not white and len(self._words(last + s, False)) == 1), "")
                 if not run:
                     yield from out.close()

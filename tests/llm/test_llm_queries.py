@@ -22,7 +22,7 @@ def test_query_without_oracle_runs(spark, sf_dir, name):
 def test_names_and_entry():
     import __spark_entry__ as entry
 
-    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == {str(i) for i in range(1, 14)}
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
 
 

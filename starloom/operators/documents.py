@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions import text as tx
 from starloom.functions.stellar import bp_rp, total_motion
+from starloom.plans.durable import durable
 
 #: Most cluster terms that every text is searched for one by one; more are joined.
 FEW_TERMS = 200
@@ -60,22 +61,60 @@ def link_stars_papers(papers: DataFrame, stars: DataFrame, names: DataFrame | No
     return links.distinct()
 
 
-#: Characters of a term that texts and terms are joined by.
-TERM_KEY = 8
+#: Characters of a gram, the unit of the inverted index.
+GRAM = 8
+#: Most distinct grams that are broadcast to the texts; more are joined as Spark sees fit.
+BROADCAST_GRAMS = 500_000
+
+
+def grams(value, lengths: list[int]) -> Column:
+    """The distinct runs of each of the lengths (characters) that a text holds."""
+    runs = [F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
+    return F.array_distinct(F.concat(*runs))
+
+
+def gram_postings(texts: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
+    """(gram, text_key): the inverted index of texts (text_key, body) over the grams of ``wanted`` (gram); no row carries a body."""
+    small = wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return texts.select("text_key", F.explode(grams("body", lengths)).alias("gram")).join(F.broadcast(wanted) if small else wanted, "gram", "left_semi").distinct()
+
+
+def term_candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_key, term, gram, held_by): texts (text_key, body) that hold the rarest gram, and all others, of distinct terms (term).
+
+    A term's grams are its runs of ``GRAM`` characters, or itself if it is shorter. Each gram is counted over the texts, and over
+    the terms; a term is keyed by the gram that the fewest texts hold, of equals that of the fewest terms, so names that share
+    a beginning are told apart by what follows it. A term with a gram that no text holds is in none. What meets by the rarest gram stays only
+    if the text holds the term's other grams too; texts of the postings have their keys alone.
+    """
+    term = F.col("term")
+    own = terms.select(term, F.when(F.char_length(term) <= GRAM, F.array(term)).otherwise(grams(term, [GRAM])).alias("grams"))
+    lengths = [r[0] for r in terms.select(F.least(F.char_length(term), F.lit(GRAM)).alias("n")).distinct().collect()]  # eight at most
+    listed = own.select("term", F.explode("grams").alias("gram"))
+    asked = listed.groupBy("gram").agg(F.count("*").alias("terms"))
+    # One pass over the texts; what is left of it is small beside them and read three times.
+    postings = durable(gram_postings(texts, asked.select("gram"), lengths), "postings")
+    held = postings.groupBy("gram").agg(F.count("*").alias("held_by")).join(asked, "gram")
+    of = listed.join(held, "gram", "left").withColumn("held_by", F.coalesce("held_by", F.lit(0).cast("long")))
+    best = of.groupBy("term").agg(F.min(F.struct("held_by", "terms", "gram")).alias("b"), F.count("*").alias("n"))
+    keyed = best.where("b.held_by > 0").select("term", "n", F.col("b.gram").alias("gram"), F.col("b.held_by").alias("held_by"))
+    met = keyed.join(postings, "gram")
+    more = met.where("n > 1").join(listed.withColumnRenamed("gram", "_other"), "term").join(postings.withColumnRenamed("gram", "_other"), ["_other", "text_key"])
+    full = more.groupBy("text_key", "term", "gram", "held_by", "n").agg(F.count("*").alias("_found")).where(F.col("_found") == F.col("n"))
+    return met.where("n = 1").select("text_key", "term", "gram", "held_by").unionByName(full.select("text_key", "term", "gram", "held_by"))
 
 
 def texts_with_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows of texts (body, ...) and terms (term, ...) with the term inside the body; an empty term is in none.
 
-    The first characters of the terms, eight at most, are equals of runs of as many characters of the texts, so
-    any number of terms is an equi-join; the whole term decides.
+    Candidates come from an inverted index on the rarest grams (``term_candidates``), over hashes of the texts;
+    bodies are joined after that, once a candidate, and the whole term decides. Texts that share a hash are tried alike.
     """
-    key = F.left("term", F.lit(TERM_KEY))
-    terms = terms.where("term <> ''").withColumn("_key", key)
-    lengths = [r[0] for r in terms.select(F.length("_key")).distinct().collect()]  # eight at most
-    runs = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
-    said = texts.withColumn("_key", F.explode(F.array_distinct(F.concat(*runs))))
-    return said.join(terms, "_key").where(F.expr("contains(body, term)")).drop("_key")
+    terms = terms.where("term <> ''")
+    keyed = texts.where(F.col("body").isNotNull()).withColumn("_key", F.xxhash64("body"))
+    pairs = term_candidates(keyed.select(F.col("_key").alias("text_key"), "body"), terms.select("term").distinct()).select(F.col("text_key").alias("_key"), F.col("term").alias("_term")).distinct()
+    said = pairs.join(keyed, "_key").where(F.expr("contains(body, _term)")).drop("_key")
+    return said.join(terms, said["_term"] == terms["term"]).drop("_term")
 
 
 def link_papers_clusters(papers: DataFrame, regions: DataFrame, aliases: dict = tx.CLUSTERS) -> DataFrame:

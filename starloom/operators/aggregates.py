@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from starloom.functions.columns import normalize_catalog, normalize_object_class
 from starloom.functions.sky import from_cartesian, in_cone
 from starloom.functions.stellar import absolute_mag, anomaly_types, bp_rp, hr_mass, log_g, population14, strict_motion, teff
-from starloom.operators.crossmatch import region_members, sky_join
+from starloom.operators.crossmatch import counts_in_radii, region_members
 
 
 def count_in_cone(stars: DataFrame, ra: float, dec: float, radius: float) -> DataFrame:
@@ -34,9 +34,8 @@ def density(stars: DataFrame, ra: float, dec: float, radius: float, cap: int = 1
 
 
 def density_anomaly(stars: DataFrame, r_small: float = 0.1, r_large: float = 1.0) -> DataFrame:
-    """Ratio of the surface densities within both radii around every star; a peak above 3. One join serves both."""
-    s = stars.select("source_id", "ra", "dec")
-    near = sky_join(s, s, r_large).groupBy("source_id").agg(F.count_if(F.col("sep_deg") <= r_small).alias("n_small"), F.count("*").alias("n_large"))
+    """Ratio of the surface densities within both radii around every star; a peak above 3. Crowded fields are counted by cells, not by pairs."""
+    near = counts_in_radii(stars, [r_small, r_large]).withColumnsRenamed({"n0": "n_small", "n1": "n_large"})
     ratio = (F.col("n_small") / r_small**2) / (F.col("n_large") / r_large**2)
     return near.withColumn("ratio", ratio).withColumn("is_peak", ratio > 3)
 

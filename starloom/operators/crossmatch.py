@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,23 +10,37 @@ from pyspark.sql import functions as F
 
 from starloom.functions.columns import normalize_catalog
 from starloom.functions.sky import in_cone, separation_deg
-
-#: Zones are at least this high (degrees), so that tiny radii don't make millions of them.
-LEAST_ZONE = 0.01
+from starloom.plans.durable import durable
+
+#: Zones are at least this high (degrees): 0.36 arc-seconds. Keys are hashed, so their number costs nothing.
+LEAST_ZONE = 1e-4
+#: Rows of a cell from which it is split, and halvings of its sides at most.
+HOT_ROWS, MOST_SPLIT = 2_000, 3
+#: Most cells that are split, the densest first; the others are left to adaptive skew handling.
+HOT_CELLS = 20_000
 #: Most rows of a region or name table that is broadcast; larger ones go through cells.
 BROADCAST_ROWS = 10_000
 
 
-def _cells_in_zone(zone: Column, height: float, radius: float) -> Column:
-    """Right-ascension cells of a zone, wide enough that neighbours within the radius are at most one cell apart."""
+def _reach(zone: Column, height: float, radius: float) -> tuple[Column, Column]:
+    """(degrees of right ascension that a radius covers at most around a zone, whether it may cover a pole)."""
     far = F.greatest(F.abs((zone - 1) * height - 90), F.abs((zone + 2) * height - 90))
     lo, hi = F.radians(far - radius), F.radians(far + radius)
-    width = F.degrees(F.atan(F.sin(F.radians(F.lit(radius))) / F.sqrt(F.abs(F.cos(lo) * F.cos(hi)))))
-    return F.when(far + radius >= 90, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360.0 / width).cast("long")))
+    return F.degrees(F.atan(F.sin(F.radians(F.lit(radius))) / F.sqrt(F.abs(F.cos(lo) * F.cos(hi))))), far + radius >= 90
+
+
+def _cells_in_zone(zone: Column, height: float, radius: float) -> Column:
+    """Right-ascension cells of a zone, wide enough that neighbours within the radius are at most one cell apart."""
+    width, pole = _reach(zone, height, radius)
+    return F.when(pole, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360.0 / width).cast("long")))
+
+
+def _cell(ra, n: Column) -> Column:
+    return F.least(n - 1, F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n).cast("long"))
 
 
 def _placed(df: DataFrame, height: float, spread: bool, radius: float) -> DataFrame:
-    """Rows with their (zone, cell); with ``spread`` also the cells around."""
+    """Rows with their (zone, cell) and the zone's number of cells, ``_n``; with ``spread`` also the cells around."""
     df = df.where(F.col("ra").isNotNull() & F.col("dec").isNotNull())
     zone = F.floor((F.col("dec") + 90) / height).cast("long")
     if spread:
@@ -33,28 +48,63 @@ def _placed(df: DataFrame, height: float, spread: bool, radius: float) -> DataFr
     else:
         df = df.withColumn("_zone", zone)
     df = df.withColumn("_n", _cells_in_zone(F.col("_zone"), height, radius))
-    own = F.least(F.col("_n") - 1, F.floor(F.pmod("ra", F.lit(360.0)) / 360.0 * F.col("_n")).cast("long"))
+    own = _cell("ra", F.col("_n"))
     if spread:
         df = df.withColumn("_own", own).withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("_own") + d, F.col("_n")) for d in (-1, 0, 1)))))).drop("_own")
     else:
         df = df.withColumn("_cell", own)
-    return df.drop("_n")
+    return df
+
+
+def _within_cell(height: float) -> tuple[Column, Column]:
+    """(declination above the cell's lower edge, right ascension east of its western edge, -180 to 180), as shares of its sides."""
+    up = (F.col("dec") + 90) / height - F.col("_zone")
+    east = F.pmod(F.col("ra") - F.col("_cell") * 360.0 / F.col("_n") + 180.0, F.lit(360.0)) - 180.0
+    return up, east * F.col("_n") / 360.0
+
+
+def _split(left: DataFrame, right: DataFrame, height: float, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_sub``, the part of a dense cell: right rows are in one, left rows in all within the radius.
+
+    Cells of at least ``HOT_ROWS`` right rows are halved along both sides until a part has fewer if they are spread evenly, but
+    ``MOST_SPLIT`` times at most. So the left rows of one dense field are dealt over many keys, and meet fewer rows outside the radius.
+    """
+    plain = left.withColumn("_sub", F.lit(0)), right.withColumn("_sub", F.lit(0))
+    if right.isStreaming or MOST_SPLIT < 1:
+        return plain
+    dense = right.where("_n >= 4").groupBy("_zone", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
+    rows = [(r._zone, r._cell, 1 << min(MOST_SPLIT, 1 + int(math.log(r._rows / HOT_ROWS, 4)))) for r in dense.orderBy(F.desc("_rows"), "_zone", "_cell").limit(HOT_CELLS).collect()]
+    if not rows:
+        return plain
+    sides = F.broadcast(right.sparkSession.createDataFrame(rows, "_zone long, _cell long, _side int"))
+    up, east = _within_cell(height)
+    part = lambda share: F.greatest(F.lit(0), F.least(F.col("_side") - 1, F.floor(share * F.col("_side")).cast("int")))
+    right = right.join(sides, ["_zone", "_cell"], "left").withColumn("_sub", F.coalesce(part(up) * F.col("_side") + part(east), F.lit(0))).drop("_side")
+    slack = 1e-6
+    tall, wide = radius / height + slack, _reach(F.col("_zone"), height, radius)[0] * F.col("_n") / 360.0 + slack
+    rows_of, columns_of = F.sequence(part(up - tall), part(up + tall)), F.sequence(part(east - wide), part(east + wide))
+    near = (up + tall >= 0) & (up - tall <= 1) & (east + wide >= 0) & (east - wide <= 1)
+    grid = F.flatten(F.transform(rows_of, lambda r: F.transform(columns_of, lambda c: r * F.col("_side") + c)))
+    parts = F.when(F.col("_side").isNull(), F.array(F.lit(0))).when(near, grid)
+    left = left.join(sides, ["_zone", "_cell"], "left").withColumn("_sub", F.explode(parts)).drop("_side")
+    return left, right
 
 
 def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner", sep: str = "sep_deg", key: str = "source_id") -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` within ``radius_deg``; b's columns get the suffix ``_b``.
 
     ``how`` is inner, left, semi or anti; the last three go by ``key`` of a. The left side is copied to at
-    most nine cells, the right to one; the exact separation decides. Null positions match nothing. Dense cells
-    are left to adaptive skew handling.
+    most nine cells, the right to one; the exact separation decides. Null positions match nothing. Dense cells of a right side
+    that is no stream are split below the radius (``_split``); what is left of skew goes to adaptive execution.
     """
     height = max(radius_deg, LEAST_ZONE)
     left = _placed(a, height, True, radius_deg)
     right = _placed(b, height, False, radius_deg)
-    right = right.select("_zone", "_cell", *(F.col(c).alias(f"{c}_b") for c in b.columns))
+    left, right = _split(left, right, height, radius_deg)
+    right = right.select("_zone", "_cell", "_sub", *(F.col(c).alias(f"{c}_b") for c in b.columns))
     exact = separation_deg("ra", "dec", "ra_b", "dec_b")
     # A band on declination is cheap and drops most candidates before the trigonometry.
-    pairs = left.join(right, ["_zone", "_cell"]).where(F.abs(F.col("dec") - F.col("dec_b")) <= radius_deg + 1e-9).withColumn(sep, exact).where(F.col(sep) <= radius_deg).drop("_zone", "_cell")
+    pairs = left.join(right, ["_zone", "_cell", "_sub"]).where(F.abs(F.col("dec") - F.col("dec_b")) <= radius_deg + 1e-9).withColumn(sep, exact).where(F.col(sep) <= radius_deg).drop("_zone", "_cell", "_sub", "_n")
     if how == "inner":
         return pairs
     if how in ("semi", "anti"):
@@ -63,6 +113,96 @@ def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner",
     return a.join(found, key, "left")
 
 
+#: Sides of a radius-sized cell in the two finer levels of the pyramid, and pairs of points below which two cells are not looked into further.
+FINE, FINEST, FEW_PAIRS = 16, 64, 64
+#: Rows around a point, on average, from which counts come from the pyramid; below, joining the points is less work.
+CROWDED = 400
+
+
+def _boxes(placed: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """The cells of a level: members, tight box, its centre, and the greatest separation of a member from it.
+
+    Along a meridian, then along a parallel, is a way to any member; its length bounds the separation.
+    """
+    box = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ra").alias("ra0"), F.max("ra").alias("ra1"), F.min("dec").alias("dec0"), F.max("dec").alias("dec1"))
+    least = F.when((F.col("dec0") <= 0) & (F.col("dec1") >= 0), F.lit(0.0)).otherwise(F.least(F.abs("dec0"), F.abs("dec1")))
+    far = (F.col("dec1") - F.col("dec0")) / 2 + (F.col("ra1") - F.col("ra0")) / 2 * F.cos(F.radians(least))
+    out = box.select(*keys, "n", "ra0", "ra1", ((F.col("ra0") + F.col("ra1")) / 2).alias("ra"), ((F.col("dec0") + F.col("dec1")) / 2).alias("dec"), far.alias("far"))
+    return out.select(*(F.col(c).alias(f"{tag}_{c}") for c in out.columns))
+
+
+def counts_within(points: DataFrame, others: DataFrame, radius_deg: float) -> DataFrame:
+    """(row, n): how many of ``others`` (ra, dec) lie within the radius of each of the points (row, ra, dec).
+
+    A pyramid of counts. Both sides are summed up in cells of a sixteenth and a sixty-fourth of the radius. Two
+    cells whose boxes lie wholly within the radius add their counts, those wholly outside nothing; only pairs of cells that the
+    radius cuts are looked into, cell by cell, and at last point by point. So a dense field makes no row for each pair
+    of its points. Points without a position, or with none around, have no row.
+    """
+    height = max(radius_deg, LEAST_ZONE)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = _placed(df.withColumn("ra", F.pmod("ra", F.lit(360.0))), height, False, radius_deg)
+        up, east = (F.greatest(F.lit(0), F.least(F.lit(FINEST - 1), F.floor(share * FINEST).cast("long"))) for share in _within_cell(height))
+        coarse = (F.col("_zone") * (1 << 22) + F.col("_cell")) * FINEST  # zones and cells are fewer than 2**22
+        df = df.withColumn("cell2", (coarse + up) * FINEST + east)
+        step = FINEST // FINE
+        return df.withColumn("cell1", (coarse + up - up % step) * FINEST + east - east % step).drop("_n")
+
+    a, b = durable(placed(points.select("row", "ra", "dec")), "points"), durable(placed(others.select("ra", "dec")), "others")
+    a1, b1 = _boxes(a, ["_zone", "_cell", "cell1"], "a"), _boxes(b, ["_zone", "_cell", "cell1"], "b")
+    around = a1.withColumn("zone", F.explode(F.array(F.col("a__zone") - 1, F.col("a__zone"), F.col("a__zone") + 1))).withColumn("cells", _cells_in_zone(F.col("zone"), height, radius_deg))
+    # All cells that any member of the box may reach.
+    first, last = _cell("a_ra0", F.col("cells")) - 1, _cell("a_ra1", F.col("cells")) + 1
+    around = around.withColumn("cell", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("cells") - 1)), lambda c: F.pmod(c, F.col("cells"))))))
+    met = around.join(b1.withColumnRenamed("b__zone", "zone").withColumnRenamed("b__cell", "cell"), ["zone", "cell"])
+
+    def sorted_out(pairs: DataFrame) -> DataFrame:
+        """Pairs of boxes that may be within the radius, and whether they wholly are."""
+        away, reach, slack = separation_deg("a_ra", "a_dec", "b_ra", "b_dec"), F.col("a_far") + F.col("b_far"), 1e-9
+        near = pairs.withColumn("away", away).where(F.col("away") - reach <= radius_deg + slack)
+        return near.withColumn("whole", F.col("away") + reach <= radius_deg - slack).withColumn("pairs", F.col("a_n") * F.col("b_n"))
+
+    met = durable(sorted_out(met).select("a_cell1", "b_cell1", "b_n", "pairs", "whole"), "cells")
+    a2, b2 = _boxes(a, ["cell1", "cell2"], "a"), _boxes(b, ["cell1", "cell2"], "b")
+    deep = met.where(~F.col("whole") & (F.col("pairs") > FEW_PAIRS)).select("a_cell1", "b_cell1")
+    finer = durable(sorted_out(deep.join(a2, "a_cell1").join(b2, "b_cell1")).select("a_cell2", "b_cell2", "b_n", "pairs", "whole"), "cells")
+
+    def one_by_one(cut: DataFrame, level: str) -> DataFrame:
+        right = b.select(F.col(level).alias(f"b_{level}"), F.col("ra").alias("b_ra"), F.col("dec").alias("b_dec"))
+        pairs = cut.select(f"a_{level}", f"b_{level}").join(a.select("row", "ra", "dec", F.col(level).alias(f"a_{level}")), f"a_{level}").join(right, f"b_{level}")
+        near = pairs.where(F.abs(F.col("dec") - F.col("b_dec")) <= radius_deg + 1e-9).where(separation_deg("ra", "dec", "b_ra", "b_dec") <= radius_deg)
+        return near.groupBy("row").agg(F.count("*").alias("n"))
+
+    def added(level_pairs: DataFrame, level: str) -> DataFrame:
+        summed = level_pairs.where("whole").groupBy(F.col(f"a_{level}").alias(level)).agg(F.sum("b_n").alias("n"))
+        return a.select("row", level).join(summed, level).drop(level)
+
+    looked_into = met.where(~F.col("whole") & (F.col("pairs") <= FEW_PAIRS))
+    parts = [added(met, "cell1"), added(finer, "cell2"), one_by_one(looked_into, "cell1"), one_by_one(finer.where(~F.col("whole")), "cell2")]
+    return reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("n").alias("n"))
+
+
+def crowding(points: DataFrame, radius_deg: float) -> float:
+    """Rows that a point meets in a positional join, on average: nine cells' worth of its own cell."""
+    height = max(radius_deg, LEAST_ZONE)
+    cells = _placed(points.select("ra", "dec"), height, False, radius_deg).groupBy("_zone", "_cell").agg(F.count("*").cast("double").alias("n"))
+    mean = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+    return 9 * (mean or 0.0)
+
+
+def counts_in_radii(points: DataFrame, radii: list[float], key: str = "source_id") -> DataFrame:
+    """(key, n0, n1, ...): rows of the same table within each of the radii (rising) of a row, itself among them; rows of one key are summed."""
+    if crowding(points, radii[-1]) < CROWDED:
+        s = points.select(key, "ra", "dec")
+        return sky_join(s, s, radii[-1], key=key).groupBy(key).agg(*(F.count_if(F.col("sep_deg") <= r).alias(f"n{i}") for i, r in enumerate(radii)))
+    s = durable(points.where("ra IS NOT NULL AND dec IS NOT NULL").select(key, "ra", "dec", F.monotonically_increasing_id().alias("row")), "points")
+    out = s.select(key, "row")
+    for i, r in enumerate(radii):
+        out = out.join(counts_within(s, s, r).withColumnRenamed("n", f"n{i}"), "row")
+    return out.groupBy(key).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(radii))))
+
+
 def neighbour_context(candidates: DataFrame, pool: DataFrame, radius_deg: float = 0.08) -> DataFrame:
     """Add local_density (pool rows around, itself apart) and matched_catalogs (other catalogs among them).
 

@@ -69,3 +69,62 @@ def test_many_regions_go_by_cells_and_find_the_same(spark, monkeypatch):
     assert {tuple(x) for x in crossmatch.nearest_region(points, regions).select("source_id", "label").collect()} == labels
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def field(n, seed, size=0.5):
+    """Most stars in one small field, the others all over."""
+    r = random.Random(seed)
+    rows = [(f"f{i}", (359.9 + r.uniform(0, size)) % 360, 20 + r.uniform(0, size)) for i in range(n)]
+    rows += [(f"g{i}", 100.0, -30.0) for i in range(n // 8)]  # one place
+    return [(f"{i}{r[0]}", *r[1:]) for i, r in enumerate(rows + sky(n // 6, seed))]
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.3, 2.0])
+def test_split_cells_lose_no_pair(spark, monkeypatch, radius):
+    monkeypatch.setattr(crossmatch, "HOT_ROWS", 8)
+    rows = field(240, 11)
+    df = spark.createDataFrame(rows, "source_id string, ra double, dec double")
+    known = [r for r in rows if None not in r]
+    want = {(a[0], b[0]) for a in known for b in known if apart(a, b) <= radius}
+    got = [(r.source_id, r.source_id_b) for r in sky_join(df, df, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.4, 3.0, 40.0])
+@pytest.mark.parametrize("few", [0, 64])
+def test_counts_of_the_pyramid_equal_brute_force(spark, monkeypatch, radius, few):
+    monkeypatch.setattr(crossmatch, "FEW_PAIRS", few)
+    rows = field(300, 12)
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "row long, ra double, dec double")
+    known = [(i, r[1], r[2]) for i, r in enumerate(rows) if None not in r]
+    want = {a[0]: sum(apart(a, b) <= radius for b in known) for a in known}
+    assert {r.row: r.n for r in crossmatch.counts_within(df, df, radius).collect()} == want
+
+
+def test_a_crowded_field_is_counted_by_cells(spark, monkeypatch):
+    """The same densities both ways; no row for each pair of the field."""
+    from starloom.operators.aggregates import density_anomaly
+
+    rows = [(f"d{i}", 10 + 0.3 * random.Random(i).random(), 10 + 0.3 * random.Random(-i).random()) for i in range(1, 3000)] + field(60, 3)
+    df = spark.createDataFrame([*rows, rows[5], (None, 10.1, 10.1)], "source_id string, ra double, dec double")
+    assert crossmatch.crowding(df, 1.0) > crossmatch.CROWDED
+    found = {r.source_id: tuple(r) for r in density_anomaly(df).collect()}
+    monkeypatch.setattr(crossmatch, "CROWDED", 1e12)
+    assert found == {r.source_id: tuple(r) for r in density_anomaly(df).collect()}
+
+
+def test_a_dense_field_costs_about_what_the_same_stars_cost_spread_out(spark):
+    """500,000 stars in a field of 0.1 degrees, and over the sky; neighbours within an arc-second."""
+    import time
+
+    n, radius = 500_000, 1 / 3600
+    spread = spark.range(n).selectExpr("id AS source_id", "rand(1) * 360 AS ra", "degrees(asin(rand(2) * 2 - 1)) AS dec").cache()
+    dense = spark.range(n).selectExpr("id AS source_id", "50 + rand(1) * 0.1 AS ra", "10 + rand(2) * 0.1 AS dec").cache()
+    took = {}
+    for name, stars_ in (("warm", spread), ("spread", spread), ("dense", dense)):
+        stars_.count()
+        begin = time.time()
+        pairs = sky_join(stars_, stars_, radius).where("source_id <> source_id_b").count()
+        took[name] = time.time() - begin
+    assert pairs > n and took["dense"] <= 2 * took["spread"] + 1
+    spread.unpersist(), dense.unpersist()

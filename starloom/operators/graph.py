@@ -59,6 +59,19 @@ def papers_of_star(edges: DataFrame, papers: DataFrame, ids: DataFrame, cluster_
     return out.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
 
 
+def related_factors(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stars two edges away, as factors: (source_id, hub) and (hub, related_id).
+
+    Their join on ``hub``, without equal ends, is what ``related_stars`` gives at two hops without a limit; the factors have a
+    row for each edge and never pair the members of a large hub off against each other.
+    """
+    both = edges.select("src_type", "src", "dst_type", "dst").unionByName(edges.select(F.col("dst_type").alias("src_type"), F.col("dst").alias("src"), F.col("src_type").alias("dst_type"), F.col("src").alias("dst")))
+    hub = F.concat_ws(":", "dst_type", "dst").alias("hub")
+    ends = both.where("src_type = 'Star'").select(F.col("src").alias("source_id"), hub).distinct()
+    left = ends.join(ids.select("source_id").distinct(), "source_id", "left_semi")
+    return left, ends.join(left.select("hub").distinct(), "hub", "left_semi").select("hub", F.col("source_id").alias("related_id"))
+
+
 def related_stars(edges: DataFrame, stars: DataFrame, ids: DataFrame, max_hops: int = 2, limit: int | None = 50) -> DataFrame:
     """(source_id, related_id, hops): stars on paths of up to ``max_hops`` edges, in any direction, no edge used twice.
 

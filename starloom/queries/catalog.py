@@ -10,7 +10,7 @@ from starloom.functions import text as tx
 from starloom.functions.columns import normalize_catalog, prefix_source_id, uuid5_dns
 from starloom.functions.sky import galactic_to_icrs, mjd
 from starloom.functions.tables import table
-from starloom.operators import aggregates, crossmatch, discovery, documents, graph, hybrid, ivf, metrics, sessions, upserts, vectors, volume
+from starloom.operators import aggregates, crossmatch, discovery, documents, graph, graph_store, hybrid, ivf, metrics, sessions, upserts, vectors, volume
 from starloom.operators.profiles import profile
 from starloom.plans.durable import new_path
 from starloom.plans.fixtures import alerts, messages, papers, regions, stars, with_views
@@ -233,8 +233,17 @@ def consistency(spark, sf_dir):
 # --- graph -----------------------------------------------------------------------------------------
 
 
+_built: dict[tuple, str] = {}
+
+
 def _edges(spark, sf_dir):
-    return graph.build_edges(stars(spark, sf_dir), papers(spark, sf_dir), regions(spark))
+    """The edge table of the stars, papers and regions: built in the shared folder once an application and set of input files, then read."""
+    of = (spark.sparkContext.applicationId, *(x for t in ("orders", "documents") for x in sorted(table(spark, sf_dir, t).inputFiles())))
+    if of not in _built:
+        path = new_path(spark, "graph")
+        graph_store.build_graph(path, stars(spark, sf_dir), papers(spark, sf_dir), regions(spark))
+        _built[of] = path
+    return graph_store.read_edges(spark, _built[of])
 
 
 WALL = with_views("stars", "papers", "regions")
@@ -246,6 +255,32 @@ def edge_counts(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("rel").agg(F.count("*").alias("n"))
 
 
+_BY_PAPER = "CAST(2301 + vec_id % 12 AS STRING) || '.' || lpad(CAST(vec_id AS STRING), CAST(greatest(5, length(CAST(vec_id AS STRING))) AS INT), '0')"
+_STAR_NAMES = "SELECT 'HD ' || CAST(48900 + CAST(right(source_id, 4) AS INT) % 40 AS STRING) AS name, min(source_id) AS source_id FROM {stars} WHERE source_id LIKE '%7' GROUP BY 1"
+
+
+@query("graph_build", f"""{_EDGES}, rn AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vec_id FROM regions), text AS (SELECT DISTINCT arxiv_id, cluster FROM covers),
+v AS (SELECT {_BY_PAPER} AS arxiv_id, embedding FROM embeddings), near AS (SELECT rn.name AS cluster, v.arxiv_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM rn JOIN embeddings q USING (vec_id), v),
+sem AS (SELECT cluster, arxiv_id FROM near WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, arxiv_id) <= 10),
+n AS ({_STAR_NAMES.replace('{stars}', 'stars')}), five AS (SELECT arxiv_id, unnest(list_slice(list_distinct_in_order, 1, 5)) AS i FROM (SELECT arxiv_id, list_filter(l, lambda x, k: list_position(l, x) = k) AS list_distinct_in_order FROM (SELECT arxiv_id, {_STRICT} AS l FROM papers))),
+ent AS (SELECT DISTINCT n.source_id, five.arxiv_id FROM five JOIN n ON five.i = upper(replace(n.name, ' ', '')) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sid = n.source_id AND e.arxiv_id = five.arxiv_id)),
+steps AS (SELECT 'clusters' AS step, count(*) AS created FROM regions UNION ALL SELECT 'stars', count(*) FROM stars UNION ALL SELECT 'membership', count(*) FROM member UNION ALL SELECT 'papers', count(*) FROM papers UNION ALL SELECT 'text_links', count(*) FROM text
+ UNION ALL SELECT 'semantic_links', count(*) FROM sem WHERE arxiv_id IN (SELECT arxiv_id FROM papers) AND (arxiv_id, cluster) NOT IN (SELECT arxiv_id, cluster FROM text) UNION ALL SELECT 'id_links', count(*) FROM e UNION ALL SELECT 'entity_links', count(*) FROM ent
+ UNION ALL SELECT 'citations', count(*) FROM documents WHERE doc_id >= 100)
+SELECT step, created, CAST(0 AS BIGINT) AS created_again FROM steps""")
+def graph_build(spark, sf_dir):
+    """All steps of the build and what each creates, then all of them once more."""
+    s, p, r = stars(spark, sf_dir), papers(spark, sf_dir), regions(spark)
+    v = table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{_BY_PAPER} AS id", "embedding AS vector")
+    order = Window.orderBy("name")  # a handful of regions
+    near = r.select("name", (F.row_number().over(order) - 1).alias("vec_id")).join(v, "vec_id").select("name", F.col("vector").alias("query"))
+    d = table(spark, sf_dir, "documents").where("doc_id >= 100").select(F.col("doc_id").alias("vec_id"), (F.col("doc_id") - 100).alias("cited"))
+    cites = d.selectExpr(f"{_BY_PAPER} AS citing", f"{_BY_PAPER.replace('vec_id', 'cited')} AS cited")
+    path = new_path(spark, "graph")
+    twice = [graph_store.build_graph(path, s, p, r, spark.sql(_STAR_NAMES, stars=s), v.select("id", "vector"), near, cites) for _ in range(2)]
+    return spark.createDataFrame([(step, n, again) for (step, n), (_, again) in zip(*twice, strict=True)], "step string, created long, created_again long")
+
+
 def _some(spark, sf_dir):
     return stars(spark, sf_dir).where("phot_g_mean_mag < 9").select("source_id")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.crossmatch import sky_join
 from starloom.operators.upserts import upsert_transients
+from starloom.streaming import versions
 
 
 def alert_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -40,23 +41,46 @@ def session_counts(alerts: DataFrame, gap: str = "30 minutes", late: str = "1 da
     return alerts.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "type").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "type", "n")
 
 
-def transient_sink(read_stars: Callable[[], DataFrame], write_version: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the batch's alerts are upserted into the current stars and written as a new version.
+def transient_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the batch's alerts (name, ra, dec, mag, type, ts) are upserted into the versioned stars at ``path``.
 
-    ``write_version(stars, batch_id)`` must be idempotent by batch id, which makes replays harmless.
+    Of alerts that repeat a name in a batch, the latest counts. Replays of a batch change nothing.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write_version(upsert_transients(read_stars(), batch), batch_id)
+        last = Window.partitionBy("name").orderBy(F.desc("ts"), "ra", "dec", "mag", "type")
+        one = batch.where("name IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        keys = one.select(F.concat(F.lit("GSA_"), F.col("name")).alias("source_id"))
+        versions.apply_batch(path, one, batch_id, keys, upsert_transients)
 
     return apply
 
 
-def paper_sink(read_existing: Callable[[], DataFrame], write_version: Callable[[DataFrame, int], None], target: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds new papers to a corpus, those already there left out."""
+def paper_sink(path: str, target: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds new papers, ``target`` a batch at most, to the versioned corpus at ``path``; those already there stay as they are."""
     from starloom.operators.documents import build_corpus
 
+    def add(corpus: DataFrame, batch: DataFrame) -> DataFrame:
+        return corpus.unionByName(build_corpus(batch, corpus, target).select(*corpus.columns))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        write_version(build_corpus(batch, read_existing(), target), batch_id)
+        versions.apply_batch(path, batch, batch_id, batch.select(F.substring_index("url", "/abs/", -1).alias("arxiv_id")), add)
 
     return apply
+
+
+def matched_sink(read_stars: Callable[[], DataFrame], out: str, arcsec: float = 3.0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch is matched with the stars as they are then, and written as a folder of its own.
+
+    The static side is read again for every batch, so stars that were added meanwhile are found; a replay writes its folder anew.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        matched(batch, read_stars(), arcsec).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return apply
+
+
+def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Feed all landed files to a foreachBatch function, batch by batch, and stop; a later run goes on from the checkpoint."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -38,6 +38,10 @@ PHENOMENA = {
 }
 
 
+#: A component's mark at the end of an identifier, set off from it.
+COMPONENT = r"(?<!\w)[ _-]?(?:[ABCabc][1-6]?|[IVX]+|[1-6])$"
+
+
 def distinct_in_order(items, key=lambda x: x) -> Column:
     """First occurrences, told apart by ``key``."""
     return F.filter(items, lambda x, i: F.array_position(F.transform(items, key), key(x)) == i + 1)

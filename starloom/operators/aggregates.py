@@ -149,6 +149,31 @@ def anomaly_totals(scored: DataFrame, top_k: int = 20) -> DataFrame:
     return top.select(F.explode(anomaly_types()).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def discovery_precision(scored: DataFrame, top_k: int = 20) -> DataFrame:
+    """Per region, and over all of them (region null): stars, those with a score above 0, candidates looked at, confirmed ones, and the precision.
+
+    A candidate is one of a region's ``top_k`` by score; it is confirmed by any anomaly type. A region's precision is over its
+    candidates; the overall one is over the lesser of ``top_k`` and the scored stars of each region, to three places.
+    """
+    order = Window.partitionBy("region").orderBy(F.desc("score"), "source_id")
+    ranked = scored.withColumn("_top", F.row_number().over(order) <= top_k).withColumn("_hit", F.size(anomaly_types()) > 0)
+    by = ranked.groupBy("region").agg(F.count("*").alias("total_stars"), F.count_if(F.coalesce(F.col("score") > 0, F.lit(False))).alias("total_scored"), F.count_if("_top").alias("candidates"), F.count_if(F.col("_top") & F.col("_hit")).alias("confirmed"))
+    over = by.agg(F.lit(None).cast("string").alias("region"), *(F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in ("total_stars", "total_scored")), F.coalesce(F.sum(F.least("total_scored", F.lit(top_k))), F.lit(0).cast("long")).alias("candidates"), F.coalesce(F.sum("confirmed"), F.lit(0).cast("long")).alias("confirmed"))
+    return by.unionByName(over).withColumn("precision", F.round(F.coalesce(F.try_divide("confirmed", "candidates"), F.lit(0.0)), 3))
+
+
+def ingest_stats(stars: DataFrame) -> DataFrame:
+    """One row: all stars, distinct catalogs, and the count of each."""
+    by = catalog_summary(stars)
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total"), F.count("*").alias("catalogs"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("catalog", "n")))).alias("by_catalog"))
+
+
+def regions_by_type(regions: DataFrame, kind: str = "type") -> DataFrame:
+    """(type, regions, stars, names): regions and their stored counts by type; a missing type is UNKNOWN."""
+    name = F.coalesce(F.when(F.trim(kind) != "", F.trim(kind)), F.lit("UNKNOWN")).alias("type")
+    return regions.groupBy(name).agg(F.count("*").alias("regions"), F.coalesce(F.sum("star_count"), F.lit(0).cast("long")).alias("stars"), F.array_sort(F.collect_set("name")).alias("names"))
+
+
 def benchmark_stats(results: DataFrame) -> DataFrame:
     """Pass rate, mean score and latency by query type and difficulty (results: type, difficulty, status, score, latency_ms)."""
     return results.groupBy("type", "difficulty").agg(F.count("*").alias("n"), F.avg(F.when(F.col("status") == "PASS", 1.0).otherwise(0.0)).alias("pass_rate"), F.avg("score").alias("mean_score"), F.avg("latency_ms").alias("mean_latency_ms"))

@@ -49,13 +49,14 @@ def nearby(stars: DataFrame, source_id: str, radius: float = 0.1, limit: int = 5
     pairs = sky_join(centre, stars, radius).where("source_id <> source_id_b")
     return pairs.select(*(F.col(f"{c}_b").alias(c) for c in stars.columns), F.col("sep_deg").alias("distance_deg")).orderBy("distance_deg", "source_id").limit(limit)
 
-def volume_filter(stars: DataFrame, limit: int = 8000, min_parallax: float | None = None, mag_limit: float | None = None) -> DataFrame:
+def volume_filter(stars: DataFrame, limit: int | None = 8000, min_parallax: float | None = None, mag_limit: float | None = None) -> DataFrame:
+    """Stars with parallax, the ``limit`` brightest (all, in no order, without a limit)."""
     df = stars.where("parallax > 0")
     if min_parallax is not None:
         df = df.where(F.col("parallax") >= min_parallax)
     if mag_limit is not None:
         df = df.where(F.col("phot_g_mean_mag") <= mag_limit)
-    return df.orderBy(F.coalesce("phot_g_mean_mag", F.lit(99.0)), F.desc("parallax"), "source_id").limit(limit)
+    return df if limit is None else df.orderBy(F.coalesce("phot_g_mean_mag", F.lit(99.0)), F.desc("parallax"), "source_id").limit(limit)
 
 def high_velocity(stars: DataFrame, min_snr: float = 5.0, min_pm: float = 100.0, limit: int | None = 100) -> DataFrame:
     pm = strict_motion()

@@ -236,6 +236,13 @@ def catalog_unique(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
     return named.select("catalog").distinct().join(alone, "catalog", "left").select("catalog", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))
 
 
+def overlap_report(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
+    """One row: all stars, those not unique to their catalog (stars without a position among them), and their share to three places."""
+    alone = catalog_unique(stars, match_arcsec).agg(F.coalesce(F.sum("unique_count"), F.lit(0).cast("long")).alias("alone"))
+    out = stars.agg(F.count("*").alias("total_stars")).join(F.broadcast(alone)).withColumn("multi_detected", F.col("total_stars") - F.col("alone")).drop("alone")
+    return out.withColumn("multi_fraction", F.round(F.coalesce(F.try_divide("multi_detected", "total_stars"), F.lit(0.0)), 3))
+
+
 def multi_catalog(stars: DataFrame, n: int = 2, radius_deg: float = 0.08) -> DataFrame:
     """Stars seen in at least ``n`` catalogs."""
     return neighbour_context(stars, stars, radius_deg).where(F.size("matched_catalogs") + 1 >= n)

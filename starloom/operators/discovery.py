@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.columns import finite, normalize_object_class
 from starloom.functions.stellar import bp_rp, confidence, total_motion
+from starloom.plans.durable import durable
 from starloom.operators.crossmatch import neighbour_context
 from starloom.operators.profiles import perturbed, profile
 
@@ -132,6 +133,18 @@ def robust_sweep(stars: DataFrame, mode: str = "balanced", seeds=(42, 43, 44, 45
     return out.select("source_id", F.round("_mean", 2).alias("mean_score"), F.round("_std", 3).alias("std_dev"), label.alias("confidence"))
 
 
+def robust_candidates(stars: DataFrame, ra: float, dec: float, radius: float, mode: str = "balanced", limit: int = 100, seeds=(42, 43, 44, 45, 46)) -> DataFrame:
+    """The nearest ``limit`` stars of a cone with the mean and spread of their scores among themselves, best mean first.
+
+    A star that the sweep leaves out keeps its row, without scores, and counts as 0 in the order; ties go by source_id.
+    """
+    from starloom.operators.cone import cone_search
+
+    found = durable(cone_search(stars, ra, dec, radius, limit=limit), "cone")
+    scores = robust_sweep(found, mode, seeds).groupBy("source_id").agg(F.max(F.struct("mean_score", "std_dev", "confidence")).alias("robust_score"))
+    return found.join(scores, "source_id", "left").orderBy(F.desc(F.coalesce("robust_score.mean_score", F.lit(0.0))), "source_id")
+
+
 def feature_importance(stars: DataFrame, mode: str = "balanced") -> DataFrame:
     """Shares of RUWE, colour and motion in each star's points."""
     w = profile(mode)

@@ -16,26 +16,29 @@ from starloom.plans.durable import durable
 FEW_TERMS = 200
 
 
+def pieces(text: str | None, size: int = 1000, overlap: int = 200) -> Iterator[str]:
+    """Overlapping pieces of a text that end at the last full stop beyond 80 percent of ``size``."""
+    start = 0
+    while text and start < len(text):
+        piece = text[start : start + size]
+        dot = piece.rfind(".")
+        if start + size < len(text) and dot > size * 0.8:
+            piece = piece[: dot + 1]
+        yield piece
+        if start + len(piece) >= len(text):
+            break
+        start += max(1, len(piece) - overlap)
+
+
 def chunk_text(df: DataFrame, key: str = "arxiv_id", column: str = "abstract", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(key, chunk_no, chunk): overlapping pieces that end at the last full stop beyond 80 percent of ``size``.
+    """(key, chunk_no, chunk): the pieces of each text.
 
     Where a piece ends depends on the one before, so this runs in tasks over Arrow batches.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                start, n = 0, 0
-                while text and start < len(text):
-                    piece = text[start : start + size]
-                    dot = piece.rfind(".")
-                    if start + size < len(text) and dot > size * 0.8:
-                        piece = piece[: dot + 1]
-                    rows.append({"k": k, "chunk_no": n, "chunk": piece})
-                    if start + len(piece) >= len(text):
-                        break
-                    start, n = start + max(1, len(piece) - overlap), n + 1
+            rows = [{"k": k, "chunk_no": n, "chunk": piece} for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, piece in enumerate(pieces(text, size, overlap))]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 

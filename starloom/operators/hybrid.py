@@ -91,7 +91,28 @@ def named_in_text(papers: DataFrame, names: DataFrame) -> DataFrame:
     table = table.select("name", F.array_join("_words", " ").alias("_run"))
     few = table.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     found = said.join(F.broadcast(table) if few else table, "_run").select("arxiv_id", "name").distinct().join(papers.select("arxiv_id", "abstract"), "arxiv_id")
-    return found.where(F.rlike("abstract", F.concat(F.lit(r"(?i)\b\Q"), "name", F.lit(r"\E\b")))).select("arxiv_id", "name").distinct()
+    return found.where(F.rlike("abstract", F.concat(F.lit(r"(?i)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)")))).select("arxiv_id", "name").distinct()
+
+
+def star_names(papers: DataFrame, names: DataFrame, k: int = 12) -> DataFrame:
+    """(arxiv_id, place, star): the first ``k`` names of each abstract: loose identifiers as they stand, then the table's names (name) alphabetically.
+
+    An identifier that ends in a component (A to C with a number, a Roman numeral, 1 to 6) is followed by what is left without it,
+    if that is a name of the table. Names of any number meet the texts as runs of words. Case aside each name comes once;
+    abstracts of under eight characters have none.
+    """
+    from starloom.functions.text import COMPONENT, LOOSE
+
+    texts = papers.select("arxiv_id", "abstract").where(F.length(F.trim("abstract")) >= 8)
+    found = F.transform(F.concat(*(F.regexp_extract_all("abstract", F.lit(p), 1) for p in LOOSE)), lambda x: F.trim(x))
+    raw = texts.select("arxiv_id", F.posexplode(found).alias("at", "star"))
+    table = names.select("name").where("name IS NOT NULL").distinct()
+    short = raw.withColumn("name", F.trim(F.regexp_replace("star", COMPONENT, ""))).where("name <> star").join(table, "name", "left_semi").select("arxiv_id", (2 * F.col("at") + 1).alias("at"), F.col("name").alias("star"))
+    common = named_in_text(texts, table).select("arxiv_id", F.lit(2**31 - 1).alias("at"), F.col("name").alias("star"))
+    every = raw.select("arxiv_id", (2 * F.col("at")).alias("at"), "star").unionByName(short).unionByName(common)
+    once = every.groupBy("arxiv_id", F.lower("star").alias("_low")).agg(F.min(F.struct("at", "star")).alias("s"))
+    order = Window.partitionBy("arxiv_id").orderBy("s.at", "s.star")
+    return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("arxiv_id", "place", F.col("s.star").alias("star"))
 
 
 def resolve_entities(papers: DataFrame, stars: DataFrame, authority: DataFrame, arcsec: float = 5.0) -> DataFrame:

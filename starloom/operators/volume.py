@@ -12,7 +12,7 @@ from starloom.operators.crossmatch import region_members
 from starloom.plans.durable import durable
 
 
-def space_volume(stars: DataFrame, limit: int = 8000, min_parallax: float | None = None, mag_limit: float | None = None) -> DataFrame:
+def space_volume(stars: DataFrame, limit: int | None = 8000, min_parallax: float | None = None, mag_limit: float | None = None) -> DataFrame:
     """Stars with parallax as points in parsec, y up."""
     df = volume_filter(stars, limit, min_parallax, mag_limit).withColumn("distance_pc", distance_pc("parallax"))
     x, y, z = to_cartesian("ra", "dec", "distance_pc")
@@ -34,15 +34,47 @@ def display_projection(points: DataFrame, exact: bool = True) -> DataFrame:
     return df.drop("_far", "_anchor")
 
 
-def kmeans3d(points: DataFrame, k: int = 3, max_iter: int = 12) -> DataFrame:
-    """Add cluster (0 to k-1): Lloyd's rounds on display position and scaled motion from farthest-point starts.
+def exact_percentile(df: DataFrame, column: str, p: float) -> float | None:
+    """The linearly interpolated percentile of a column, exactly, without sorting it or holding its values.
 
-    The first centre is the point of largest norm; the driver holds k centres, the data stay in place.
-    Fewer than three points give none.
+    A sketch gives a bracket; one more pass counts what lies below it and checks that the wanted ranks are inside; only the
+    rows of the bracket are ordered. A bracket that misses is widened. Null if there is no value.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    n = values.count()
+    if n == 0:
+        return None
+    place = p * (n - 1)
+    first, width = int(place), 1e-3
+    while True:
+        ends = [max(0.0, p - width), min(1.0, p + width)]
+        lo, hi = values.agg(F.percentile_approx("v", ends, 10_000)).first()[0]
+        below, upto = values.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)).first()
+        if (below <= first or ends[0] == 0.0) and (upto >= min(n, first + 2) or ends[1] == 1.0):
+            break
+        width *= 8
+    inside = values.where(F.col("v") >= lo) if ends[1] == 1.0 else values.where((F.col("v") >= lo) & (F.col("v") <= hi))
+    inside, below = (values.where("true"), 0) if ends[0] == 0.0 else (inside, below)
+    # Equal values are one row with their number, so that ties of any size stay small.
+    found, at = [], below
+    for r in inside.groupBy("v").count().orderBy("v").toLocalIterator():
+        while len(found) < 2 and first + len(found) < at + r["count"]:
+            found.append(r.v)
+        at += r["count"]
+        if len(found) == 2:
+            break
+    return found[0] + (found[-1] - found[0]) * (place - first)
+
+
+def kmeans3d(points: DataFrame, k: int = 3, max_iter: int = 12, seeding: str = "farthest", seed: int = 42) -> DataFrame:
+    """Add cluster (0 to k-1): Lloyd's rounds on display position and scaled motion over all points.
+
+    ``seeding`` is ``farthest`` (the point of largest norm, then the farthest from the centres so far) or ``parallel``
+    (k-means||, a few passes for any k). The driver holds k centres, the data stay in place. Fewer than three points give none.
     """
     axes = ["display_x_pc", "display_y_pc", "display_z_pc"]
     moves = points.select(F.explode(F.array(F.abs("pmra"), F.abs("pmdec"))).alias("m")).where("m IS NOT NULL")
-    scale = max(moves.agg(F.percentile("m", F.lit(0.75))).first()[0] or 1.0, 1.0)
+    scale = max(exact_percentile(moves, "m", 0.75) or 1.0, 1.0)
     made = [F.col(a) for a in axes] + [F.coalesce(m, F.lit(0.0)) / scale * 0.18 for m in ("pmra", "pmdec")]
     data = durable(points.where(" AND ".join(f"{a} IS NOT NULL" for a in axes)).withColumn("_f", F.array(*made)), "kmeans")
     n = data.count()
@@ -54,8 +86,11 @@ def kmeans3d(points: DataFrame, k: int = 3, max_iter: int = 12) -> DataFrame:
         return F.aggregate(F.zip_with("_f", F.lit(centre), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
 
     norm = F.aggregate(F.slice("_f", 1, 3), F.lit(0.0), lambda s, v: s + v * v)
-    centres = [list(data.orderBy(F.desc(norm), "source_id").first()["_f"])]
-    while len(centres) < k:
+    if seeding == "parallel":
+        centres = parallel_seeds(data, k, seed)
+    else:
+        centres = [list(data.orderBy(F.desc(norm), "source_id").first()["_f"])]
+    while seeding != "parallel" and len(centres) < k:
         far = data.orderBy(F.desc(F.least(*(d2(c) for c in centres)) if len(centres) > 1 else d2(centres[0])), "source_id").first()["_f"]
         if list(far) in centres:
             break
@@ -75,6 +110,17 @@ def kmeans3d(points: DataFrame, k: int = 3, max_iter: int = 12) -> DataFrame:
     return data.withColumn("cluster", nearest(centres)).drop("_f")
 
 
+def parallel_seeds(data: DataFrame, k: int, seed: int, column: str = "_f") -> list[list[float]]:
+    """Starting centres by scalable k-means++ over all rows; fewer than ``k`` where there are fewer distinct rows."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    model = KMeans(k=k, seed=seed, featuresCol="v", initMode="k-means||", initSteps=2, maxIter=0).fit(data.select(array_to_vector(column).alias("v"))) if k > 1 else None
+    if model is None:
+        return [list(data.agg(F.array(*(F.avg(F.get(column, F.lit(j))) for j in range(5)))).first()[0])]
+    return sorted([float(x) for x in c] for c in model.clusterCenters())
+
+
 def label_clusters(assigned: DataFrame, regions: DataFrame) -> DataFrame:
     """(cluster, n, label): clusters of max(18, 2.5 percent) members or more, named after the region with most of them.
 
@@ -95,11 +141,10 @@ def label_clusters(assigned: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def nearest_track(points: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Add track and color_residual: the fiducial point nearest in magnitude and colour (37 broadcast points)."""
-    pairs = points.join(F.broadcast(tracks))
-    off = F.pow(F.col("abs_mag") - F.col("track_mag"), 2) + F.pow(F.col("color") - F.col("track_color"), 2)
-    best = pairs.groupBy("source_id").agg(F.min(F.struct(off.alias("off"), F.col("track"), (F.col("color") - F.col("track_color")).alias("residual"))).alias("b"))
-    return points.join(best.select("source_id", F.col("b.track").alias("track"), F.col("b.residual").alias("color_residual")), "source_id")
+    """Add track and color_residual: the fiducial point nearest in magnitude and colour; the points of the tracks are literals of the row's expression."""
+    fixed = [F.struct((F.pow(F.col("abs_mag") - F.lit(t.track_mag), 2) + F.pow(F.col("color") - F.lit(t.track_color), 2)).alias("off"), F.lit(t.track).alias("track"), (F.col("color") - F.lit(t.track_color)).alias("residual")) for t in tracks.collect()]  # published sequences
+    best = points.where("abs_mag IS NOT NULL AND color IS NOT NULL").withColumn("_b", F.array_min(F.array(*fixed)))
+    return best.withColumn("track", F.col("_b.track")).withColumn("color_residual", F.col("_b.residual")).drop("_b")
 
 
 # Fixed values: (BP-RP, M_G) along published sequences.

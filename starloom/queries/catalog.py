@@ -255,6 +255,10 @@ def edge_counts(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("rel").agg(F.count("*").alias("n"))
 
 
+def _by_paper(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{_BY_PAPER} AS id", "embedding AS vector")
+
+
 _BY_PAPER = "CAST(2301 + vec_id % 12 AS STRING) || '.' || lpad(CAST(vec_id AS STRING), CAST(greatest(5, length(CAST(vec_id AS STRING))) AS INT), '0')"
 _STAR_NAMES = "SELECT 'HD ' || CAST(48900 + CAST(right(source_id, 4) AS INT) % 40 AS STRING) AS name, min(source_id) AS source_id FROM {stars} WHERE source_id LIKE '%7' GROUP BY 1"
 

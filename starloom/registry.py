@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from starloom.queries import catalog, more, sky, streams
+from starloom.queries import catalog, more, reports, sky, streams
 
-QUERIES: dict = {**sky.QUERIES, **catalog.QUERIES, **more.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**sky.ORACLES, **catalog.ORACLES, **more.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**sky.QUERIES, **catalog.QUERIES, **more.QUERIES, **reports.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**sky.ORACLES, **catalog.ORACLES, **more.ORACLES, **reports.ORACLES, **streams.ORACLES}
 FLAGSHIP = "discovery_ranking"

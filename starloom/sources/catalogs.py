@@ -9,14 +9,54 @@ from starloom.functions.columns import finite, normalize_catalog, prefix_source_
 
 # Canonical columns, and what other catalogs call them.
 CANONICAL = ["source_id", "ra", "dec", "parallax", "parallax_error", "pmra", "pmdec", "phot_g_mean_mag", "phot_bp_mean_mag", "phot_rp_mean_mag", "ruwe", "catalog_source", "object_class"]
-_POSITION = {"ra_deg": "ra", "dec_deg": "dec"}
-_KEY = {"designation": "source_id", "objid": "source_id", "id": "source_id"}
-_CLASS = {"class": "object_class", "object_type": "object_class", "source_type": "object_class", "kind": "object_class"}
 FIELD_MAPS = {
-    "GAIA": {"sourceid": "source_id", **_POSITION, **_CLASS},
-    "WISE": {**_KEY, **_POSITION, "w1mag": "phot_g_mean_mag", "w1mpro": "phot_g_mean_mag", "w2mag": "phot_bp_mean_mag", "w3mag": "phot_rp_mean_mag"},
-    "2MASS": {**_KEY, **_POSITION, "jmag": "phot_g_mean_mag", "hmag": "phot_bp_mean_mag", "kmag": "phot_rp_mean_mag"},
-    "PAN-STARRS": {"objid": "source_id", "obj_id": "source_id", "id": "source_id", **_POSITION, **_CLASS, "gmag": "phot_g_mean_mag", "g_mean_psf_mag": "phot_g_mean_mag", "rmag": "phot_bp_mean_mag", "r_mean_psf_mag": "phot_bp_mean_mag", "imag": "phot_rp_mean_mag", "i_mean_psf_mag": "phot_rp_mean_mag"},
+    "GAIA": {
+        "sourceid": "source_id",
+        "ra_deg": "ra",
+        "dec_deg": "dec",
+        "class": "object_class",
+        "object_type": "object_class",
+        "source_type": "object_class",
+        "kind": "object_class",
+    },
+    "WISE": {
+        "designation": "source_id",
+        "objid": "source_id",
+        "id": "source_id",
+        "ra_deg": "ra",
+        "dec_deg": "dec",
+        "w1mag": "phot_g_mean_mag",
+        "w1mpro": "phot_g_mean_mag",
+        "w2mag": "phot_bp_mean_mag",
+        "w3mag": "phot_rp_mean_mag",
+    },
+    "2MASS": {
+        "designation": "source_id",
+        "objid": "source_id",
+        "id": "source_id",
+        "ra_deg": "ra",
+        "dec_deg": "dec",
+        "jmag": "phot_g_mean_mag",
+        "hmag": "phot_bp_mean_mag",
+        "kmag": "phot_rp_mean_mag",
+    },
+    "PAN-STARRS": {
+        "objid": "source_id",
+        "obj_id": "source_id",
+        "id": "source_id",
+        "ra_deg": "ra",
+        "dec_deg": "dec",
+        "class": "object_class",
+        "object_type": "object_class",
+        "source_type": "object_class",
+        "kind": "object_class",
+        "gmag": "phot_g_mean_mag",
+        "g_mean_psf_mag": "phot_g_mean_mag",
+        "rmag": "phot_bp_mean_mag",
+        "r_mean_psf_mag": "phot_bp_mean_mag",
+        "imag": "phot_rp_mean_mag",
+        "i_mean_psf_mag": "phot_rp_mean_mag",
+    },
 }
 KEY_COLUMNS = ["designation", "objid", "obj_id", "id", "source", "name"]
 
@@ -77,6 +117,6 @@ def ingest(df: DataFrame, limit: int | None = None) -> DataFrame:
 
 def synthetic_stars(spark: SparkSession, regions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` gaussian stars around each region, for tests."""
-    rows = regions.join(spark.range(n).withColumnRenamed("id", "i"))
+    rows = regions.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n > 0 else regions.withColumn("i", F.lit(0).cast("long")).limit(0)
     spread = lambda c, k: F.col(c) + F.randn(seed + k) * F.col("radius_deg") / 3
     return rows.select(F.concat(F.lit("SYN_"), F.replace("name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("i")).alias("source_id"), F.pmod(spread("ra", 0), F.lit(360.0)).alias("ra"), spread("dec", 1).alias("dec"), F.abs(F.randn(seed + 2) + 8).alias("parallax"), (F.randn(seed + 3) * 20).alias("pmra"), (F.randn(seed + 4) * 20).alias("pmdec"), (F.randn(seed + 5) * 2 + 12).alias("phot_g_mean_mag"), F.lit("GAIA").alias("catalog_source"))

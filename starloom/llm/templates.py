@@ -23,8 +23,11 @@ from starloom.plans.durable import durable
 
 # Names from the HTML standard, and words that sites use for what surrounds an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object canvas audio video select annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()) | frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom merror menclose semantics".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header li ul ol dl dt dd blockquote pre figure figcaption table thead tbody tfoot tr td th caption address".split())
 OUTSIDE = frozenset("nav footer head button menu dialog".split())
 DOUBTFUL = frozenset("aside form fieldset".split())
@@ -33,6 +36,12 @@ NAMES = frozenset(
     "signup popup modal overlay sidebar widget menu nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing social related recommended recommendations comment comments commentlist respond "
     "discussion disqus replies login pagination pager toolbar topbar skip hidden".split()
 )
+#: Words that stand beside those in the whole name of a surrounding (``related-posts``, ``site-footer``), but not in a slug's (``related-work``).
+BESIDE = frozenset(
+    "site page main global top bottom left right upper lower primary secondary inner outer small large mobile desktop sticky fixed inline float floating first last one two three post posts article articles story stories entry entries "
+    "link links list lists item items box boxes block blocks wrap wrapper container containers section sections area areas zone zones slot slots unit units row rows col cols column columns grid group groups panel panels module modules "
+    "bar bars button buttons icon icons title titles heading header headers body content contents text form forms field count counter user users reader readers visitor visitors more popular latest trending also you may like read next previous prev".split()
+)
 STATES = frozenset("no not non has have with without free open opened close closed enabled disabled on off is show visible active allow allowed supported ready".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: A page needs this many others of its host for a slot.
@@ -56,9 +65,9 @@ BROADCAST_HOSTS = 20_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_CUT_TAG = re.compile(r"<[a-zA-Z/!][^>]*\Z")
-#: Marks of an element: part of the page's text, perhaps a surrounding, surely one.
-PLAIN, DOUBTED, SURROUNDING = range(3)
+_TAG_BEGINS = re.compile(r"<[a-zA-Z/!]")
+#: Marks of an element: part of the page's text; with a word of a surrounding in its name; named like one; surely one.
+PLAIN, HINTED, DOUBTED, SURROUNDING = range(4)
 
 
 class Block(NamedTuple):
@@ -78,30 +87,35 @@ class Seen:
         self.opened, self.closed, self.tag, self.depth = 0, 0, tag, depth
 
 
-def _named_like_surroundings(name: str) -> bool:
-    """Whether a class or id names a surrounding; what says that there is one, or none, does not (``no-sidebar``, ``menu-open``)."""
+def _named_like(name: str) -> int:
+    """How far a class or id names a surrounding: not at all, by a word of it, or as a whole; what says that there is one, or none, does not (``no-sidebar``, ``menu-open``)."""
     words = [w for w in re.split(r"[-_]+", name) if w]
-    return any(w in NAMES for w in words) and not any(w in STATES for w in words)
+    if not any(w in NAMES for w in words) or any(w in STATES for w in words):
+        return PLAIN
+    return DOUBTED if all(w in NAMES or w in BESIDE or w.isdigit() for w in words) else HINTED
+
 
+def _marked(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """An element's mark by its tag and attributes, and its label in paths (``>`` separates labels, so none holds it).
 
-def _marked(tag: str, attributes: str) -> tuple[int, str]:
-    """An element's mark by its tag and attributes, and its label in paths (``>`` separates labels, so none holds it)."""
+    Inside an article or main element, and on headings and paragraphs, only whole names count; an id of a heading or
+    paragraph is a place to link to and never counts.
+    """
     mark, label = SURROUNDING if tag in OUTSIDE else DOUBTED if tag in DOUBTFUL else PLAIN, tag
     if not attributes.strip():
         return mark, label
-    whole = tag in ("html", "body", "article", "main")
+    whole, least = tag in ("html", "body", "article", "main"), DOUBTED if in_article or tag in HEADINGS else HINTED
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value, doubt = m[1].lower(), (m[2] or m[3] or m[4] or "").lower(), PLAIN
         if key in ("class", "id"):
             words = value.split()
             if key == "class" and words:
                 label += "." + words[0].replace("%", "%25").replace(">", "%3e")
-            doubt = not whole and any(map(_named_like_surroundings, words))
-        elif key == "role":
-            doubt = not whole and value in ROLES
-        else:
-            doubt = not whole and (key == "hidden" or value == "true")
-        mark = max(mark, DOUBTED if doubt else PLAIN)
+            if not whole and (key == "class" or tag not in HEADINGS):
+                doubt = max(map(_named_like, words), default=PLAIN)
+        elif not whole and (value in ROLES if key == "role" else key == "hidden" or value == "true"):
+            doubt = DOUBTED
+        mark = max(mark, doubt if doubt >= least else PLAIN)
     return mark, label
 
 
@@ -117,7 +131,8 @@ def parsed(page: str) -> tuple[list[tuple[int, str, int]], list[Block], dict[str
     A run is (place of its block, text, linked characters): the text between two block boundaries, character
     references decoded, white space made one blank. Block 0 is the page itself.
     """
-    page = _CUT_TAG.sub("", page)
+    cut = _TAG_BEGINS.search(page, page.rfind(">") + 1)  # a tag that never ends
+    page = page[: cut.start()] if cut else page
     runs: list[tuple[int, str, int]] = []
     blocks = [Block(-1, "", PLAIN)]
     seen: dict[str, Seen] = {}
@@ -188,8 +203,9 @@ def parsed(page: str) -> tuple[list[tuple[int, str, int]], list[Block], dict[str
                     break
                 if inner not in INLINE:
                     break
-        mark, label = _marked(tag, attributes)
-        if tag == "header" and not (open_tags.get("article") or open_tags.get("main")):  # an article's own is not outside
+        in_article = bool(open_tags.get("article") or open_tags.get("main"))
+        mark, label = _marked(tag, attributes, in_article)
+        if tag == "header" and not in_article:  # an article's own is not outside
             mark = SURROUNDING
         if tag not in INLINE:
             path = _down(blocks[at_block].path, label)
@@ -218,11 +234,12 @@ def _summed(blocks: list[Block], own: list[int]) -> list[int]:
     return own
 
 
-def outside(runs: list[tuple[int, str, int]], blocks: list[Block]) -> list[bool]:
+def outside(runs: list[tuple[int, str, int]], blocks: list[Block], slot: list[bool] | None = None) -> list[bool]:
     """Whether each block is no part of an article.
 
     A doubted block is outside if at least a share ``ELSEWHERE`` of the page's text lies elsewhere: what holds
-    nearly all of it wraps the page, whatever its name. Where that would leave nothing, doubts count for nothing.
+    nearly all of it wraps the page, whatever its name. So is one with a mere word of a surrounding in its name, unless it
+    lies in the ``slot``. Where that would leave nothing, doubts count for nothing.
     """
     sure = [False] * len(blocks)
     for i, b in enumerate(blocks):
@@ -234,7 +251,8 @@ def outside(runs: list[tuple[int, str, int]], blocks: list[Block]) -> list[bool]
     size = _summed(blocks, size)
     out = [False] * len(blocks)
     for i, b in enumerate(blocks):
-        out[i] = sure[i] or (i > 0 and out[b.parent]) or (b.mark == DOUBTED and size[0] - size[i] >= ELSEWHERE * size[0])
+        doubted = b.mark == DOUBTED or (b.mark == HINTED and not (slot and slot[i]))
+        out[i] = sure[i] or (i > 0 and out[b.parent]) or (doubted and size[0] - size[i] >= ELSEWHERE * size[0])
     return out if any(not out[block] for block, _, _ in runs) else sure
 
 
@@ -349,16 +367,14 @@ def main_text(page: str, article: str | None, fixed: frozenset) -> str:
     Where the template's runs would be most of the slot, or all that a page has, they are its article and stay.
     """
     runs, blocks, seen = parsed(page)
-    out = outside(runs, blocks)
-    kept = [(block, text) for block, text, _ in runs if not out[block]]
     where = article if article and article in seen else next((p for tag in ("article", "main") for p, s in seen.items() if s.tag == tag), None)
-    slot = []
-    if where:
-        inside = [False] * len(blocks)
-        for i, b in enumerate(blocks[1:], 1):
-            inside[i] = inside[b.parent] or b.path == where
-        slot = [(block, text) for block, text in kept if inside[block]]
-        kept = slot or kept
+    inside = [False] * len(blocks)
+    for i, b in enumerate(blocks[1:], 1):
+        inside[i] = bool(where) and (inside[b.parent] or b.path == where)
+    out = outside(runs, blocks, inside)
+    kept = [(block, text) for block, text, _ in runs if not out[block]]
+    slot = [(block, text) for block, text in kept if inside[block]]
+    kept = slot or kept
     left = [text for block, text in kept if not fixed or _run_token(blocks[block].path, text) not in fixed]
     if not left or (slot and 2 * sum(map(len, left)) < sum(len(text) for _, text in kept)):
         left = [text for _, text in kept]
@@ -369,7 +385,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Templates are deduced from all pages of a host; the only page of a host goes by the names of its elements
-    alone. Names of classes and ids only ever take blocks out that leave text elsewhere.
+    alone. Names of classes and ids only ever take blocks out that leave text elsewhere; inside the article only whole names
+    of surroundings do, never a word of a slug. Formulas are text.
 
     Edge cases: null and empty html give an empty text, as do pages all of whose text is in menus, headers or
     footers; very long and very deep pages take memory in proportion to their length; pages without a URL or

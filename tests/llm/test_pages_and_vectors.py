@@ -266,3 +266,33 @@ def test_the_repository_pages_at_the_next_size(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
     got = {x.page_id: x.text for x in templates.extract_main_text(pages).collect()}
     assert got == {p.page_id: article(p.html) for p in pages.collect()}
+
+
+def test_slugs_and_formulas_stay_in_the_article(spark):
+    """Words of surroundings in ids and classes of an article's own parts; whole names of surroundings still go."""
+    parts = [
+        '<h2 id="related-work">Related work</h2><p>Others did this.</p>', '<h2 id="chocolate-chip-cookies">Cookies with chips</h2><p>Bake them.</p>', '<section class="social-impact"><p>It changed much.</p></section>',
+        '<p>Euler: <math><mi>e</mi><mo>=</mo><mn>2.718</mn><annotation>e=2.718</annotation></math> holds.</p>', '<h3 id="comments">On comments</h3>', '<p id="notice">A plain word.</p>', '<section id="menu-of-the-day"><p>Soup.</p></section>',
+    ]
+    gone = ['<div class="related-posts"><p>Gone one</p></div>', '<ul class="share-buttons"><li>Gone two</li></ul>', '<section id="comments"><p>Gone three</p></section>', '<p class="advert">Gone four</p>', '<div class="cookie-notice"><p>Gone five</p></div>']
+    want = "Related work\nOthers did this.\nCookies with chips\nBake them.\nIt changed much.\nEuler: e=2.718 holds.\nOn comments\nA plain word.\nSoup."
+    for outer in ("article", "main", 'div class="post-body"'):
+        body = f"<{outer}>{''.join(parts)}{''.join(gone)}</{outer.split()[0]}>"
+        page = f'<html><body><nav>Menu</nav>{body}<div class="acme-sidebar"><p>Gone six</p></div><footer>Foot</footer></body></html>'
+        if outer.startswith("div"):  # the slot of a host's pages
+            other = [page.replace("Others did this.", f"Others did this {w}.").replace("Soup", f"Soup {w}").replace("Gone one", f"Gone {w}") for w in ("here", "there", "then")]
+            rows = [(0, "http://s.example/", page), *((i, "http://s.example/", x) for i, x in enumerate(other, 1))]
+            got = {x.page_id: x.text for x in templates.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+            assert "Related work" in got[0] and "It changed much." in got[0] and "Soup." in got[0] and "Gone" not in got[0]
+        else:
+            assert templates.main_text(page, None, frozenset()) == want
+
+
+def test_tags_that_never_end_take_linear_time():
+    import time
+
+    begin = time.time()
+    assert templates.main_text("<p>Kept words.</p>" + "<a " * 350_000, None, frozenset()) == "Kept words."
+    for page in ("<a " * 350_000 + ">", "<a '" * 250_000 + "<p>x</p>", "<!-- " * 200_000, "<p>x" + "</b" * 300_000):
+        templates.main_text(page, None, frozenset())
+    assert time.time() - begin < 60

@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -183,6 +184,35 @@ def verified_entries(warcs: DataFrame, chunk_bytes: int, tasks: int) -> DataFram
     return true.select("path", "offset")
 
 
+def read_records(f, path: str, at: int, hi: int, size: int) -> Iterator[dict]:
+    """The records of an open archive that begin from ``at`` on and before ``hi``.
+
+    That stretch is read at once and parsed in memory; what a record has beyond its end is read on for the last one only.
+    """
+    begin, held = at, f.read_at(min(hi, size) - at, at)
+    while at < hi:
+        raw = held[at - begin : at - begin + HEADER]
+        if b"\r\n\r\n" not in raw:
+            raw += f.read_at(min(HEADER, size - at - len(raw)), at + len(raw))
+        raw = _read_on(f, raw, at, 0, size)
+        parsed = parse_header(raw, 0)
+        if parsed is None:
+            raise ValueError(f"{path}: no record at {at}")
+        head, body, after = parsed
+        kind = head["warc-type"].decode()
+        n, digest = int(head["x-payload-length"]), head["warc-payload-digest"].decode().partition(":")[2]
+        if kind == "response":
+            low, high = at - begin + body, at - begin + after - 4
+            block = held[low:high] if high <= len(held) else held[low:] + f.read_at(high - max(low, len(held)), begin + max(low, len(held)))
+            payload = block[block.find(b"\r\n\r\n") + 4 :]
+            if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
+                raise ValueError(f"{path}: the payload at {at} differs from its digest")
+        yield {"page_id": int(head["x-page-id"]) if "x-page-id" in head else None, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": int(head["x-refers-to-page-id"]) if kind == "revisit" else None}
+        at += after
+        if at > size:
+            raise ValueError(f"{path}: the last record is cut short")
+
+
 def read_warc(warcs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Read every verified record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -195,25 +225,8 @@ def read_warc(warcs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     def walk(batches):
         for batch in batches:
             for path, at, hi, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = []
                 with files.open_random(path) as f:
-                    while at < hi:
-                        raw = _read_on(f, f.read_at(min(HEADER, size - at), at), at, 0, size)
-                        parsed = parse_header(raw, 0)
-                        if parsed is None:
-                            raise ValueError(f"{path}: no record at {at}")
-                        head, body, after = parsed
-                        kind = head["warc-type"].decode()
-                        n, digest = int(head["x-payload-length"]), head["warc-payload-digest"].decode().partition(":")[2]
-                        if kind == "response":
-                            block = raw[body : after - 4] if after - 4 <= len(raw) else f.read_at(after - 4 - body, at + body)
-                            payload = block[block.find(b"\r\n\r\n") + 4 :]
-                            if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
-                                raise ValueError(f"{path}: the payload at {at} differs from its digest")
-                        rows.append({"page_id": int(head["x-page-id"]) if "x-page-id" in head else None, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": int(head["x-refers-to-page-id"]) if kind == "revisit" else None})
-                        at += after
-                        if at > size:
-                            raise ValueError(f"{path}: the last record is cut short")
+                    rows = list(read_records(f, path, at, hi, size))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
 

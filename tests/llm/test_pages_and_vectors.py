@@ -296,3 +296,34 @@ def test_tags_that_never_end_take_linear_time():
     for page in ("<a " * 350_000 + ">", "<a '" * 250_000 + "<p>x</p>", "<!-- " * 200_000, "<p>x" + "</b" * 300_000):
         templates.main_text(page, None, frozenset())
     assert time.time() - begin < 60
+
+
+def test_an_archive_is_read_once(spark):
+    """Chunks are read as wholes: the bytes and requests of a reader that counts them."""
+    from starloom.llm import files
+
+    r = random.Random(2)
+    rows = [(i, f"http://h.example/{i}", "".join(r.choice("abcdefgh <>") for _ in range(r.choice([0, 50, 3000, 3000, 9000, 200_000 if i % 50 == 0 else 10])))) for i in range(400)]
+    pages = spark.createDataFrame(rows, PAGES)
+    archives = warc.write_warc(warc.mark_revisits(pages.coalesce(1))).collect()
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.bytes, self.calls = f, 0, 0
+
+        def read_at(self, n, at):
+            data = self.f.read_at(n, at)
+            self.bytes, self.calls = self.bytes + len(data), self.calls + 1
+            return data
+
+    chunk, total, read, calls, found = 1 << 19, 0, 0, 0, {}
+    for a in archives:
+        entries = [x.offset for x in warc.verified_entries(spark.createDataFrame([tuple(a)], "path string, n_bytes long, n_records long"), chunk, 2).collect()]
+        with files.open_random(a.path) as f:
+            counted = Counted(f)
+            for at in entries:
+                hi = min((at // chunk + 1) * chunk, a.n_bytes)
+                found |= {x["page_id"]: (x["payload_bytes"], x["payload_digest"]) for x in warc.read_records(counted, a.path, at, hi, a.n_bytes)}
+        total, read, calls = total + a.n_bytes, read + counted.bytes, calls + counted.calls
+    assert found == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, _, t in rows}
+    assert read <= 1.2 * total + len(archives) * 2 * warc.HEADER and calls <= 4 * len(archives) + 3 * (total // chunk + 1)

@@ -16,7 +16,7 @@ from starloom.plans.durable import durable
 LEAST_ZONE = 1e-4
 #: Rows of a cell from which it is split, and halvings of its sides at most.
 HOT_ROWS, MOST_SPLIT = 2_000, 3
-#: Most cells that are split, the densest first; the others are left to adaptive skew handling.
+#: Most cells that are split; others are left to adaptive skew handling.
 HOT_CELLS = 20_000
 #: Most rows of a region or name table that is broadcast; larger ones go through cells.
 BROADCAST_ROWS = 10_000
@@ -73,7 +73,7 @@ def _split(left: DataFrame, right: DataFrame, height: float, radius: float) -> t
     if right.isStreaming or MOST_SPLIT < 1:
         return plain
     dense = right.where("_n >= 4").groupBy("_zone", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
-    rows = [(r._zone, r._cell, 1 << min(MOST_SPLIT, 1 + int(math.log(r._rows / HOT_ROWS, 4)))) for r in dense.orderBy(F.desc("_rows"), "_zone", "_cell").limit(HOT_CELLS).collect()]
+    rows = [(r._zone, r._cell, 1 << min(MOST_SPLIT, 1 + int(math.log(r._rows / HOT_ROWS, 4)))) for r in dense.limit(HOT_CELLS).collect()]
     if not rows:
         return plain
     sides = F.broadcast(right.sparkSession.createDataFrame(rows, "_zone long, _cell long, _side int"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm import shingles, workers
 from starloom.llm.components import connected_components
+from starloom.llm.names import unused
 from starloom.llm.skew import LEAST, parts_of, spread_join, with_parts
 from starloom.plans.durable import durable
 
@@ -57,14 +58,24 @@ def sketches(docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, values): every hash of each document's set."""
+    """(print, values): the fingerprint and every hash of each row's set."""
 
     @workers.released
     def make(batches):
-        for ids, sets in _sets(batches, width):
-            yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["doc_id", "values"])
+        for _, sets in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(map(shingles.fingerprint, sets), pa.binary()), _lists(sets)], ["print", "values"])
+
+    return _texts(docs).mapInArrow(make, "print binary, values array<long>")
+
 
-    return _texts(docs).mapInArrow(make, "doc_id long, values array<long>")
+def set_print(text, width: int = 5):
+    """A Column: the fingerprint of a text's set."""
+
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array(map(shingles.fingerprint, shingles.shingle_sets(texts, width)), pa.binary())
+
+    return made(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _sets(batches, width: int):
@@ -116,7 +127,7 @@ def sketch_lists(reps: DataFrame, similarity: float, k: int) -> DataFrame:
 def full_lists(sets: DataFrame, percent: int) -> DataFrame:
     """Inverted lists over full sets, where sets of the similarity always meet; they hold a quarter of each set."""
     n = F.size("values").cast("long")
-    return _prefixes(sets.select(F.col("doc_id").alias("id"), n.alias("n"), n.alias("kept"), F.explode("values").alias("value")), F.ceil(F.col("n") * percent / 100))
+    return _prefixes(sets.select("id", n.alias("n"), n.alias("kept"), F.explode("values").alias("value")), F.ceil(F.col("n") * percent / 100))
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -157,15 +168,23 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def confirm(pairs: DataFrame, ends: dict, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def sets_of(classes: DataFrame, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, values) of some classes (a written table of ids), each read from a row of its first doc_id that has its fingerprint."""
+    wanted = durable(classes.join(ids, "id", "left_semi").select("id", "print", F.col("first").alias("doc_id")), "wanted")
+    prints = wanted.select("id", "print")
+    if wanted.count() <= BROADCAST_IDS:
+        prints = F.broadcast(prints)
+    return full_sets(_only(docs, durable(wanted.select("doc_id").distinct(), "firsts")), width).join(prints, "print").dropDuplicates(["print"]).select("id", "values")
+
+
+def confirm(pairs: DataFrame, ends: dict, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    The pair's sets meet through two joins, so no group of pairs is gathered in a task. Rows that repeat a doc_id
-    have one of their sets.
+    The pair's sets meet through two joins, so no group of pairs is gathered in a task.
     """
-    needed = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "needed")
-    sets = full_sets(_only(docs, needed), width).select(F.col("doc_id").alias("id"), "values").dropDuplicates(["id"])
-    met = _with_sides(pairs.select("a", "b"), ends, durable(sets, "sets"), "values").withColumn("i", F.size(F.array_intersect("valuesa", "valuesb")).cast("long"))
+    needed = durable(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    sets = durable(sets_of(classes, docs, needed, width), "sets")
+    met = _with_sides(pairs.select("a", "b"), ends, sets, "values").withColumn("i", F.size(F.array_intersect("valuesa", "valuesb")).cast("long"))
     return met.where(100 * F.col("i") >= percent * (F.size("valuesa") + F.size("valuesb") - F.col("i"))).select("a", "b").distinct()
 
 
@@ -177,13 +196,14 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(moved, "label", "left").select("id", F.coalesce("component", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = SKETCH, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Documents whose sets have 100 * intersection >= percent * union are linked; component_id is the
     smallest doc_id that a document reaches, and the document of that id is kept.
 
-    1. Equal sets are one class with one representative, so exact copies cost one row each from here on.
+    1. Equal sets are one class with an id of its own, so exact copies cost one row each from here on, and rows that
+       repeat a doc_id with other texts are apart. Its smallest doc_id comes in again at the end.
     2. Representatives meet in the inverted lists of their retained values. A list does not pair all its
        members: first they are tried against its most central one, which is one pair per posting and
        joins a group of copies at once.
@@ -193,24 +213,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     4. Pairs first pass set sizes and the union-sketch estimate (with a slack that makes the loss of a
        true link below ``MISS``), then the exact similarity of their full sets.
 
+    With ``exact`` all representatives get lists over their full sets and no pair goes by its sketches: no link is
+    left to chance, for lists of a quarter of all shingles in place of 64 values a set.
+
     Every join that a common value, a large group of equal sets or the centre of a large group takes part in is dealt over
     as many tasks as its rows ask for (``skew.spread_join``).
 
     Edge cases: null and empty texts, and texts without words, have an empty set and no link; a document
-    of fewer than ``width`` words has its whole sequence as one shingle; rows that repeat a doc_id share
-    their links; a null doc_id has no links and is kept; an empty table gives no row; other columns
-    are ignored.
+    of fewer than ``width`` words has its whole sequence as one shingle; rows that repeat a doc_id are rows of their
+    own, each with the links of its text; a null doc_id has no links and is kept; an empty table gives no row; other
+    columns are ignored.
     """
+    return _members(docs, percent, width, k, exact).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _members(docs: DataFrame, percent: int = 75, width: int = 5, k: int = SKETCH, exact: bool = False) -> DataFrame:
+    """What ``near_duplicates`` says, with the fingerprint of each row's set and the ``label`` of its component (null: an empty set)."""
     similarity = percent / 100
     with workers.small_batches(docs.sparkSession):
         made = durable(sketches(docs, width, k), "sketches")
-    classes = durable(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_print")), "classes")
+    # Rows of one fingerprint have one size and one sketch.
+    rows = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_print"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = durable(rows.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = reps.drop("sketch")
     member = made.select("doc_id", "n", "print")
-    reps = durable(made.join(classes, (made["print"] == classes["print"]) & (made["doc_id"] == classes["id"])).select("id", "n", "sketch"), "representatives")
-    lists = durable(sketch_lists(reps, similarity, k), "lists")
+    lists = None if exact else durable(sketch_lists(reps, similarity, k), "lists")
     least = least_overlap(k, similarity) / k
     tried = None
-    labels = durable(lists.select("id").distinct().withColumn("label", F.col("id")), "labels")
+    labels = durable((classes if exact else lists).select("id").distinct().withColumn("label", F.col("id")), "labels")
 
     def settle(pairs: DataFrame) -> None:
         """Verify pairs of representatives and bring the labels up to date."""
@@ -219,11 +249,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
         if not new.head(1):
             return
         ends = _ends(new)
-        fit = durable(with_estimate(new, ends, reps, k).where(F.col("estimate") >= least).select("a", "b").distinct(), "pairs")
+        fit = new if exact else durable(with_estimate(new, ends, reps, k).where(F.col("estimate") >= least).select("a", "b").distinct(), "pairs")
         tried = fit if tried is None else tried.union(fit)
         if not fit.head(1):
             return
-        labels = durable(_joined(labels, durable(confirm(fit, ends, docs, width, percent), "links")), "labels")
+        labels = durable(_joined(labels, durable(confirm(fit, ends, classes, docs, width, percent), "links")), "labels")
 
     def open_lists(all_lists: DataFrame) -> DataFrame:
         """Lists that still hold more than one component, with their lengths."""
@@ -257,27 +287,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
             fit &= (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
         return one.join(two, ["value", "size", "part"]).where(fit).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
-    settle(star(lists))
-    rest = open_lists(lists)
-    settle(across(rest.where(F.col("length") <= SHORT), whole=False))
-    long = durable(rest.where(F.col("length") > SHORT).select(F.col("id").alias("doc_id")).distinct(), "long")
+    if exact:
+        long = labels.select("id")
+    else:
+        settle(star(lists))
+        rest = open_lists(lists)
+        settle(across(rest.where(F.col("length") <= SHORT), whole=False))
+        long = durable(rest.where(F.col("length") > SHORT).select("id").distinct(), "long")
     if long.head(1):
-        fine = durable(full_lists(full_sets(_only(docs, long), width), percent), "full-lists")
+        fine = durable(full_lists(sets_of(classes, docs, long, width), percent), "full-lists")
         settle(star(open_lists(fine)))
         settle(across(open_lists(fine), whole=True))
+    n_labels = parts_of(labels.groupBy("label").agg(F.count("*").alias("n_ids")), "label", "n_ids", labels.count())
+    firsts = labels.join(classes.select("id", "first"), "id").groupBy("label").agg(F.min("first").alias("component"))
+    named = spread_join(with_parts(labels, "label", n_labels), with_parts(firsts, "label", n_labels), "label", by="id").drop("parts")
     n_equal = parts_of(classes, "id", "n_print", made.count())
-    names = with_parts(classes.join(labels, "id", "left").select("print", "id", F.coalesce("label", "id").alias("component")), "id", n_equal).drop("id")
+    names = with_parts(classes.join(named, "id", "left").select("print", "id", F.coalesce("label", "id").alias("label"), F.coalesce("component", "first").alias("component")), "id", n_equal).drop("id")
     if n_equal is None:
         out = member.join(names.drop("parts"), "print", "left")
     else:  # the rows of a large class are dealt over several tasks
         hot = F.broadcast(classes.join(F.broadcast(n_equal), "id").select("print", "parts"))
         out = spread_join(member.join(hot, "print", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))), names, "print", by="doc_id", how="left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "print", F.when(F.col("n") > 0, F.col("label")).alias("label"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, with the columns that it came with; rows that repeat its doc_id go."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates, with the columns that it came with.
+
+    It is of the smallest doc_id. Of rows that repeat this doc_id, one stays for each group that they are in; rows
+    without a set or a doc_id all stay.
+    """
+    members = durable(_members(docs, **options).where("doc_id IS NOT NULL"), "members")
+    fates = durable(members.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.bool_or("kept").alias("kept")).where("kept OR n_rows > 1"), "fates")
+    named = docs.where(F.col("doc_id").isNotNull())
+    out = _only(named, durable(fates.where("n_rows = 1").select("doc_id"), "kept")).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    several = durable(fates.where("n_rows > 1").select("doc_id"), "several")
+    if not several.head(1):
+        return out
+    mark, label, key, empty = unused(docs.columns, "print", "label", "key", "empty")
+    repeated = _only(named, several).select(*docs.columns).withColumn(mark, set_print("text", options.get("width", 5)))
+    groups = members.where("kept").join(several, "doc_id").select(F.col("doc_id").alias(key), F.col("print").alias(mark), F.col("label").alias(label), F.col("label").isNull().alias(empty)).distinct()
+    stay = repeated.join(groups, [F.col("doc_id").cast("long") == F.col(key), repeated[mark] == groups[mark]]).drop(groups[mark])
+    return out.union(stay.where(empty).select(*docs.columns)).union(stay.where(~F.col(empty)).dropDuplicates([key, label]).select(*docs.columns))

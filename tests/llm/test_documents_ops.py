@@ -408,6 +408,34 @@ def test_keep_one_keeps_columns_and_rows_without_id(spark, documents):
     assert sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 2, 3, 4, 5, 7]
 
 
+def test_near_duplicates_without_chance(spark, documents):
+    rows = near_copies(7, n=20, group=30)
+    assert {tuple(x) for x in neardup.near_duplicates(documents(rows), exact=True).collect()} == brute_components(rows)
+
+
+def test_rows_that_repeat_a_doc_id_have_their_own_links(spark, documents):
+    """Each doc_id has two texts; a smaller doc_id has a near copy of the second, or of the first, or of none."""
+    r = random.Random(21)
+    rows = []
+    for i in range(60):
+        one, two = prose(r, 60), prose(r, 60)
+        rows += [(1000 + i, one), (1000 + i, two)]
+        if i % 3 < 2:
+            rows.append((i, (two, one)[i % 3] + " and a little more"))
+    rows += [(2000, ""), (2000, None), (2000, rows[0][1]), (3000, rows[3][1]), (3000, rows[3][1] + " too"), (3000, rows[3][1])]
+    nodes = brute_components(list(enumerate(t for _, t in rows)))  # over row numbers
+    first = {}
+    for k, _, c, _ in nodes:
+        first[c] = min(first.get(c, 10**9), rows[k][0])
+    want = sorted((rows[k][0], n, first[c], rows[k][0] == first[c]) for k, n, c, _ in nodes)
+    assert sorted(map(tuple, neardup.near_duplicates(documents(rows)).collect())) == want
+    # One row of every group is left, and all rows without a set.
+    left = [(x.doc_id, x.text) for x in neardup.keep_one(documents(rows).selectExpr("*", "1 AS print", "2 AS label")).collect()]
+    group = {rows[k]: c for k, n, c, _ in nodes if n}
+    assert sorted(group[x] for x in left if x[1]) == sorted(set(group.values()))
+    assert all(x[0] == first[group[x]] for x in left if x[1]) and sum(not x[1] for x in left) == 2
+
+
 def test_components(spark):
     r = random.Random(6)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(1, 90)]

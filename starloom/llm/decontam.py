@@ -2,9 +2,10 @@
 
 Passages of all documents and the benchmark items are TF-IDF vectors over the benchmark's words. A
 randomised SVD, whose products with the corpus are computed by tasks and summed in a tree, gives a
-latent space in which passages near an item are candidates. So is every stride with one of those words
-of an item of which no copy can lack all (``telling_words``), whatever else stands beside them. The longest
-common subsequence of words, and for paraphrases the item's answer, decide.
+latent space in which passages near an item are candidates; these bring the paraphrases. For copies there is an
+exact net besides: every stride with one of those words of an item of which no copy can lack all
+(``telling_words``). The longest common subsequence of words within a stretch little longer than the item, and for
+paraphrases the item's answer, decide.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import shingles, workers
+from starloom.llm.names import unused
 from starloom.plans.durable import durable
 
 #: Words of a passage are two strides; passages begin every stride.
 STRIDE = 16
 #: Most words of benchmark text that one pass over the corpus looks for; larger benchmarks take several.
 BLOCK_WORDS = 100_000
+#: Items of fewer words must stand word by word; of fewer than ``LONE``, they must be all that a document says.
+SHORT, LONE = 8, 5
 #: Partial sums over the corpus, at most, where there are fewer than half as many cores.
 SUM_TASKS = 512
 
@@ -187,6 +191,53 @@ def common_subsequence(masks: dict[int, int], length: int, words: list[int]) ->
     return length - row.bit_count()
 
 
+def _reach(masks: dict[int, int], length: int, words: list[int], target: int) -> int | None:
+    """Place of the word with which ``words`` first hold ``target`` of an item's words in order."""
+    full = row = (1 << length) - 1
+    for i, w in enumerate(words):
+        if m := masks.get(w):
+            hit = row & m
+            row = ((row + hit) | (row - hit)) & full
+            if length - row.bit_count() >= target:
+                return i
+    return None
+
+
+def _within(masks: dict[int, int], length: int, words: list[int], target: int, span: int) -> bool:
+    """Whether a stretch of at most ``span`` words holds ``target`` of an item's words in order.
+
+    Goes through the stretches that hold so many and no shorter stretch of the same end does.
+    """
+    mirror = {w: int(f"{m:0{length}b}"[::-1], 2) for w, m in masks.items()}
+    start = 0
+    while (ahead := _reach(masks, length, words[start:], target)) is not None:
+        end = start + ahead
+        back = _reach(mirror, length, words[start : end + 1][::-1], target)
+        if back < span:
+            return True
+        start = end - back + 1
+    return False
+
+
+def spanned_subsequence(masks: dict[int, int], length: int, words: list[int], least: int, span: int) -> int:
+    """The most of an item's words that a stretch of at most ``span`` words holds in order; 0 if under ``least``."""
+    top = common_subsequence(masks, length, words)
+    if top < least:
+        return 0
+    if _within(masks, length, words, top, span):
+        return top
+    if not _within(masks, length, words, least, span):
+        return 0
+    low = least
+    while top - low > 1:
+        middle = (low + top) // 2
+        if _within(masks, length, words, middle, span):
+            low = middle
+        else:
+            top = middle
+    return low
+
+
 def _rarest(places: dict[int, int], df: np.ndarray, missing: float) -> list[int]:
     """The rarest vocabulary words of ``places`` (times that each stands there), so many that more than a share ``missing`` of all places are theirs."""
     need = math.floor(missing * sum(places.values()) + 1e-6) + 1
@@ -199,28 +250,21 @@ def _rarest(places: dict[int, int], df: np.ndarray, missing: float) -> list[int]
     return out
 
 
-def telling_words(items: Items, answers: list[set], df: np.ndarray, sure: float, likely: float, answer: float) -> tuple[np.ndarray, np.ndarray]:
+def telling_words(items: Items, df: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
     """(offsets by vocabulary word, items): the items of which a word tells.
 
     What has ``sure`` of an item's words lacks 1 - ``sure`` of its places at most, so it has one of any words
-    with more places than that; the rarest are taken. Paraphrases have one of the answer's words by the
-    same count, or, where an answer of its own need not stand in the item, one of 1 - ``likely`` of the places.
+    with more places than that; the rarest are taken. A short item has all of its words.
     """
     told: list[list[int]] = [[] for _ in df]
     for k, w in enumerate(items.words):
         at, n = np.unique(np.searchsorted(items.vocabulary, w), return_counts=True)
-        places = dict(zip(at.tolist(), n.tolist(), strict=True))
-        if len(items.told[k]):
-            tells = set(_rarest(places, df, 1 - min(sure, likely)))
-        else:
-            key = np.searchsorted(items.vocabulary, np.array(sorted(answers[k]), np.uint64)).tolist()
-            tells = {*_rarest(places, df, 1 - sure), *_rarest(dict.fromkeys(key, 1), df, 1 - answer)}
-        for t in tells:
+        for t in _rarest(dict(zip(at.tolist(), n.tolist(), strict=True)), df, 1 - sure if len(w) >= SHORT else 0.0):
             told[t].append(k)
     return np.concatenate([[0], np.cumsum([len(x) for x in told])]), np.array([k for x in told for k in x], np.int64)
 
 
-def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float) -> DataFrame:
+def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: np.ndarray, basis: np.ndarray, cosine: float, overlap: float, sure: float, likely: float, answer: float, span: float) -> DataFrame:
     spark = docs.sparkSession
     # A passage's cosine with an item, both as long as they are outside the latent space, over the item's own.
     targets = _times(items.rows(weight), basis)
@@ -239,7 +283,7 @@ def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: n
         rare = sorted(mask, key=lambda x: -weight[np.searchsorted(items.vocabulary, np.uint64(x))])
         answers.append(set(told.tolist()) or set(rare[:5]))
     lengths = [len(w) for w in items.words]
-    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids, pairs, asked, *telling_words(items, answers, df, sure, likely, answer)))
+    shared = spark.sparkContext.broadcast(((basis * weight[:, None]).astype(np.float32), targets.T.astype(np.float32).copy(), masks, lengths, answers, items.ids, pairs, asked, *telling_words(items, df, sure)))
     used = weight > 0
     unknown = float(np.median(weight[used])) ** 2  # what a word that no item has adds to a passage's squared length
 
@@ -254,10 +298,12 @@ def _search(docs: DataFrame, items: Items, vocabulary, df: np.ndarray, weight: n
 
             def decide(lo: int, h: np.ndarray, owner: np.ndarray, start: int, back: int, k: int, near: float, best=best) -> None:
                 n, doc = lengths[k], int(owner[start])
+                if n < LONE and np.searchsorted(owner, doc, "right") - np.searchsorted(owner, doc) != n:
+                    return
                 begin, end = max(start - n, start - back), start + 2 * STRIDE + n
                 region = h[begin:end][owner[begin:end] == doc].tolist()
-                common = common_subsequence(masks[k], n, region)
-                if common < likely * n:
+                common = spanned_subsequence(masks[k], n, region, *((n, n) if n < SHORT else (math.ceil(likely * n), math.floor(span * n))))
+                if not common:
                     return
                 seen = set(region)
                 told = sum(x in seen for x in answers[k]) / len(answers[k])
@@ -332,16 +378,18 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
             yield items
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: float = 0.001, cosine: float = 0.4, overlap: float = 0.3, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: float = 0.001, cosine: float = 0.4, overlap: float = 0.3, sure: float = 0.8, likely: float = 0.6, answer: float = 0.8, span: float = 1.5) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_words, lcs_share, answer_share): items found in documents.
 
     A passage at ``cosine`` or more of an item in latent space is held against it in full: it must hold
-    ``overlap`` of the item's squared weight, or of the part that fits a passage. A passage whose first stride
-    holds one of an item's telling words needs neither, so copies of any length, in any surroundings and any number,
-    are looked at. Then word by word: the item
-    is there if the longest common subsequence with the passage's surroundings has ``sure`` of its
-    words, or ``likely`` of them and ``answer`` of its answer's words (the item's answer column if there is
-    one, else its five rarest words). Words in more than ``most`` of all passages weigh nothing, but for the
+    ``overlap`` of the item's squared weight, or of the part that fits a passage. Paraphrases come this way alone.
+    A passage whose first stride holds one of an item's telling words needs neither, so copies of any length, in any
+    surroundings and any number, are looked at. Then word by word: the item
+    is there if, of the passage's surroundings, a stretch of at most ``span`` times its length has a common subsequence
+    of ``sure`` of its words with it, or of ``likely`` of them while the surroundings have ``answer`` of its answer's
+    words (the item's answer column if there is one, else its five rarest words). An item of fewer than ``SHORT`` words
+    is there where all its words follow one another; one of fewer than ``LONE``, which any text may say, only
+    where a document has no other words. Words in more than ``most`` of all passages weigh nothing, but for the
     eight rarest of each item. Every document is read whole, and all passages count.
 
     Words are runs of letters and digits, case aside (Latin, Greek, Cyrillic); typographic marks are no letters.
@@ -364,7 +412,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
             rare[at[np.argsort(df[at], kind="stable")[:8]]] = True
         weight = np.where((df <= max(most * n, 5)) | rare, np.maximum(weight, 1e-3), 0.0)
         basis = latent_basis(docs, vocabulary, weight, items.rows(weight), rank)
-        hits = _search(docs, items, vocabulary, df, weight, basis, cosine, overlap, sure, likely, answer)
+        hits = _search(docs, items, vocabulary, df, weight, basis, cosine, overlap, sure, likely, answer, span)
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, lcs_share double, answer_share double")
@@ -373,5 +421,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found, with the columns that they came with; rows of one doc_id share their fate."""
-    hits = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    (hit,) = unused(docs.columns, "_hit")
+    hits = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left_anti")

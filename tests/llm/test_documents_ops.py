@@ -201,6 +201,57 @@ def test_recall_of_paraphrases_against_all_pairs(spark, documents):
     assert want and len(got & want) >= 0.9 * len(want) and got <= want
 
 
+@pytest.mark.parametrize("n_items", [80, 600])
+def test_latent_candidates_carry_the_paraphrases(spark, documents, monkeypatch, n_items):
+    """Without the net for copies: recall against the rule tried on every pair, and no pair that the rule refuses."""
+    monkeypatch.setattr(decontam, "telling_words", lambda items, df, sure: (np.zeros(len(df) + 1, np.int64), np.empty(0, np.int64)))
+    r = random.Random(16)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7))) for _ in range(4000)]
+    items = [prose(r, r.randint(14, 60), pool).split() for _ in range(n_items)]
+    rows, want = [], set()
+    for i in range(3 * n_items):
+        k = i % n_items
+        w = [x if r.random() > 0.3 else r.choice(pool) for x in items[k]] if i < 2 * n_items else []
+        rows.append((i, " ".join([prose(r, r.randint(5, 80), pool), *w, prose(r, r.randint(5, 80), pool)])))
+        if w:  # chance alone brings no words of another item into a stretch
+            masks = {}
+            for at, x in enumerate(items[k]):
+                masks[x] = masks.get(x, 0) | 1 << at
+            n = decontam.common_subsequence(masks, len(items[k]), w)
+            if n >= 0.8 * len(items[k]) or (n >= 0.6 * len(items[k]) and {*items[k][:2]} <= set(w)):
+                want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w), " ".join(w[:2])) for k, w in enumerate(items)], "item_id long, text string, answer string")
+    got = {(x.doc_id, x.item_id) for x in decontam.contaminated(documents(rows), bench).collect()}
+    assert len(want) > n_items / 2 and len(got & want) >= 0.9 * len(want)
+    assert all(i < 2 * n_items and k == i % n_items for i, k in got)
+
+
+def test_scattered_words_are_no_copy(spark, documents):
+    city = "what is the name of the city"
+    scattered = "In the middle of what we saw there is a garden and the man by the name of Tom who came from the small old city"
+    long = [f"w{i}" for i in range(20)]
+    apart = " ".join(x + " " + " ".join(f"f{i}{x}" for i in range(2)) for x in long)
+    rows = [(1, scattered), (2, "They asked: What is the name of the city? Nobody knew."), (3, "well yes of course"), (4, "Yes!"), (5, apart), (6, "some " + " ".join(long) + " more"), (7, "the city of the name is what"), (None, city)]
+    bench = spark.createDataFrame([(1, city), (2, "yes"), (3, " ".join(long))], "item_id long, text string")
+    docs = documents(rows).selectExpr("*", "1 AS _hit")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(docs, bench).collect()} == {(2, 1), (4, 2), (6, 3), (None, 1)}
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {1, 3, 5, 7}
+
+
+def test_spanned_subsequence_equals_all_stretches():
+    r = random.Random(5)
+    for _ in range(300):
+        n, m = r.randint(1, 9), r.randint(0, 30)
+        item, words = [r.randrange(6) for _ in range(n)], [r.randrange(8) for _ in range(m)]
+        masks = {}
+        for at, x in enumerate(item):
+            masks[x] = masks.get(x, 0) | 1 << at
+        span, least = r.randint(1, 14), r.randint(1, n)
+        best = max([decontam.common_subsequence(masks, n, words[i : i + span]) for i in range(m)], default=0)
+        assert decontam.spanned_subsequence(masks, n, words, least, span) == (best if best >= least else 0)
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(200):

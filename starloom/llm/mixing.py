@@ -84,6 +84,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, exponent: float = 0.5
     return copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
 
 
+def replicate(docs: DataFrame, **options) -> DataFrame:
+    """The copies of ``mix`` with the columns that the documents came with; columns named like those that it adds keep their values."""
+    added = ["rate", "copy_no", "shuffle_key"]
+    aside = {c: unused([*docs.columns, *added], c)[0] for c in docs.columns if c.lower() in added}
+    mixed = mix(docs.withColumnsRenamed(aside), **options)
+    return mixed.drop(*added).withColumnsRenamed({new: old for old, new in aside.items()}).select(*docs.columns)
+
+
 ORACLE = """
 WITH sizes AS (SELECT source, sum(strlen(coalesce(text, '')) + 1) AS size FROM documents GROUP BY source),
 weighted AS (SELECT source, size, pow(CAST(size AS DOUBLE), 0.5) AS weight FROM sizes),

@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +38,10 @@ HEAD = len(MAGIC) + 32 + 1
 MEMO_BYTES = 24 << 20
 #: Bytes of text encoded at a time; a longer text is one slice.
 SLICE = 4 << 20
+#: A task closes a shard and begins another at so many bytes of frames, or documents.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1_000_000
+#: Bytes of frames, or of the ids in them, that are read back at a time; a longer document is read on its own.
+READ_BYTES = 8 << 20
 #: White space other than lone blanks and line feeds: such texts are handed to the tokenizer as they are.
 _BLANKS = (*range(9, 10), *range(11, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
@@ -180,12 +185,13 @@ def train_dictionary(docs: DataFrame, encoder: Encoder, end_id: int, sample: int
         return b""
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: int = 3, partitions: int | None = None) -> tuple[list, tuple[str, str]]:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: int = 3, partitions: int | None = None, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> tuple[list, tuple[str, str]]:
     """Encode every whole text, append ``end_id``, and write shards in ascending doc_id order.
 
     Ids take two bytes where the vocabulary allows it, else four. Null texts count as empty. Documents with the same
     doc_id, however many, are ordered by a hash of their texts, then the texts; a null doc_id comes
-    first and is kept as null. Returns the manifest, one row per shard in order
+    first and is kept as null. A task writes shards of ``shard_bytes`` of frames or ``shard_docs`` documents, so what it
+    holds of an index is bounded. Returns the manifest, one row per shard in order
     ``(part, path, n_docs, n_tokens)``, and (URI, sha256) of the dictionary.
     """
     spark = docs.sparkSession
@@ -204,30 +210,39 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: i
         width = encoder.kind.itemsize
         end = np.asarray([end_id], encoder.kind).tobytes()
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary, digest), write_content_size=True)
-        part, uri, out, at, entries = TaskContext.get().partitionId(), None, None, HEAD, []
+        part, number, out = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            out.write(np.asarray(valid, "u1").tobytes() + b"".join(np.asarray(c, "<i8").tobytes() for c in columns))
+            out.write(np.asarray([at, len(valid)], "<u8").tobytes() + MAGIC)
+            out.close()
+            return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": uri, "n_docs": len(valid), "n_tokens": sum(columns[3])}])
+
         for batch in batches:
-            if out is None and batch.num_rows:
-                uri, out = files.create(folder, f"shard-{part:06d}", ".tok")
-                out.write(MAGIC + bytes.fromhex(digest) + bytes([width]))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                if out is None:
+                    uri, out = files.create(folder, f"shard-{part:06d}-{number:06d}", ".tok")
+                    out.write(MAGIC + bytes.fromhex(digest) + bytes([width]))
+                    at, valid, columns = HEAD, array("B"), [array("q") for _ in range(4)]
                 frame = packer.compress(ids.tobytes() + end)
-                entries.append((doc_id is not None, doc_id or 0, at, len(frame), len(ids) + 1))
+                valid.append(doc_id is not None)
+                for column, value in zip(columns, (doc_id or 0, at, len(frame), len(ids) + 1), strict=True):
+                    column.append(value)
                 at += len(frame)
                 out.write(frame)
+                if at >= shard_bytes or len(valid) >= shard_docs:
+                    yield closed()
+                    number, out = number + 1, None
         if out is not None:
-            valid, *columns = (np.asarray(c) for c in zip(*entries, strict=True))
-            out.write(valid.astype("u1").tobytes() + b"".join(c.astype("<i8").tobytes() for c in columns))
-            out.write(np.asarray([at, len(entries)], "<u8").tobytes() + MAGIC)
-            out.close()
-            encoder.forget()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(entries), "n_tokens": int(columns[3].sum())}])
+            yield closed()
+        encoder.forget()
 
-    schema = "part long, path string, n_docs long, n_tokens long"
+    schema = "part long, number long, path string, n_docs long, n_tokens long"
     order = ["doc_id", F.xxhash64("text")]  # what range sampling takes to the driver: 16 bytes a row of it, never a text
     # One row per shard reaches the driver, whatever the number of documents.
     with workers.small_batches(spark):
         shards = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").mapInArrow(write, schema).collect()
-    return sorted(tuple(r) for r in shards), (dictionary, digest)
+    return [(r.part, r.path, r.n_docs, r.n_tokens) for r in sorted(shards, key=lambda r: (r.part, r.number))], (dictionary, digest)
 
 
 def _shard(f, digest: str):
@@ -249,6 +264,16 @@ def read_document(path: str, dictionary: tuple[str, str], k: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}").astype(np.uint32)
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of at most ``most`` bytes and 1,024 documents; a larger document is a run of its own."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right"))
+        hi = max(lo + 1, min(hi, lo + 1024))
+        yield lo, hi
+        lo = hi
+
+
 def read_tokens(spark, manifest: list, dictionary: tuple[str, str]) -> DataFrame:
     """Read the shards back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     uri, digest = dictionary
@@ -264,8 +289,7 @@ def read_tokens(spark, manifest: list, dictionary: tuple[str, str]) -> DataFrame
                 with files.open_random(path) as f:
                     width, (valid, doc_id, offset, length, n_tokens) = _shard(f, digest)
                     starts = base + np.cumsum(n_tokens) - n_tokens
-                    for lo in range(0, len(doc_id), 1024):
-                        hi = min(lo + 1024, len(doc_id))
+                    for lo, hi in _runs(np.maximum(length, n_tokens * width), READ_BYTES):
                         first = int(offset[lo])
                         raw = memoryview(f.read_at(int(offset[hi - 1] + length[hi - 1]) - first, first))
                         crcs = []

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import workers
+from starloom.llm.names import unused
 from starloom.llm.sampling import first_by_hash
 from starloom.plans.durable import durable
 
@@ -162,5 +163,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The documents whose score is below ``threshold``, with the columns that they came with."""
-    return score_documents(docs, labels, **options).where(F.col("score") < threshold).select(*docs.columns)
+    """The documents whose score is below ``threshold``, with the columns that they came with, whatever their names.
+
+    Rows that repeat a doc_id, or have none, are judged each by its text; very long texts are scored whole.
+    """
+    (score,) = unused(docs.columns, "score")
+    weights, intercept = train(docs, labels, **options)
+    return docs.withColumn(score, scorer(weights, intercept)("text")).where(F.col(score) < threshold).select(*docs.columns)

@@ -359,6 +359,24 @@ def test_tokens_round_trip(spark, documents):
     assert got == encoded(rows)
 
 
+def test_tasks_write_shards_of_bounded_size(spark, documents):
+    rows = EDGE + [(100 + i, f"document {i} of many, with some words.") for i in range(300)]
+    for most in ({"shard_bytes": 2000}, {"shard_docs": 7}):
+        manifest, dictionary = tokens.write_tokens(documents(rows), VOCABULARY, partitions=2, **most)
+        assert len(manifest) > 4 and sum(n for _, _, n, _ in manifest) == len(rows)
+        got = sorted(map(tuple, tokens.read_tokens(spark, manifest, dictionary).collect()), key=lambda x: x[1])
+        assert got == encoded(rows)
+
+
+def test_frames_are_read_in_runs_of_bounded_bytes():
+    r = random.Random(1)
+    sizes = np.array([r.choice([0, 5, 900, 5000]) for _ in range(5000)])
+    runs = list(tokens._runs(sizes, 2000))
+    assert [lo for lo, _ in runs] == [0] + [hi for _, hi in runs[:-1]] and runs[-1][1] == len(sizes)
+    assert all(sizes[lo:hi].sum() <= 2000 or hi == lo + 1 for lo, hi in runs)
+    assert list(tokens._runs(sizes[:0], 2000)) == []
+
+
 def test_one_document_by_the_index(spark, documents):
     rows = [(i, f"short text number {i}") for i in range(400)]
     manifest, dictionary = tokens.write_tokens(documents(rows), VOCABULARY, partitions=3)
@@ -562,6 +580,18 @@ def test_edge_rows_pass_through_every_operator(spark, documents, sf_dir):
     assert decontam.decontaminate(docs, bench).count() == n
 
 
+def test_stages_keep_columns_of_any_name(spark, documents):
+    rows = [(i, f"plain words of document number {i} stand here") for i in range(30)] + [(30, "something else entirely is written in this one here")]
+    names = ["score", "rate", "copy_no", "shuffle_key", "_hit", "print", "label", "n", "id", "first"]
+    docs = documents(rows, extra=False).selectExpr("*", *(f"concat('{n}', doc_id) AS {n}" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "something else entirely is written in this one here"), (2, "no document says this one at all")], "item_id long, text string")
+    for out in (toxicity.reject_toxic(docs, labels, threshold=1.1), neardup.keep_one(docs), decontam.decontaminate(docs, bench), mixing.replicate(docs, epochs=3.0)):
+        assert out.columns == docs.columns
+        left = out.collect()
+        assert left and all(x[n] == f"{n}{x.doc_id}" for x in left for n in names)
+
+
 def test_empty_tables(spark, documents, sf_dir):
     docs = documents([])
     labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")

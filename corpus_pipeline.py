@@ -27,7 +27,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Poisson copies of each document that bring its source to its weight; every copy is a row."""
-    return mixing.mix(docs, exponent=0.5, epochs=1.0, seed=42).select(*docs.columns)
+    return mixing.replicate(docs, exponent=0.5, epochs=1.0, seed=42)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

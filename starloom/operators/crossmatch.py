@@ -14,6 +14,8 @@ from starloom.plans.durable import durable
 
 #: Zones are at least this high (degrees): 0.36 arc-seconds. Keys are hashed, so their number costs nothing.
 LEAST_ZONE = 1e-4
+#: Height of a join's zones in radii: a row of the left side is copied to four cells on average, not to nine.
+JOIN_ZONE = 2
 #: Rows of a cell from which it is split, and halvings of its sides at most.
 HOT_ROWS, MOST_SPLIT = 2_000, 3
 #: Most cells that are split; others are left to adaptive skew handling.
@@ -32,7 +34,7 @@ def _reach(zone: Column, height: float, radius: float) -> tuple[Column, Column]:
 def _cells_in_zone(zone: Column, height: float, radius: float) -> Column:
     """Right-ascension cells of a zone, wide enough that neighbours within the radius are at most one cell apart."""
     width, pole = _reach(zone, height, radius)
-    return F.when(pole, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360.0 / width).cast("long")))
+    return F.when(pole, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360.0 / (width * (height / radius if radius else 1.0))).cast("long")))
 
 
 def _cell(ra, n: Column) -> Column:
@@ -40,20 +42,24 @@ def _cell(ra, n: Column) -> Column:
 
 
 def _placed(df: DataFrame, height: float, spread: bool, radius: float) -> DataFrame:
-    """Rows with their (zone, cell) and the zone's number of cells, ``_n``; with ``spread`` also the cells around."""
+    """Rows with their (zone, cell) and the zone's number of cells, ``_n``; with ``spread`` one for each cell within the radius, and ``_wide``.
+
+    ``_wide`` is the right ascension (degrees) that bounds the radius in that zone, 360 where it may cover a pole.
+    """
     df = df.where(F.col("ra").isNotNull() & F.col("dec").isNotNull())
-    zone = F.floor((F.col("dec") + 90) / height).cast("long")
-    if spread:
-        df = df.withColumn("_zone", F.explode(F.array(zone - 1, zone, zone + 1)))
-    else:
-        df = df.withColumn("_zone", zone)
-    df = df.withColumn("_n", _cells_in_zone(F.col("_zone"), height, radius))
-    own = _cell("ra", F.col("_n"))
-    if spread:
-        df = df.withColumn("_own", own).withColumn("_cell", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("_own") + d, F.col("_n")) for d in (-1, 0, 1)))))).drop("_own")
-    else:
-        df = df.withColumn("_cell", own)
-    return df
+    zone = lambda away: F.floor((F.col("dec") + 90 + away) / height).cast("long")
+    slack = 1e-9
+    if not spread:
+        df = df.withColumn("_zone", zone(0.0)).withColumn("_n", _cells_in_zone(F.col("_zone"), height, radius))
+        return df.withColumn("_cell", _cell("ra", F.col("_n")))
+    df = df.withColumn("_zone", F.explode(F.sequence(zone(-radius - slack), zone(radius + slack))))
+    width, pole = _reach(F.col("_zone"), height, radius)
+    df = df.withColumn("_n", _cells_in_zone(F.col("_zone"), height, radius)).withColumn("_wide", F.when(pole, F.lit(360.0)).otherwise(width + slack))
+    # A radius that reaches around the sky is in all cells; others are in the cells from its western to its eastern end.
+    cell = lambda away: F.floor((F.pmod("ra", F.lit(360.0)) + away) / 360.0 * F.col("_n")).cast("long")
+    first = cell(-F.col("_wide"))
+    around = F.transform(F.sequence(first, F.least(cell(F.col("_wide")), first + F.col("_n") - 1)), lambda c: F.pmod(c, F.col("_n")))
+    return df.withColumn("_cell", F.explode(around))
 
 
 def _within_cell(height: float) -> tuple[Column, Column]:
@@ -67,13 +73,14 @@ def _split(left: DataFrame, right: DataFrame, height: float, radius: float) -> t
     """Both sides with ``_sub``, the part of a dense cell: right rows are in one, left rows in all within the radius.
 
     Cells of at least ``HOT_ROWS`` right rows are halved along both sides until a part has fewer if they are spread evenly, but
-    ``MOST_SPLIT`` times at most. So the left rows of one dense field are dealt over many keys, and meet fewer rows outside the radius.
+    ``MOST_SPLIT`` times at most beyond the radius' size. So the left rows of one dense field are dealt over many keys, and meet fewer rows outside the radius.
     """
     plain = left.withColumn("_sub", F.lit(0)), right.withColumn("_sub", F.lit(0))
     if right.isStreaming or MOST_SPLIT < 1:
         return plain
     dense = right.where("_n >= 4").groupBy("_zone", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= HOT_ROWS)
-    rows = [(r._zone, r._cell, 1 << min(MOST_SPLIT, 1 + int(math.log(r._rows / HOT_ROWS, 4)))) for r in dense.limit(HOT_CELLS).collect()]
+    most = MOST_SPLIT + int(math.log2(height / max(radius, LEAST_ZONE)))
+    rows = [(r._zone, r._cell, 1 << min(most, 1 + int(math.log(r._rows / HOT_ROWS, 4)))) for r in dense.limit(HOT_CELLS).collect()]
     if not rows:
         return plain
     sides = F.broadcast(right.sparkSession.createDataFrame(rows, "_zone long, _cell long, _side int"))
@@ -93,18 +100,21 @@ def _split(left: DataFrame, right: DataFrame, height: float, radius: float) -> t
 def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner", sep: str = "sep_deg", key: str = "source_id") -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` within ``radius_deg``; b's columns get the suffix ``_b``.
 
-    ``how`` is inner, left, semi or anti; the last three go by ``key`` of a. The left side is copied to at
-    most nine cells, the right to one; the exact separation decides. Null positions match nothing. Dense cells of a right side
-    that is no stream are split below the radius (``_split``); what is left of skew goes to adaptive execution.
+    ``how`` is inner, left, semi or anti; the last three go by ``key`` of a. The left side is copied to the cells
+    within the radius, the right to one; the exact separation decides. Null positions match nothing. Dense cells of a right side
+    that is no stream are split below the radius (``_split``); what is left of skew goes to adaptive execution. Both sides
+    are shuffled and merged: sizes of files say nothing of the copies, so a side is never sent to the driver to be broadcast.
     """
-    height = max(radius_deg, LEAST_ZONE)
+    height = max(JOIN_ZONE * radius_deg, LEAST_ZONE)
     left = _placed(a, height, True, radius_deg)
     right = _placed(b, height, False, radius_deg)
     left, right = _split(left, right, height, radius_deg)
     right = right.select("_zone", "_cell", "_sub", *(F.col(c).alias(f"{c}_b") for c in b.columns))
     exact = separation_deg("ra", "dec", "ra_b", "dec_b")
-    # A band on declination is cheap and drops most candidates before the trigonometry.
-    pairs = left.join(right, ["_zone", "_cell", "_sub"]).where(F.abs(F.col("dec") - F.col("dec_b")) <= radius_deg + 1e-9).withColumn(sep, exact).where(F.col(sep) <= radius_deg).drop("_zone", "_cell", "_sub", "_n")
+    # A box around the row is cheap and drops most candidates before the trigonometry.
+    east = F.abs(F.pmod(F.col("ra_b") - F.col("ra") + 180.0, F.lit(360.0)) - 180.0)
+    box = (F.abs(F.col("dec") - F.col("dec_b")) <= radius_deg + 1e-9) & (east <= F.col("_wide"))
+    pairs = left.drop("_n").join(right.hint("merge"), ["_zone", "_cell", "_sub"]).where(box).withColumn(sep, exact).where(F.col(sep) <= radius_deg).drop("_zone", "_cell", "_sub", "_wide")
     if how == "inner":
         return pairs
     if how in ("semi", "anti"):

@@ -128,3 +128,24 @@ def test_a_dense_field_costs_about_what_the_same_stars_cost_spread_out(spark):
         took[name] = time.time() - begin
     assert pairs > n and took["dense"] <= 2 * took["spread"] + 1
     spread.unpersist(), dense.unpersist()
+
+
+def test_no_side_is_broadcast_and_rows_are_copied_to_the_cells_within_the_radius(spark, sf_dir):
+    s = stars(spark, sf_dir).select("source_id", "ra", "dec")
+    for radius in (0.08, 3.0 / 3600):
+        plan = sky_join(s, s, radius)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    known = s.where("ra IS NOT NULL").count()
+    copies = crossmatch._placed(s, crossmatch.JOIN_ZONE * 0.08, True, 0.08).count()
+    assert copies < 5 * known  # nine times as many before
+
+
+@pytest.mark.parametrize("radius", [0.0008, 0.02, 0.11])
+def test_small_radii_equal_brute_force_across_cells_of_any_size(spark, radius):
+    r = random.Random(11)
+    rows = []
+    for i, (ra, dec) in enumerate([(0.0, 0.0), (359.99995, 30.0), (120.0, 89.9), (10.0, -89.97), (77.0, 60.0001)]):
+        rows += [(f"k{i}-{j}", (ra + r.uniform(-2, 2) * radius / math.cos(math.radians(dec))) % 360, max(-90.0, min(90.0, dec + r.uniform(-2, 2) * radius))) for j in range(40)]
+    df = spark.createDataFrame(rows, "source_id string, ra double, dec double")
+    want = {(a[0], b[0]) for a in rows for b in rows if apart(a, b) <= radius}
+    assert {(x.source_id, x.source_id_b) for x in sky_join(df, df, radius).collect()} == want

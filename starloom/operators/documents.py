@@ -45,12 +45,32 @@ def chunk_text(df: DataFrame, key: str = "arxiv_id", column: str = "abstract", s
     return df.select(F.col(key).cast("string").alias("k"), column).mapInArrow(cut, "k string, chunk_no long, chunk string").withColumnRenamed("k", key)
 
 
+#: Most rows that a limit takes through one task.
+FEW_ROWS = 10_000
+
+
+def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that tells all rows apart; a large ``n`` takes whole ranges of a range partition, and one in part."""
+    if n <= FEW_ROWS:
+        return df.orderBy(*order).limit(n)
+    if df.count() <= n:
+        return df
+    placed = durable(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    whole = 0
+    for at, rows in sorted(placed.groupBy("_range").count().collect()):  # one row a range
+        if rows > n:
+            break
+        whole, n = at + 1, n - rows
+    rest = placed.where(F.col("_range") == at).orderBy(*order).limit(n)
+    return placed.where(F.col("_range") < whole).unionByName(rest).drop("_range")
+
+
 def build_corpus(raw: DataFrame, existing: DataFrame, target: int) -> DataFrame:
     """New papers up to a target: id after /abs/, three authors, embedding text; raw has url, title, abstract, authors, query_no, rank, category."""
-    p = raw.withColumn("arxiv_id", F.substring_index("url", "/abs/", -1)).withColumn("authors", F.slice("authors", 1, 3)).withColumn("embed_text", F.concat_ws(". ", "title", "abstract"))
+    p = raw.withColumn("arxiv_id", F.substring_index("url", "/abs/", -1)).withColumn("authors", F.slice("authors", 1, 3))
     first = Window.partitionBy("arxiv_id").orderBy("query_no", "rank")
     fresh = p.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(existing.select("arxiv_id"), "arxiv_id", "left_anti")
-    return fresh.orderBy("query_no", "rank", "arxiv_id").limit(target)
+    return first_rows(fresh, ["query_no", "rank", "arxiv_id"], target).withColumn("embed_text", F.concat_ws(". ", "title", "abstract"))
 
 
 def link_stars_papers(papers: DataFrame, stars: DataFrame, names: DataFrame | None = None) -> DataFrame:

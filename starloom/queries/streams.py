@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starloom.functions.tables import table
-from starloom.plans.durable import new_path
+from starloom.plans.durable import durable, new_path
 from starloom.plans.fixtures import alerts, papers, stars, with_views
 from starloom.queries.sky import sep
 from starloom.streaming import alerts as st
@@ -48,7 +48,7 @@ def alert_once_only_stream(spark, sf_dir):
 
 def _landed(df, name: str, slices: int = 4) -> str:
     """A folder of files that landed one slice after the other, in the order of ``ts``."""
-    path = new_path(df.sparkSession, name)
+    path, df = new_path(df.sparkSession, name), durable(df, name)  # read once a slice
     first, last = df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     step = -(-(last - first + 1) // slices)
     for i in range(slices):
@@ -56,6 +56,11 @@ def _landed(df, name: str, slices: int = 4) -> str:
     return path
 
 
+def _files_a_batch(spark, path: str, batches: int) -> int:
+    """Files a trigger takes, so that a folder is through in so many batches however many files its writers left."""
+    return -(-len(spark.read.parquet(path).inputFiles()) // batches)
+
+
 _SESSION = """WITH e AS (SELECT event_type AS type, ts, ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events),
 s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > INTERVAL 30 MINUTE) OVER (PARTITION BY type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY type, k"""
@@ -86,18 +91,18 @@ def _alert_rows(spark, sf_dir):
 
 
 def transients_stream(spark, sf_dir):
-    """All alerts upserted into the stars by a stream over several landed files, one a batch; half of the alerts come twice."""
-    rows = _alert_rows(spark, sf_dir)
+    """All alerts upserted into the stars by a stream over several landed slices, one a batch; half of the alerts come twice."""
+    rows = durable(_alert_rows(spark, sf_dir), "rows")
     path = _landed(rows, "alerts")
     rows.where("substring(name, -1) IN ('0', '2', '4', '6', '8')").write.mode("append").parquet(path)
     table_path = new_path(spark, "stars")
     versions.create(stars(spark, sf_dir), table_path, "source_id")
-    st.run_to_end(st.alert_stream(spark, path, rows.schema, files_per_trigger=1), st.transient_sink(table_path), new_path(spark, "stream"))
+    st.run_to_end(st.alert_stream(spark, path, rows.schema, files_per_trigger=_files_a_batch(spark, path, 5)), st.transient_sink(table_path), new_path(spark, "stream"))
     return versions.read(spark, table_path).select("source_id", "catalog_source", "is_transient", "alert_name")
 
 
 def papers_stream(spark, sf_dir):
-    """Papers collected by a stream over several landed files; what comes again, under a later query, is left out."""
+    """Papers collected by a stream over several landed slices; what comes again, under a later query, is left out."""
     p = papers(spark, sf_dir).select(F.concat(F.lit("http://a.example/abs/"), "arxiv_id").alias("url"), "title", "abstract", F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("authors"), F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.col("categories").alias("category"))
     path = new_path(spark, "papers")
     for i in range(3):
@@ -105,7 +110,7 @@ def papers_stream(spark, sf_dir):
     p.withColumn("query_no", F.lit(1)).withColumn("title", F.lit("again")).write.mode("append").parquet(path)
     corpus = new_path(spark, "corpus")
     versions.create(spark.createDataFrame([], "arxiv_id string, title string, abstract string, authors array<string>, embed_text string"), corpus, "arxiv_id")
-    stream = st.alert_stream(spark, path, p.schema, files_per_trigger=1)
+    stream = st.alert_stream(spark, path, p.schema, files_per_trigger=_files_a_batch(spark, path, 4))
     st.run_to_end(stream, st.paper_sink(corpus, 1 << 30), new_path(spark, "stream"))
     return versions.read(spark, corpus).select("arxiv_id", "title", F.size("authors").alias("n_authors"))
 
@@ -114,7 +119,8 @@ def alert_matches_stream(spark, sf_dir):
     """Alerts matched with the stars as a stream: every star within three arc-seconds of an alert."""
     rows = _alert_rows(spark, sf_dir)
     out = new_path(spark, "matches")
-    st.run_to_end(st.alert_stream(spark, _landed(rows, "alerts"), rows.schema, files_per_trigger=1), st.matched_sink(lambda: stars(spark, sf_dir), out), new_path(spark, "stream"))
+    path = _landed(rows, "alerts")
+    st.run_to_end(st.alert_stream(spark, path, rows.schema, files_per_trigger=_files_a_batch(spark, path, 4)), st.matched_sink(lambda: stars(spark, sf_dir), out), new_path(spark, "stream"))
     return spark.read.parquet(f"{out}/batch=*").select("name", F.col("source_id_b").alias("source_id"), F.round("separation_arcsec", 4).alias("separation_arcsec"))
 
 

@@ -57,14 +57,14 @@ def transient_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def paper_sink(path: str, target: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds new papers, ``target`` a batch at most, to the versioned corpus at ``path``; those already there stay as they are."""
+    """A foreachBatch function that adds new papers, ``target`` a batch at most, to the versioned corpus at ``path``; those already there stay as they are and are not written again."""
     from starloom.operators.documents import build_corpus
 
     def add(corpus: DataFrame, batch: DataFrame) -> DataFrame:
-        return corpus.unionByName(build_corpus(batch, corpus, target).select(*corpus.columns))
+        return build_corpus(batch, corpus, target).select(*corpus.columns)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        versions.apply_batch(path, batch, batch_id, batch.select(F.substring_index("url", "/abs/", -1).alias("arxiv_id")), add)
+        versions.apply_batch(path, batch, batch_id, batch.select(F.substring_index("url", "/abs/", -1).alias("arxiv_id")), add, adds=True)
 
     return apply
 

@@ -1,7 +1,7 @@
 """Tables in versions: data in buckets by key, and a log whose newest entry says which folder holds each bucket.
 
     data/<write>/_b=<n>/*.parquet     one folder a write, never changed
-    log/<version>.json                {"batch", "schema", "key", "buckets", "folders": {bucket: folder}}
+    log/<version>.json                {"batch", "schema", "key", "buckets", "folders": {bucket: folder, or list of folders that add up}}
 
 A version appears when its log entry does, by a rename that fails if the entry is there. A reader holds on to the
 folders of one version. What a stopped write leaves behind belongs to no version.
@@ -84,9 +84,13 @@ def create(df: DataFrame, path: str, key: str, buckets: int = 16) -> None:
     _publish(spark, path, 0, {"batch": -1, "schema": df.schema.jsonValue(), "key": key, "buckets": buckets, "folders": folders})
 
 
+def _of(held: str | list[str]) -> list[str]:
+    return [held] if isinstance(held, str) else held
+
+
 def _read(spark: SparkSession, at: dict, only: list[str] | None = None) -> DataFrame:
     schema = StructType.fromJson(at["schema"])
-    folders = [f for b, f in at["folders"].items() if only is None or b in only]
+    folders = [f for b, held in at["folders"].items() if only is None or b in only for f in _of(held)]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
@@ -95,11 +99,12 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _read(spark, entry(spark, path, version))
 
 
-def apply_batch(path: str, batch: DataFrame, batch_id: int, keys: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> bool:
+def apply_batch(path: str, batch: DataFrame, batch_id: int, keys: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], adds: bool = False) -> bool:
     """Publish the version after a batch; False if that batch is in the table already.
 
     ``merge(rows, batch)`` gives the new rows of the buckets that the batch's ``keys`` (one column, named like the table's
     key) fall into, from their old rows; only these buckets are read and written. It must keep keys in their buckets.
+    With ``adds`` it gives only the rows to add, and these alone are written, beside what the buckets hold.
     """
     spark = batch.sparkSession
     at = entry(spark, path)
@@ -108,7 +113,10 @@ def apply_batch(path: str, batch: DataFrame, batch_id: int, keys: DataFrame, mer
     touched = [str(r[0]) for r in keys.select(_bucket(at["key"], at["buckets"])).distinct().collect()]  # buckets are few
     after = merge(_read(spark, at, touched), batch).select(*StructType.fromJson(at["schema"]).names)
     new = _folders(spark, _write(after, path, at["key"], at["buckets"]))
-    folders = {b: f for b, f in at["folders"].items() if b not in touched} | new
+    if adds:
+        folders = at["folders"] | {b: [*_of(at["folders"].get(b, [])), f] for b, f in new.items()}
+    else:
+        folders = {b: f for b, f in at["folders"].items() if b not in touched} | new
     _publish(spark, path, at["version"] + 1, {**{k: at[k] for k in ("schema", "key", "buckets")}, "batch": batch_id, "folders": folders})
     return True
 
@@ -116,8 +124,8 @@ def apply_batch(path: str, batch: DataFrame, batch_id: int, keys: DataFrame, mer
 def expire(spark: SparkSession, path: str, keep: int = 10) -> int:
     """Forget all but the newest ``keep`` versions and delete the bucket folders that none of these holds; how many went."""
     known = _log(spark, path)
-    old, kept = known[:-keep], {f for v in known[-keep:] for f in entry(spark, path, v)["folders"].values()}
-    gone = {f for v in old for f in entry(spark, path, v)["folders"].values()} - kept
+    old, kept = known[:-keep], {f for v in known[-keep:] for held in entry(spark, path, v)["folders"].values() for f in _of(held)}
+    gone = {f for v in old for held in entry(spark, path, v)["folders"].values() for f in _of(held)} - kept
     for v in old:
         fs, p = _fs(spark, f"{path}/log/{v:020d}.json")
         fs.delete(p, False)

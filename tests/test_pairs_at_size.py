@@ -68,3 +68,20 @@ def test_stars_two_edges_away_without_paths(spark):
     got = [(x.source_id, x.related_id, x.hops) for x in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "array_append" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 100, 250, 400])
+def test_a_large_limit_takes_ranges_and_the_same_rows(spark, monkeypatch, n):
+    from starloom.operators import documents
+
+    df = spark.range(250).selectExpr("id % 7 AS q", "id AS k").repartition(5)
+    monkeypatch.setattr(documents, "FEW_ROWS", -1)
+    got = [tuple(x) for x in documents.first_rows(df, ["q", "k"], n).collect()]
+    assert sorted(got) == sorted((i % 7, i) for i in range(250))[:n]
+
+
+def test_no_window_takes_all_papers_at_once(spark, sf_dir):
+    from starloom.queries.more import corpus_build
+
+    plan = corpus_build(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan  # numbering all papers took them through one task

@@ -109,3 +109,31 @@ def test_the_static_side_is_read_again_for_each_batch(spark, star_table, tmp_pat
 
     st.run_to_end(st.alert_stream(spark, landed, spark.read.parquet(landed).schema, files_per_trigger=1), both, str(tmp_path / "c"))
     assert [(r.name, r.source_id_b) for r in spark.read.parquet(f"{out}/batch=*").collect()] == [("y", "GSA_x")]
+
+
+def test_papers_that_are_there_are_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    versions.create(spark.createDataFrame([], "arxiv_id string, title string, abstract string, authors array<string>, embed_text string"), path, "arxiv_id", buckets=2)
+    raw = lambda *ids: spark.createDataFrame([(f"u/abs/{i}", f"t{i}", "a", ["A"], 0, n, "c") for n, i in enumerate(ids)], "url string, title string, abstract string, authors array<string>, query_no int, rank int, category string")
+    sink = st.paper_sink(path, 1 << 30)
+    sink(raw(*range(20)), 0)
+    first = {f for held in versions.entry(spark, path)["folders"].values() for f in held}
+    sink(raw(*range(10, 30)).withColumn("title", F.lit("again")), 1)
+    sink(raw(*range(5)), 2)  # nothing new
+    now = {f for held in versions.entry(spark, path)["folders"].values() for f in held}
+    assert first and first < now  # before, each batch wrote all rows of its buckets anew
+    got = {r.arxiv_id: r.title for r in versions.read(spark, path).collect()}
+    assert versions.read(spark, path).count() == len(got) == 30 and got["12"] == "t12" and got["25"] == "again"
+    assert versions.expire(spark, path, keep=1) == 0 and versions.read(spark, path).count() == 30
+
+
+def test_batches_are_as_many_as_slices_not_files(spark, tmp_path):
+    from starloom.queries.streams import _files_a_batch, _landed
+
+    rows = spark.range(400).selectExpr("CAST(id AS STRING) AS name", "timestamp_seconds(id * 3600) AS ts").repartition(6)
+    path = _landed(rows, "alerts")
+    assert len(spark.read.parquet(path).inputFiles()) > 4
+    seen = []
+    stream = st.alert_stream(spark, path, rows.schema, files_per_trigger=_files_a_batch(spark, path, 4))
+    st.run_to_end(stream, lambda batch, _: seen.append(batch.count()), str(tmp_path / "c"))
+    assert sum(seen) == 400 and len([n for n in seen if n]) <= 4

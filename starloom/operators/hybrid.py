@@ -12,6 +12,7 @@ from starloom.operators.documents import consistency, consistency_by_star
 from starloom.operators.graph import papers_of_star, related_stars, stars_in_paper
 from starloom.operators.metrics import ir_metrics
 from starloom.operators.vectors import vector_topk
+from starloom.plans.durable import durable
 
 
 def cone_with_context(stars: DataFrame, edges: DataFrame, papers: DataFrame, ra: float, dec: float, radius: float, limit: int = 50, context_stars: int = 10) -> DataFrame:
@@ -71,27 +72,44 @@ def link_papers_clusters_semantic(vectors: DataFrame, region_vectors: DataFrame,
 
 #: Most names that are broadcast to the texts; beyond it a shuffled join.
 BROADCAST_NAMES = 100_000
+#: Most distinct first words of names that the texts are searched for; beyond it all runs are made.
+FEW_FIRSTS = 100
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def named_in_text(papers: DataFrame, names: DataFrame) -> DataFrame:
-    """(arxiv_id, name): names that occur in papers as whole words. Runs of words of the text join names as equals, so any number of names will do."""
-    words = lambda c: F.transform(F.filter(F.split(c, r"[^A-Za-z0-9_]+"), lambda w: w != ""), lambda w: F.lower(w))
-    table = names.select("name").distinct().withColumn("_words", words(F.col("name"))).where(F.size("_words") > 0)
-    sizes = [r[0] for r in table.select(F.size("_words")).distinct().collect()]  # a handful of lengths
-    if not sizes:
+    """(arxiv_id, name): names that occur in papers as whole words, A-Z in any case. Runs of words of the text join names as equals, so any number of names will do.
+
+    A run has all that stands between its words, so a name from its first word to its last is a run or occurs nowhere, and no text is looked at
+    again; a name with other characters before or after its words is held against the texts that have the run. Only runs that begin with
+    a name's first word are dealt out, and where the names are many only these meet them.
+    """
+    low = lambda c: F.translate(c, _CAPITALS, _SMALL)
+    table = names.select("name").distinct().withColumn("_run", F.regexp_extract(low("name"), r"(?s)(\w(?:.*\w)?)", 1)).where("_run <> ''")
+    table = table.withColumn("_words", F.regexp_count("_run", F.lit(r"\w+"))).withColumn("_first", F.regexp_extract("_run", r"^\w+", 0))
+    bounds = table.groupBy("_words").agg(F.max(F.char_length("_run")).alias("most")).collect()  # a handful of lengths
+    if not bounds:
         return papers.select("arxiv_id", F.lit("").alias("name")).limit(0)
-    texts = papers.select("arxiv_id", words(F.col("abstract")).alias("_text"))
-    size = F.size("_text")
+    texts = papers.select("arxiv_id", low("abstract").alias("_text"))
+    firsts = table.select("_first").distinct()
+    some = [r[0] for r in firsts.limit(FEW_FIRSTS + 1).collect()]
+    first = r"\w+" if len(some) > FEW_FIRSTS else f"(?:{'|'.join(sorted(some))})(?!\\w)"
 
-    def runs(n: int):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_text", i, F.lit(n)), " "))
+    def runs(n: int, most: int):
+        found = F.regexp_extract_all("_text", F.lit(rf"(?<!\w)(?=({first}(?:\W+\w+){{{n - 1}}}))"), 1)
+        return F.filter(found, lambda x: F.char_length(x) <= most)
 
-    said = texts.select("arxiv_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)))).alias("_run"))
-    table = table.select("name", F.array_join("_words", " ").alias("_run"))
+    said = texts.select("arxiv_id", F.explode(F.array_distinct(F.concat(*(runs(r["_words"], r.most) for r in bounds)))).alias("_run"))
     few = table.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    found = said.join(F.broadcast(table) if few else table, "_run").select("arxiv_id", "name").distinct().join(papers.select("arxiv_id", "abstract"), "arxiv_id")
-    return found.where(F.rlike("abstract", F.concat(F.lit(r"(?i)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)")))).select("arxiv_id", "name").distinct()
+    if not few and len(some) > FEW_FIRSTS:
+        begins = F.broadcast(firsts) if firsts.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else firsts
+        said = said.withColumn("_first", F.regexp_extract("_run", r"^\w+", 0)).join(begins, "_first", "left_semi").drop("_first")
+    found = said.join(F.broadcast(table) if few else table, "_run").select("arxiv_id", "name", "_run").distinct()
+    bare = F.char_length("name") == F.char_length("_run")
+    more = found.where(~bare).join(papers.select("arxiv_id", "abstract"), "arxiv_id").where(F.rlike("abstract", F.concat(F.lit(r"(?i)(?<!\w)\Q"), "name", F.lit(r"\E(?!\w)"))))
+    return found.where(bare).select("arxiv_id", "name").unionByName(more.select("arxiv_id", "name")).distinct()
 
 
 def star_names(papers: DataFrame, names: DataFrame, k: int = 12) -> DataFrame:
@@ -123,6 +141,7 @@ def resolve_entities(papers: DataFrame, stars: DataFrame, authority: DataFrame,
     ids = papers.select("arxiv_id", F.explode(gaia_ids_near("abstract")).alias("source_id"))
     catalog = papers.select("arxiv_id", F.explode(F.array_union(catalog_ids("abstract"), catalog_ids("abstract", LOOSE))).alias("name"))
     named = catalog.union(named_in_text(papers, authority)).withColumn("name", F.lower("name")).where(~F.col("name").isin(list(CLUSTERS)))
+    named = durable(named.distinct(), "named")  # small beside the texts, which are searched once
     found = named.join(resolve_names(named, stars, authority, arcsec), "name").select("arxiv_id", "source_id")
     return ids.union(found).distinct()
 

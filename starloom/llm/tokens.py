@@ -34,8 +34,10 @@ from starloom.plans.durable import new_path
 
 MAGIC = b"TOKSHRD1"
 HEAD = len(MAGIC) + 32 + 1
-#: Bytes of pieces and their ids that a task remembers before it starts afresh.
+#: Bytes of pieces and their ids that a worker remembers, from task to task, before it starts afresh.
 MEMO_BYTES = 24 << 20
+#: New pieces that are encoded as one text.
+JOINED = 4096
 #: Bytes of text encoded at a time; a longer text is one slice.
 SLICE = 4 << 20
 #: A task closes a shard and begins another at so many bytes of frames, or documents.
@@ -86,27 +88,28 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, new: pa.Array) -> None:
-        """Remember the ids of pieces that stand after a blank."""
-        pieces = new.to_pylist()
-        lone = {i for i, p in enumerate(pieces) if not p or p[-1] == "\n"}  # these end their text
-        found = dict(zip(sorted(lone), self._whole([" " + pieces[i] for i in sorted(lone)]), strict=True))
-        rest = [p for i, p in enumerate(pieces) if i not in lone]
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember the ids of pieces that stand after a blank; the places that they are kept at."""
+        lone = np.asarray(pc.or_(pc.equal(pc.binary_length(new), 0), pc.ends_with(new, "\n")))  # these end their text
+        rest, ends = new.filter(pa.array(~lone)), new.filter(pa.array(lone))
+        cuts = np.minimum(np.arange(0, len(rest) + JOINED, JOINED), len(rest)).tolist()
         ids, lengths = [], []
-        for lo in range(0, len(rest), 4096):
-            part = rest[lo : lo + 4096]
-            got = self._whole([" " + " ".join(part)])[0]
+        for lo, hi, text in zip(cuts, cuts[1:], pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest), pa.scalar(" ", rest.type)), strict=False):
+            got = self._whole([" " + text.as_py()])[0]
             starts = np.flatnonzero(self.opens[got])
-            if len(starts) != len(part):
-                one = self._whole([" " + p for p in part])
+            if len(starts) != hi - lo:
+                one = self._whole([" " + p for p in rest.slice(lo, hi - lo).to_pylist()])
                 got, starts = np.concatenate(one), np.cumsum([0, *map(len, one[:-1])])
             ids.append(got)
             lengths.append(np.diff(np.append(starts, len(got))))
-        order = [i for i in range(len(pieces)) if i not in lone] + sorted(lone)
-        ids += [found[i] for i in sorted(lone)]
-        lengths.append(np.array([len(found[i]) for i in sorted(lone)], np.int64))
-        self.known = pa.concat_arrays([self.known, new.take(pa.array(order, pa.int64()))])
+        last = self._whole([" " + p for p in ends.to_pylist()])
+        ids += last
+        lengths.append(np.array([len(x) for x in last], np.int64))
+        place = np.empty(len(new), np.int64)
+        place[np.concatenate([np.flatnonzero(~lone), np.flatnonzero(lone)])] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, rest, ends])
         self.ids, self.lengths = np.concatenate([self.ids, *ids]), np.concatenate([self.lengths, *lengths])
+        return place
 
     def _gathered(self, texts: pa.Array) -> list[np.ndarray]:
         if self.known.nbytes + self.ids.nbytes + self.lengths.nbytes > MEMO_BYTES:
@@ -117,10 +120,11 @@ class Encoder:
         first = np.zeros(len(words), bool)
         first[begins[:-1]] = True
         rest = words.filter(pa.array(~first)).dictionary_encode()
-        missing = pc.index_in(rest.dictionary, value_set=self.known).is_null()
-        if pc.any(missing).as_py():
-            self._learn(rest.dictionary.filter(missing))
-        at = pc.index_in(rest.dictionary, value_set=self.known).to_numpy()[rest.indices.to_numpy()]
+        at = pc.index_in(rest.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)  # a hash table of all that is known: once a slice
+        missing = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        if missing.any():
+            at[missing] = self._learn(rest.dictionary.filter(pa.array(missing)))
+        at = at.astype(np.int64)[rest.indices.to_numpy()]
         heads = self._whole(words.filter(pa.array(first)).to_pylist())
         pool, sizes = np.concatenate([self.ids, *heads]), np.array([len(h) for h in heads], np.int64)
         length, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
@@ -152,7 +156,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
-    """One for a worker: the vocabulary takes as long to load as megabytes of text to encode. What it remembers goes with each task."""
+    """One for a worker: the vocabulary takes as long to load as megabytes of text to encode, and what one task learns the next needs not. It is bounded (``MEMO_BYTES``)."""
     return Encoder(path)
 
 
@@ -235,7 +239,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, level: i
                     number, out = number + 1, None
         if out is not None:
             yield closed()
-        encoder.forget()
 
     schema = "part long, number long, path string, n_docs long, n_tokens long"
     order = ["doc_id", F.xxhash64("text")]  # what range sampling takes to the driver: 16 bytes a row of it, never a text

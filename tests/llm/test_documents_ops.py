@@ -408,6 +408,18 @@ def test_pieces_that_end_texts_and_a_small_memory(spark, monkeypatch):
     assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_known_pieces_are_looked_up_once_a_slice(monkeypatch):
+    """A look-up hashes all that is known, so a slice has one; what is known needs no tokenizer."""
+    import pyarrow as pa
+
+    encoder, calls, index_in = tokens.Encoder(VOCABULARY), [], tokens.pc.index_in
+    monkeypatch.setattr(tokens.pc, "index_in", lambda *a, **k: calls.append(1) or index_in(*a, **k))
+    texts = pa.array([f"one two{i} three" for i in range(50)])
+    first = [x.tolist() for x in encoder.encode(texts)]
+    monkeypatch.setattr(encoder, "_learn", lambda new: pytest.fail("learnt again"))
+    assert first == [x.tolist() for x in encoder.encode(texts)] and len(calls) == 2
+
+
 # --- op7 -------------------------------------------------------------------------------------------
 
 

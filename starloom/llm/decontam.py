@@ -403,7 +403,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
     found = None
     for items in item_blocks(benchmark):
         vocabulary = spark.sparkContext.broadcast(items.vocabulary)
-        *df, n = passage_frequencies(docs, vocabulary).tolist()
+        with workers.small_batches(spark):
+            *df, n = passage_frequencies(docs, vocabulary).tolist()
         df = np.maximum(np.array(df), 1.0)
         weight = np.log((n + 1.0) / df)
         rare = np.zeros(len(df), bool)
@@ -411,7 +412,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
             at = np.unique(np.searchsorted(items.vocabulary, w))
             rare[at[np.argsort(df[at], kind="stable")[:8]]] = True
         weight = np.where((df <= max(most * n, 5)) | rare, np.maximum(weight, 1e-3), 0.0)
-        basis = latent_basis(docs, vocabulary, weight, items.rows(weight), rank)
+        with workers.small_batches(spark):
+            basis = latent_basis(docs, vocabulary, weight, items.rows(weight), rank)
         hits = _search(docs, items, vocabulary, df, weight, basis, cosine, overlap, sure, likely, answer, span)
         found = hits if found is None else found.union(hits)
     if found is None:
@@ -422,5 +424,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 128, most: f
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no item is found, with the columns that they came with; rows of one doc_id share their fate."""
     (hit,) = unused(docs.columns, "_hit")
-    hits = durable(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(hit)).distinct()
+    with workers.small_batches(docs.sparkSession):
+        hits = durable(found, "contaminated")
     return docs.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col(hit)), "left_anti")

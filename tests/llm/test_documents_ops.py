@@ -611,3 +611,16 @@ def test_empty_tables(spark, documents, sf_dir):
     assert neardup.near_duplicates(docs).count() == licenses.scan_licenses(docs).count() == toxicity.score_documents(docs, labels).count() == 0
     assert decontam.contaminated(docs, bench).count() == decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).count() == 0
     assert decontam.contaminated(documents(EDGE), bench).count() == 0
+
+
+def test_decontamination_hands_texts_over_in_small_batches(spark, documents, monkeypatch):
+    from starloom.llm import workers
+
+    size, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, durable = spark.conf.get(size), decontam.durable
+    monkeypatch.setattr(decontam, "durable", lambda df, name: seen.append((name, spark.conf.get(size))) or durable(df, name))
+    item = " ".join(f"word{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.decontaminate(documents([(0, "nothing of it"), (1, f"so {item} then")]), bench)
+    assert [r.doc_id for r in kept.collect()] == [0] and spark.conf.get(size) == before
+    assert len(seen) >= 3 and {s for _, s in seen} == {str(workers.BATCH_BYTES)}

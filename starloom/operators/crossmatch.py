@@ -5,11 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import normalize_catalog
 from starloom.functions.sky import in_cone, separation_deg
+from starloom.operators import tiles
 from starloom.plans.durable import durable
 
 #: Zones are at least this high (degrees): 0.36 arc-seconds. Keys are hashed, so their number costs nothing.
@@ -125,8 +128,11 @@ def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner",
 
 #: Sides of a radius-sized cell in the two finer levels of the pyramid, and pairs of points below which two cells are not looked into further.
 FINE, FINEST, FEW_PAIRS = 16, 64, 64
-#: Rows around a point, on average, from which counts come from the pyramid; below, joining the points is less work.
+#: Rows around a point, on average, from which counts come from tiles and the pyramid; below, joining the points is less work.
 CROWDED = 400
+#: Rows of a tile that its size aims at, its least and greatest height (radii, degrees), rows from which a tile is left to other ways,
+#: and the widest radius (degrees) that is counted in tiles.
+TILE_ROWS, LEAST_TILE, MOST_TILE, FULL_TILE, WIDE = 20_000, 4, 10.0, 400_000, 20.0
 
 
 def _boxes(placed: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -201,16 +207,86 @@ def crowding(points: DataFrame, radius_deg: float) -> float:
     return 9 * (mean or 0.0)
 
 
+def _tile_height(others: DataFrame, radius_deg: float) -> float:
+    """Height (degrees) of tiles that hold about ``TILE_ROWS`` rows where most rows are; four radii at least, so that few rows are copied."""
+    least = max(LEAST_TILE * radius_deg, LEAST_ZONE)
+    cells = others.groupBy(F.floor("dec").alias("d"), F.floor(F.col("ra") * F.cos(F.radians("dec"))).alias("r")).agg(F.count("*").cast("double").alias("n"))
+    per_degree = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    return max(least, min(MOST_TILE, math.sqrt(TILE_ROWS / per_degree) if per_degree else MOST_TILE))
+
+
+def _in_tiles(points: DataFrame, others: DataFrame, radius_deg: float) -> tuple[DataFrame, DataFrame]:
+    """(rows in tiles (_zone, _cell): ``_mine`` counts its neighbours, ``_other`` is one; tiles too full for a task).
+
+    Others are copied to the tiles within the radius, points are in one. If both are one table its rows are copied once, for both.
+    """
+    known = lambda df: df.where("NOT isnan(ra) AND NOT isnan(dec)")
+    height = _tile_height(known(others), radius_deg)
+    copies = _placed(known(others), height, True, radius_deg)
+    if points is others:
+        home = (F.col("_zone") == F.floor((F.col("dec") + 90) / height)) & (F.col("_cell") == _cell("ra", F.col("_n")))
+        placed = copies.withColumn("_mine", home).withColumn("_other", F.lit(True))
+    else:
+        own = _placed(known(points), height, False, radius_deg).withColumn("_mine", F.lit(True)).withColumn("_other", F.lit(False))
+        placed = own.unionByName(copies.drop("_wide").withColumn("_mine", F.lit(False)).withColumn("_other", F.lit(True)))
+    placed = placed.withColumn("_east", F.pmod(F.col("ra") - (F.col("_cell") + 0.5) * 360.0 / F.col("_n") + 180.0, F.lit(360.0)) - 180.0)
+    full = placed.groupBy("_zone", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= FULL_TILE).select("_zone", "_cell")
+    return placed.drop("_wide", "_n"), full
+
+
+def _parted(points: DataFrame, others: DataFrame, radius_deg: float) -> tuple[DataFrame, DataFrame | None]:
+    """(rows in tiles, points of tiles that are too full for one task or None): see ``_in_tiles``."""
+    placed, full = _in_tiles(points, others, radius_deg)
+    full = durable(full, "full")
+    if full.isEmpty():
+        return placed, None
+    keys = ["_zone", "_cell"]
+    rest = placed.where("_mine").join(full, keys, "left_semi").select(*points.columns)
+    return placed.join(full, keys, "left_anti"), rest
+
+
 def counts_in_radii(points: DataFrame, radii: list[float], key: str = "source_id") -> DataFrame:
-    """(key, n0, n1, ...): rows of the same table within each of the radii (rising) of a row, itself among them; rows of one key are summed."""
-    if crowding(points, radii[-1]) < CROWDED:
+    """(key, n0, n1, ...): rows of the same table within each of the radii (rising) of a row, itself among them; rows of one key are summed.
+
+    Rows meet in tiles, larger than the radius, where whole stretches of a strip are counted by search (``tiles.counts``); a row costs the
+    rim of its circle, not its area. Tiles that are too full for a task are counted by the pyramid. Pairs nearer to a radius
+    than ``tiles.TIE`` are told by Spark's own separation.
+    """
+    names = [f"n{i}" for i in range(len(radii))]
+    if radii[-1] > WIDE or crowding(points, radii[-1]) < CROWDED:
         s = points.select(key, "ra", "dec")
         return sky_join(s, s, radii[-1], key=key).groupBy(key).agg(*(F.count_if(F.col("sep_deg") <= r).alias(f"n{i}") for i, r in enumerate(radii)))
-    s = durable(points.where("ra IS NOT NULL AND dec IS NOT NULL").select(key, "ra", "dec", F.monotonically_increasing_id().alias("row")), "points")
-    out = s.select(key, "row")
+    s = points.where("ra IS NOT NULL AND dec IS NOT NULL").select(key, "ra", "dec")
+    placed, rest = _parted(s, s, radii[-1])
+    of_key = s.schema[key].dataType.simpleString()
+    schema = f"`{key}` {of_key}, {', '.join(f'{n} long' for n in names)}, _radius int, ra double, dec double, ra_b double, dec_b double"
+
+    def count(tile: pa.Table) -> pa.Table:
+        mine = np.flatnonzero(tile.column("_mine").to_numpy())
+        ra, dec, east = (tile.column(c).to_numpy() for c in ("ra", "dec", "_east"))
+        keys, found, close = tile.column(key).combine_chunks(), [], []
+        for i, r in enumerate(radii):
+            n, point, other = tiles.counts(east[mine], dec[mine], east, dec, r)
+            found.append(n)
+            close.append((np.full(len(point), i), mine[point], other))
+        which, at, other = (np.concatenate(x) for x in zip(*close, strict=True))
+        blank = pa.nulls(len(mine), pa.float64())
+        columns = [pa.chunked_array([keys.take(pa.array(mine)), keys.take(pa.array(at))])]
+        columns += [pa.chunked_array([pa.array(n), pa.nulls(len(at), pa.int64())]) for n in found]
+        columns.append(pa.chunked_array([pa.nulls(len(mine), pa.int32()), pa.array(which, pa.int32())]))
+        columns += [pa.chunked_array([blank, pa.array(x)]) for x in (ra[at], dec[at], ra[other], dec[other])]
+        return pa.table(columns, names=[key, *names, "_radius", "ra", "dec", "ra_b", "dec_b"])
+
+    counted = placed.groupBy("_zone", "_cell").applyInArrow(count, schema)
+    sep = separation_deg("ra", "dec", "ra_b", "dec_b")
+    out = counted.groupBy(key).agg(*((F.coalesce(F.sum(f"n{i}"), F.lit(0)) + F.count_if((F.col("_radius") == i) & (sep <= r))).alias(f"n{i}") for i, r in enumerate(radii)))
+    if rest is None:
+        return out
+    rest = durable(rest.withColumn("row", F.monotonically_increasing_id()), "points")
+    more = rest.select(key, "row")
     for i, r in enumerate(radii):
-        out = out.join(counts_within(s, s, r).withColumnRenamed("n", f"n{i}"), "row")
-    return out.groupBy(key).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(radii))))
+        more = more.join(counts_within(rest, s, r).withColumnRenamed("n", f"n{i}"), "row")
+    return out.unionByName(more.drop("row")).groupBy(key).agg(*(F.sum(n).alias(n) for n in names))
 
 
 def neighbour_context(candidates: DataFrame, pool: DataFrame, radius_deg: float = 0.08) -> DataFrame:

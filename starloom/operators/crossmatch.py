@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +132,8 @@ FINE, FINEST, FEW_PAIRS = 16, 64, 64
 #: Rows around a point, on average, from which counts come from tiles and the pyramid; below, joining the points is less work.
 CROWDED = 400
 #: Rows of a tile that its size aims at, its least and greatest height (radii, degrees), rows from which a tile is left to other ways,
-#: and the widest radius (degrees) that is counted in tiles.
-TILE_ROWS, LEAST_TILE, MOST_TILE, FULL_TILE, WIDE = 20_000, 4, 10.0, 400_000, 20.0
+#: and the least and widest radius (degrees) that is counted in tiles.
+TILE_ROWS, LEAST_TILE, MOST_TILE, FULL_TILE, LEAST_RADIUS, WIDE = 20_000, 4, 10.0, 400_000, 1e-6, 20.0
 
 
 def _boxes(placed: DataFrame, keys: list[str], tag: str) -> DataFrame:
@@ -215,34 +216,18 @@ def _tile_height(others: DataFrame, radius_deg: float) -> float:
     return max(least, min(MOST_TILE, math.sqrt(TILE_ROWS / per_degree) if per_degree else MOST_TILE))
 
 
-def _in_tiles(points: DataFrame, others: DataFrame, radius_deg: float) -> tuple[DataFrame, DataFrame]:
-    """(rows in tiles (_zone, _cell): ``_mine`` counts its neighbours, ``_other`` is one; tiles too full for a task).
-
-    Others are copied to the tiles within the radius, points are in one. If both are one table its rows are copied once, for both.
-    """
-    known = lambda df: df.where("NOT isnan(ra) AND NOT isnan(dec)")
-    height = _tile_height(known(others), radius_deg)
-    copies = _placed(known(others), height, True, radius_deg)
-    if points is others:
-        home = (F.col("_zone") == F.floor((F.col("dec") + 90) / height)) & (F.col("_cell") == _cell("ra", F.col("_n")))
-        placed = copies.withColumn("_mine", home).withColumn("_other", F.lit(True))
-    else:
-        own = _placed(known(points), height, False, radius_deg).withColumn("_mine", F.lit(True)).withColumn("_other", F.lit(False))
-        placed = own.unionByName(copies.drop("_wide").withColumn("_mine", F.lit(False)).withColumn("_other", F.lit(True)))
-    placed = placed.withColumn("_east", F.pmod(F.col("ra") - (F.col("_cell") + 0.5) * 360.0 / F.col("_n") + 180.0, F.lit(360.0)) - 180.0)
-    full = placed.groupBy("_zone", "_cell").agg(F.count("*").alias("_rows")).where(F.col("_rows") >= FULL_TILE).select("_zone", "_cell")
-    return placed.drop("_wide", "_n"), full
-
-
-def _parted(points: DataFrame, others: DataFrame, radius_deg: float) -> tuple[DataFrame, DataFrame | None]:
-    """(rows in tiles, points of tiles that are too full for one task or None): see ``_in_tiles``."""
-    placed, full = _in_tiles(points, others, radius_deg)
-    full = durable(full, "full")
+def _in_tiles(points: DataFrame, radius_deg: float) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of a table copied to the tiles (_zone, _cell) within the radius, ``_mine`` in their own; rows of tiles too full for a task, or None)."""
+    points = points.where("ra IS NOT NULL AND dec IS NOT NULL AND NOT isnan(ra) AND NOT isnan(dec)")
+    keys, height = ["_zone", "_cell"], _tile_height(points, radius_deg)
+    placed = _placed(points, height, True, radius_deg)
+    home = (F.col("_zone") == F.floor((F.col("dec") + 90) / height)) & (F.col("_cell") == _cell("ra", F.col("_n")))
+    east = F.pmod(F.col("ra") - (F.col("_cell") + 0.5) * 360.0 / F.col("_n") + 180.0, F.lit(360.0)) - 180.0
+    placed = placed.withColumn("_mine", home).withColumn("_east", east).drop("_wide", "_n")
+    full = durable(placed.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= FULL_TILE).select(*keys), "full")
     if full.isEmpty():
         return placed, None
-    keys = ["_zone", "_cell"]
-    rest = placed.where("_mine").join(full, keys, "left_semi").select(*points.columns)
-    return placed.join(full, keys, "left_anti"), rest
+    return placed.join(full, keys, "left_anti"), placed.where("_mine").join(full, keys, "left_semi").select(*points.columns)
 
 
 def counts_in_radii(points: DataFrame, radii: list[float], key: str = "source_id") -> DataFrame:
@@ -253,11 +238,11 @@ def counts_in_radii(points: DataFrame, radii: list[float], key: str = "source_id
     than ``tiles.TIE`` are told by Spark's own separation.
     """
     names = [f"n{i}" for i in range(len(radii))]
-    if radii[-1] > WIDE or crowding(points, radii[-1]) < CROWDED:
+    if not LEAST_RADIUS <= radii[0] <= radii[-1] <= WIDE or crowding(points, radii[-1]) < CROWDED:
         s = points.select(key, "ra", "dec")
         return sky_join(s, s, radii[-1], key=key).groupBy(key).agg(*(F.count_if(F.col("sep_deg") <= r).alias(f"n{i}") for i, r in enumerate(radii)))
     s = points.where("ra IS NOT NULL AND dec IS NOT NULL").select(key, "ra", "dec")
-    placed, rest = _parted(s, s, radii[-1])
+    placed, rest = _in_tiles(s, radii[-1])
     of_key = s.schema[key].dataType.simpleString()
     schema = f"`{key}` {of_key}, {', '.join(f'{n} long' for n in names)}, _radius int, ra double, dec double, ra_b double, dec_b double"
 
@@ -289,15 +274,83 @@ def counts_in_radii(points: DataFrame, radii: list[float], key: str = "source_id
     return out.unionByName(more.drop("row")).groupBy(key).agg(*(F.sum(n).alias(n) for n in names))
 
 
+def _same_id(ids: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in ``mine``, row) of rows with one id."""
+    order = np.argsort(ids, kind="stable")
+    known = ids[order]
+    first, last = np.searchsorted(known, ids[mine], "left"), np.searchsorted(known, ids[mine], "right")
+    size = last - first
+    at = np.repeat(np.arange(len(mine)), size)
+    return at, order[np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
+
+
+def _context_in_tiles(placed: DataFrame, radius_deg: float) -> DataFrame:
+    """(source_id, local_density, matched_catalogs) of rows in tiles (source_id, own, catalog, ...), whose neighbours are counted by catalog."""
+    schema = "source_id string, n long, catalogs array<string>, ra double, dec double, ra_b double, dec_b double, catalog_b string"
+    nothing = np.empty(0, np.int64)
+
+    def count(tile: pa.Table) -> pa.Table:
+        mine = np.flatnonzero(tile.column("_mine").to_numpy())
+        ra, dec, east = (tile.column(c).to_numpy() for c in ("ra", "dec", "_east"))
+        ids, catalog = (tile.column(c).combine_chunks().dictionary_encode() for c in ("source_id", "catalog"))
+        names, code, which = catalog.dictionary, catalog.indices.to_numpy(), ids.indices.to_numpy()
+        own = pc.index_in(tile.column("own").combine_chunks(), names).fill_null(-1).to_numpy()[mine]
+        same, twin = _same_id(which, mine)
+        inside = tiles.within(east[mine[same]], dec[mine[same]], east[twin], dec[twin], radius_deg)
+        same, twin = same[inside], twin[inside]
+        total, met, close = np.zeros(len(mine), np.int64), [(nothing, nothing)], [(nothing, nothing)]
+        for c in range(len(names)):
+            some = np.flatnonzero(code == c)
+            n, point, other = tiles.counts(east[mine], dec[mine], east[some], dec[some], radius_deg)
+            n -= np.bincount(same[code[twin] == c], minlength=len(mine))  # rows of its own id are no neighbours of a row
+            total += n
+            seen = np.flatnonzero((n > 0) & (own != c))
+            met.append((seen, np.full(len(seen), c)))
+            other = some[other]
+            apart = which[mine[point]] != which[other]
+            close.append((point[apart], other[apart]))
+        (row, name), (point, other) = (map(np.concatenate, zip(*x, strict=True)) for x in (met, close))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(mine)))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(name[np.argsort(row, kind="stable")])))
+        kept, at = np.flatnonzero(total), mine[point]
+        id_of = lambda rows: ids.dictionary.take(pa.array(which[rows]))
+        met_at = pc.if_else(pa.array(own[point] == code[other]), None, names.take(pa.array(code[other])))
+        counted = [id_of(mine[kept]), pa.array(total[kept]), lists.take(pa.array(kept)), *(pa.nulls(len(kept), pa.float64()) for _ in range(4)), pa.nulls(len(kept), pa.string())]
+        told = [id_of(at), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), lists.type), *map(pa.array, (ra[at], dec[at], ra[other], dec[other])), met_at]
+        return pa.table([pa.chunked_array([x, y.cast(x.type)]) for x, y in zip(counted, told, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
+
+    near = separation_deg("ra", "dec", "ra_b", "dec_b") <= radius_deg
+    counted = placed.groupBy("_zone", "_cell").applyInArrow(count, schema).withColumn("near", near)
+    names = F.concat(F.flatten(F.collect_list("catalogs")), F.collect_set(F.when(F.col("near"), F.col("catalog_b"))))
+    density = F.coalesce(F.sum("n"), F.lit(0).cast("long")) + F.count_if("near")
+    return counted.groupBy("source_id").agg(density.alias("local_density"), F.array_sort(F.array_distinct(names)).alias("matched_catalogs"))
+
+
+def _context_by_pairs(candidates: DataFrame, pool: DataFrame, radius_deg: float) -> DataFrame:
+    near = sky_join(candidates.select("source_id", "ra", "dec", "own"), pool.select("source_id", "ra", "dec", "catalog"), radius_deg).where("source_id <> source_id_b")
+    return near.groupBy("source_id").agg(F.count("*").alias("local_density"), F.array_sort(F.collect_set(F.when(F.col("catalog_b") != F.col("own"), F.col("catalog_b")))).alias("matched_catalogs"))
+
+
 def neighbour_context(candidates: DataFrame, pool: DataFrame, radius_deg: float = 0.08) -> DataFrame:
     """Add local_density (pool rows around, itself apart) and matched_catalogs (other catalogs among them).
 
-    A null catalog is GAIA for the candidate and UNKNOWN for its neighbour.
+    A null catalog is GAIA for the candidate and UNKNOWN for its neighbour. A table among itself is counted in tiles, by catalog, without
+    a row for each pair; tiles too full for a task, and candidates of another table than the pool, are joined pair by pair.
     """
-    own = normalize_catalog("catalog_source")
-    other = normalize_catalog("catalog_source", "UNKNOWN")  # once a row, not once a pair
-    near = sky_join(candidates.select("source_id", "ra", "dec", own.alias("own")), pool.select("source_id", "ra", "dec", other.alias("catalog")), radius_deg).where("source_id <> source_id_b")
-    context = near.groupBy("source_id").agg(F.count("*").alias("local_density"), F.array_sort(F.collect_set(F.when(F.col("catalog_b") != F.col("own"), F.col("catalog_b")))).alias("matched_catalogs"))
+    own = normalize_catalog("catalog_source").alias("own")
+    other = normalize_catalog("catalog_source", "UNKNOWN").alias("catalog")  # once a row, not once a pair
+    text = F.col("source_id").cast("string").alias("source_id")
+    if candidates is pool and LEAST_RADIUS <= radius_deg <= WIDE:
+        s = pool.where("source_id IS NOT NULL").select(text, "ra", "dec", own, other)
+        placed, rest = _in_tiles(s, radius_deg)
+        context = _context_in_tiles(placed, radius_deg)
+        if rest is not None:
+            # An id may have rows in both; what it met is brought together.
+            both = context.unionByName(_context_by_pairs(durable(rest, "points"), s, radius_deg)).groupBy("source_id")
+            context = both.agg(F.sum("local_density").alias("local_density"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_catalogs")))).alias("matched_catalogs"))
+        context = context.withColumn("source_id", F.col("source_id").cast(pool.schema["source_id"].dataType))
+    else:
+        context = _context_by_pairs(candidates.select("source_id", "ra", "dec", own), pool.select("source_id", "ra", "dec", other), radius_deg)
     return candidates.join(context, "source_id", "left").withColumn("local_density", F.coalesce("local_density", F.lit(0).cast("long"))).withColumn("matched_catalogs", F.coalesce("matched_catalogs", F.array().cast("array<string>")))
 
 

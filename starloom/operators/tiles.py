@@ -38,6 +38,13 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at = to
 
 
+def within(ra1: np.ndarray, dec1: np.ndarray, ra2: np.ndarray, dec2: np.ndarray, radius: float) -> np.ndarray:
+    """Whether each pair is one that ``counts`` counts."""
+    ra1, dec1, ra2, dec2 = map(np.radians, (ra1, dec1, ra2, dec2))
+    away = np.sin((dec2 - dec1) / 2) ** 2 + np.cos(dec1) * np.cos(dec2) * np.sin((ra2 - ra1) / 2) ** 2
+    return away < np.sin(np.radians(radius - TIE) / 2) ** 2
+
+
 def counts(pe: np.ndarray, pd: np.ndarray, oe: np.ndarray, od: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n, point, other): how many others lie within the radius of each point, and the pairs within ``TIE`` of it, which n leaves out.
 

@@ -62,3 +62,25 @@ def test_the_rim_alone_is_looked_into(monkeypatch):
     assert sum(seen) < n.sum() / 10
     at = math.radians(1.0)
     assert abs(n[np.hypot(e, d) < 0.9].mean() / (20_000 / 16 * 2 * math.pi * (1 - math.cos(at)) / at**2) - 1) < 0.05
+
+
+@pytest.mark.parametrize("full", [30, 400_000])
+def test_context_in_tiles_equals_the_joined_pairs(spark, monkeypatch, full):
+    """Ids that repeat, at one place and at two, a null id, and neighbours exactly a radius away."""
+    monkeypatch.setattr(crossmatch, "FULL_TILE", full)
+    r = random.Random(3)
+    names = ["GAIA", "wise ", None, "", "2MASS", "gaia"]
+    rows = [(*x, r.choice(names)) for x in field(120, 4)]
+    rows += [(f"g{i}-{j}", 40 + i / 10, j / 10, names[(i + j) % 6]) for i in range(6) for j in range(6)]
+    rows += [("twin", 10.0, 10.0, "WISE"), ("twin", 10.0, 10.0, "GAIA"), ("twin", 10.05, 10.0, None), ("twin", 10.0, 10.1, "GAIA"), ("alone", 10.01, 10.0, "2MASS"), (None, 10.0, 10.0, "X"), ("far", -5.0, 9.0, "X")]
+    df = spark.createDataFrame(rows, "source_id string, ra double, dec double, catalog_source string")
+    found = lambda out: sorted((str(x.source_id), x.catalog_source or "", x.ra or 0, x.local_density, tuple(x.matched_catalogs)) for x in out.collect())
+    joined = found(crossmatch.neighbour_context(df, df.select("*"), 0.1))
+    assert found(crossmatch.neighbour_context(df, df, 0.1)) == joined
+
+
+def test_context_makes_no_row_for_each_pair(spark, monkeypatch):
+    rows = [(f"s{i}", 10 + i % 40 / 400, 10 + i // 40 / 400, "GAIA" if i % 3 else "WISE") for i in range(1600)]
+    df = spark.createDataFrame(rows, "source_id string, ra double, dec double, catalog_source string")
+    monkeypatch.setattr(crossmatch, "sky_join", lambda *a, **k: pytest.fail("pairs were joined"))
+    assert crossmatch.neighbour_context(df, df).agg({"local_density": "sum"}).first()[0] > 1_000_000

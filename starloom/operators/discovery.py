@@ -125,10 +125,10 @@ def robust_sweep(stars: DataFrame, mode: str = "balanced", seeds=(42, 43, 44, 45
         base = sum((F.when(rule, points).otherwise(0.0) for _, rule, points in rules), F.lit(0.0))
         scores.append(F.round(F.least(base + _context_points(lambda name, w=w: F.lit(w[name])), F.lit(100.0)), 1))
     n = len(scores)
-    s = F.array(*scores)
-    mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
-    std = F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + F.pow(x - F.col("_mean"), 2)) / n)
-    out = table.withColumn("_mean", mean).withColumn("_std", std)
+    # Term by term: what a lambda function mentions is computed anew for every element.
+    out = table.select("source_id", *(x.alias(f"_{i}") for i, x in enumerate(scores)))
+    out = out.withColumn("_mean", sum((F.col(f"_{i}") for i in range(n)), F.lit(0.0)) / n)
+    out = out.withColumn("_std", F.sqrt(sum((F.pow(F.col(f"_{i}") - F.col("_mean"), 2) for i in range(n)), F.lit(0.0)) / n))
     label = F.when(F.col("_std") < 1, "High").when(F.col("_std") < 3, "Medium").otherwise("Low")
     return out.select("source_id", F.round("_mean", 2).alias("mean_score"), F.round("_std", 3).alias("std_dev"), label.alias("confidence"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from starloom.operators.vectors import best_pairs, query_blocks, unit_rows
+from starloom.operators.vectors import StatedQueries, best_pairs, query_blocks, unit_rows
 from starloom.plans.durable import durable
 
 #: Most cells of an index, whatever the table; their centres are broadcast.
@@ -95,7 +95,7 @@ def _probes(centres: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
     return np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :nprobe]
 
 
-def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, nprobe: int = 8, refine: int = 4) -> DataFrame:
+def search_index(spark: SparkSession, path: str, queries: DataFrame | StatedQueries, k: int = 10, nprobe: int = 8, refine: int = 4) -> DataFrame:
     """(query_id, id, score, rank): near neighbours by cosine from the ``nprobe`` nearest cells of each query.
 
     Only those cells are read, without their vectors; codes give ``refine * k`` candidates a query, whose vectors are then
@@ -147,7 +147,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def pairs_compared(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, nprobe: int = 8, refine: int = 4) -> dict:
+def pairs_compared(spark: SparkSession, path: str, queries: DataFrame | StatedQueries, k: int = 10, nprobe: int = 8, refine: int = 4) -> dict:
     """What a search costs: all pairs, pairs of codes and exact pairs (at most)."""
     size = dict(spark.read.parquet(f"{path}/rows").groupBy("cell").count().collect())
     centres, coded, n = _centres(spark, path), 0, 0
@@ -157,13 +157,14 @@ def pairs_compared(spark: SparkSession, path: str, queries: DataFrame, k: int =
     return {"all": n * sum(size.values()), "coded": coded, "exact": min(coded, n * refine * k)}
 
 
-def tuned_nprobe(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, recall: float = 0.9, refine: int = 4) -> tuple[int, float]:
+def tuned_nprobe(spark: SparkSession, path: str, queries: DataFrame | StatedQueries, k: int = 10, recall: float = 0.9, refine: int = 4) -> tuple[int, float]:
     """(nprobe, measured recall): the least power of two of probed cells whose recall over the stated queries reaches ``recall``.
 
     Held against an exact search of the index's own vectors; all cells are the last resort.
     """
     from starloom.operators.vectors import vector_topk
 
+    queries = queries if isinstance(queries, StatedQueries) else StatedQueries(queries)  # searched once for each nprobe
     exact = durable(vector_topk(spark.read.parquet(f"{path}/rows").select("id", "vector"), queries, k).select("query_id", "id"), "exact")
     total, cells, nprobe = exact.count(), len(_centres(spark, path)), 1
     while True:

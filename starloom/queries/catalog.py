@@ -349,8 +349,9 @@ def vector_index_recall(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", "vector")
     q = v.where("id % 20 = 0").selectExpr("id AS query_id", "vector AS query")
     path = ivf.build_index(v, new_path(spark, "index"))
-    nprobe, recall = ivf.tuned_nprobe(spark, path, q, 10, 0.9, refine=2)
-    cost = ivf.pairs_compared(spark, path, q, 10, nprobe, refine=2)
+    asked = vectors.StatedQueries(q)
+    nprobe, recall = ivf.tuned_nprobe(spark, path, asked, 10, 0.9, refine=2)
+    cost = ivf.pairs_compared(spark, path, asked, 10, nprobe, refine=2)
     return spark.createDataFrame([(q.count(), recall >= 0.9, cost["exact"] <= 0.1 * cost["all"])], "n_queries long, recall_reached boolean, few_exact_pairs boolean")
 
 

@@ -99,6 +99,9 @@ FUNCTIONS = {
 }
 
 _STARS, _SCORES = "sky_stars", "sky_scores"
+_FAR = "greatest(abs((zone - 1) * height - 90), abs((zone + 2) * height - 90))"
+#: Degrees of right ascension that the radius r covers at most around a zone; 360 where it may cover a pole.
+_REACH = f"CASE WHEN {_FAR} + r >= 90 THEN 360D ELSE 1e-9D + degrees(atan(sin(radians(r)) / sqrt(abs(cos(radians({_FAR} - r)) * cos(radians({_FAR} + r)))))) END"
 #: name: (arguments, columns, query). They read the views that ``register_table_functions`` makes.
 TABLES = {
     "cone": (
@@ -109,14 +112,18 @@ TABLES = {
     "sky_pairs": (
         "r DOUBLE",
         "source_id STRING, catalog STRING, source_id_b STRING, catalog_b STRING, sep_deg DOUBLE",
-        f"""WITH s AS (SELECT source_id, ra, dec, catalog_of(catalog_source, 'UNKNOWN') AS catalog FROM {_STARS} WHERE ra IS NOT NULL AND dec IS NOT NULL),
-        w AS (SELECT *, sky_zone(dec, greatest(r, 1e-4D)) AS own FROM s),
-        y AS (SELECT *, explode(array(own - 1, own, own + 1)) AS zone FROM w),
-        z AS (SELECT *, sky_cells(zone, greatest(r, 1e-4D), r) AS cells FROM y),
-        v AS (SELECT *, sky_cell(ra, cells) AS middle FROM z),
-        a AS (SELECT *, explode(array_distinct(array(pmod(middle - 1, cells), middle, pmod(middle + 1, cells)))) AS cell FROM v),
-        b AS (SELECT *, sky_cell(ra, sky_cells(zone, greatest(r, 1e-4D), r)) AS cell FROM (SELECT *, sky_zone(dec, greatest(r, 1e-4D)) AS zone FROM s))
-        SELECT a.source_id, a.catalog, b.source_id, b.catalog, sky_sep(a.ra, a.dec, b.ra, b.dec) FROM a JOIN b ON a.zone = b.zone AND a.cell = b.cell WHERE sky_sep(a.ra, a.dec, b.ra, b.dec) <= r""",
+        # Zones are two radii high, as in ``crossmatch.sky_join``: a row is copied to four cells on average, and neither side is broadcast.
+        f"""WITH s AS (SELECT source_id, ra, dec, pmod(ra, 360D) AS east, catalog_of(catalog_source, 'UNKNOWN') AS catalog, greatest(2 * r, 1e-4D) AS height FROM {_STARS} WHERE ra IS NOT NULL AND dec IS NOT NULL),
+        v AS (SELECT *, sky_zone(dec - r - 1e-9D, height) AS low, sky_zone(dec + r + 1e-9D, height) AS high FROM s),
+        w AS (SELECT *, explode(sequence(low, high)) AS zone FROM v),
+        x AS (SELECT *, {_REACH} AS reach FROM w),
+        y AS (SELECT *, CASE WHEN reach >= 360 THEN 1L ELSE greatest(1L, CAST(floor(180 / reach) AS BIGINT)) END AS cells FROM x),
+        z AS (SELECT *, CAST(floor((east - reach) / 360 * cells) AS BIGINT) AS first, CAST(floor((east + reach) / 360 * cells) AS BIGINT) AS last FROM y),
+        a AS (SELECT source_id, catalog, ra, dec, zone, pmod(cell, cells) AS cell FROM (SELECT *, explode(sequence(first, least(last, first + cells - 1))) AS cell FROM z)),
+        t AS (SELECT *, sky_zone(dec, height) AS zone FROM s),
+        u AS (SELECT *, {_REACH} AS reach FROM t),
+        b AS (SELECT source_id, catalog, ra, dec, zone, sky_cell(ra, CASE WHEN reach >= 360 THEN 1L ELSE greatest(1L, CAST(floor(180 / reach) AS BIGINT)) END) AS cell FROM u)
+        SELECT /*+ MERGE(b) */ a.source_id, a.catalog, b.source_id, b.catalog, sky_sep(a.ra, a.dec, b.ra, b.dec) FROM a JOIN b ON a.zone = b.zone AND a.cell = b.cell WHERE abs(a.dec - b.dec) <= r + 1e-9D AND sky_sep(a.ra, a.dec, b.ra, b.dec) <= r""",
     ),
     "overlap": (
         "arcsec DOUBLE",

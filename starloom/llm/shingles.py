@@ -7,8 +7,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at a time.
-SLICE = 1 << 20
+#: Bytes of text hashed at a time; what is held beside them is some hundred bytes a word.
+SLICE = 1 << 18
 #: Bytes from which on a word is hashed on its own.
 LONG = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -26,7 +26,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE + 1), base, np.uint64)
+        steps = np.full(max(n, 1 << 16, 2 * len(have) if have is not None else 0), base, np.uint64)
         steps[0] = 1
         have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Rows and bytes of texts that are handed to Python at a time.
-BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 
 def released(task: Callable) -> Callable:

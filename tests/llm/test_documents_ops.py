@@ -624,3 +624,21 @@ def test_decontamination_hands_texts_over_in_small_batches(spark, documents, mon
     kept = decontam.decontaminate(documents([(0, "nothing of it"), (1, f"so {item} then")]), bench)
     assert [r.doc_id for r in kept.collect()] == [0] and spark.conf.get(size) == before
     assert len(seen) >= 3 and {s for _, s in seen} == {str(workers.BATCH_BYTES)}
+
+
+def test_words_of_texts_are_held_in_small_slices(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = pa.array([prose(r, 400) for _ in range(1200)])  # over 2 MB
+    monkeypatch.setattr(shingles, "_powers", {})
+    tracemalloc.start()
+    try:
+        vocabulary = np.unique(next(h for _, h, *_ in decontam._passage_words(texts, np.zeros(1, np.uint64)))[:1000])
+        n = sum(len(h) for _, h, *_ in decontam._passage_words(texts, vocabulary))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 400 * 1200 and peak < 24 << 20, peak

@@ -357,7 +357,7 @@ def vector_index_recall(spark, sf_dir):
 
 @query("topic_search")
 def topic_search(spark, sf_dir):
-    p = vectors.embed_text(papers(spark, sf_dir), "abstract", 128).selectExpr("arxiv_id AS id", "vector", "title", "categories")
+    p = vectors.embed_text(papers(spark, sf_dir), "abstract", 128, keep=["arxiv_id", "title", "categories"]).selectExpr("arxiv_id AS id", "vector", "title", "categories")
     q = p.where("CAST(substring_index(id, '.', -1) AS BIGINT) % 20 = 0").selectExpr("id AS query_id", "vector AS query")
     return vectors.vector_topk(p, q, 10).select("query_id", "id", "title", "categories", "score", "rank")
 

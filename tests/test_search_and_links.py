@@ -110,3 +110,17 @@ def test_an_index_is_brought_up_to_date(spark, tmp_path):
     assert {(r.query_id, r.id) for r in got.collect()} == exact(now.items(), asked, 10)
     with pytest.raises(ValueError):
         ivf.build_index(v.limit(0), str(tmp_path / "none"))
+
+
+def test_texts_are_split_once_and_close_scores_are_told_apart(spark):
+    papers = spark.createDataFrame([(f"{i}", f"word{i % 7} and word{i % 5} again") for i in range(40)], "id string, abstract string")
+    kept = vectors.embed_text(papers, "abstract", 16, keep=["id"])
+    assert kept.columns == ["id", "vector"] and "split" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, *r.vector) for r in kept.collect()} == {(r.id, *r.vector) for r in vectors.embed_text(papers, "abstract", 16).collect()}
+    # Scores that single precision can't tell apart, and many equal ones.
+    x = [(i, [1.0, 1e-5 * (i % 50) / 50]) for i in range(500)]
+    v = spark.createDataFrame(x, "id long, vector array<double>").repartition(200)
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, query array<double>")
+    found = vectors.vector_topk(v, q, 12)
+    assert sorted((r.query_id, r.rank, r.id) for r in found.collect()) == [(0, n + 1, i) for n, i in enumerate([*range(0, 500, 50), 1, 51])] + [(1, n + 1, i) for n, i in enumerate([*range(49, 500, 50), 48, 98])]
+    assert f"Coalesce {vectors.SEARCH_TASKS * spark.sparkContext.defaultParallelism}" in found._jdf.queryExecution().executedPlan().toString()

@@ -20,6 +20,8 @@ from starloom.plans.durable import durable
 LEAST_ZONE = 1e-4
 #: Height of a join's zones in radii: a row of the left side is copied to four cells on average, not to nine.
 JOIN_ZONE = 2
+#: The same where a radius holds few rows, as a match of one object does: a row is copied to two cells and a quarter, and meets twice the rows.
+SPARSE_ZONE = 4
 #: Rows of a cell from which it is split, and halvings of its sides at most.
 HOT_ROWS, MOST_SPLIT = 2_000, 3
 #: Most cells that are split; others are left to adaptive skew handling.
@@ -101,15 +103,16 @@ def _split(left: DataFrame, right: DataFrame, height: float, radius: float) -> t
     return left, right
 
 
-def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner", sep: str = "sep_deg", key: str = "source_id") -> DataFrame:
+def sky_join(a: DataFrame, b: DataFrame, radius_deg: float, how: str = "inner", sep: str = "sep_deg", key: str = "source_id", zone: int = JOIN_ZONE) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` within ``radius_deg``; b's columns get the suffix ``_b``.
 
     ``how`` is inner, left, semi or anti; the last three go by ``key`` of a. The left side is copied to the cells
     within the radius, the right to one; the exact separation decides. Null positions match nothing. Dense cells of a right side
     that is no stream are split below the radius (``_split``); what is left of skew goes to adaptive execution. Both sides
     are shuffled and merged: sizes of files say nothing of the copies, so a side is never sent to the driver to be broadcast.
+    ``zone`` is the height of the zones in radii: higher ones make fewer copies and more candidates.
     """
-    height = max(JOIN_ZONE * radius_deg, LEAST_ZONE)
+    height = max(zone * radius_deg, LEAST_ZONE)
     left = _placed(a, height, True, radius_deg)
     right = _placed(b, height, False, radius_deg)
     left, right = _split(left, right, height, radius_deg)
@@ -358,7 +361,7 @@ def catalog_overlap(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
     """(c1, c2, matches, fraction) of every two catalogs, c1 < c2: rows of c1 with a match in c2, over the smaller catalog; 0 where none has."""
     named = stars.select("source_id", "ra", "dec", normalize_catalog("catalog_source", "UNKNOWN").alias("catalog"))
     size = named.groupBy("catalog").agg(F.count("*").alias("n"))
-    met = sky_join(named, named, match_arcsec / 3600).where("catalog < catalog_b").groupBy(F.col("catalog").alias("c1"), F.col("catalog_b").alias("c2")).agg(F.countDistinct("source_id").alias("matches"))
+    met = sky_join(named, named, match_arcsec / 3600, zone=SPARSE_ZONE).where("catalog < catalog_b").groupBy(F.col("catalog").alias("c1"), F.col("catalog_b").alias("c2")).agg(F.countDistinct("source_id").alias("matches"))
     names = size.agg(F.collect_list("catalog").alias("names"))  # one row, a few names
     every = names.select(F.explode("names").alias("c1"), "names").select("c1", F.explode("names").alias("c2")).where("c1 < c2")
     n1, n2 = size.select(F.col("catalog").alias("c1"), F.col("n").alias("n1")), size.select(F.col("catalog").alias("c2"), F.col("n").alias("n2"))
@@ -370,7 +373,7 @@ def catalog_unique(stars: DataFrame, match_arcsec: float = 3.0) -> DataFrame:
     """(catalog, unique_count) of every catalog: rows without a match in any other; 0 where all have one."""
     named = stars.select("source_id", "ra", "dec", normalize_catalog("catalog_source", "UNKNOWN").alias("catalog"))
     placed = named.where("ra IS NOT NULL AND dec IS NOT NULL")
-    matched = sky_join(placed, placed, match_arcsec / 3600).where("catalog <> catalog_b").select("source_id").distinct()
+    matched = sky_join(placed, placed, match_arcsec / 3600, zone=SPARSE_ZONE).where("catalog <> catalog_b").select("source_id").distinct()
     alone = placed.join(matched, "source_id", "left_anti").groupBy("catalog").agg(F.count("*").alias("unique_count"))
     return named.select("catalog").distinct().join(alone, "catalog", "left").select("catalog", F.coalesce("unique_count", F.lit(0).cast("long")).alias("unique_count"))
 

@@ -149,3 +149,27 @@ def test_small_radii_equal_brute_force_across_cells_of_any_size(spark, radius):
     df = spark.createDataFrame(rows, "source_id string, ra double, dec double")
     want = {(a[0], b[0]) for a in rows for b in rows if apart(a, b) <= radius}
     assert {(x.source_id, x.source_id_b) for x in sky_join(df, df, radius).collect()} == want
+
+
+def test_matches_of_catalogs_copy_a_row_to_two_cells_and_a_quarter(spark, monkeypatch):
+    r = random.Random(8)
+    names = ["GAIA", "WISE", "2MASS", None]
+    rows = [(str(i), r.uniform(0, 4), r.uniform(-2, 2), names[i % 4]) for i in range(1500)]
+    stars = spark.createDataFrame(rows, "source_id string, ra double, dec double, catalog_source string")
+    copies, placed = [], crossmatch._placed
+
+    def seen(df, height, spread, radius):
+        out = placed(df, height, spread, radius)
+        if spread:
+            copies.append(out.count() / 1500)
+        return out
+
+    monkeypatch.setattr(crossmatch, "_placed", seen)
+    near = [(a, b) for a in rows for b in rows if a[3] != b[3] and abs(a[2] - b[2]) <= 0.03 and apart(a, b) <= 0.03]
+    met = {a[0] for a, _ in near}
+    alone = {n or "UNKNOWN": sum(x[3] == n and x[0] not in met for x in rows) for n in names}
+    assert {x.catalog: x.unique_count for x in crossmatch.catalog_unique(stars, 108.0).collect()} == alone
+    found = {(x.c1, x.c2): x.matches for x in crossmatch.catalog_overlap(stars, 108.0).collect()}
+    for c1, c2 in found:
+        assert found[c1, c2] == len({a[0] for a, b in near if (a[3] or "UNKNOWN", b[3] or "UNKNOWN") == (c1, c2)})
+    assert len(copies) == 2 and max(copies) < 2.6

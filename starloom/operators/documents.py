@@ -90,16 +90,30 @@ GRAM = 8
 BROADCAST_GRAMS = 500_000
 
 
-def grams(value, lengths: list[int]) -> Column:
-    """The distinct runs of each of the lengths (characters) that a text holds."""
-    runs = [F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
+def grams(value, lengths: list[int], of: str = ".") -> Column:
+    """The distinct runs of each of the lengths (characters) that a text holds; ``of`` is a regular expression of the characters that they are of."""
+    runs = [F.regexp_extract_all(value, F.lit(f"(?s)(?=({of}{{{n}}}))"), 1) for n in lengths] or [F.array().cast("array<string>")]
     return F.array_distinct(F.concat(*runs))
 
 
+#: Most distinct characters that a pattern lists; grams of more are cut from texts whatever they are of.
+LISTED_CHARACTERS = 1_000
+
+
+def characters(wanted: DataFrame) -> str:
+    """A regular expression of the characters that grams (gram) are of."""
+    letter = wanted.select(F.explode(F.array_distinct(F.split("gram", ""))).alias("c")).where("c <> ''").distinct()
+    found = sorted({ord(x) for r in letter.limit(LISTED_CHARACTERS + 1).collect() for x in r.c})
+    return "[" + "".join(f"\\x{{{x:x}}}" for x in found) + "]" if 0 < len(found) <= LISTED_CHARACTERS else "."
+
+
 def gram_postings(texts: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
-    """(gram, text_key): the inverted index of texts (text_key, body) over the grams of ``wanted`` (gram); no row carries a body."""
+    """(gram, text_key): the inverted index of texts (text_key, body) over the grams of ``wanted`` (gram); no row carries a body.
+
+    Only runs of characters that wanted grams have are cut from the texts, so a text without them costs one look at each character.
+    """
     small = wanted.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    return texts.select("text_key", F.explode(grams("body", lengths)).alias("gram")).join(F.broadcast(wanted) if small else wanted, "gram", "left_semi").distinct()
+    return texts.select("text_key", F.explode(grams("body", lengths, characters(wanted))).alias("gram")).join(F.broadcast(wanted) if small else wanted, "gram", "left_semi").distinct()
 
 
 def term_candidates(texts: DataFrame, terms: DataFrame) -> DataFrame:

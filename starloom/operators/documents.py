@@ -78,7 +78,7 @@ def link_stars_papers(papers: DataFrame, stars: DataFrame, names: DataFrame | No
     ids = papers.select("arxiv_id", F.explode(tx.gaia_ids_near("abstract")).alias("source_id")).withColumn("strategy", F.lit("gaia_id"))
     links = ids.join(stars.select("source_id"), "source_id", "left_semi").select("source_id", "arxiv_id", "strategy")
     if names is not None:
-        found = papers.select("arxiv_id", F.explode(F.slice(tx.catalog_ids("abstract"), 1, 5)).alias("n")).withColumn("name", F.lower(F.replace("n", F.lit(" "), F.lit(""))))
+        found = papers.select("arxiv_id", F.explode(tx.catalog_ids("abstract")).alias("n")).withColumn("name", F.lower(F.replace("n", F.lit(" "), F.lit(""))))
         known = names.select(F.lower(F.replace("name", F.lit(" "), F.lit(""))).alias("name"), "source_id")
         links = links.unionByName(found.join(known, "name").select("source_id", "arxiv_id", F.lit("entity").alias("strategy")))
     return links.distinct()

@@ -266,8 +266,8 @@ _STAR_NAMES = "SELECT 'HD ' || CAST(48900 + CAST(right(source_id, 4) AS INT) % 4
 @query("graph_build", f"""{_EDGES}, rn AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vec_id FROM regions), text AS (SELECT DISTINCT arxiv_id, cluster FROM covers),
 v AS (SELECT {_BY_PAPER} AS arxiv_id, embedding FROM embeddings), near AS (SELECT rn.name AS cluster, v.arxiv_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM rn JOIN embeddings q USING (vec_id), v),
 sem AS (SELECT cluster, arxiv_id FROM near WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, arxiv_id) <= 10),
-n AS ({_STAR_NAMES.replace('{stars}', 'stars')}), five AS (SELECT arxiv_id, unnest(list_slice(list_distinct_in_order, 1, 5)) AS i FROM (SELECT arxiv_id, list_filter(l, lambda x, k: list_position(l, x) = k) AS list_distinct_in_order FROM (SELECT arxiv_id, {_STRICT} AS l FROM papers))),
-ent AS (SELECT DISTINCT n.source_id, five.arxiv_id FROM five JOIN n ON five.i = upper(replace(n.name, ' ', '')) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sid = n.source_id AND e.arxiv_id = five.arxiv_id)),
+n AS ({_STAR_NAMES.replace('{stars}', 'stars')}), said AS (SELECT arxiv_id, unnest(list_distinct({_STRICT})) AS i FROM papers),
+ent AS (SELECT DISTINCT n.source_id, said.arxiv_id FROM said JOIN n ON said.i = upper(replace(n.name, ' ', '')) WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sid = n.source_id AND e.arxiv_id = said.arxiv_id)),
 steps AS (SELECT 'clusters' AS step, count(*) AS created FROM regions UNION ALL SELECT 'stars', count(*) FROM stars UNION ALL SELECT 'membership', count(*) FROM member UNION ALL SELECT 'papers', count(*) FROM papers UNION ALL SELECT 'text_links', count(*) FROM text
  UNION ALL SELECT 'semantic_links', count(*) FROM sem WHERE arxiv_id IN (SELECT arxiv_id FROM papers) AND (arxiv_id, cluster) NOT IN (SELECT arxiv_id, cluster FROM text) UNION ALL SELECT 'id_links', count(*) FROM e UNION ALL SELECT 'entity_links', count(*) FROM ent
  UNION ALL SELECT 'citations', count(*) FROM documents WHERE doc_id >= 100)

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from oracle import assert_same
 
-from starloom.operators import documents, graph
+from starloom.operators import documents, graph, graph_store
 from starloom.queries import catalog
 
 
@@ -71,3 +71,15 @@ def test_pairs_of_a_large_cluster_come_of_arrays(spark, monkeypatch, chunk, shar
     want = [(s, p, kind, None if int(p[1:]) % 2 else f"t{p[1:]}") for pairs, kind in ((direct, "direct"), (around, "cluster_context")) for s, p in pairs]
     assert sorted(map(str, ((x.source_id, x.arxiv_id, x.link_type, x.title) for x in found))) == sorted(map(str, want))
     assert chunk < 1000 or 0 < most < len(around) / 2
+
+
+def test_nodes_are_written_once_and_only_new_ones(spark, tmp_path, monkeypatch):
+    def twice(*_):
+        raise AssertionError("nodes were written apart first")
+
+    path = graph_store.create_store(spark, str(tmp_path / "g"))
+    monkeypatch.setattr(graph_store, "durable", twice)
+    batch = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
+    more = batch.union(spark.createDataFrame([("c",)], "k string"))
+    assert [graph_store.add_nodes(path, kind, df, "k") for kind, df in (("Star", batch), ("Star", batch), ("Paper", batch), ("Star", more), ("Star", more))] == [2, 0, 2, 1, 0]
+    assert sorted(map(tuple, graph_store.read_nodes(spark, path).collect())) == [("Paper", "a"), ("Paper", "b"), ("Star", "a"), ("Star", "b"), ("Star", "c")]
